@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lattica.llm.bpe_codec import op9_bpe_codec
 from lattica.llm.chat_format import op3_chat_format
 from lattica.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lattica.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
 from lattica.llm.sharding import op5_sharding
 from lattica.llm.token_store import op1_token_store
+from lattica.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -16,5 +18,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
+    "op9_bpe_codec": op9_bpe_codec,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL}
