@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when it has at most so many rows of a few numbers each; beyond it, Spark shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +47,14 @@ def sized(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """left joined with right on key, where right has a row a key and in `size` how many rows of left have it.
+
+    At most 1000 keys can have a thousandth of the total rows each; these are broadcast, and no key of the other join,
+    which shuffles, is hot.
+    """
+    hot, rest = right.where(F.col(size) * 1000 > total), right.where(F.col(size) * 1000 <= total)
+    hot_keys = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(hot), key).unionByName(left.join(hot_keys, key, "left_anti").join(rest, key))

@@ -7,6 +7,8 @@ from lattica.llm.chat_format import op3_chat_format
 from lattica.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lattica.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
+from lattica.llm.near_dedup import op8_near_dedup
+from lattica.llm.quality import op10_quality
 from lattica.llm.sharding import op5_sharding
 from lattica.llm.token_store import op1_token_store
 from lattica.llm.toxicity import op7_toxicity
@@ -19,6 +21,8 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_near_dedup": op8_near_dedup,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL}
