@@ -99,16 +99,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     each is matched with its own words. Other columns are not read. Without documents the result is empty, without
     items all are clean.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     items, marks, short = prepared(items, item_col, item_text_col)
-    found = fingerprints(words, ["doc_id"], short)
+    found = fingerprints(texts.select("doc_id", words_of(F.col("text")).alias("words")), ["doc_id"], short)
     hits = found.join(sized(marks), ["l", "h"]).select("doc_id", "key").distinct()
     hits = hits.join(sized(items), "key").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
 
-    both = words.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    clean = both.where("hits is null").select("doc_id", F.size("words").alias("n_words"), F.array().cast("array<int>").alias("covered"), F.array().cast("array<string>").alias("item_ids"))
-    near = with_grams(both.where("hits is not null").select("doc_id", "words", "hits", "hs"), [K, *short])
-    near = near.select("doc_id", "words", "hits", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
+    # Texts are shuffled, not their words, which take more room; words of documents without a hit are only counted.
+    both = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "hits", "hs", words_of(F.col("text")).alias("all"))
+    both = both.select("doc_id", "hits", "hs", F.size("all").alias("n_words"), F.when(F.col("hits").isNotNull(), F.col("all")).alias("words"))
+    near = with_grams(both, [K, *short])
+    near = near.select("doc_id", "n_words", "words", "hits", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
 
     def starts(hit: Column, shift: Column) -> Column:
         """The document words, from 1, at which a window of the item, so aligned, starts."""
@@ -125,10 +126,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + hit["span"] - 1))))
 
     # `places` is read twice, so that it stays a column and isn't made anew for each item.
-    near = near.where(F.size("places") >= 0).select("doc_id", F.size("words").alias("n_words"), F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), covered(x).alias("at"))).alias("hits"))
-    near = near.select("doc_id", "n_words", F.filter("hits", lambda x: F.size(x["at"]) > 0).alias("hits"))
-    near = near.select("doc_id", "n_words", F.array_distinct(F.flatten(F.transform("hits", lambda x: x["at"]))).alias("covered"), F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"]))).alias("item_ids"))
-    out = clean.unionByName(near).select("doc_id", F.col("n_words").cast("long"), F.size("covered").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    reached = F.when(F.size("places") > 0, F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), covered(x).alias("at"))))
+    near = near.select("doc_id", "n_words", reached.alias("hits")).select("doc_id", "n_words", F.filter("hits", lambda x: F.size(x["at"]) > 0).alias("hits"))
+    at = F.array_distinct(F.flatten(F.transform("hits", lambda x: x["at"])))
+    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
+    near = near.select("doc_id", "n_words", F.coalesce(F.size(at), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
+    out = near.select("doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part >= F.col("n_words")))
 
 
