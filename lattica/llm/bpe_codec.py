@@ -83,7 +83,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.chars = {i: c for i, c in byte_chars().items()}
         self.table = np.array([*self.tokens], object)
-        self.words = WordCache(self._encode)
+        self.words = WordCache(self._encode, lambda words: self._encode([" " + w for w in words]))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [[p.encode() for p in self.split(t)] for t in texts]

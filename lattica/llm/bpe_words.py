@@ -14,32 +14,56 @@ from collections.abc import Callable
 #: Splitting at single spaces is exact unless white space, or the end, follows a space.
 RUN = re.compile(r" (?=\s|\Z)")
 #: A worker keeps the codes of so many words, and of none that is longer.
-WORDS, LONGEST = 300_000, 64
+WORDS, LONGEST = 800_000, 64
+#: Punctuation after a letter or digit is a pre-token of its own, so words need not be kept with it.
+STOPS = ".,;:!?"
 
 
 class WordCache:
-    """Encodes texts by encode_batch(list of str) -> list of codes, bytes or str, joined by `glue`."""
+    """Encodes texts to codes, bytes that concatenate.
 
-    def __init__(self, encode_batch: Callable, glue=b""):
-        self.encode_batch, self.glue = encode_batch, glue
-        self.later: dict[str, object] = {}  # of words after a space, which is left out of the key
+    encode_texts takes texts; encode_words takes words that each stand after a space, without it.
+    """
 
-    def encode(self, texts: list[str]) -> list:
+    def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]]):
+        self.encode_texts, self.encode_words = encode_texts, encode_words
+        self.later: dict[str, bytes] = {}  # of words after a space
+        self.tails: dict[str, bytes] = {}  # of punctuation after a word
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes the codes of words known."""
+        cores, parts = {}, []
+        for w in words:
+            core = w.rstrip(STOPS)
+            if core and core != w and core[-1].isalnum():
+                cores[w] = core
+            else:
+                parts.append(w)
+        known = self.later
+        parts = list(dict.fromkeys(parts + [c for c in cores.values() if c not in known]))
+        known.update(zip(parts, self.encode_words(parts), strict=True))
+        tails = list({w[len(c) :] for w, c in cores.items()}.difference(self.tails)) if len(self.tails) < WORDS else []
+        self.tails.update(zip(tails, self.encode_texts(tails), strict=True))
+        for w, c in cores.items():
+            tail = w[len(c) :]
+            known[w] = known[c] + (self.tails[tail] if tail in self.tails else self.encode_texts([tail])[0])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The codes of each text. Holds one batch in memory; callers bound its size."""
         split = [None if RUN.search(t) else t.split(" ") for t in texts]
-        missing = set().union(*(s[1:] for s in split if s)).difference(self.later)
+        words = set().union(*(s[1:] for s in split if s))
+        missing = words.difference(self.later)
         if len(self.later) + len(missing) > WORDS:
-            self.later = {}
-            missing = set().union(*(s[1:] for s in split if s))
-        missing = list(missing)
-        known = dict(zip(missing, self.encode_batch([" " + w for w in missing]), strict=True)) if missing else {}
-        self.later.update(known)
-        heads = self.encode_batch([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
-        get, glue = self.later.__getitem__, self.glue
-        out = [h if not s or len(s) == 1 else glue.join([h, *map(get, s[1:])] if h else map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
+            self.later, missing = {}, words
+        if missing:
+            self._learn(missing)
+        heads = self.encode_texts([t if s is None else s[0] for t, s in zip(texts, split, strict=True)])
+        get = self.later.__getitem__
+        out = [h if not s or len(s) == 1 else h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
         for w in missing:
             if len(w) > LONGEST:
-                del self.later[w]
+                self.later.pop(w, None)
+                self.later.pop(w.rstrip(STOPS), None)
         return out
 
 
