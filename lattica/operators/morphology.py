@@ -14,18 +14,22 @@ from lattica.functions.rotation import euler_matrix, times
 from lattica.operators.spatial import AXES
 
 KEYS = ["morph_name", "branch_id"]
-_ALONG = Window.partitionBy(*KEYS).orderBy("point_id")
+
+
+def _along():
+    """The window along a branch."""
+    return Window.partitionBy(*KEYS).orderBy("point_id")
 
 
 def segments(points: DataFrame) -> DataFrame:
     """points with dx, dy, dz and length of the step to each from the point before it, null at a branch's start."""
-    out = points.withColumns({f"d{c}": F.col(c) - F.lag(c).over(_ALONG) for c in AXES})
+    out = points.withColumns({f"d{c}": F.col(c) - F.lag(c).over(_along()) for c in AXES})
     return out.withColumn("length", F.sqrt(sum((F.col(f"d{c}") * F.col(f"d{c}") for c in AXES), F.lit(0.0))))
 
 
 def arcs(points: DataFrame) -> DataFrame:
     """points with path (length from the branch's start) and arc, path as a part of the whole, 0 for a branch of no length."""
-    out = segments(points).withColumn("path", F.coalesce(F.sum("length").over(_ALONG.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    out = segments(points).withColumn("path", F.coalesce(F.sum("length").over(_along().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     whole = F.max("path").over(Window.partitionBy(*KEYS))
     return out.withColumn("arc", F.when(whole > 0, F.col("path") / whole).otherwise(0.0)).drop("dx", "dy", "dz")
 
@@ -36,7 +40,7 @@ def morphometry(points: DataFrame) -> DataFrame:
     fractal_dim is the slope of log path length over log distance from the start, where both are above 0; 1 if
     that leaves fewer than two points.
     """
-    first = [F.first(c).over(_ALONG).alias(f"o{c}") for c in AXES]
+    first = [F.first(c).over(_along()).alias(f"o{c}") for c in AXES]
     p = arcs(points).select("*", *first).withColumn("away", F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), F.lit(2.0)) for c in AXES), F.lit(0.0))))
     both = (F.col("away") > 0) & (F.col("path") > 0)
     slope = F.regr_slope(F.when(both, F.log("path")), F.when(both, F.log("away")))
@@ -135,8 +139,8 @@ def filtered(points: DataFrame, branches: DataFrame, labels: list[str]) -> tuple
     branch hangs on the last run of the nearest branch above it that has one; later runs hang on the run before.
     """
     keep = points.withColumn("keep", has_any(F.col("labels"), labels))
-    starts = keep.withColumn("new", (F.col("keep") & ~F.coalesce(F.lag("keep").over(_ALONG), F.lit(False))).cast("int"))
-    runs = starts.withColumn("run", F.sum("new").over(_ALONG)).where("keep")
+    starts = keep.withColumn("new", (F.col("keep") & ~F.coalesce(F.lag("keep").over(_along()), F.lit(False))).cast("int"))
+    runs = starts.withColumn("run", F.sum("new").over(_along())).where("keep")
     order = Window.partitionBy("morph_name").orderBy("branch_id", "run")
     table = runs.select(*KEYS, "run").distinct().withColumn("id", (F.row_number().over(order) - 1).cast("int"))
     last = table.groupBy(*KEYS).agg(F.max("id").alias("last"))
@@ -203,7 +207,7 @@ def to_swc(points: DataFrame, branches: DataFrame) -> DataFrame:
         tag = F.when(has_any(F.col("labels"), [label]), number).otherwise(tag)
     last = p.groupBy(*KEYS).agg(F.max_by("sample", "point_id").alias("above")).withColumnRenamed("branch_id", "parent_branch")
     tree = branches.join(last, ["morph_name", "parent_branch"], "left").select(*KEYS, "above")
-    p = p.withColumn("before", F.lag("sample").over(_ALONG)).join(tree, KEYS, "left")
+    p = p.withColumn("before", F.lag("sample").over(_along())).join(tree, KEYS, "left")
     return p.select("morph_name", "sample", tag.alias("tag"), *AXES, "radius", F.coalesce("before", "above", F.lit(-1)).alias("parent"))
 
 
