@@ -2,11 +2,11 @@ import os
 import sys
 
 import pytest
+from helpers import DATA
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -37,21 +37,3 @@ def duck():
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
     return con
-
-
-def _plain(v):
-    if v is None or v != v:
-        return "null"
-    if isinstance(v, bool) or type(v).__name__.startswith("bool"):
-        return str(bool(v))
-    if isinstance(v, str):
-        return v
-    if hasattr(v, "isoformat"):
-        return v.isoformat()
-    return f"{float(v):.9g}"
-
-
-def table_of(df):
-    """The rows of a pandas frame in a form that compares: columns by name, values as text."""
-    df = df[sorted(df.columns)]
-    return list(df.columns), sorted(tuple(_plain(v) for v in row) for row in df.astype(object).where(df.notna(), None).values.tolist())

@@ -228,7 +228,7 @@ def test_time_slices():
 
 
 def test_windows_on_a_stream(spark, tmp_path):
-    from conftest import DATA
+    from helpers import DATA
 
     events = spark.read.parquet(f"{DATA}/events.parquet").orderBy("ts")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))

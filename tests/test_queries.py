@@ -1,7 +1,7 @@
 """Every query of the library against the SQL that says the same."""
 
 import pytest
-from conftest import DATA, table_of
+from helpers import DATA, table_of
 
 from lattica.queries import ORACLE_SQL, QUERIES
 
