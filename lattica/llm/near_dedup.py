@@ -11,7 +11,8 @@ Classes are the components of the links with similarity THRESHOLD or more. Texts
 pairs are not formed within bands: (1) equal texts are one node; (2) each node is held against the least node of its
 band, which joins what is close; (3) only nodes that are still outside the main component of a band are held against
 its members of other components, if sizes and 4-bit signatures allow the similarity (ALLOWED lies five standard errors off).
-So every link of two nodes that share a band ends within one component. A pair at the threshold shares no band with
+Bands of up to FEW members make pairs for that; larger ones are compared in blocks of BLOCK shingles, block against block,
+and only links leave a task, so that a large group of texts that are not quite similar makes no pairs. So every link of two nodes that share a band ends within one component. A pair at the threshold shares no band with
 probability (1 - 0.8**6)**42 = 3e-6.
 """
 
@@ -37,6 +38,7 @@ BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
 #: Of 252 slots at the threshold, 0.2 * 15/16 differ in 4 bits: 47.25, with a standard error of 6.2.
 ALLOWED = 79
+FEW, BLOCK = 32, 400_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.int64(1) << np.int64(62)
 _POINTS = 200_000
@@ -123,7 +125,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = batch.column(1).to_pylist()
-            for a, b in batches(texts, 1 << 21):
+            for a, b in batches(texts):
                 part = texts[a:b]
                 text, h, count = shingles(part)
                 n = np.bincount(text, count, b - a).astype(np.int32)
@@ -176,6 +178,49 @@ def verified(pairs: DataFrame, bag_of: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("bag_a", "bag_b")) >= 4 * (F.size("bag_a") + F.size("bag_b"))).select("a", "b")
 
 
+def block_links(ids: np.ndarray, comp: np.ndarray, main: int, block: np.ndarray, n: np.ndarray, f: np.ndarray, bags_: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The links between different components that an outsider of the band's main one has; of two blocks, those across."""
+    of = np.repeat(np.arange(len(ids)), n)
+    shingle = np.unique(np.concatenate(bags_), return_inverse=True)[1]
+    at = np.cumsum(n) - n
+    two, mask = block.min() != block.max(), np.int64(0x1111111111111111)
+    out, held = [], np.zeros(len(shingle), bool)
+    for a in np.flatnonzero(comp != main):
+        near = np.flatnonzero((comp != comp[a]) & ((block != block[a]) | (not two)) & (5 * n >= 4 * n[a]) & (5 * n[a] >= 4 * n))
+        x = f[near] ^ f[a]
+        x |= (x >> np.int64(1)) & np.int64(0x7FFFFFFFFFFFFFFF)
+        x |= (x >> np.int64(2)) & np.int64(0x3FFFFFFFFFFFFFFF)
+        near = near[np.bitwise_count(x & mask).sum(axis=1) <= ALLOWED]
+        if len(near):
+            held[shingle[at[a] : at[a] + n[a]]] = True
+            both = np.bincount(of[held[shingle]], minlength=len(ids))[near]
+            held[:] = False
+            out += [(int(ids[a]), int(ids[b])) for b in near[9 * both >= 4 * (n[a] + n[near])]]
+    return out
+
+
+def links_by_block(placed: DataFrame, marks: DataFrame, bag_of: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (band, id, comp, main, shingles of the band), each pair of blocks of a band in one group.
+
+    A group has about 2 * BLOCK shingles, or two texts.
+    """
+    blocks = F.ceil(F.col("shingles") / BLOCK).cast("int")
+    rows = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("band", "id", "comp", "main", "block", other.alias("other"))
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "main", "block")
+    rows = rows.join(marks, "id").join(bag_of, "id")
+
+    def run(group: pa.Table) -> pa.Table:
+        col = lambda c: group.column(c).to_numpy()
+        f = np.array(group.column("f").to_pylist(), np.int64)
+        bags_ = [np.array(x, np.int64) for x in group.column("bag").to_pylist()]
+        links = block_links(col("id"), col("comp"), col("main")[0], col("block"), np.array([len(x) for x in bags_], np.int64), f, bags_)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of its class) and kept (whether it is that one), a row for each row of docs.
 
@@ -193,23 +238,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # (2) Each node against the least of its band.
     banded_rows = nodes.select("id", F.explode("bands").alias("band"))
     leads = materialize(banded_rows.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead"), "leads")
-    members = materialize(banded_rows.join(sized(leads), "band"), "band-members")
+    members = materialize(banded_rows.join(sized(leads), "band").distinct(), "band-members")
     few = materialize(members.select("id").distinct(), "candidates")
-    marks = materialize(nodes.join(sized(few), "id", "left_semi").select("id", "n", "f"), "candidate-marks")
+    marks = materialize(nodes.join(sized(few), "id", "left_semi").select("id", "n", "f").dropDuplicates(["id"]), "candidate-marks")
     bag_of = materialize(bags(rows.join(sized(few), "id", "left_semi")).dropDuplicates(["id"]), "bags")
     star = members.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     star = star.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y")).select("a", "b")
     edges = materialize(verified(star, bag_of), "edges")
     comps = connected_components(edges)
     # (3) What is outside its band's main component against the band's other components.
-    placed = members.select("band", "id").join(sized(comps), "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = materialize(placed.groupBy("band", "comp").count(), "band-comps")
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    placed = materialize(placed.join(mixed, "band").select("band", "id", "comp", "main"), "mixed-bands").join(marks, "id")
-    strays = placed.where("comp != main")
+    placed = members.select("band", "id").join(sized(comps), "id", "left").join(sized(marks.select("id", "n")), "id").select("band", "id", F.coalesce("comp", "id").alias("comp"), "n")
+    sizes = materialize(placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")), "band-comps")
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("count").alias("size"), F.sum("shingles").alias("shingles")).where("comps > 1").drop("comps")
+    placed = materialize(placed.drop("n").join(mixed, "band"), "mixed-bands")
+    small = placed.where(F.col("size") <= FEW).drop("size", "shingles").join(marks, "id")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    cross = strays.alias("x").join(placed.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = materialize(verified(cross.distinct(), bag_of), "edges")
+    cross = small.where("comp != main").alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    more = verified(cross.distinct(), bag_of).unionByName(links_by_block(placed.where(F.col("size") > FEW), marks, bag_of))
+    more = materialize(more.distinct(), "edges")
     comps = connected_components(edges.unionByName(more))
     # Classes of nodes, then of their copies.
     known = copies.select("id", "rep").distinct()
