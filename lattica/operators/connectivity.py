@@ -45,6 +45,36 @@ def fixed_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0)
     return pairs.withColumn("r", F.row_number().over(last)).where(F.col("r") <= degree).select("fixed_id", "pool_id")
 
 
+def ranked(pool: DataFrame, seed: int = 0) -> DataFrame:
+    """pool's `id` with a place `rank` from 0 without gaps, in an order that the keyed numbers of the ids give.
+
+    Places are counted in 256 blocks of that order, so no task sorts the whole pool.
+    """
+    rows = pool.select("id").withColumn("bits", keyed_bits(f"{seed}-rank", "id")).withColumn("block", F.shiftright("bits", 44))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("block").orderBy("bits", "id")) - 1
+    return rows.withColumn("own", own).join(F.broadcast(sizes), "block").select("id", (F.col("before") + F.col("own")).alias("rank"))  # 256 rows
+
+
+def sampled_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0) -> DataFrame:
+    """(fixed_id, pool_id) like fixed_degree, by drawing places in the pool: its cost is that of its result.
+
+    Each fixed row makes 2 * degree + 32 draws with replacement and keeps the first `degree` different ones. Needs a pool
+    of 4 * degree rows or more, where so many draws are always enough for practical purposes; too few raise.
+    """
+    places = ranked(pool, seed)
+    n = pool.count()
+    if n < 4 * degree:
+        raise ValueError("the pool is too small to draw from; rank it with fixed_degree")
+    draws = fixed.select(F.col("id").alias("fixed_id"), F.explode(F.sequence(F.lit(1), F.lit(2 * degree + 32))).alias("draw"))
+    draws = draws.withColumn("rank", F.pmod(keyed_bits(seed, "fixed_id", "draw"), F.lit(n))).groupBy("fixed_id", "rank").agg(F.min("draw").alias("draw"))
+    w = Window.partitionBy("fixed_id")
+    kept = draws.withColumn("r", F.row_number().over(w.orderBy("draw"))).withColumn("of", F.count(F.lit(1)).over(w)).where(F.col("r") <= degree)
+    enough = F.when(F.col("of") >= degree, F.col("rank")).otherwise(F.raise_error(F.lit("too few different draws")).cast("long"))
+    return kept.withColumn("rank", enough).join(places, "rank").select("fixed_id", F.col("id").alias("pool_id"))
+
+
 def fixed_indegree(pre: DataFrame, post: DataFrame, degree: int, seed: int = 0) -> DataFrame:
     return edges_of(fixed_degree(post, pre, degree, seed), F.col("pool_id"), F.col("fixed_id"))
 

@@ -22,6 +22,26 @@ class Strategy:
     make: Callable[[Plan], DataFrame]
     cell_types: list[str]
     after: list[str] = field(default_factory=list)
+    pre: list[str] = field(default_factory=list)
+    post: list[str] = field(default_factory=list)
+
+
+def placement_of(strategies: list[Strategy], cell_types: list[str]) -> list[Strategy]:
+    """The strategies that place one of the types."""
+    return [s for s in strategies if set(s.cell_types) & set(cell_types)]
+
+
+def connectivity_of(strategies: list[Strategy], anywhere: list[str] | None = None, presynaptic: list[str] | None = None, postsynaptic: list[str] | None = None) -> list[Strategy]:
+    """The strategies with one of the types on the side asked for; without any question, all."""
+    if anywhere is None and presynaptic is None and postsynaptic is None:
+        return list(strategies)
+    asked = lambda s: bool(set(s.pre) & {*(anywhere or ()), *(presynaptic or ())} or set(s.post) & {*(anywhere or ()), *(postsynaptic or ())})
+    return [s for s in strategies if asked(s)]
+
+
+def guess_cell_count(counts: DataFrame) -> dict[str, float]:
+    """The expected cells of each type, from rows (cell_type, estimate), without placing any."""
+    return {r.cell_type: r.estimate for r in counts.groupBy("cell_type").agg(F.sum("estimate").alias("estimate")).collect()}
 
 
 @dataclass

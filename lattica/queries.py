@@ -201,6 +201,13 @@ def fixed_outdegree(spark, d):
     return C.fixed_outdegree(pre, post, 3, 2).select("pre_id", "post_id")
 
 
+@query(f"""SELECT o AS fixed_id, id AS pool_id FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY t) AS r FROM (
+  SELECT o, rank, min(t) AS t FROM (SELECT id AS o, t, {bits_sql(4, 'id', 't')} % (SELECT count(*) FROM customer) AS rank FROM cells, range(1, 43) tt(t)) GROUP BY o, rank))
+  JOIN (SELECT c_custkey AS id, row_number() OVER (ORDER BY {bits_sql('4-rank', 'c_custkey')}, c_custkey) - 1 AS rank FROM customer) USING (rank) WHERE r <= 5""")
+def sampled_degree(spark, d):
+    return C.sampled_degree(cells(spark, d).select("id"), table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 5, 4)
+
+
 @query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk FROM (SELECT DISTINCT chunk_id, cx, cy, cz FROM cells) a JOIN (SELECT DISTINCT chunk_id, cx, cy, cz FROM cells) b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND abs(a.cz - b.cz) <= 1")
 def region_of_interest(spark, d):
     own = cells(spark, d).select("chunk_id", *(v.alias(n) for v, n in zip(chunk_coordinates(F.col("chunk_id")), ("cx", "cy", "cz"), strict=True))).distinct()

@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 PARTITIONS = {"cells": ["cell_type", "chunk_id"], "connections": ["tag", "pre_chunk"], "morpho_points": ["morph_name"], "morpho_branches": ["morph_name"], "files": [], "spikes": [], "signals": []}
 
@@ -33,7 +34,11 @@ class NetworkStore:
     def read(self, table: str) -> DataFrame:
         if not self.exists(table):
             raise FileNotFoundError(f"{self.root} has no {table}")
-        return self.spark.read.parquet(f"{self.root}/{table}")
+        path = f"{self.root}/{table}"
+        found = self.spark.read.parquet(path).schema
+        names = {"cell_type", "tag", "morph_name"}  # these are text, whatever a folder's name looks like
+        kinds = StructType([StructField(f.name, StringType() if f.name in names else f.dataType) for f in found.fields])
+        return self.spark.read.schema(kinds).parquet(path)
 
     def append(self, table: str, rows: DataFrame) -> None:
         self._writable()

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from helpers import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -228,8 +229,6 @@ def test_time_slices():
 
 
 def test_windows_on_a_stream(spark, tmp_path):
-    from helpers import DATA
-
     events = spark.read.parquet(f"{DATA}/events.parquet").orderBy("ts")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = windowed_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "1 hour")
@@ -237,3 +236,47 @@ def test_windows_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_morphology_repository(spark, tmp_path):
+    from lattica.queries import branches, points
+    from lattica.sources.morphologies import MorphologyRepository
+
+    repo = MorphologyRepository(NetworkStore(spark, str(tmp_path / "net")))
+    p, b = (f(spark, DATA).where("morph_name in ('1', '11', '2')") for f in (points, branches))
+    repo.save(p, b, {"species": "none"})
+    assert repo.names() == ["1", "11", "2"] and repo.select(["1*"]) == ["1", "11"] and repo.select([]) == []
+    assert repo.get_meta("2") == {"species": "none"} and repo.load("1")[0].count() == 20
+    with pytest.raises(FileExistsError):
+        repo.save(p, b)
+    with pytest.raises(LookupError):
+        repo.select(["zebra*"])
+    repo.save(p.where("morph_name = '2'"), b.where("morph_name = '2'"), {"species": "new"}, overwrite=True)
+    assert repo.get_meta("2") == {"species": "new"} and repo.get_meta("1") == {"species": "none"}
+
+
+def test_files(spark, tmp_path):
+    from lattica.sources import files
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    f = files.read_files(spark, str(tmp_path))
+    cache = files.pipe(f, lambda d: d.where("id like '%a.txt'"), lambda d: d.select("id", "mtime"))
+    assert [bytes(r.content) for r in files.stale(f, cache).collect()] == [b"two"]
+
+
+def test_strategy_choice():
+    from lattica.plans.network import connectivity_of, placement_of
+
+    s = [Strategy("x", None, ["a", "b"], pre=["a"], post=["b"]), Strategy("y", None, ["b", "c"], pre=["b"], post=["c"])]
+    names = lambda r: [x.name for x in r]
+    assert names(connectivity_of(s)) == ["x", "y"] and names(connectivity_of(s, presynaptic=["b"])) == ["y"]
+    assert names(connectivity_of(s, anywhere=["b"])) == ["x", "y"] and names(connectivity_of(s, postsynaptic=["a"])) == []
+    assert names(placement_of(s, ["c"])) == ["y"]
+
+
+def test_make_config(tmp_path):
+    from lattica.__main__ import main
+
+    assert main(["make-config", str(tmp_path / "c.json")]) == 0
+    assert configuration.parse((tmp_path / "c.json").read_text()) == configuration.DEFAULT
