@@ -9,7 +9,7 @@ from lattica.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
 from lattica.llm.near_dedup import op8_near_dedup
 from lattica.llm.quality import op10_quality
-from lattica.llm.sharding import op5_sharding
+from lattica.llm.sharding import op5_sharding, op5_sql
 from lattica.llm.token_store import op1_token_store
 from lattica.llm.toxicity import op7_toxicity
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL}

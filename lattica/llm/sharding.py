@@ -68,14 +68,16 @@ def _sql_best(n: int) -> str:
 
 
 def op5_sql(shards: int = 8) -> str:
-    """crc32 is not among DuckDB's functions, so the SQL has it from a recursive sum over the bytes' bits: left out.
-
-    The SQL gives placement, slots and sizes; op5's query adds text_crc32, which a test holds against zlib.
-    """
+    """DuckDB has no CRC-32: the SQL makes its table of 256 entries and folds the bytes of a text over it."""
     return f"""
-WITH d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM step WHERE k < 8),
+entries AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+octets AS (SELECT doc_id, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT) AS o FROM hexed),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, len(o) + 1 AS size,
+  xor(coalesce(list_reduce(o, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295), 4294967295) AS text_crc32 FROM octets, entries),
 p AS (SELECT *, {_sql_best(shards)} AS shard, {_sql_best(shards + 1)} AS grown_shard FROM d)
-SELECT doc_id, size, 'key' AS law, shard::INTEGER AS shard,
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
        row_number() OVER (PARTITION BY shard ORDER BY md5(k), k) - 1 AS slot, grown_shard::INTEGER AS grown_shard
 FROM p
 """

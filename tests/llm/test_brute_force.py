@@ -36,12 +36,6 @@ def test_sql(spark, duck, name):
     assert table_of(queries.QUERIES[name](spark, DATA).toPandas()) == table_of(duck.sql(queries.ORACLE_SQL[name]).df())
 
 
-def test_sharding_sql(spark, duck):
-    from lattica.llm.sharding import op5_sharding, op5_sql
-
-    assert table_of(op5_sharding(spark, DATA).drop("text_crc32").toPandas()) == table_of(duck.sql(op5_sql()).df())
-
-
 def test_token_store(spark, docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
