@@ -138,23 +138,32 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
 
 
-def digest_encoding(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the ids in decimals, joined by commas, and decoded_sha256."""
-    def digest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 of the ids in decimals, joined by commas, and decoded_sha256 of what they decode to.
+
+    Encoding and decoding as in encode_documents and decode_documents, in one Python worker a task, a megabyte at a time.
+    """
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        decimals = np.array([str(i).encode() for i in range(len(c.tokens))], object)
         for batch in rows:
-            out = [hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest() for x in batch.column(1).to_pylist()]
-            n = pa.array([len(x) // 4 for x in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(out, pa.string()), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = batch.column(1).to_pylist()
+            for a, b in batches(texts):
+                out = []
+                for code in c.encode(texts[a:b]):
+                    ids = np.frombuffer(code, "<u4")
+                    out.append((len(ids), hashlib.sha256(b",".join(decimals[ids].tolist())).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+                n, coded, decoded = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    hashed = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("d"))
-    return hashed.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digest_encoding(decode_documents(encode_documents(docs, *vocabulary), *vocabulary))
+    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
