@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when it has at most so many rows of a few numbers each; beyond it, Spark shuffles.
@@ -37,12 +37,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, bound: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound, else as it is.
 
-    df should be cheap to count: a written table, or a few columns of one.
+    df should be cheap to count: a written table, or a few columns of one. Where rows hold arrays, size says how many
+    values a row has, and their sum is held against the bound.
     """
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    if size is None:
+        return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= bound else df
 
 
 def text_or_empty(column: str):

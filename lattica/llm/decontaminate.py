@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items, marks, short = prepared(items, item_col, item_text_col)
     found = fingerprints(texts.select("doc_id", words_of(F.col("text")).alias("words")), ["doc_id"], short)
     hits = found.join(sized(marks), ["l", "h"]).select("doc_id", "key").distinct()
-    hits = hits.join(sized(items), "key").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
+    hits = hits.join(sized(items, size=F.size("item") + F.size("marks") + F.size("hs")), "key").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
 
     # Texts are shuffled, not their words, which take more room; words of documents without a hit are only counted.
     both = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "hits", "hs", words_of(F.col("text")).alias("all"))
