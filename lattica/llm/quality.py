@@ -7,7 +7,7 @@ model: a shard holds all grams whose last but one symbol is among its own, so ea
 shard alone and partial sums of shards just add up. A shard has at most SHARD_ROWS rows (or one symbol's), so what
 is broadcast at once is bounded, while the model, and what is gathered for it, grows with the trusted text.
 
-Thresholds are per language, by quantiles of trusted documents that the model was not trained on, a fifth of them by
+Thresholds are per language, the QUANTILE of trusted documents that the model was not trained on, a fifth of them by
 the CRC-32 of their ids: a model knows its own text too well for a measure of other text. Short documents say
 little, so a perplexity counts PRIOR characters of the language's mean besides the document's own.
 """
@@ -31,8 +31,10 @@ SYMBOLS = 1 << BITS
 DIRECT = 0x600
 SHARD_ROWS = 4_000_000
 PRIOR = 60.0
-#: Rejected is what lies SLACK times further from the language's median of log perplexity than its QUANTILE does, or than LEAST_SPREAD.
-QUANTILE, SLACK, LEAST_SPREAD = 0.99, 3.0, 0.05
+#: Rejected is what lies above this quantile of the language's held-out log perplexities.
+QUANTILE = 0.99
+#: So many held-out documents have such a quantile of their own; with fewer, a language's median is moved by the quantile of all languages' distances from their medians.
+LEAST_HELD_OUT = 100
 _CHARS = 1 << 19
 
 
@@ -210,9 +212,14 @@ def thresholds(scored: DataFrame) -> DataFrame:
     trusted = scored.where("held_out and n > 0")
     either = trusted.unionByName(trusted.withColumn("lang", F.lit(None).cast("string")))
     means = materialize(either.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean")), "quality-means")
-    bits = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    at = either.join(sized(means.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l"))).groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx(bits, [0.5, QUANTILE]).alias("q"))
-    return materialize(at.select("lang", "mean", (F.col("q")[0] + SLACK * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD))).alias("limit")), "quality-limits")
+    bits = ((F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)).alias("bits")
+    measured = materialize(either.join(sized(means.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "mean", bits), "quality-held-out")
+    own = measured.groupBy("lang").agg(F.first("mean").alias("mean"), F.count(F.lit(1)).alias("held"), F.percentile_approx("bits", [0.5, QUANTILE]).alias("q"))
+    own = materialize(own, "quality-quantiles")
+    medians = own.where("lang is not null").select("lang", F.col("q")[0].alias("median"))
+    apart = measured.join(sized(medians), "lang").agg(F.percentile_approx(F.col("bits") - F.col("median"), QUANTILE).alias("apart"))
+    limit = F.when(F.col("lang").isNull() | (F.col("held") >= LEAST_HELD_OUT), F.col("q")[1]).otherwise(F.col("q")[0] + F.col("apart"))
+    return materialize(own.join(F.broadcast(apart), how="cross").select("lang", "mean", limit.alias("limit")), "quality-limits")
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
