@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when it has at most so many rows of a few numbers each; beyond it, Spark shuffles.
@@ -48,6 +49,32 @@ def sized(df: DataFrame, bound: int = BROADCAST_ROWS, size: Column | None = None
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= bound else df
 
 
+#: The unique key of a row, where operators carry one.
+ROW = "row_key"
+#: Bits of the key for the place in a file; those above are for the number of the file.
+_PLACE_BITS = 36
+
+
+def with_row(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns of docs (all by default) and ROW, a long that is unique and the same whenever the result is read.
+
+    Rows of Parquet files are named by file and place, which no later read changes. What isn't just such files, such as a
+    table in memory or the result of a query, is written to the shared folder with its keys.
+    """
+    columns = columns or ("*",)
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            placed = docs.select(*columns, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_place"))
+            files = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+        except AnalysisException:  # not Parquet
+            pass
+        else:
+            numbered = materialize(files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")), "files")  # a row a file
+            rows = placed.join(sized(numbered), F.col("row_file") == F.col("file"))
+            return rows.withColumn(ROW, F.shiftleft("number", _PLACE_BITS) + F.col("row_place")).drop("row_file", "row_place", "file", "number")
+    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 

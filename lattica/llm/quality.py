@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import materialize, sized, text_or_empty
+from lattica.llm.common import ROW, materialize, sized, text_or_empty, with_row
 from lattica.llm.word_hash import mix
 
 ORDER, BITS = 5, 12
@@ -163,7 +163,7 @@ class Shard:
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """row (a struct of docs' columns but text), nll and n: the negated log probability and the characters of `text`."""
+    """docs' columns but text, nll and n: the negated log probability and the characters of `text`, a row for each ROW."""
     spark = docs.sparkSession
     sizes = sorted(((r["count"], r["last"]) for r in model.where("last is not null").groupBy("last").count().collect()), reverse=True)  # a row a symbol
     packs: list[tuple[int, list[int]]] = []
@@ -198,7 +198,10 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         schema = docs.select(*others).schema.add("nll", "double").add("n", "long")
         part = docs.select(*others, "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if len(packs) == 1 else out.groupBy(*others).agg(F.sum("nll").alias("nll"), (F.sum("n") / len(packs)).cast("long").alias("n"))
+    if len(packs) == 1:
+        return out
+    same = [F.first(c).alias(c) for c in others if c != ROW]
+    return out.groupBy(ROW).agg(*same, F.sum("nll").alias("nll"), F.first("n").alias("n"))
 
 
 def trusted_rows(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -222,24 +225,26 @@ def thresholds(scored: DataFrame) -> DataFrame:
     return materialize(own.join(F.broadcast(apart), how="cross").select("lang", "mean", limit.alias("limit")), "quality-limits")
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """doc_id, lang, n_chars, perplexity (per character), threshold and accepted, one row for each row of docs.
 
     Documents whose id is labelled 1 are trusted. A null text is an empty one; an empty text has its language's mean and is
     accepted. A null language is the language "". A language without trusted text takes the threshold of all; without
-    any trusted text nothing is rejected. Equal rows may be scored together, each row staying. Other columns are not read.
+    any trusted text nothing is rejected. Every row is judged by its own text, whatever its id. Where docs has a unique key that
+    each read gives again, row_col names it, and it is the column ROW of the result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text"))
+    columns = F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text")
+    rows = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else with_row(docs, *columns)
     trusted = materialize(trusted_rows(labels, id_col, label_col), "trusted")
     model = model_rows(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
     scored = score(rows, model).join(sized(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
-    scored = materialize(scored.select("doc_id", "lang", "nll", "n", F.coalesce("held_out", F.lit(False)).alias("held_out")), "quality-scores")
+    scored = materialize(scored.select(ROW, "doc_id", "lang", "nll", "n", F.coalesce("held_out", F.lit(False)).alias("held_out")), "quality-scores")
     limits = thresholds(scored)
     every = F.broadcast(limits.where("lang is null").select(F.col("mean").alias("all_mean"), F.col("limit").alias("all_limit")))  # one row
     out = scored.join(sized(limits.where("lang is not null")), "lang", "left").join(every, how="left")
     mean, limit = F.coalesce("mean", "all_mean", F.lit(0.0)), F.coalesce("limit", "all_limit", F.lit(float("inf")))
     out = out.withColumn("m", F.when(F.col("n") > 0, (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)).otherwise(mean)).withColumn("limit", limit)
-    return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit"))).alias("accepted"))
+    return out.select(*([ROW] if row_col else []), "doc_id", "lang", F.col("n").alias("n_chars"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit"))).alias("accepted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

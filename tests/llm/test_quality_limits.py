@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.llm import quality
+from lattica.llm.common import ROW, with_row
 
 
 def test_limit_is_the_held_out_quantile(spark):
@@ -25,3 +26,24 @@ def test_junk_and_clean_rows(spark):
     judged = quality.quality(docs, labels).join(labels.select("doc_id", "quality").distinct(), "doc_id")
     share = {r.quality: r.share for r in judged.groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("share")).collect()}
     assert share[0] <= 0.05 and share[1] >= 0.995
+
+
+def test_shards_change_nothing(spark, odd, monkeypatch):
+    """Rows without an id, and rows that share one, keep their own verdicts when the model is taken in many packs."""
+    more = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(4, "another text", "en"), (None, "qqqq", "fr"), (1, "a b c a b c", None)], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 8)], "doc_id long, quality int")
+
+    def judged():
+        return sorted((str(r.doc_id), r.lang, r.n_chars, round(r.perplexity, 4), round(r.threshold, 4), r.accepted) for r in quality.quality(more, labels).collect())
+
+    whole = judged()
+    monkeypatch.setattr(quality, "SHARD_ROWS", 12)
+    assert len(whole) == 14 and judged() == whole
+
+
+def test_row_keys(spark, odd, tmp_path):
+    odd.repartition(3).write.parquet(str(tmp_path / "a b"))
+    for df in (spark.read.parquet(str(tmp_path / "a b")), odd, odd.where("doc_id is null")):
+        keyed = with_row(df)
+        assert keyed.columns == [*df.columns, ROW] and keyed.count() == df.count() == keyed.select(ROW).distinct().count()
+        assert sorted(map(str, keyed.collect())) == sorted(map(str, keyed.repartition(2).collect()))
