@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, exact copies, near copies, benchmark passages, encoding.
 
 Each stage takes all rows that the one before kept, and all but the last return the columns of documents. A stage
-decides by ids and takes rows by them, so texts are read once more rather than carried through a decision.
+decides by a unique key of its input's rows (see with_row) and takes rows by it, so texts are read once more rather than
+carried through a decision. Rows without an id are judged and dropped as others are, and of rows that share an id each by its own text.
 """
 
 from __future__ import annotations
@@ -10,22 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_codec import encoded_digests
-from lattica.llm.common import materialize, scratch, sized, table
+from lattica.llm.common import ROW, materialize, scratch, sized, table, with_row
 from lattica.llm.decontaminate import contamination
 from lattica.llm.exact_dedup import drop_duplicates
 from lattica.llm.near_dedup import near_duplicates
 from lattica.llm.quality import quality
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (gone_id)."""
-    return docs.join(sized(materialize(ids, "gone")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+def without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed whose ROW is not in gone, without that column."""
+    gone = materialize(gone.select(F.col(ROW).alias("gone_row")), "gone")
+    return keyed.join(sized(gone), F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the quality classifier accepts."""
-    judged = quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("not accepted").select(F.col("doc_id").alias("gone_id")))
+    docs = with_row(docs)
+    return without(docs, quality(docs, table(spark, sf_dir, "labels"), row_col=ROW).where("not accepted"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,15 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return without(docs, near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")))
+    """One row of each near-duplicate class."""
+    docs = with_row(docs)
+    return without(docs, near_duplicates(docs, row_col=ROW).where("not kept"))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("gone_id")))
+    docs = with_row(docs)
+    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark"), row_col=ROW).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

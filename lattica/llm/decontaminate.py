@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, sized, table, text_or_empty
+from lattica.llm.common import ROW, materialize, sized, table, text_or_empty
 
 SPAN, K = 13, 6
 W = SPAN - K + 1
@@ -91,25 +91,28 @@ def prepared(items: DataFrame, item_col: str, item_text_col: str) -> tuple[DataF
     return materialize(items, "item-places"), marks, short
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part: float = 20.0) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part: float = 20.0, row_col: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, item_ids (strings, sorted), contaminated.
 
     A null text has no words. Items without words hit nothing; items of one id count as one, each text matched for
     itself. A document is contaminated if a word is hit and part * n_hit >= n_words. Rows that repeat an id stay rows;
-    each is matched with its own words. Other columns are not read. Without documents the result is empty, without
+    each is matched with its own words. Where docs has a unique key of rows, row_col
+    names it, and it is the column ROW of the result. Other columns are not read. Without documents the result is empty, without
     items all are clean.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    own = [ROW] if row_col else []
+    key = ROW if row_col else "doc_id"
+    texts = docs.select(*([F.col(row_col).alias(ROW)] if row_col else []), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     items, marks, short = prepared(items, item_col, item_text_col)
-    found = fingerprints(texts.select("doc_id", words_of(F.col("text")).alias("words")), ["doc_id"], short)
-    hits = found.join(sized(marks), ["l", "h"]).select("doc_id", "key").distinct()
-    hits = hits.join(sized(items, size=F.size("item") + F.size("marks") + F.size("hs")), "key").groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
+    found = fingerprints(texts.select(key, words_of(F.col("text")).alias("words")), [key], short)
+    hits = found.join(sized(marks), ["l", "h"]).select(key, "key").distinct()
+    hits = hits.join(sized(items, size=F.size("item") + F.size("marks") + F.size("hs")), "key").groupBy(F.col(key).alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
 
     # Texts are shuffled, not their words, which take more room; words of documents without a hit are only counted.
-    both = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "hits", "hs", words_of(F.col("text")).alias("all"))
-    both = both.select("doc_id", "hits", "hs", F.size("all").alias("n_words"), F.when(F.col("hits").isNotNull(), F.col("all")).alias("words"))
+    both = texts.join(hits, F.col(key).eqNullSafe(F.col("hit_id")), "left").select(*own, "doc_id", "hits", "hs", words_of(F.col("text")).alias("all"))
+    both = both.select(*own, "doc_id", "hits", "hs", F.size("all").alias("n_words"), F.when(F.col("hits").isNotNull(), F.col("all")).alias("words"))
     near = with_grams(both, [K, *short])
-    near = near.select("doc_id", "n_words", "words", "hits", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
+    near = near.select(*own, "doc_id", "n_words", "words", "hits", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
 
     def starts(hit: Column, shift: Column) -> Column:
         """The document words, from 1, at which a window of the item, so aligned, starts."""
@@ -127,11 +130,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # `places` is read twice, so that it stays a column and isn't made anew for each item.
     reached = F.when(F.size("places") > 0, F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), covered(x).alias("at"))))
-    near = near.select("doc_id", "n_words", reached.alias("hits")).select("doc_id", "n_words", F.filter("hits", lambda x: F.size(x["at"]) > 0).alias("hits"))
+    near = near.select(*own, "doc_id", "n_words", reached.alias("hits")).select(*own, "doc_id", "n_words", F.filter("hits", lambda x: F.size(x["at"]) > 0).alias("hits"))
     at = F.array_distinct(F.flatten(F.transform("hits", lambda x: x["at"])))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
-    near = near.select("doc_id", "n_words", F.coalesce(F.size(at), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
-    out = near.select("doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    near = near.select(*own, "doc_id", "n_words", F.coalesce(F.size(at), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
+    out = near.select(*own, "doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part >= F.col("n_words")))
 
 

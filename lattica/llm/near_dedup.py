@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import join_hot, materialize, sized, text_or_empty
+from lattica.llm.common import ROW, join_hot, materialize, sized, text_or_empty, with_row
 from lattica.llm.components import connected_components
 from lattica.llm.word_hash import joined, mix, range_hashes, ranges
 
@@ -118,7 +118,7 @@ def banded(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """id, h (MD5 of the text), n (shingles with repetition), bands and f (4-bit signature) of rows (id, text).
+    """id, doc_id, h (MD5 of the text), n (shingles with repetition), bands and f (4-bit signature) of rows (id, text, doc_id).
 
     Texts without a word have no bands.
     """
@@ -133,10 +133,10 @@ def sign(docs: DataFrame) -> DataFrame:
                 keys, f = banded(signatures(len(some), np.searchsorted(some, text), h, count))
                 ends = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array([hashlib.md5(t.encode()).digest() for t in part], pa.binary()), pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel())), pa.ListArray.from_arrays(pa.array(ends * 16), pa.array(f.ravel()))], names=["id", "h", "n", "bands", "f"])
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([hashlib.md5(t.encode()).digest() for t in part], pa.binary()), pa.array(n),
+                    pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel())), pa.ListArray.from_arrays(pa.array(ends * 16), pa.array(f.ravel()))], names=["id", "doc_id", "h", "n", "bands", "f"])
 
-    return docs.mapInArrow(run, "id long, h binary, n int, bands array<long>, f array<long>")
+    return docs.mapInArrow(run, "id long, doc_id long, h binary, n int, bands array<long>, f array<long>")
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -221,27 +221,30 @@ def links_by_block(placed: DataFrame, marks: DataFrame, bag_of: DataFrame) -> Da
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the least id of its class) and kept (whether it is that one), a row for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, class_id (the least id of its class) and kept (true for one row of a class, which has that id), a row for each row of docs.
 
-    Equal texts are of one class, empty and null ones among them; texts without words have no other link. Ids name
-    documents: rows of one id share its class, and what is kept. A row without an id is a class without a number, and
-    kept. An empty table gives an empty one. Other columns are not read.
+    Equal texts are of one class, empty and null ones among them; texts without words have no other link. Each row is
+    compared by its own text, whatever its id: rows of one id may be of several classes, and rows without an id link as others do. A
+    class none of whose rows has an id has no number. An empty table gives an empty one. Where docs has a unique key
+    that each read gives again, row_col names it, and it is the column ROW of the result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    columns = F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
+    keyed = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else with_row(docs, *columns)
+    rows = keyed.select(F.col(ROW).alias("id"), "text", "doc_id")  # inside, id is the key of the row
     signed = materialize(sign(rows), "signatures")
-    # (1) Equal texts: the least id stands for all.
+    # (1) Equal texts: the least key stands for all.
     total = signed.count()
-    groups = materialize(signed.where("id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    copies = materialize(join_hot(signed.where("id is not null").select("id", "h"), groups, "h", "copies", total).select("id", "rep"), "copy-of")
-    nodes = signed.where("id is not null and n > 0").join(sized(copies.where("id != rep").select("id")), "id", "left_anti")
+    groups = materialize(signed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    copies = materialize(join_hot(signed.select("id", "h"), groups, "h", "copies", total).select("id", "rep"), "copy-of")
+    nodes = signed.where("n > 0").join(sized(copies.where("id != rep").select("id")), "id", "left_anti")
     # (2) Each node against the least of its band.
     banded_rows = nodes.select("id", F.explode("bands").alias("band"))
     leads = materialize(banded_rows.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead"), "leads")
     members = materialize(banded_rows.join(sized(leads), "band").distinct(), "band-members")
     few = materialize(members.select("id").distinct(), "candidates")
-    marks = materialize(nodes.join(sized(few), "id", "left_semi").select("id", "n", "f").dropDuplicates(["id"]), "candidate-marks")
-    bag_of = materialize(bags(rows.join(sized(few), "id", "left_semi")).dropDuplicates(["id"]), "bags")
+    marks = materialize(nodes.join(sized(few), "id", "left_semi").select("id", "n", "f"), "candidate-marks")
+    bag_of = materialize(bags(rows.join(sized(few), "id", "left_semi").select("id", "text")), "bags")
     star = members.where("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     star = star.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id")).where(may_link("x", "y")).select("a", "b")
     edges = materialize(verified(star, bag_of), "edges")
@@ -257,13 +260,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(cross.distinct(), bag_of).unionByName(links_by_block(placed.where(F.col("size") > FEW), marks, bag_of))
     more = materialize(more.distinct(), "edges")
     comps = connected_components(edges.unionByName(more))
-    # Classes of nodes, then of their copies.
-    known = copies.select("id", "rep").distinct()
-    class_of_copies = known.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.least("rep", F.coalesce("comp", "rep")).alias("class_id"))
-    class_of_nodes = comps.join(copies.select("id"), "id", "left_anti").select("id", F.col("comp").alias("class_id"))
-    classes = materialize(class_of_copies.unionByName(class_of_nodes).groupBy("id").agg(F.min("class_id").alias("class_id")), "classes")
-    out = signed.select("id").join(sized(classes), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # Classes of nodes, then of their copies, by the least key; then each class's row of the least id.
+    class_of_copies = copies.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
+    class_of_nodes = comps.join(copies.select("id"), "id", "left_anti").select("id", "comp")
+    classes = materialize(class_of_copies.unionByName(class_of_nodes), "classes")
+    named = materialize(signed.select("id", "doc_id").join(sized(classes), "id", "left"), "class-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
+    best = named.where("comp is not null").groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("rows"))
+    best = materialize(best.select("comp", F.col("first.doc_id").alias("class_id"), F.col("first.id").alias("kept_id"), "rows"), "class-firsts")
+    several = join_hot(named.where("comp is not null"), best, "comp", "rows", total).select("id", "doc_id", "class_id", (F.col("id") == F.col("kept_id")).alias("kept"))
+    out = several.unionByName(named.where("comp is null").select("id", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
+    return out.select(*([F.col("id").alias(ROW)] if row_col else []), "doc_id", "class_id", "kept")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
