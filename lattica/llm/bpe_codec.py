@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.bpe_words import WordCache, batches
+from lattica.llm.bpe_words import BATCH, WordCache, batches
 from lattica.llm.chat_format import byte_chars
-from lattica.llm.common import text_or_empty
+from lattica.llm.common import returned, text_or_empty
 
 #: Field numbers and values of the public sentencepiece model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -71,7 +71,7 @@ def model_proto(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes texts to little-endian uint32 ids, each pre-token by itself, and decodes ids to bytes."""
+    """Encodes texts to ids, each pre-token by itself, and decodes ids to bytes."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -83,7 +83,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.chars = {i: c for i, c in byte_chars().items()}
         self.table = np.array([*self.tokens], object)
-        self.words = WordCache(self._encode, lambda words: self._encode([" " + w for w in words]))
+        self.dtype = "<u2" if len(self.tokens) <= 1 << 16 else "<u4"
+        self.words = WordCache(self._encode, lambda words: self._encode([" " + w for w in words]), self.dtype)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [[p.encode() for p in self.split(t)] for t in texts]
@@ -93,9 +94,10 @@ class Codec:
         for i in range(0, len(rest), 4096):
             mapped = [p.decode("latin-1").translate(self.chars) for p in rest[i : i + 4096]]
             coded.update(zip(rest[i : i + 4096], self.processor.encode(mapped, num_threads=1), strict=True))
-        return [np.array([i for p in ps for i in ([whole[p]] if p in whole else coded[p])], "<u4").tobytes() for ps in parts]
+        return [np.array([i for p in ps for i in ([whole[p]] if p in whole else coded[p])], self.dtype).tobytes() for ps in parts]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and the places where each text's begin and end."""
         return self.words.encode(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -120,11 +122,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(c.encode(texts[a:b]), pa.binary())], names=["doc_id", "ids"])
+            texts = batch.column(1)
+            for a, b in batches(texts, BATCH):
+                ids, bounds = c.encode(texts[a:b])
+                out = [ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(returned(encode), "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -135,29 +139,30 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [c.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(returned(decode), "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 of the ids in decimals, joined by commas, and decoded_sha256 of what they decode to.
 
-    Encoding and decoding as in encode_documents and decode_documents, in one Python worker a task, a megabyte at a time.
+    Encoding and decoding as in encode_documents and decode_documents, in one Python worker a task, BATCH bytes of text at a time.
     """
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         decimals = np.array([str(i).encode() for i in range(len(c.tokens))], object)
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
+            texts = batch.column(1)
+            for a, b in batches(texts, BATCH):
                 out = []
-                for code in c.encode(texts[a:b]):
-                    ids = np.frombuffer(code, "<u4")
+                every, bounds = c.encode(texts[a:b])
+                for x, y in zip(bounds, bounds[1:], strict=False):
+                    ids = every[x:y]
                     out.append((len(ids), hashlib.sha256(b",".join(decimals[ids].tolist())).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
                 n, coded, decoded = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(returned(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:

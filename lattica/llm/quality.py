@@ -1,15 +1,18 @@
-"""A quality classifier: perplexity under an interpolated modified Kneser-Ney model of the characters of trusted text.
+"""A quality classifier: perplexity under an interpolated modified Kneser-Ney model of the bytes of trusted text.
 
-Tasks count the ORDER-grams of all trusted documents; everything else is aggregation and joins of counts, sharded by
-gram: continuation counts (of how many grams is this one the end), discounts from counts of counts, what a context
-leaves to lower orders, and the interpolated probability. Documents are scored where they are, shard after shard of the
-model: a shard holds all grams whose last but one symbol is among its own, so each character's probability comes from one
-shard alone and partial sums of shards just add up. A shard has at most SHARD_ROWS rows (or one symbol's), so what
-is broadcast at once is bounded, while the model, and what is gathered for it, grows with the trusted text.
+Symbols are the bytes of UTF-8, so every code point of every script has its own. Tasks count the ORDER-grams of all
+trusted documents; everything else is aggregation and joins of counts, sharded by gram: continuation counts (of how
+many grams is this one the end), discounts from counts of counts, what a context leaves to lower orders, and the
+interpolated probability.
+
+Documents are scored by joins too. Neighbouring rows are a block, and tasks give the distinct grams of each. The corpus's
+distinct grams are looked up in the model, order by order, by joins sharded by gram; the values go back to the blocks
+that have the gram, where they meet the compressed texts, and each row's are summed. So what is shuffled is the grams of blocks
+and each text once, and no part of the model goes to the driver.
 
 Thresholds are per language, the QUANTILE of trusted documents that the model was not trained on, a fifth of them by
 the CRC-32 of their ids: a model knows its own text too well for a measure of other text. Short documents say
-little, so a perplexity counts PRIOR characters of the language's mean besides the document's own.
+little, so a perplexity counts PRIOR bytes of the language's mean besides the document's own.
 """
 
 from __future__ import annotations
@@ -18,61 +21,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, materialize, sized, text_or_empty, with_row
-from lattica.llm.word_hash import mix
+from lattica.llm.common import ROW, materialize, returned, sized, text_or_empty, with_row
 
-ORDER, BITS = 5, 12
+ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
-#: Code points below it are symbols of their own; those above share the rest.
-DIRECT = 0x600
-SHARD_ROWS = 4_000_000
+#: Stands before a text; no byte of UTF-8 is 255.
+START = 0xFF
 PRIOR = 60.0
 #: Rejected is what lies above this quantile of the language's held-out log perplexities.
 QUANTILE = 0.99
 #: So many held-out documents have such a quantile of their own; with fewer, a language's median is moved by the quantile of all languages' distances from their medians.
 LEAST_HELD_OUT = 100
-_CHARS = 1 << 19
+#: Bytes that are made into grams at once; distinct grams that a task holds.
+PIECE, HELD = 1 << 19, 1 << 19
+#: Blocks that a corpus has at least, and the bounds of a block's bytes of text, on average.
+BLOCKS, BLOCK_BYTES = 32, (1 << 22, 1 << 25)
+
+
+def byte_grams(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The ORDER-grams that end at each byte of the texts, text after text, a PIECE of them at a time."""
+    before = b"\xff" * (ORDER - 1)
+    data = np.frombuffer(b"".join(x for t in texts.cast(pa.large_binary()).to_pylist() for x in (before, t)), np.uint8)
+    for a in range(0, len(data), PIECE):
+        part = data[max(0, a - ORDER + 1) : a + PIECE].astype(np.int64)
+        n = max(0, len(part) - ORDER + 1)
+        keys, done = part, 1
+        while done < ORDER:  # a gram is put together from two that overlap in nothing
+            more = min(done, ORDER - done)
+            keys = (keys[: len(part) - done - more + 1] << BITS * more) | (keys if more == done else part)[done : len(part) - more + 1]
+            done += more
+        yield keys[:n][part[ORDER - 1 :] != START]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; keys is sorted in place."""
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def merged(keys: list[np.ndarray], c: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct keys, and the sums of their counts, as lists of one array each."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return [every[first]], [np.add.reduceat(np.concatenate(c)[order], first)]
+
+
+class Values:
+    """Numbers by key, as an open-addressing table; every key that is asked for must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            s = slot[left]
+            free = self.keys[s] < 0
+            self.keys[s[free]] = keys[left[free]]
+            placed = self.keys[s] == keys[left]
+            self.values[s[placed]] = values[left[placed]]
+            left = left[~placed]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram keys of all characters, with ORDER - 1 times symbol 0 before each text; text numbers; lengths."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ids = np.where((points > 0) & (points < DIRECT), points, DIRECT + points % (SYMBOLS - DIRECT))
-    text = np.repeat(np.arange(len(texts)), lengths)
-    padded = np.zeros(len(ids) + (ORDER - 1) * len(texts), np.int64)
-    at = np.arange(len(ids)) + (ORDER - 1) * (text + 1)
-    padded[at] = ids
-    keys = np.zeros(len(ids), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        keys = keys << BITS | padded[at - back]
-    return keys, text, lengths
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        todo = np.flatnonzero(self.keys[slot] != keys)
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+        return self.values[slot]
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
     """key and c of every ORDER-gram of the column `text`."""
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys, c):
+        def out():
+            (keys,), (c,) = merged(held, n)
             for i in range(0, len(keys), 65_536):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65_536]), pa.array(c[i : i + 65_536])], names=["key", "c"])
 
-        keys, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, n = [], []
         for batch in rows:
-            texts = batch.column(0).to_pylist()
-            for a, b in batches(texts, 4 * _CHARS):
-                new, n = np.unique(symbols(texts[a:b])[0], return_counts=True)
-                keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                c = np.bincount(inverse, np.concatenate([c, n]), len(keys)).astype(np.int64)
-                if len(keys) > 2_000_000:
-                    yield from out(keys, c)
-                    keys, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from out(keys, c)
-
-    return trusted.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+            texts = batch.column(0)
+            for a, b in batches(texts, PIECE):
+                for more in byte_grams(texts[a:b]):
+                    more.sort()
+                    first = np.flatnonzero(np.concatenate([[True], more[1:] != more[:-1]])) if len(more) else np.zeros(0, np.int64)
+                    held.append(more[first])
+                    n.append(np.diff(first, append=len(more)))
+                    if sum(map(len, held)) > 2 * HELD:
+                        held, n = merged(held, n)
+                        if len(held[0]) > HELD:
+                            yield from out()
+                            held, n = [], []
+        if held:
+            yield from out()
+
+    return trusted.select("text").mapInArrow(returned(count), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -85,123 +139,140 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def model_rows(trusted: DataFrame) -> DataFrame:
-    """id (see gram_id, context_id), last symbol of the context (null for single symbols) and log value."""
+def suffix(key, n: int):
+    """The last n symbols of a gram."""
+    return key.bitwiseAND((1 << BITS * n) - 1)
+
+
+def model_tables(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1: log probabilities (key, p) of its grams, and (h, gamma), the logs of what contexts leave to the order below."""
     grams = {ORDER: materialize(count_grams(trusted), "grams")}
     for n in range(ORDER - 1, 0, -1):
-        shorter = F.col("key").bitwiseAND((1 << BITS * n) - 1)
-        grams[n] = materialize(grams[n + 1].groupBy(shorter.alias("key")).agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
-    out, lower = None, None
+        grams[n] = materialize(grams[n + 1].groupBy(suffix(F.col("key"), n).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"grams{n}")
+    out, lower = [], None
     for n in range(1, ORDER + 1):
         d1, d2, d3 = discounts(grams[n])
-        context = F.shiftright("key", BITS)
-        g = grams[n].withColumn("h", context).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
-        left = g.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        g = grams[n].withColumn("h", F.shiftright("key", BITS)).withColumn("d", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        left = materialize(g.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma")), f"contexts{n}")
         g = g.join(left, "h").withColumn("own", (F.col("c") - F.col("d")) / F.col("total"))
         if lower is None:
             p = g.withColumn("p", F.col("own") + F.col("gamma") / SYMBOLS)
         else:
-            p = g.withColumn("s", F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1)).join(lower, "s").withColumn("p", F.col("own") + F.col("gamma") * F.col("lower"))
-        p = materialize(p.select("key", "h", "p"), f"model{n}")
+            p = g.withColumn("s", suffix(F.col("key"), n - 1)).join(lower, "s").withColumn("p", F.col("own") + F.col("gamma") * F.col("lower"))
+        p = materialize(p.select("key", "p"), f"model{n}")
         lower = p.select(F.col("key").alias("s"), F.col("p").alias("lower"))
-        last = F.col("h").bitwiseAND(SYMBOLS - 1).cast("int") if n > 1 else F.lit(None).cast("int")
-        rows = p.select((F.col("key") + F.lit(n << 60)).alias("id"), last.alias("last"), F.log("p").alias("value"))
-        rows = rows.unionByName(left.select((F.col("h") + F.lit(6 << 60) + F.lit((n - 1) << 50)).alias("id"), last.alias("last"), F.log("gamma").alias("value")))
-        out = rows if out is None else out.unionByName(rows)
-    return materialize(out, "model")
-
-
-class Shard:
-    """A part of the model as an open-addressing table of int64 ids and float values."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, symbols_of: np.ndarray):
-        self.bits = max(4, (2 * len(ids)).bit_length())
-        self.ids, self.values = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.float32)
-        self.mine = np.zeros(SYMBOLS, bool)
-        self.mine[symbols_of] = True
-        left, slot = np.arange(len(ids)), self._slot(ids)
-        while len(left):
-            s = slot[left]
-            free = self.ids[s] == 0
-            self.ids[s[free]] = ids[left[free]]
-            placed = self.ids[s] == ids[left]
-            self.values[s[placed]] = values[left[placed]]
-            left = left[~placed]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        self.floor = self.get(np.array([6 << 60]))[1][0] - np.log(SYMBOLS) if len(ids) else -np.log(SYMBOLS)
-
-    def _slot(self, ids: np.ndarray) -> np.ndarray:
-        return (mix(ids.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which ids are there, and their values, 0 for those that are not."""
-        slot = self._slot(ids)
-        held = self.ids[slot]
-        found, out = held == ids, self.values[slot].astype(np.float64)
-        out[~found] = 0.0
-        todo = np.flatnonzero(~found & (held != 0))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            held = self.ids[slot[todo]]
-            hit = held == ids[todo]
-            found[todo[hit]], out[todo[hit]] = True, self.values[slot[todo[hit]]]
-            todo = todo[~hit & (held != 0)]
-        return found, out
-
-    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each ORDER-gram: the longest gram that is known, times what contexts leave to it."""
-        out, left = np.zeros(len(keys)), np.arange(len(keys))
-        for n in range(ORDER, 0, -1):
-            k = keys[left] & ((1 << BITS * n) - 1)
-            found, value = self.get(k + (n << 60))
-            out[left[found]] += value[found]
-            left, k = left[~found], k[~found]
-            if n > 1:
-                out[left] += self.get((k >> BITS) + (6 << 60) + ((n - 1) << 50))[1]
-        out[left] += self.floor
-        return out
-
-
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs' columns but text, nll and n: the negated log probability and the characters of `text`, a row for each ROW."""
-    spark = docs.sparkSession
-    sizes = sorted(((r["count"], r["last"]) for r in model.where("last is not null").groupBy("last").count().collect()), reverse=True)  # a row a symbol
-    packs: list[tuple[int, list[int]]] = []
-    for n, last in sizes:
-        fit = next((i for i, (held, _) in enumerate(packs) if held + n <= SHARD_ROWS), None)
-        if fit is None:
-            packs.append((n, [last]))
-        else:
-            packs[fit] = (packs[fit][0] + n, [*packs[fit][1], last])
-    others = [c for c in docs.columns if c != "text"]
-    packs = packs or [(0, [])]
-    out = None
-    for number, (_, lasts) in enumerate(packs):
-        rows = model.where(F.col("last").isNull() | F.col("last").isin(lasts)).select("id", "value").toArrow()
-        known = np.array(lasts, np.int64)
-        if number == 0:  # symbols after which nothing trusted came
-            known = np.concatenate([known, np.setdiff1d(np.arange(SYMBOLS), [x for _, x in sizes])])
-        shared = spark.sparkContext.broadcast((rows.column("id").to_numpy(), rows.column("value").to_numpy(), known))
-
-        def run(batch_rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, values, known = shared.value
-            shard = Shard(ids, values, known)
-            for batch in batch_rows:
-                texts, nll, n = batch.column("text").to_pylist(), [np.zeros(0)], [np.zeros(0, np.int64)]
-                for a, b in batches(texts, _CHARS):
-                    keys, text, lengths = symbols(texts[a:b])
-                    use = shard.mine[(keys >> BITS) & (SYMBOLS - 1)]
-                    nll.append(np.bincount(text[use], -shard.log_probabilities(keys[use]), b - a))
-                    n.append(lengths)
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(np.concatenate(nll)), pa.array(np.concatenate(n))], names=[*others, "nll", "n"])
-
-        schema = docs.select(*others).schema.add("nll", "double").add("n", "long")
-        part = docs.select(*others, "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if len(packs) == 1:
-        return out
-    same = [F.first(c).alias(c) for c in others if c != ROW]
-    return out.groupBy(ROW).agg(*same, F.sum("nll").alias("nll"), F.first("n").alias("n"))
+        out.append((p.select("key", F.log("p").alias("p")), left.select("h", F.log("gamma").alias("gamma"))))
+    return out
+
+
+def looked_up(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """key and p, the log probability of the last symbol of each distinct ORDER-gram in the column `key`.
+
+    That is the probability of the longest end of the gram that is known, times what the contexts above leave to it. Each
+    order is two joins sharded by gram; only grams that an order doesn't know go on to the next.
+    """
+    left, out = grams.select("key", F.col("key").alias("end"), F.lit(0.0).alias("so_far")), None
+    for n in range(ORDER, 0, -1):
+        known, gamma = model[n - 1]
+        found = left.join(known.select(F.col("key").alias("end"), "p"), "end", "left")
+        found = materialize(found, f"lookup{n}")
+        done = found.where("p is not null").select("key", (F.col("so_far") + F.col("p")).alias("p"))
+        out = done if out is None else out.unionByName(done)
+        rest = found.where("p is null").withColumn("h", F.shiftright("end", BITS)).join(gamma, "h", "left")
+        left = rest.select("key", suffix(F.col("end"), n - 1).alias("end"), (F.col("so_far") + F.coalesce("gamma", F.lit(0.0))).alias("so_far"))
+    return out.unionByName(left.select("key", (F.col("so_far") - float(np.log(SYMBOLS))).alias("p")))
+
+
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """docs (ROW, doc_id, lang, text) with `block`, the same for neighbouring rows, whatever task reads them."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    size = size or 0
+    wanted = min(max(size // BLOCKS, BLOCK_BYTES[0]), BLOCK_BYTES[1])
+    return docs.withColumn("block", F.shiftright(ROW, max(0, (rows * wanted // max(1, size)).bit_length() - 1)))
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True)
+
+
+def block_grams(blocked: DataFrame) -> DataFrame:
+    """block and key: the distinct grams of each block. A block that several tasks read, or one of many grams, repeats some."""
+    def grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            keys = distinct(np.concatenate(held))
+            for i in range(0, len(keys), 65_536):
+                part = keys[i : i + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "key"])
+
+        held, block = [], None
+        for batch in rows:
+            of, texts = batch.column("block").to_numpy(), batch.column("text")
+            for low, high in runs(of) if len(of) else ():
+                if block != of[low]:
+                    if held:
+                        yield from out()
+                    held, block = [], int(of[low])
+                for a, b in batches(texts[low:high], PIECE):
+                    for more in byte_grams(texts[low + a : low + b]):
+                        held.append(distinct(more))
+                    if sum(map(len, held)) > 2 * HELD:
+                        held = [distinct(np.concatenate(held))]
+                        if len(held[0]) > HELD:
+                            yield from out()
+                            held = []
+        if held:
+            yield from out()
+
+    return blocked.select("block", "text").mapInArrow(returned(grams), "block long, key long")
+
+
+def packed(blocked: DataFrame) -> DataFrame:
+    """block, rows, ids, langs, lengths in bytes and texts (compressed together), some rows of a block in each."""
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in rows:
+            of = batch.column("block").to_numpy()
+            for low, high in runs(of) if len(of) else ():
+                for a, b in batches(batch.column("text")[low:high], 2 * PIECE):
+                    part = batch.slice(low + a, b - a)
+                    raw = part.column("text").cast(pa.binary()).to_pylist()
+                    ids = [part.column(c).to_pylist() for c in (ROW, "doc_id", "lang")]
+                    yield pa.RecordBatch.from_pylist([{"block": int(of[low]), "rows": ids[0], "ids": ids[1], "langs": ids[2], "lengths": list(map(len, raw)), "texts": packer.compress(b"".join(raw))}], schema)
+
+    schema = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
+    return blocked.select("block", ROW, "doc_id", "lang", "text").mapInArrow(returned(pack), "block long, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, texts binary")
+
+
+def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """ROW, doc_id, lang, nll and n: the negated log probability and the bytes of `text`, a row for each ROW."""
+    blocked = in_blocks(docs)
+    pairs = materialize(block_grams(blocked), "block-grams")
+    values = materialize(looked_up(pairs.select("key").distinct(), model), "values")
+
+    def sums(texts: pa.Table, values: pa.Table) -> pa.Table:
+        import zstandard
+
+        known = Values(values.column("key").to_numpy(), values.column("p").to_numpy())
+        del values
+        out = [schema.empty_table()]
+        for rows, ids, langs, lengths, raw in zip(*(texts.column(c) for c in ("rows", "ids", "langs", "lengths", "texts")), strict=True):
+            lengths = lengths.values
+            nll, text, at = np.zeros(len(rows)), np.repeat(np.arange(len(rows)), lengths.to_numpy()), 0
+            ends = np.concatenate([[0], np.cumsum(lengths.to_numpy())]).astype(np.int64)
+            part = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.decompress(raw.as_buffer()))])
+            for keys in byte_grams(part):
+                nll -= np.bincount(text[at : at + len(keys)], known.get(keys), len(rows))
+                at += len(keys)
+            out.append(pa.table([rows.values, ids.values, langs.values, pa.array(nll), lengths], schema=schema))
+        return pa.concat_tables(out)
+
+    schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("nll", pa.float64()), ("n", pa.int64())])
+    valued = pairs.join(values, "key").select("block", "key", "p")
+    return packed(blocked).groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(sums, f"{ROW} long, doc_id long, lang string, nll double, n long")
 
 
 def trusted_rows(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -226,7 +297,7 @@ def thresholds(scored: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity (per character), threshold and accepted, one row for each row of docs.
+    """doc_id, lang, n_bytes, perplexity (per byte), threshold and accepted, one row for each row of docs.
 
     Documents whose id is labelled 1 are trusted. A null text is an empty one; an empty text has its language's mean and is
     accepted. A null language is the language "". A language without trusted text takes the threshold of all; without
@@ -236,7 +307,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     columns = F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text")
     rows = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else with_row(docs, *columns)
     trusted = materialize(trusted_rows(labels, id_col, label_col), "trusted")
-    model = model_rows(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
+    model = model_tables(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
     scored = score(rows, model).join(sized(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
     scored = materialize(scored.select(ROW, "doc_id", "lang", "nll", "n", F.coalesce("held_out", F.lit(False)).alias("held_out")), "quality-scores")
     limits = thresholds(scored)
@@ -244,7 +315,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     out = scored.join(sized(limits.where("lang is not null")), "lang", "left").join(every, how="left")
     mean, limit = F.coalesce("mean", "all_mean", F.lit(0.0)), F.coalesce("limit", "all_limit", F.lit(float("inf")))
     out = out.withColumn("m", F.when(F.col("n") > 0, (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)).otherwise(mean)).withColumn("limit", limit)
-    return out.select(*([ROW] if row_col else []), "doc_id", "lang", F.col("n").alias("n_chars"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit"))).alias("accepted"))
+    return out.select(*([ROW] if row_col else []), "doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit"))).alias("accepted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

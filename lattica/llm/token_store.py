@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.bpe_words import WordCache, batches
-from lattica.llm.common import materialize, scratch, text_or_empty
+from lattica.llm.bpe_words import BATCH, WordCache, batches
+from lattica.llm.common import materialize, returned, scratch, text_or_empty
 
 MAGIC = b"TOKSHRD1"
 FOOTER = "<QQB32s8s"  # index offset, documents, bytes an id, dictionary hash, MAGIC
@@ -32,38 +32,42 @@ LEVEL = 3
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 
-_tokenizers: dict[str, WordCache] = {}
+_tokenizers: dict[tuple[str, bool], WordCache] = {}
 
 
-def tokenizer(path: str) -> WordCache:
-    """The tokenizer of a worker, kept from task to task. Codes are little-endian unsigned 32-bit ids."""
-    if path not in _tokenizers:
+def tokenizer(path: str, plain: bool = False) -> WordCache:
+    """The tokenizer of a worker, kept from task to task; its ids are of 16 bits if the vocabulary allows, else of 32.
+
+    Strings of special tokens in a text become these tokens, as is the library's default; with plain=True they are text.
+    """
+    if (path, plain) not in _tokenizers:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = plain
 
         tokens = t.get_vocab(with_added_tokens=True)
+        dtype = "<u2" if max(tokens.values()) < 1 << 16 else "<u4"
         spaced = np.zeros(max(tokens.values()) + 1, bool)
         spaced[[i for piece, i in tokens.items() if piece.startswith(SPACE)]] = True
 
         def encode_texts(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+            return [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
         def encode_words(words: list[str]) -> list[bytes]:
-            """Encoded as one text a few thousand at a time, and parted where a token starts with the space of a word."""
+            """Encoded as one text some hundreds at a time, and parted where a token starts with the space of a word."""
             out = []
-            for i in range(0, len(words), 4096):
-                ids = np.array(t.encode_batch_fast([" " + " ".join(words[i : i + 4096])], add_special_tokens=False)[0].ids, "<u4")
-                raw, at = ids.tobytes(), (np.flatnonzero(spaced[ids]) * 4).tolist()
+            for i in range(0, len(words), 512):
+                ids = np.array(t.encode_batch_fast([" " + " ".join(words[i : i + 512])], add_special_tokens=False)[0].ids, dtype)
+                raw, at = ids.tobytes(), (np.flatnonzero(spaced[ids]) * ids.itemsize).tolist()
                 out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
             return out
 
-        _tokenizers[path] = WordCache(encode_texts, encode_words)
-    return _tokenizers[path]
+        _tokenizers[path, plain] = WordCache(encode_texts, encode_words, dtype)
+    return _tokenizers[path, plain]
 
 
 def filesystem(uri: str):
@@ -95,19 +99,20 @@ def write_store(
 ) -> DataFrame:
     """Writes docs under out in ascending order of id, a null id first, and returns the manifest, one row a shard.
 
-    A null text is an empty one, whose ids are the end id alone. Rows of one id stay together, in no fixed order.
+    A null text is an empty one, whose ids are the end id alone. Rows of one id are ordered by a hash of their text, then by it,
+    so that rows of an id that is very common spread over shards.
     An empty table has an empty manifest. Other columns are not read. The dictionary only affects compression; it is
     trained on the sample_docs documents of at most sample_chars characters with the smallest hashes of their ids.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
     # About as many rows as are taken get to the driver: those whose hash, modulo a million, is small enough.
     bound = min(1_000_000, 4_000_000 * sample_docs // max(1, docs.count()) + 1)
     short = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound) & (F.length("text") <= sample_chars))
     sample = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
     width = 2 if vocab_size <= 65_536 else 4
-    ids = tokenizer(tokenizer_path).encode([r.text for r in sample])
-    raw = train_dictionary([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], dict_bytes)
+    ids, bounds = tokenizer(tokenizer_path).encode(pa.array([r.text for r in sample], pa.string()))
+    raw = train_dictionary([ids[a:b].astype(f"<u{width}").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], dict_bytes)
     digest = hashlib.sha256(raw).digest()
     where, folder = filesystem(out)
     where.create_dir(folder, recursive=True)
@@ -122,17 +127,19 @@ def write_store(
         known = _dictionary(shared.value)
         known.precompute_compress(level=LEVEL)
         packer, tok = zstandard.ZstdCompressor(level=LEVEL, dict_data=known), tokenizer(tokenizer_path)
-        name, index, at, tokens, f = f"{uuid.uuid4().hex}.tok", [], len(MAGIC), 0, None
+        name, index, at, tokens, f, first_hash = f"{uuid.uuid4().hex}.tok", [], len(MAGIC), 0, None, None
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in rows:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                for key, code in zip(keys[a:b], tok.encode(texts[a:b]), strict=True):
-                    if f is None:
-                        f = where.open_output_stream(f"{folder}/{name}")
-                        f.write(MAGIC)
-                    n = len(code) // 4 + 1
-                    frame = packer.compress(np.frombuffer(code, "<u4").astype(f"<u{width}").tobytes() + end)
+            keys, texts, hashes = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            for a, b in batches(texts, BATCH):
+                if f is None:
+                    f, first_hash = where.open_output_stream(f"{folder}/{name}"), hashes[a].as_py()
+                    f.write(MAGIC)
+                ids, bounds = tok.encode(texts[a:b])
+                raw, bounds = memoryview(ids.astype(f"<u{width}", copy=False).tobytes()), (bounds * width).tolist()
+                for key, low, high in zip(keys[a:b], bounds, bounds[1:], strict=False):
+                    n = (high - low) // width + 1
+                    frame = packer.compress(b"".join([raw[low:high], end]))
                     f.write(frame)
                     index.append((key or 0, key is None, at, len(frame), n))
                     at, tokens = at + len(frame), tokens + n
@@ -140,12 +147,13 @@ def write_store(
             f.write(np.array(index, INDEX).tobytes() + struct.pack(FOOTER, at, len(index), width, digest, MAGIC))
             f.close()
             first = None if index[0][1] else index[0][0]
-            yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": pa.array([first], pa.int64()), "n_docs": [len(index)], "n_tokens": [tokens], "n_bytes": [at], "dict_sha256": [digest.hex()]})
+            yield pa.RecordBatch.from_pydict({"shard": [name], "first_id": pa.array([first], pa.int64()), "first_hash": [first_hash], "n_docs": [len(index)], "n_tokens": [tokens], "n_bytes": [at], "dict_sha256": [digest.hex()]})
 
-    schema = "shard string, first_id long, n_docs long, n_tokens long, n_bytes long, dict_sha256 string"
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = materialize(ordered.mapInArrow(write, schema), "shards")
-    order = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    schema = "shard string, first_id long, first_hash long, n_docs long, n_tokens long, n_bytes long, dict_sha256 string"
+    by = F.col("doc_id").asc_nulls_first(), F.col("hash")
+    ordered = docs.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text", "hash")
+    shards = materialize(ordered.mapInArrow(returned(write), schema), "shards")
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
 
 
@@ -182,7 +190,7 @@ def read_store(manifest: DataFrame, out: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64(), mask=part["is_null"].astype(bool)), pa.array(starts[a : a + 256]), pa.array(part["n_tokens"].astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     shards = max(1, manifest.count())
-    return manifest.select("shard", "start").repartition(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.select("shard", "start").repartition(shards).mapInArrow(returned(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,22 +19,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i < n at least; kept, as all batches need them."""
-    if len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64, for i < n."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes data[start:end]; equal bytes have equal hashes."""
-    up, down = _power(len(data) + 1)
     letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(letters[data] * _powers(_BASE, len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def ranges(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,19 +8,20 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DATA, table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm import queries
-from lattica.llm.bpe_codec import Codec
+from lattica.llm import bpe_words, queries
+from lattica.llm.bpe_codec import Codec, op9_bpe_codec
 from lattica.llm.chat_format import escape, op3_chat_format, unescape
+from lattica.llm.common import scratch
 from lattica.llm.components import connected_components
 from lattica.llm.decontaminate import contamination
 from lattica.llm.near_dedup import near_duplicates, shingles, signatures
-from lattica.llm.quality import BITS, ORDER, Shard, model_rows, symbols
-from lattica.llm.token_store import op1_token_store, tokenizer
+from lattica.llm.token_store import op1_token_store, read_store, tokenizer, write_store
 from lattica.llm.toxicity import op7_toxicity
 
 TEXTS = st.text(alphabet=st.sampled_from(list("aé \n\t'sdlvrtm123,.$%ß漢 \x1c🙂|<>\r")), max_size=40)
@@ -41,13 +42,21 @@ def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    start, want = 0, []
-    for d in sorted(docs):
-        ids = [*t.encode(docs[d] or "", add_special_tokens=False).ids, 0]
-        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(tuple(r) for r in op1_token_store(spark, DATA).collect()) == want
+
+    def expected(texts):
+        start = 0
+        for d in sorted(texts):
+            ids = [*t.encode(texts[d] or "", add_special_tokens=False).ids, 0]
+            yield (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+
+    assert sorted(tuple(r) for r in op1_token_store(spark, DATA).collect()) == list(expected(docs))
+    # Strings of special tokens in a text become these tokens, wherever they stand.
+    special = {1: "a<|endoftext|>b", 2: "<|endoftext|>", 3: "some <|endoftext|> words", 4: "ends <|endoftext|>", 5: "two  <|endoftext|>  spaces", 6: "x, <|endoftext|>. y", 7: None}
+    out = scratch(spark, "special-store")
+    rows = read_store(write_store(spark.createDataFrame(list(special.items()), "doc_id long, text string"), out, P.path("byte_bpe_50k.json")), out)
+    assert sorted((r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in rows.collect()) == list(expected(special))
+    assert 50_256 in t.encode(special[3]).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -62,13 +71,45 @@ def test_words_encode_as_texts_do(texts):
         codec = Codec(path, P.PATTERN)
         whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
         whole.encode_special_tokens = True
-        test_words_encode_as_texts_do.held = codec, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.rank, special_tokens={}), whole, tokenizer(P.path("byte_bpe_50k.json"))
+        test_words_encode_as_texts_do.held = codec, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.rank, special_tokens={}), whole, tokenizer(P.path("byte_bpe_50k.json"), plain=True)
     codec, ranks, whole, words = test_words_encode_as_texts_do.held
-    for t, ids in zip(texts, codec.encode(texts), strict=True):
-        ids = np.frombuffer(ids, "<u4")
-        assert ids.tolist() == ranks.encode_ordinary(t) and codec.decode(ids) == t.encode()
-    for t, ids in zip(texts, words.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    for encode, check in ((codec.encode, ranks.encode_ordinary), (words.encode, lambda t: whole.encode(t, add_special_tokens=False).ids)):
+        ids, bounds = encode(pa.array(texts, pa.string()))
+        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        assert [p.tolist() for p in parts] == [check(t) for t in texts]
+        if check == ranks.encode_ordinary:
+            assert [codec.decode(p) for p in parts] == [t.encode() for t in texts]
+
+
+def test_full_caches_change_nothing(monkeypatch):
+    """Words that a full cache drops, and long ones that it never keeps, are encoded again."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe_words, "WORDS", 40)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "le", "x" * 70 + ".", "mot,", "fin."]) + rng.choice("abcdefgh") * rng.randrange(3) + rng.choice(["", ".", "!?", ",;"]) for _ in range(rng.randrange(60))) for _ in range(40)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    codec = Codec(path, P.PATTERN)
+    ranks = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    for i in range(0, 40, 5):
+        ids, bounds = codec.encode(pa.array(texts[i : i + 5], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [ranks.encode_ordinary(t) for t in texts[i : i + 5]]
+        assert len(codec.words.later) <= 80
+
+
+def test_bpe_codec_on_documents(spark, docs):
+    """The query's ids of whole documents are those of the rank file's library."""
+    import public_tokenizers as P
+    import tiktoken
+
+    codec = Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    ranks = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.rank, special_tokens={})
+    want = []
+    for d, t in docs.items():
+        ids = ranks.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, op9_bpe_codec(spark, DATA).collect())) == sorted(want)
 
 
 @settings(max_examples=300, deadline=None)
@@ -85,6 +126,7 @@ def test_chat_format(spark):
         said = "".join(r.text or "" for r in turns if r.role == "assistant")
         all_ = "".join(f"{r.role}\n{r.text or ''}\n" for r in turns)
         assert (got[conv].turns_sha256, got[conv].loss_sha256, got[conv].loss_chars) == (hashlib.sha256(all_.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest(), len(said))
+        assert got[conv].formatted_chars == sum(len(f"<|im_start|>{r.role}\n{escape(r.text or '')}<|im_end|>\n") for r in turns)
     assert got[-1].n_turns == 2 and got[-1].loss_chars == 34
 
 
@@ -172,54 +214,6 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 103: 100}
 
 
-def test_language_model_is_a_distribution(spark, docs):
-    texts = [t for t in docs.values() if t][:40]
-    rows = model_rows(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
-    shard = Shard(rows.id.to_numpy(), rows.value.to_numpy(), np.arange(1 << BITS))
-    keys = symbols(["The then", texts[0][:30]])[0]
-    for context in (keys[4], keys[-1], keys[0], np.int64(77)):
-        every = (context << BITS & ((1 << BITS * ORDER) - 1)) | np.arange(1 << BITS)
-        assert abs(np.exp(shard.log_probabilities(every)).sum() - 1) < 1e-3
-
-
-def test_language_model_is_interpolated_kneser_ney(spark):
-    """Against a plain recursive version."""
-    texts = ["abracadabra", "abrakadabra", "banana bandana", "cab"]
-    rows = model_rows(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
-    shard = Shard(rows.id.to_numpy(), rows.value.to_numpy(), np.arange(1 << BITS))
-    grams = collections.Counter()
-    for t in texts:
-        s = [0] * (ORDER - 1) + [ord(c) for c in t]
-        grams.update(tuple(s[i : i + ORDER]) for i in range(len(t)))
-    counts = {ORDER: grams}
-    for n in range(ORDER - 1, 0, -1):
-        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
-
-    def discount(n, c):
-        k = collections.Counter(counts[n].values())
-        if not all(k[i] for i in range(1, 5)):
-            return (0.5, 1.0, 1.5)[min(c, 3) - 1]
-        y = k[1] / (k[1] + 2 * k[2])
-        i = min(c, 3)
-        return min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05), i - 0.05)
-
-    def p(g):
-        n = len(g)
-        if n == 0:
-            return 1 / (1 << BITS)
-        below = {x: c for x, c in counts[n].items() if x[:-1] == g[:-1]}
-        total = sum(below.values())
-        if not total:
-            return p(g[1:])
-        c = counts[n].get(g, 0)
-        return (c - discount(n, c) if c else 0) / total + sum(discount(n, x) for x in below.values()) / total * p(g[1:])
-
-    test = "cadabana xbra"
-    s = [0] * (ORDER - 1) + [ord(c) for c in test]
-    want = [np.log(p(tuple(s[i : i + ORDER]))) for i in range(len(test))]
-    assert np.allclose(shard.log_probabilities(symbols([test])[0]), want, atol=1e-5)
-
-
 def test_toxicity_on_held_out_rows(spark):
     data = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}

@@ -68,7 +68,7 @@ def test_chat_format(spark):
     starts = [(r.start, r.n_tokens) for r in formatted.where("conv_id = 1").orderBy("pos").collect()]
     assert all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
     assert chat_format.format_turns(df.limit(0), path).count() == 0
-    d = {r.conv_id: r for r in chat_format.digest_conversations(chat_format.read_turns(formatted, path)).collect()}
+    d = {r.conv_id: r for r in chat_format.digest_conversations(formatted, path).collect()}
     assert d[1].n_turns == 4 and d[1].loss_chars == 2 and d[2].loss_chars == 0
 
 
@@ -151,6 +151,6 @@ def test_bpe_codec(odd, empty):
 
 def test_quality(spark, odd, empty):
     got = quality.quality(odd, labels(spark)).collect()
-    assert len(got) == 11 and all(r.accepted for r in got if r.n_chars == 0)
+    assert len(got) == 11 and all(r.accepted for r in got if r.n_bytes == 0)
     assert quality.quality(empty, labels(spark)).count() == 0
     assert quality.quality(odd, labels(spark).limit(0)).where("accepted").count() == 11
