@@ -1,10 +1,13 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms of a document are its distinct words, lower-cased, and the first PREFIXES bytes of longer ones, so that
-inflections of a rare stem share evidence. Over all labelled training rows Spark counts the documents of each class
-by term; the terms that tell the classes best apart are kept. A factorization machine over them, score =
-sigmoid(b + sum w_i + sum over pairs of <v_i, v_j>), is trained on the driver, on at most SAMPLE_ROWS labelled rows, and scores
-every document where it is: its size is fixed by FEATURES and FACTORS.
+inflections of a rare stem share evidence. Every hashed term has a weight and a factor: with n terms in a document,
+score = sigmoid(b + sum w_i + 1/n sum over pairs of <v_i, v_j>). The part of pairs is a mean, as else all terms of a long
+text would learn to tell training texts by their mere number. No term is left out.
+
+Over all labelled training rows Spark counts the documents of each class by term; terms whose class rates differ
+clearly start from these counts, all others at 0. The machine is trained on the driver, on at most SAMPLE_ROWS labelled
+rows, by updates of the terms that a batch has, and scores every document where it is: its size is fixed by BUCKETS and FACTORS.
 """
 
 from __future__ import annotations
@@ -17,15 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import materialize, sized, text_or_empty
+from lattica.llm.common import in_arrow, materialize, sized, text_or_empty
 from lattica.llm.word_hash import joined, mix, range_hashes, ranges
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 20
 PREFIXES = (4, 5)
-FEATURES, FACTORS = 2048, 8
+FACTORS = 8
 #: Labelled rows that the machine is fitted on, those with the smallest hashes of their ids; counts cover all.
 SAMPLE_ROWS = 20_000
-BATCH, STEPS, RATE, DECAY, SHRINK = 256, 400, 0.05, 1e-4, 20
+BATCH, STEPS, EPOCHS = 128, 100, 5
+#: Rates of the weights and of the factors; squared gradients that both count as seen before, so that rare terms move little.
+RATE, FACTOR_RATE, SEEN, FACTOR_SEEN, DECAY, SPREAD = 0.1, 0.3, 30.0, 1.0, 1e-5, 0.05
+#: Standard errors between the class rates of a term that starts from its counts; documents at which such a weight is halved.
+CLEAR, SHRINK = 3.0, 20
 
 
 def document_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,80 +71,79 @@ def term_counts(train: DataFrame) -> DataFrame:
             part = found[i : i + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[1, part]), pa.array(seen[0, part])], names=["bucket", "toxic", "clean"])
 
-    counted = train.select("text", "toxic").mapInArrow(count, "bucket int, toxic int, clean int")
+    counted = in_arrow(train.select("text", "toxic"), count, "bucket int, toxic int, clean int")
     return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def select_features(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets whose class rates differ most, in standard errors, FEATURES at most, sorted; and first weights.
-
-    A first weight is half the log odds of a term, shrunk where few documents have it: so a term that is rare in the
-    sample starts from what all rows say of it.
-    """
-    p, q = F.col("toxic") / max(1, n_toxic), F.col("clean") / max(1, n_clean)
-    rate = (F.col("toxic") + F.col("clean") + 1) / (n_toxic + n_clean + 2)
-    apart = F.abs(p - q) / F.sqrt(rate * (F.lit(1.0) - rate) + 1e-9)
-    best = counts.where(F.col("toxic") + F.col("clean") > 1).select("bucket", "toxic", "clean", apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(FEATURES)
-    rows = np.array(sorted((r.bucket, r.toxic, r.clean) for r in best.collect()), np.int64).reshape(-1, 3)
-    toxic, clean = rows[:, 1], rows[:, 2]
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    return rows[:, 0], 0.5 * odds * (toxic + clean) / (toxic + clean + SHRINK)
+def first_weights(counts: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The weights that terms start from: log odds, shrunk where few documents have the term, or 0 if the classes don't differ clearly."""
+    c = np.zeros((BUCKETS, 2))
+    found = counts.where(F.col("toxic") + F.col("clean") > 1).toArrow()  # BUCKETS rows at most
+    c[found.column("bucket").to_numpy()] = np.stack([found.column("toxic").to_numpy(), found.column("clean").to_numpy()], axis=1)
+    of = np.array([max(1, n_toxic), max(1, n_clean)])
+    rate = (c.sum(axis=1) + 1) / (of.sum() + 2)
+    apart = np.abs(c[:, 0] / of[0] - c[:, 1] / of[1]) / np.sqrt(rate * (1 - rate) * (1 / of).sum())
+    odds = np.log((c[:, 0] + 0.5) / (n_toxic + 1)) - np.log((c[:, 1] + 0.5) / (n_clean + 1))
+    return np.where(apart > CLEAR, odds * c.sum(axis=1) / (c.sum(axis=1) + SHRINK), 0.0)
 
 
-def features_of(texts: list[str], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature number) pairs of the texts."""
-    text, bucket = document_terms(texts)
-    at = np.minimum(np.searchsorted(chosen, bucket), max(0, len(chosen) - 1))
-    hit = chosen[at] == bucket if len(chosen) else np.zeros(len(bucket), bool)
-    return text[hit], at[hit]
+def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of these sizes; an empty run's is 0."""
+    out = np.zeros((len(sizes), *values.shape[1:]), values.dtype)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 class Machine:
-    """A factorization machine over binary features."""
+    """A factorization machine over binary terms; a text is a run of term numbers."""
 
     def __init__(self, weights: np.ndarray, seed: int = 7):
         self.b = 0.0
-        self.w = weights.astype(float)
-        self.v = np.random.default_rng(seed).normal(0, 0.02, (len(weights), FACTORS))
-
-    def raw(self, n: int, text: np.ndarray, feature: np.ndarray) -> np.ndarray:
-        """The scores before the sigmoid of n texts, from their sorted pairs."""
-        out = np.full(n, self.b)
-        np.add.at(out, text, self.w[feature])
-        sums = np.zeros((n, FACTORS))
-        np.add.at(sums, text, self.v[feature])
-        squares = np.zeros(n)
-        np.add.at(squares, text, (self.v[feature] ** 2).sum(axis=1))
-        return out + 0.5 * ((sums**2).sum(axis=1) - squares)
+        self.w = weights.astype(np.float32)
+        self.v = np.random.default_rng(seed).standard_normal((len(weights), FACTORS), np.float32) * np.float32(SPREAD)
+
+    def sums(self, sizes: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores before the sigmoid of texts of these sizes, and the sums of their terms' factors."""
+        v = self.v[terms]
+        whole = summed(v, sizes)
+        pairs = (whole**2).sum(axis=1) - summed((v**2).sum(axis=1), sizes)
+        return self.b + summed(self.w[terms], sizes) + 0.5 * pairs / np.maximum(sizes, 1), whole
+
+    def raw(self, sizes: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        return self.sums(sizes, terms)[0]
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> None:
-        """AdaGrad on the logistic loss with a decay of the weights."""
+        """AdaGrad on the logistic loss; only the terms of a batch are touched."""
         rng = np.random.default_rng(seed)
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         self.b = float(np.log(rate / (1 - rate)))
-        gb, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
-        for _ in range(max(1, STEPS * BATCH // max(1, len(rows)))):
+        gb, gw, gv = 1.0, np.full(self.w.shape, SEEN, np.float32), np.full(self.v.shape, FACTOR_SEEN, np.float32)
+        for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(rows)))):
             order = rng.permutation(len(rows))
             for i in range(0, len(order), BATCH):
                 part = order[i : i + BATCH]
-                x = np.zeros((len(part), len(self.w)))
-                for k, r in enumerate(part):
-                    x[k, rows[r]] = 1
-                sums = x @ self.v
-                z = self.b + x @ self.w + 0.5 * ((sums**2).sum(axis=1) - x @ (self.v**2).sum(axis=1))
-                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-                db, dw = e.sum(), x.T @ e + DECAY * self.w
-                dv = x.T @ (e[:, None] * sums) - (x.T @ e)[:, None] * self.v + DECAY * self.v
-                gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
-                self.b -= RATE * db / np.sqrt(gb)
-                self.w -= RATE * dw / np.sqrt(gw)
-                self.v -= RATE * dv / np.sqrt(gv)
-
-
-def train(labelled: DataFrame) -> tuple[np.ndarray, Machine]:
-    """The chosen buckets and the machine, from rows (doc_id, text, toxic 0 or 1). Without rows, scores are low."""
+                sizes, terms = np.array([len(rows[k]) for k in part]), np.concatenate([rows[k] for k in part])
+                z, whole = self.sums(sizes, terms)
+                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]).astype(np.float32)
+                by = np.argsort(terms, kind="stable")
+                first = np.flatnonzero(np.diff(terms[by], prepend=-1))
+                text, u, n = np.repeat(np.arange(len(part)), sizes)[by], terms[by][first], np.diff(first, append=len(by))
+                share = (e / np.maximum(sizes, 1)).astype(np.float32)
+                dw = summed(e[text], n) + DECAY * self.w[u]
+                dv = summed((whole * share[:, None])[text], n) - (summed(share[text], n)[:, None] - DECAY) * self.v[u]
+                db = float(e.sum())
+                gb, gw[u], gv[u] = gb + db**2, gw[u] + dw**2, gv[u] + dv**2
+                self.b -= RATE * db / gb**0.5
+                self.w[u] -= RATE * dw / np.sqrt(gw[u])
+                self.v[u] -= FACTOR_RATE * dv / np.sqrt(gv[u])
+
+
+def train(labelled: DataFrame) -> Machine:
+    """The machine, from rows (doc_id, text, toxic 0 or 1). Without rows, scores are low."""
     n = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    chosen, weights = select_features(term_counts(labelled), n.get(1, 0), n.get(0, 0))
+    machine = Machine(first_weights(term_counts(labelled), n.get(1, 0), n.get(0, 0)))
     part = min(1.0, 1.2 * SAMPLE_ROWS / max(1, sum(n.values())))
     bound = int(part * 1_000_000)  # of a hash modulo a million: about the rows that the limit below takes, and some more
 
@@ -145,41 +151,43 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, Machine]:
         for batch in rows:
             texts, out = batch.column(1).to_pylist(), []
             for a, b in batches(texts):
-                text, feature = features_of(texts[a:b], chosen)
-                out += np.split(feature.astype(np.int32), np.searchsorted(text, np.arange(1, b - a)))
+                text, bucket = document_terms(texts[a:b])
+                out += np.split(bucket.astype(np.int32), np.searchsorted(text, np.arange(1, b - a)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary()), batch.column(2)], names=["doc_id", "x", "toxic"])
 
     near = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound).select("doc_id", "text", "toxic")
-    sample = near.mapInArrow(features, "doc_id long, x binary, toxic int").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id").limit(SAMPLE_ROWS).collect()
-    machine = Machine(weights)
-    machine.fit([np.frombuffer(r.x, np.int32) for r in sample], np.array([r.toxic for r in sample], float))
-    return chosen, machine
+    sample = in_arrow(near, features, "doc_id long, x binary, toxic int").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id", "toxic", "x").limit(SAMPLE_ROWS).toArrow()
+    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in sample.column("x").to_pylist()]
+    machine.fit(rows, sample.column("toxic").to_numpy().astype(np.float32))
+    return machine
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted, one row for each row of docs.
 
     Held out, and never learnt from, are ids whose CRC-32 as text is a multiple of 5. Labels other than 0 and 1, null
-    ones too, are left aside; a null text is an empty one, whose score is the bias alone. Only the text makes a score.
-    Without usable labels every score is low. Other columns are not read.
+    ones too, are left aside, and so are ids that are labelled both; a null text is an empty one, whose score is the bias
+    alone. Only the text makes a score. Without usable labels every score is low. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held).distinct()
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held)
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     labelled = materialize(rows.join(sized(known), "doc_id").select("doc_id", "text", "toxic"), "labelled")
     shared = spark.sparkContext.broadcast(train(labelled))
 
     def score(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, machine = shared.value
+        machine = shared.value
         for batch in batch_rows:
             texts, out = batch.column(1).to_pylist(), [np.zeros(0)]
             for a, b in batches(texts):
-                raw = machine.raw(b - a, *features_of(texts[a:b], chosen))
+                text, bucket = document_terms(texts[a:b])
+                raw = machine.raw(np.bincount(text, minlength=b - a), bucket).astype(float)
                 out.append(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
 
-    scored = rows.mapInArrow(score, "doc_id long, score double")
+    scored = in_arrow(rows, score, "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
