@@ -5,25 +5,27 @@ second row hits. Bitmaps of several tasks merge as saturating counters do, in pi
 a row all of whose bits are in `twice` may have an equal; any other row has none for certain and passes straight
 through. A false positive only takes a needless way through the shuffle, where the SHA-256 of the text decides.
 
-The filter grows with the counted rows up to MAX_BITS, so what is broadcast has a fixed bound. Beyond that the
-filter fills up, and more rows (keys of under 100 bytes in mark_duplicates) take the shuffle; results stay whole.
+The filter has BITS_A_ROW bits for each counted row, whatever their number. What is broadcast at once is a slice of it of
+SLICE_BITS at most: rows are written by slice of the hash space, without a shuffle, and slice after slice is counted and
+tested, so the share of needless rows stays the same and no machine holds the filter as a whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize
+from lattica.llm.common import in_arrow, materialize, scratch
 
 BITS_A_ROW, PROBES = 16, 4
-#: 16 MB of broadcast at most.
-MAX_BITS = 1 << 27
+#: 16 MB of broadcast at once.
+SLICE_BITS = 1 << 27
 #: Bits of a piece, the unit in which bitmaps are merged.
 PIECE = 1 << 16
 
@@ -73,8 +75,8 @@ class Counter:
 
 
 def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """The `twice` bitmap of a one-column table of 64-bit hashes, packed, and its size in bits."""
-    bits = min(MAX_BITS, max(PIECE, 1 << (BITS_A_ROW * max(rows, 1) - 1).bit_length()))
+    """The `twice` bitmap of a one-column table of about so many 64-bit hashes, packed, and its size in bits."""
+    bits = min(SLICE_BITS, max(PIECE, 1 << (BITS_A_ROW * max(rows, 1) - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -91,16 +93,15 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
         yield from counter.rows()
 
     schema = "piece int, once binary, twice binary"
-    merged = hashes.mapInArrow(count, schema).repartition("piece").mapInArrow(merge, schema)
+    merged = in_arrow(in_arrow(hashes, count, schema).repartition("piece"), merge, schema)
     out = np.zeros(bits // 8, np.uint8)
-    for r in merged.select("piece", "twice").toLocalIterator():  # MAX_BITS at most
+    for r in merged.select("piece", "twice").toLocalIterator():  # SLICE_BITS at most
         out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(zlib.decompress(r.twice), np.uint8)
     return out, bits
 
 
-def may_repeat(hash_col: Column, spark: SparkSession, bitmap: np.ndarray, bits: int) -> Column:
+def may_repeat(shared: Broadcast, bits: int) -> Callable[[str], Column]:
     """Whether a second row may have this 64-bit hash. False is certain."""
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
 
     @F.arrow_udf("boolean")
     def test(h: pa.Array) -> pa.Array:
@@ -108,7 +109,25 @@ def may_repeat(hash_col: Column, spark: SparkSession, bitmap: np.ndarray, bits:
         held = np.frombuffer(shared.value, np.uint8)
         return pa.array(((held[at >> 3] >> (at & 7)) & 1).all(axis=1))
 
-    return test(hash_col)
+    return test
+
+
+def with_again(rows: DataFrame, n: int) -> DataFrame:
+    """rows (h, ...), about n of them, with `again`: whether a second row may have the same h."""
+    spark, slices = rows.sparkSession, -(-BITS_A_ROW * max(n, 1) // SLICE_BITS)
+    if slices == 1:
+        bitmap, bits = repeat_filter(rows.select("h"), n)
+        return rows.withColumn("again", may_repeat(spark.sparkContext.broadcast(bitmap.tobytes()), bits)("h"))
+    parted = materialize(rows.withColumn("slice", F.pmod("h", F.lit(slices)).cast("int")), "dedup-slices", "slice")
+    out = scratch(spark, "dedup-tested")
+    for i in range(slices):
+        part = parted.where(F.col("slice") == i).drop("slice")
+        bitmap, bits = repeat_filter(part.select("h"), n // slices + 1)
+        shared = spark.sparkContext.broadcast(bitmap.tobytes())
+        tested = part.withColumn("again", may_repeat(shared, bits)("h"))
+        tested.write.mode("append").parquet(out)
+        shared.destroy()
+    return spark.read.schema(tested.schema).parquet(out)
 
 
 def _text(column: str, normalize) -> Column:
@@ -123,12 +142,11 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The row with the largest id is kept, a null id counting as the smallest; of several rows with that id and text
     exactly one is kept. No text is shuffled. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     text = _text(text_col, normalize)
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     keys = materialize(keys, "dedup-keys")
     n = keys.count()
-    keys = materialize(keys.withColumn("again", may_repeat(F.col("h"), spark, *repeat_filter(keys.select("h"), n))).drop("h"), "dedup-marked")
+    keys = materialize(with_again(keys, n).drop("h"), "dedup-marked")
     again = keys.where("again")
     groups = again.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups.where("n > 1").select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n"), "dedup-groups")
@@ -145,16 +163,15 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=None) -> DataFrame:
     """The rows of docs that mark_duplicates keeps, with all their columns, whatever their names.
 
-    Of rows with equal text and id, the one whose other columns are largest is kept, in their order. Rows that cannot
-    have an equal pass without a shuffle; of the rest, partial aggregation leaves a task one row a text.
+    Of rows with equal text and id, the one whose other columns are largest is kept, in their order; columns that have no
+    order, maps and what holds them, are compared by what they look like as text. Rows that cannot have an equal pass without a
+    shuffle; of the rest, partial aggregation leaves a task one row a text.
     """
-    spark = docs.sparkSession
     text = _text(text_col, normalize)
-    h = docs.select(F.xxhash64(text).alias("h"))
-    bitmap = repeat_filter(h, docs.count())
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("h"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    rows = rows.withColumn("again", may_repeat(F.col("h"), spark, *bitmap))
-    others = [F.col("row")[f.name] for f in docs.schema.fields if f.name != id_col and not f.dataType.simpleString().__contains__("map<")]
+    rows = with_again(rows, docs.count())
+    unordered = ("map<", "variant")
+    others = [F.to_json(F.struct(F.col("row")[f.name])) if any(x in f.dataType.simpleString() for x in unordered) else F.col("row")[f.name] for f in docs.schema.fields if f.name != id_col]
     best = rows.where("again").groupBy("sha").agg(F.max_by("row", F.struct(F.col("row")[id_col], *others)).alias("row"))
     return rows.where("not again").select("row.*").unionByName(best.select("row.*"))
 
