@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, materialize, returned, sized, text_or_empty
+from lattica.llm.common import ROW, in_arrow, materialize, sized, text_or_empty
 from lattica.llm.token_store import tokenizer
 
 #: The reserved ids START, SEP and END are the three after the vocabulary's last; this is what they look like in a rendering.
@@ -129,7 +129,7 @@ def format_turns(turns: DataFrame, tokenizer_path: str, conv_col: str = "conv_id
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in (ROW, "conv_id", "turn", "role")] + made, names=[ROW, "conv_id", "turn", "role", "tie", "ids", "mask", "n_tokens"])
 
     schema = f"{ROW} long, conv_id long, turn long, role string, tie binary, ids binary, mask binary, n_tokens long"
-    coded = materialize(keyed.mapInArrow(returned(encode), schema), "chat-turns")
+    coded = materialize(in_arrow(keyed, encode, schema), "chat-turns")
     places = materialize(placed(coded.select(ROW, "conv_id", "turn", "role", "tie", "n_tokens")), "chat-places")
     return coded.join(sized(places), ROW).select("conv_id", "pos", "start", "ids", "mask", "n_tokens")
 
@@ -155,7 +155,7 @@ def read_turns(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
             role, text, loss, n = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("pos"), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(loss, pa.string()), pa.array(n, pa.int64())], names=["conv_id", "pos", "role", "text", "loss_text", "formatted_chars"])
 
-    return formatted.select("conv_id", "pos", "ids", "mask").mapInArrow(returned(decode), "conv_id long, pos long, role string, text string, loss_text string, formatted_chars long")
+    return in_arrow(formatted.select("conv_id", "pos", "ids", "mask"), decode, "conv_id long, pos long, role string, text string, loss_text string, formatted_chars long")
 
 
 def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -189,7 +189,7 @@ def digest_conversations(formatted: DataFrame, tokenizer_path: str) -> DataFrame
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = formatted.select("conv_id", "pos", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "pos")
-    return ordered.mapInArrow(returned(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(ordered, digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation whose texts look like the marks.

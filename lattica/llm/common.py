@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when it has at most so many rows of a few numbers each; beyond it, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows go to Python workers in batches of so many bytes: texts are long.
+BATCH_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,20 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _cuts: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a cut in the lineage that outlives any executor."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for held in _cuts:
         held.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df to the shared folder, in folders by some columns, and reads it back: a cut in the lineage that outlives any executor."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,8 +72,11 @@ def cuts_removed(spark: SparkSession):
         remove(spark, held)
 
 
-def returned(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """f for mapInArrow, giving what it freed back to the machine at its end: Python workers outlive their tasks."""
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of at most BATCH_BYTES, unless the session has a bound of its own.
+
+    At the end of a task, what it freed goes back to the machine: Python workers outlive their tasks.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -80,7 +87,10 @@ def returned(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
             if trim:
                 trim(0)
 
-    return run
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def sized(df: DataFrame, bound: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, materialize, returned, sized, text_or_empty, with_row
+from lattica.llm.common import ROW, in_arrow, materialize, sized, text_or_empty, with_row
 
 ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
@@ -126,7 +126,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return trusted.select("text").mapInArrow(returned(count), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return in_arrow(trusted.select("text"), count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -225,7 +225,7 @@ def block_grams(blocked: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return blocked.select("block", "text").mapInArrow(returned(grams), "block long, key long")
+    return in_arrow(blocked.select("block", "text"), grams, "block long, key long")
 
 
 def packed(blocked: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def packed(blocked: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{"block": int(of[low]), "rows": ids[0], "ids": ids[1], "langs": ids[2], "lengths": list(map(len, raw)), "texts": packer.compress(b"".join(raw))}], schema)
 
     schema = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
-    return blocked.select("block", ROW, "doc_id", "lang", "text").mapInArrow(returned(pack), "block long, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, texts binary")
+    return in_arrow(blocked.select("block", ROW, "doc_id", "lang", "text"), pack, "block long, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, texts binary")
 
 
 def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import BATCH, WordCache, batches
-from lattica.llm.common import materialize, returned, scratch, text_or_empty
+from lattica.llm.common import in_arrow, materialize, scratch, text_or_empty
 
 MAGIC = b"TOKSHRD1"
 FOOTER = "<QQB32s8s"  # index offset, documents, bytes an id, dictionary hash, MAGIC
@@ -152,7 +152,7 @@ def write_store(
     schema = "shard string, first_id long, first_hash long, n_docs long, n_tokens long, n_bytes long, dict_sha256 string"
     by = F.col("doc_id").asc_nulls_first(), F.col("hash")
     ordered = docs.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text", "hash")
-    shards = materialize(ordered.mapInArrow(returned(write), schema), "shards")
+    shards = materialize(in_arrow(ordered, write, schema), "shards")
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
 
@@ -190,7 +190,7 @@ def read_store(manifest: DataFrame, out: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64(), mask=part["is_null"].astype(bool)), pa.array(starts[a : a + 256]), pa.array(part["n_tokens"].astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     shards = max(1, manifest.count())
-    return manifest.select("shard", "start").repartition(shards).mapInArrow(returned(read), "doc_id long, start long, n_tokens long, ids binary")
+    return in_arrow(manifest.select("shard", "start").repartition(shards), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,16 @@ def test_exact_dedup(odd, empty):
     assert exact_dedup.drop_duplicates(empty).count() == 0
 
 
-def test_exact_dedup_fills_up(spark, odd, monkeypatch):
-    """A filter that is full lets all rows through to the exact decision."""
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", exact_dedup.PIECE)
+def test_exact_dedup_in_slices(spark, odd, monkeypatch):
+    """A filter of many slices decides as one does, for keys and for whole rows, and few rows without an equal take the shuffle."""
+    monkeypatch.setattr(exact_dedup, "SLICE_BITS", exact_dedup.PIECE)
     df = spark.range(50_000).select(F.col("id").alias("doc_id"), (F.col("id") % 30_000).cast("string").alias("text"))
     got = exact_dedup.mark_duplicates(df).groupBy("group_size", "kept").count().collect()
     assert {(r.group_size, r.kept): r["count"] for r in got} == {(1, True): 10_000, (2, True): 20_000, (2, False): 20_000}
+    rows = exact_dedup.drop_duplicates(df.withColumns({"again": F.lit(1), "slice": F.lit("x"), "m": F.create_map(F.lit("a"), F.col("doc_id"))}))
+    assert rows.columns == ["doc_id", "text", "again", "slice", "m"] and sorted(r.doc_id for r in rows.select("doc_id").collect()) == list(range(20_000, 50_000))
+    tested = exact_dedup.with_again(spark.range(50_000).select(F.xxhash64("id").alias("h")), 50_000)
+    assert tested.where("again").count() < 500
 
 
 def test_chat_format(spark):
