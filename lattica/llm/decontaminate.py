@@ -3,7 +3,8 @@
 A fingerprint is the least hash of K consecutive words in a window of W such hashes. Whatever span of W + K - 1 = 13
 words two texts share, its window has the same least hash in both, so both have that fingerprint there: no shared
 span can be missed. Documents' fingerprints are joined with those of the items; each hit fixes how the two texts
-are aligned, and along each alignment the words themselves are compared, so no hash decides.
+are aligned, and along each alignment the words themselves are compared, so no hash decides. Hits stay rows, of a document
+and an item: a document's own row only gathers the windows in it and the numbers of its items.
 
 An item of fewer than 13 words is one window of its own length L, and its fingerprint the hash of these L words;
 documents give their L-word hashes for the lengths that occur among the items, at most 12.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ROW, materialize, sized, table, text_or_empty
+from lattica.llm.common import ROW, materialize, sized, table, text_or_empty, with_row
 
 SPAN, K = 13, 6
 W = SPAN - K + 1
@@ -100,41 +101,43 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     names it, and it is the column ROW of the result. Other columns are not read. Without documents the result is empty, without
     items all are clean.
     """
-    own = [ROW] if row_col else []
-    key = ROW if row_col else "doc_id"
-    texts = docs.select(*([F.col(row_col).alias(ROW)] if row_col else []), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    columns = F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")
+    texts = docs.select(F.col(row_col).alias(ROW), *columns) if row_col else with_row(docs, *columns)
     items, marks, short = prepared(items, item_col, item_text_col)
-    found = fingerprints(texts.select(key, words_of(F.col("text")).alias("words")), [key], short)
-    hits = found.join(sized(marks), ["l", "h"]).select(key, "key").distinct()
-    hits = hits.join(sized(items, size=F.size("item") + F.size("marks") + F.size("hs")), "key").groupBy(F.col(key).alias("hit_id")).agg(F.collect_list(F.struct("item_id", "item", "span", "marks")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
-
-    # Texts are shuffled, not their words, which take more room; words of documents without a hit are only counted.
-    both = texts.join(hits, F.col(key).eqNullSafe(F.col("hit_id")), "left").select(*own, "doc_id", "hits", "hs", words_of(F.col("text")).alias("all"))
-    both = both.select(*own, "doc_id", "hits", "hs", F.size("all").alias("n_words"), F.when(F.col("hits").isNotNull(), F.col("all")).alias("words"))
-    near = with_grams(both, [K, *short])
-    near = near.select(*own, "doc_id", "n_words", "words", "hits", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
-
-    def starts(hit: Column, shift: Column) -> Column:
+    # Documents that have an item's fingerprint, with these: no more than a document has.
+    found = fingerprints(texts.select(ROW, words_of(F.col("text")).alias("words")), [ROW], short)
+    hits = materialize(found.join(sized(marks.select("l", "h").distinct()), ["l", "h"]).groupBy(ROW).agg(F.collect_set("h").alias("hs")), "hit-fingerprints")
+    near = texts.join(sized(hits, size=F.size("hs")), ROW).select(ROW, "hs", words_of(F.col("text")).alias("words"))
+    near = with_grams(near, [K, *short]).select(ROW, "words", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
+    near = materialize(near, "hit-documents")
+    # How a document and an item can be aligned: no more ways than both have words.
+    at = near.select(ROW, F.explode("places").alias("p")).select(ROW, "p.l", "p.h", F.col("p.pos").alias("doc_pos"))
+    item_at = items.select("key", F.explode("marks").alias("p")).select("key", "p.l", "p.h", F.col("p.pos").alias("item_pos"))
+    aligned = at.join(sized(item_at), ["l", "h"]).select(ROW, "key", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
+    aligned = aligned.groupBy(ROW, "key").agg(F.collect_set("shift").alias("shifts"))
+
+    def starts(shift: Column) -> Column:
         """The document words, from 1, at which a window of the item, so aligned, starts."""
         low = F.greatest(F.lit(1), 1 - shift)
-        n = F.least(F.size(hit["item"]), F.size("words") - shift) - low + 1
-        same = F.zip_with(F.slice(hit["item"], low, F.greatest(n, F.lit(0))), F.slice("words", low + shift, F.greatest(n, F.lit(0))), lambda a, b: a == b)
-        whole = F.transform(F.array(same), lambda eq: F.filter(F.sequence(F.lit(1), n - hit["span"] + 1), lambda i: ~F.array_contains(F.slice(eq, i, hit["span"]), False)))
-        return F.when(n >= hit["span"], F.transform(whole[0], lambda i: i + (low + shift - 1))).otherwise(F.array().cast("array<int>"))
-
-    def covered(hit: Column) -> Column:
-        """The document words in windows of the item."""
-        shifts = F.transform(hit["marks"], lambda m: F.transform(F.filter("places", lambda p: (p["l"] == m["l"]) & (p["h"] == m["h"])), lambda p: p["pos"] - m["pos"]))
-        at = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(shifts)), lambda s: starts(hit, s))))
-        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + hit["span"] - 1))))
-
-    # `places` is read twice, so that it stays a column and isn't made anew for each item.
-    reached = F.when(F.size("places") > 0, F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), covered(x).alias("at"))))
-    near = near.select(*own, "doc_id", "n_words", reached.alias("hits")).select(*own, "doc_id", "n_words", F.filter("hits", lambda x: F.size(x["at"]) > 0).alias("hits"))
-    at = F.array_distinct(F.flatten(F.transform("hits", lambda x: x["at"])))
-    ids = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["item_id"])))
-    near = near.select(*own, "doc_id", "n_words", F.coalesce(F.size(at), F.lit(0)).alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
-    out = near.select(*own, "doc_id", F.col("n_words").cast("long"), F.col("n_hit").cast("long"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+        n = F.least(F.size("item"), F.size("words") - shift) - low + 1
+        same = F.zip_with(F.slice("item", low, F.greatest(n, F.lit(0))), F.slice("words", low + shift, F.greatest(n, F.lit(0))), lambda a, b: a == b)
+        whole = F.transform(F.array(same), lambda eq: F.filter(F.sequence(F.lit(1), n - F.col("span") + 1), lambda i: ~F.array_contains(F.slice(eq, i, F.col("span")), False)))
+        return F.when(n >= F.col("span"), F.transform(whole[0], lambda i: i + (low + shift - 1))).otherwise(F.array().cast("array<int>"))
+
+    verified = aligned.join(near.select(ROW, "words"), ROW).join(sized(items.select("key", "item_id", "item", "span"), size=F.size("item")), "key")
+    verified = verified.select(ROW, "item_id", "span", F.explode(F.array_distinct(F.flatten(F.transform("shifts", starts)))).alias("start"))
+    hit = verified.groupBy(ROW).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set(F.struct("start", "span"))).alias("windows"))
+
+    def further(state: Column, window: Column) -> Column:
+        """Words in windows so far, and the word after them, with the next window in order of starts."""
+        end = window["start"] + window["span"]
+        return F.struct((state["n"] + F.greatest(F.lit(0), end - F.greatest(window["start"], state["end"]))).alias("n"), F.greatest(state["end"], end).alias("end"))
+
+    covered = F.aggregate("windows", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), further, lambda state: state["n"])
+    hit = materialize(hit.select(ROW, "item_ids", covered.alias("n_hit")), "hits")
+    counted = texts.select(ROW, "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words")).join(sized(hit, size=F.size("item_ids")), ROW, "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    out = counted.select(*([ROW] if row_col else []), "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * part >= F.col("n_words")))
 
 
