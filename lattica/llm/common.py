@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast when it has at most so many rows of a few numbers each; beyond it, Spark shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The part of all rows, as a divisor, from which on a key is hot.
+HOT = 1000
 #: Rows go to Python workers in batches of so many bytes: texts are long.
 BATCH_BYTES = 1 << 22
 
@@ -137,9 +139,9 @@ def text_or_empty(column: str):
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """left joined with right on key, where right has a row a key and in `size` how many rows of left have it.
 
-    At most 1000 keys can have a thousandth of the total rows each; these are broadcast, and no key of the other join,
-    which shuffles, is hot.
+    A key is hot if it has more than one HOT-th of the total rows, or, where a row has several keys, of that number; the
+    hot ones, HOT times the keys of a row at most, are broadcast, and no key of the other join, which shuffles, is hot.
     """
-    hot, rest = right.where(F.col(size) * 1000 > total), right.where(F.col(size) * 1000 <= total)
+    hot, rest = right.where(F.col(size) * HOT > total), right.where(F.col(size) * HOT <= total)
     hot_keys = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key).unionByName(left.join(hot_keys, key, "left_anti").join(rest, key))

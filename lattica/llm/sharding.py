@@ -3,7 +3,7 @@
 Every shard draws a number for a key from the hash of both, and the best draw wins: a new shard takes the rows in
 which it draws best, and no row moves between old ones. Weights follow the logarithmic method: the best of
 -weight / ln(u). Rows of a shard get gapless slots in the order of their keys' hashes, counted block by block, so no
-shard is sorted in one task.
+shard is sorted in one task; nor is a key of very many rows, which come last in their shard, dealt to blocks by a number of the row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, table, text_or_empty
+from lattica.llm.common import materialize, sized, table, text_or_empty
 
 #: Rows that a block of slots has on average; a block is one window group.
 BLOCK_ROWS = 20_000
@@ -39,13 +39,18 @@ def shard_rows(docs: DataFrame, weights: list[float], key_col: str = "doc_id") -
     empty. `row` keeps columns of any names apart from ours.
     """
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
-    placed = docs.select(F.struct("*").alias("row"), key.alias("k"), F.md5(key).alias("h"), rendezvous(key, weights).alias("shard"))
+    placed = docs.select(F.struct("*").alias("row"), key.alias("k"), F.md5(key).alias("h"), rendezvous(key, weights).alias("shard"), F.monotonically_increasing_id().alias("nth"))
     placed = materialize(placed, "shards")  # counted and numbered below, so it is fixed here
     digits = max(0, (max(1, placed.count()) // (BLOCK_ROWS * len(weights))).bit_length() + 3) // 4
-    placed = placed.withColumn("block", F.substring("h", 1, digits) if digits else F.lit(""))
+    hot = materialize(placed.groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK_ROWS), "hot-keys")
+    common = placed.join(sized(hot), "k", "left")
+    # Blocks in order: those of other keys by the first digits of the hash; then hot ones, each in parts of its rows.
+    part = F.format_string("%020d", F.floor(F.col("nth") / F.lit(BLOCK_ROWS)))
+    block = F.when(F.col("rows").isNull(), F.substring("h", 1, digits) if digits else F.lit("")).otherwise(F.concat(F.lit("~"), "h", F.lit("~"), part))
+    placed = common.withColumn("block", block).drop("rows")
     sizes = placed.groupBy("shard", "block").count()
     before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("h", "k")) - 1
+    local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("h", "k", "nth")) - 1
     numbered = placed.withColumn("local", local).join(before.drop("count"), ["shard", "block"])
     return numbered.select("row", "shard", (F.col("before") + F.col("local")).cast("long").alias("slot"))
 

@@ -7,7 +7,7 @@ import numpy as np
 from helpers import DATA
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe_codec, chat_format, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding, token_store, toxicity
+from lattica.llm import bpe_codec, chat_format, common, decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding, token_store, toxicity
 from lattica.llm.common import scratch
 
 
@@ -101,6 +101,28 @@ def test_sharding(spark, odd, empty):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_sharding_splits_hot_keys(spark, monkeypatch):
+    """Slots stay gapless where two keys have most rows, more than a block holds."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 50)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id")).repartition(5)
+    got = sharding.shard_rows(df, [1.0, 1.0, 1.0]).collect()
+    assert len({r.shard for r in got if r.row.doc_id is None}) == 1
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_line_dedup_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Joins that shuffle, with hot lines apart, give what broadcasts give; rows of one id, or of none, keep their own lines."""
+    rows = [(i % 90 if i % 7 else None, f"s{i % 9}", f"own {i}\nshared\nfour {i % 30}\n" + "\n".join(f"five {k}" for k in range(i % 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = lambda: sorted(map(str, line_dedup.drop_shared_lines(df).collect()))
+    want = plain()
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "HOT", 4)
+    assert plain() == want and len(want) == 400
+
+
 def test_sharding_moves_little_and_weighs(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     key = F.col("doc_id").cast("string")
