@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, sized
+from lattica.llm.common import materialize, remove, sized
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new = labels.join(near, F.col("id") == F.col("v")).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("beyond"))
         new = new.join(sized(jump), "to").select("id", "old", F.least("to", "beyond").alias("comp"))
-        new = materialize(new, "labels")
+        new, before = materialize(new, "labels"), labels
         labels = new.select("id", "comp")
+        remove(edges.sparkSession, before.inputFiles())
         if new.where("comp != old").isEmpty():
             return labels

@@ -11,8 +11,9 @@ Classes are the components of the links with similarity THRESHOLD or more. Texts
 pairs are not formed within bands: (1) equal texts are one node; (2) each node is held against the least node of its
 band, which joins what is close; (3) only nodes that are still outside the main component of a band are held against
 its members of other components, if sizes and 4-bit signatures allow the similarity (ALLOWED lies five standard errors off).
-Bands of up to FEW members make pairs for that; larger ones are compared in blocks of BLOCK shingles, block against block,
-and only links leave a task, so that a large group of texts that are not quite similar makes no pairs. So every link of two nodes that share a band ends within one component. A pair at the threshold shares no band with
+Bands of up to FEW members make pairs for that; in larger ones the outsiders are dealt to blocks of BLOCK shingles, and the main
+component's members to others, which meet the blocks of outsiders only: where outsiders are few, each member is sent to one group.
+Only links leave a task, so that a large group of texts that are not quite similar makes no pairs. So every link of two nodes that share a band ends within one component. A pair at the threshold shares no band with
 probability (1 - 0.8**6)**42 = 3e-6.
 """
 
@@ -39,6 +40,8 @@ SLOTS = BANDS * ROWS
 #: Of 252 slots at the threshold, 0.2 * 15/16 differ in 4 bits: 47.25, with a standard error of 6.2.
 ALLOWED = 79
 FEW, BLOCK = 32, 400_000
+#: Pairs with one and the same second text that are joined in one task.
+SAME = 10_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LATE = np.int64(1) << np.int64(62)
 _POINTS = 200_000
@@ -173,8 +176,16 @@ def may_link(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, bag_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multisets reach the threshold."""
-    both = pairs.join(bag_of.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag_of.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    """The pairs (a, b) whose multisets reach the threshold.
+
+    b may be the lead of very many: such a text's bag is joined as several, each for SAME pairs.
+    """
+    pairs = materialize(pairs, "pairs")
+    parts = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SAME).cast("int").alias("parts")), "pair-counts")
+    several = parts.where("parts > 1")
+    dealt = pairs.join(sized(several), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    bag_b = bag_of.join(sized(parts), F.col("id") == F.col("b")).select("b", F.col("bag").alias("bag_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(bag_of.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag_b, ["b", "part"])
     return both.where(9 * F.size(F.array_intersect("bag_a", "bag_b")) >= 4 * (F.size("bag_a") + F.size("bag_b"))).select("a", "b")
 
 
@@ -200,14 +211,18 @@ def block_links(ids: np.ndarray, comp: np.ndarray, main: int, block: np.ndarray,
 
 
 def links_by_block(placed: DataFrame, marks: DataFrame, bag_of: DataFrame) -> DataFrame:
-    """Links (a, b) of rows (band, id, comp, main, shingles of the band), each pair of blocks of a band in one group.
+    """Links (a, b) of rows (band, id, comp, main, and shingles of the band's main component and of the others).
 
-    A group has about 2 * BLOCK shingles, or two texts.
+    Each pair of blocks of which one has outsiders is a group, of about 2 * BLOCK shingles, or two texts. Blocks are numbered
+    from 0, those of outsiders first.
     """
-    blocks = F.ceil(F.col("shingles") / BLOCK).cast("int")
-    rows = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("band", "id", "comp", "main", "block", other.alias("other"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = placed.withColumn("outer", F.greatest(F.lit(1), blocks("out_shingles"))).withColumn("inner", F.greatest(F.lit(1), blocks("main_shingles")))
+    is_main = F.col("comp") == F.col("main")
+    spread = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    block = F.when(is_main, F.col("outer") + spread("inner")).otherwise(spread("outer"))
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    rows = rows.select("band", "id", "comp", "main", block.alias("block"), F.explode(others).alias("other"))
     rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "comp", "main", "block")
     rows = rows.join(marks, "id").join(bag_of, "id")
 
@@ -252,9 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # (3) What is outside its band's main component against the band's other components.
     placed = members.select("band", "id").join(sized(comps), "id", "left").join(sized(marks.select("id", "n")), "id").select("band", "id", F.coalesce("comp", "id").alias("comp"), "n")
     sizes = materialize(placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")), "band-comps")
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("count").alias("size"), F.sum("shingles").alias("shingles")).where("comps > 1").drop("comps")
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("count", "comp", "shingles")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("count").alias("size"), F.sum("shingles").alias("shingles")).where("comps > 1")
+    mixed = mixed.select("band", F.col("most.comp").alias("main"), "size", F.col("most.shingles").alias("main_shingles"), (F.col("shingles") - F.col("most.shingles")).alias("out_shingles"))
     placed = materialize(placed.drop("n").join(mixed, "band"), "mixed-bands")
-    small = placed.where(F.col("size") <= FEW).drop("size", "shingles").join(marks, "id")
+    small = placed.where(F.col("size") <= FEW).select("band", "id", "comp", "main").join(marks, "id")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     cross = small.where("comp != main").alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = verified(cross.distinct(), bag_of).unionByName(links_by_block(placed.where(F.col("size") > FEW), marks, bag_of))

@@ -14,7 +14,7 @@ from helpers import DATA, table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lattica.llm import bpe_words, queries, toxicity
+from lattica.llm import bpe_words, near_dedup, queries, toxicity
 from lattica.llm.bpe_codec import Codec, op9_bpe_codec
 from lattica.llm.chat_format import escape, op3_chat_format, unescape
 from lattica.llm.common import scratch
@@ -181,7 +181,11 @@ def test_signatures_are_unbiased():
         assert abs((slots[i] == slots[j]).mean() - _similar(_bag(texts[i]), _bag(texts[j]))) < 0.12
 
 
-def test_near_dedup(spark, docs):
+@pytest.mark.parametrize("few, block, same", [(near_dedup.FEW, near_dedup.BLOCK, near_dedup.SAME), (2, 700, 3)])
+def test_near_dedup(spark, docs, monkeypatch, few, block, same):
+    """Classes are those of all pairs, in pairs as well as in blocks of a few texts with leads joined in parts."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("SAME", same)):
+        monkeypatch.setattr(near_dedup, name, value)
     random.seed(3)
     texts = {d: t or "" for d, t in docs.items()}
     base = [f"w{random.randrange(900)}" for _ in range(150)]
