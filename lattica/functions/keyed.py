@@ -76,6 +76,20 @@ def cdf(name: str, x: float, **p: float) -> float:
     raise ValueError(f"unknown distribution {name}")
 
 
+def cdf_column(name: str, x: Column, **p: float) -> Column:
+    """The probability of at most x, as a column: uniform, expon, logistic, weibull_min."""
+    z = (x - float(p.get("loc", 0.0))) / float(p.get("scale", 1.0))
+    if name == "uniform":
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), z))
+    if name == "expon":
+        return F.when(z > 0, F.lit(1.0) - F.exp(-z)).otherwise(0.0)
+    if name == "logistic":
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    if name == "weibull_min":
+        return F.when(z > 0, F.lit(1.0) - F.exp(-F.pow(z, F.lit(float(p["c"]))))).otherwise(0.0)
+    raise ValueError(f"no distribution function of {name} as a column")
+
+
 def _normal_quantile(u: Column) -> Column:
     """Acklam's rational approximation, relative error below 1.2e-9."""
     a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -44,6 +44,26 @@ class Shape:
     def point(self, u: Vector) -> Vector:
         raise NotImplementedError
 
+    #: Fields that are places, and those that are directions: a move changes the first, a turn both.
+    PLACES, DIRECTIONS = (), ()
+
+    def translated(self, by: Point) -> Shape:
+        return replace(self, **{n: tuple(a + b for a, b in zip(getattr(self, n), by, strict=True)) for n in self.PLACES})
+
+    def rotated(self, rx: float, ry: float, rz: float, about: Point = (0.0, 0.0, 0.0)) -> Shape:
+        """Turned about fixed x, then y, then z, in degrees, around a point."""
+        (cx, sx), (cy, sy), (cz, sz) = ((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (rx, ry, rz))
+
+        def turn(v: Point) -> Point:
+            x, y, z = v
+            y, z = cx * y - sx * z, sx * y + cx * z
+            x, z = cy * x + sy * z, cy * z - sy * x
+            return cz * x - sz * y, sz * x + cz * y, z
+
+        places = {n: tuple(a + b for a, b in zip(turn(tuple(_minus(getattr(self, n), about))), about, strict=True)) for n in self.PLACES}
+        directions = {n: tuple(map(turn, getattr(self, n))) if isinstance(getattr(self, n)[0], tuple) else turn(getattr(self, n)) for n in self.DIRECTIONS}
+        return replace(self, **places, **directions)
+
     def inside_box(self, p: Vector) -> Column:
         """Strictly within the bounding box."""
         low, high = self.box()
@@ -57,6 +77,7 @@ class Shape:
 class Sphere(Shape):
     origin: Point
     radius: float
+    PLACES, DIRECTIONS = ("origin",), ()
 
     def inside(self, p):
         d = _minus(p, self.origin)
@@ -84,6 +105,7 @@ class Ellipsoid(Shape):
     v0: Point = (1.0, 0.0, 0.0)
     v1: Point = (0.0, 1.0, 0.0)
     v2: Point = (0.0, 0.0, 1.0)
+    PLACES, DIRECTIONS = ("origin",), ("v0", "v1", "v2")
 
     def inside(self, p):
         d = _minus(p, self.origin)
@@ -122,6 +144,7 @@ class Cylinder(Shape):
     bottom: Point
     radius: float
     top: Point
+    PLACES, DIRECTIONS = ("bottom", "top"), ()
 
     def inside(self, p):
         w, height = _frame(_minus(self.top, self.bottom))[0], _norm(_minus(self.top, self.bottom))
@@ -149,6 +172,7 @@ class Cone(Shape):
     apex: Point
     origin: Point
     radius: float
+    PLACES, DIRECTIONS = ("apex", "origin"), ()
 
     def inside(self, p):
         axis = _minus(self.origin, self.apex)
@@ -177,6 +201,7 @@ class Parallelepiped(Shape):
 
     corner: Point
     sides: tuple[Point, Point, Point]
+    PLACES, DIRECTIONS = ("corner",), ("sides",)
 
     def inside(self, p):
         """By the coordinates of p in the edges' frame, each in (0, 1); edges needn't be at right angles."""
@@ -222,6 +247,12 @@ class Composition:
     def inside(self, p: Vector) -> Column:
         return reduce(lambda a, b: a | b, [s.inside_box(p) & s.inside(p) for s in self.shapes], F.lit(False))
 
+    def translated(self, by: Point) -> Composition:
+        return Composition(tuple(s.translated(by) for s in self.shapes), self.labels)
+
+    def rotated(self, rx: float, ry: float, rz: float, about: Point = (0.0, 0.0, 0.0)) -> Composition:
+        return Composition(tuple(s.rotated(rx, ry, rz, about) for s in self.shapes), self.labels)
+
     def box(self) -> tuple[Point, Point]:
         boxes = [s.box() for s in self.shapes]
         return tuple(min(b[0][i] for b in boxes) for i in range(3)), tuple(max(b[1][i] for b in boxes) for i in range(3))

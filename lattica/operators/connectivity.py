@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.keyed import keyed_bits, keyed_uniform, stochastic_round
+from lattica.functions.labels import has_any
+from lattica.functions.rotation import euler_matrix, times
+from lattica.functions.shapes import Composition, Shape
 from lattica.operators.network import NONE
 from lattica.operators.spatial import AXES, box_join, distance_join
 
@@ -28,21 +31,22 @@ def all_to_all(pre: DataFrame, post: DataFrame) -> DataFrame:
 
 
 def fixed_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0) -> DataFrame:
-    """(fixed_id, pool_id): for each fixed row `degree` different pool rows, those with the least keyed numbers.
+    """(fixed_id, pool_id): for each fixed row `degree` different pool rows. Raises if the pool is smaller than the degree.
 
-    Raises if the pool is smaller than the degree. The numbers of a fixed row's candidates are ranked in blocks of
-    the pool first, so only degree rows a block are sorted together.
+    From a large pool places are drawn (sampled_degree); one of fewer than 4 * degree rows is ranked as a whole for each fixed
+    row (ranked_degree), which makes less than four candidates for each edge.
     """
+    return (sampled_degree if pool.limit(4 * degree).count() == 4 * degree else ranked_degree)(fixed, pool, degree, seed)
+
+
+def ranked_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0) -> DataFrame:
+    """(fixed_id, pool_id): for each fixed row the `degree` pool rows with the least keyed numbers. For small pools: it makes all pairs."""
     n = pool.limit(degree).count()
     if n < degree:
         raise ValueError(f"a degree of {degree} needs as many candidates; there are {n}")
     pairs = fixed.select(F.col("id").alias("fixed_id")).crossJoin(pool.select(F.col("id").alias("pool_id")))
-    pairs = pairs.withColumn("draw", keyed_bits(seed, "fixed_id", "pool_id"))
-    block = F.pmod(F.hash("pool_id"), F.lit(64))
-    first = Window.partitionBy("fixed_id", "block").orderBy("draw", "pool_id")
-    last = Window.partitionBy("fixed_id").orderBy("draw", "pool_id")
-    pairs = pairs.withColumn("block", block).withColumn("r", F.row_number().over(first)).where(F.col("r") <= degree)
-    return pairs.withColumn("r", F.row_number().over(last)).where(F.col("r") <= degree).select("fixed_id", "pool_id")
+    w = Window.partitionBy("fixed_id").orderBy(keyed_bits(seed, "fixed_id", "pool_id"), "pool_id")
+    return pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree).select("fixed_id", "pool_id")
 
 
 def ranked(pool: DataFrame, seed: int = 0) -> DataFrame:
@@ -58,7 +62,7 @@ def ranked(pool: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def sampled_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0) -> DataFrame:
-    """(fixed_id, pool_id) like fixed_degree, by drawing places in the pool: its cost is that of its result.
+    """(fixed_id, pool_id) by drawing places in the pool: its cost is that of its result.
 
     Each fixed row makes 2 * degree + 32 draws with replacement and keeps the first `degree` different ones. Needs a pool
     of 4 * degree rows or more, where so many draws are always enough for practical purposes; too few raise.
@@ -66,7 +70,7 @@ def sampled_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0
     places = ranked(pool, seed)
     n = pool.count()
     if n < 4 * degree:
-        raise ValueError("the pool is too small to draw from; rank it with fixed_degree")
+        raise ValueError("the pool is too small to draw from; rank it with ranked_degree")
     draws = fixed.select(F.col("id").alias("fixed_id"), F.explode(F.sequence(F.lit(1), F.lit(2 * degree + 32))).alias("draw"))
     draws = draws.withColumn("rank", F.pmod(keyed_bits(seed, "fixed_id", "draw"), F.lit(n))).groupBy("fixed_id", "rank").agg(F.min("draw").alias("draw"))
     w = Window.partitionBy("fixed_id")
@@ -103,10 +107,27 @@ def keep_affinity(candidates: DataFrame, target: str, key: list[str], affinity:
     return ranked.where(F.col("_r") <= stochastic_round(F.col("_n") * affinity, keyed_uniform(f"{seed}-round", target))).drop("_n", "_r")
 
 
-def world_points(cells: DataFrame, points: DataFrame) -> DataFrame:
-    """The morphology points (branch_id, point_id, x, y, z) of each cell, moved to it; cells have morph_name."""
-    at = cells.select(F.col("id"), "morph_name", *(F.col(c).alias(f"o{c}") for c in AXES))
-    return at.join(points, "morph_name").select("id", "branch_id", "point_id", *((F.col(c) + F.col(f"o{c}")).alias(c) for c in AXES))
+def side(cells: DataFrame, cell_types: list[str] | None = None, labels: list[str] | None = None) -> DataFrame:
+    """One side of a strategy: the cells of some types, together, that have one of the labels. Edges of several types are told
+    apart again by a join with the cells' types."""
+    if cell_types is not None:
+        cells = cells.where(F.col("cell_type").isin(cell_types))
+    return cells if labels is None else cells.where(has_any(F.col("labels"), labels))
+
+
+def world_points(cells: DataFrame, points: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """The morphology points (branch_id, point_id, x, y, z) of each cell, turned by its rx, ry and rz if it has these, and moved to it.
+
+    Cells have morph_name. With labels, only points with one of them count.
+    """
+    if labels is not None:
+        points = points.where(has_any(F.col("labels"), labels))
+    turns = [c for c in ("rx", "ry", "rz") if c in cells.columns]
+    at = cells.select(F.col("id"), "morph_name", *turns, *(F.col(c).alias(f"o{c}") for c in AXES))
+    place = [F.col(c) for c in AXES]
+    if len(turns) == 3:
+        place = times(euler_matrix(*(F.col(c) for c in turns)), place)
+    return at.join(points, "morph_name").select("id", "branch_id", "point_id", *((p + F.col(f"o{c}")).alias(c) for p, c in zip(place, AXES, strict=True)))
 
 
 def voxelized(points: DataFrame, size: float, keys: list[str]) -> DataFrame:
@@ -115,14 +136,18 @@ def voxelized(points: DataFrame, size: float, keys: list[str]) -> DataFrame:
     return points.select(*keys, *cells, F.struct("branch_id", "point_id").alias("at")).groupBy(*keys, "ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("at")).alias("at"))
 
 
-def voxel_intersection(pre: DataFrame, post: DataFrame, size: float, contacts: int = 1, seed: int = 0) -> DataFrame:
+def voxel_intersection(pre: DataFrame, post: DataFrame, size: float, contacts: int = 1, seed: int = 0, affinity: float = 1.0) -> DataFrame:
     """Edges where two cells' morphologies share voxels of one grid; sides are world points (id, branch_id, ...).
 
     Each pair of cells gets `contacts` draws, with replacement, of a shared voxel by the product of its points on
-    either side, and in it of one point each. A pair without a shared voxel has none; contacts < 1 means none.
+    either side, and in it of one point each. A pair without a shared voxel has none; contacts < 1 means none. With an
+    affinity below 1, each pre cell keeps that part of its post cells (see keep_affinity).
     """
     a, b = voxelized(pre, size, ["id"]), voxelized(post, size, ["id"])
     shared = a.select(F.col("id").alias("pre_id"), "ix", "iy", "iz", F.col("at").alias("pre_at")).join(b.select(F.col("id").alias("post_id"), "ix", "iy", "iz", F.col("at").alias("post_at")), ["ix", "iy", "iz"])
+    if affinity < 1:
+        pairs = keep_affinity(shared.select("pre_id", "post_id").distinct(), "pre_id", ["post_id"], affinity, seed)
+        shared = shared.join(pairs, ["pre_id", "post_id"], "left_semi")
     w = Window.partitionBy("pre_id", "post_id")
     shared = shared.withColumn("weight", (F.size("pre_at") * F.size("post_at")).cast("long"))
     shared = shared.withColumn("upto", F.sum("weight").over(w.orderBy("ix", "iy", "iz").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(w))
@@ -135,35 +160,79 @@ def voxel_intersection(pre: DataFrame, post: DataFrame, size: float, contacts: i
     return edges_of(drawn, F.col("pre_id"), F.col("post_id"), (p["branch_id"], p["point_id"]), (q["branch_id"], q["point_id"]))
 
 
-def points_in_spheres(points: DataFrame, spheres: DataFrame, size: float) -> DataFrame:
-    """Pairs of world points a and spheres b (id, x, y, z, radius) that hold them: boxes first, then the solid."""
-    boxed = spheres.select("*", *((F.col(c) - F.col("radius")).alias(f"l{c}") for c in AXES), *((F.col(c) + F.col("radius")).alias(f"h{c}") for c in AXES))
-    dots = points.select("*", *(F.col(c).alias(f"l{c}") for c in AXES), *(F.col(c).alias(f"h{c}") for c in AXES))
-    d2 = sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2.0)) for c in AXES), F.lit(0.0))
-    return box_join(dots, boxed, size).where(d2 <= F.col("b.radius") * F.col("b.radius"))
-
+def points_in_shapes(points: DataFrame, cells: DataFrame, size: float, shape: Shape | Composition | None = None) -> DataFrame:
+    """Pairs of world points a and cells b whose solid holds them: boxes first, then the solid.
 
-def shape_to_morphology(pre_spheres: DataFrame, post_points: DataFrame, size: float, affinity: float = 1.0, seed: int = 0) -> DataFrame:
-    """Edges from cells with a sphere to the morphology points inside it; each pair of cells keeps max(1, floor(a n))."""
-    hits = points_in_spheres(post_points, pre_spheres, size).select(F.col("b.id").alias("pre"), F.col("a.id").alias("post"), F.col("a.branch_id").alias("branch"), F.col("a.point_id").alias("point"))
+    The solid is `shape`, given about the cell's place, or without it a sphere with the cell's `radius`.
+    """
+    if shape is None:
+        low, high = [-F.col("radius")] * 3, [F.col("radius")] * 3
+        inside = sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), F.lit(2.0)) for c in AXES), F.lit(0.0)) <= F.col("b.radius") * F.col("b.radius")
+    else:
+        low, high = ([F.lit(float(v)) for v in corner] for corner in shape.box())
+        inside = shape.inside([F.col(f"a.{c}") - F.col(f"b.{c}") for c in AXES])
+    boxed = cells.select("*", *((F.col(c) + v).alias(f"l{c}") for c, v in zip(AXES, low, strict=True)), *((F.col(c) + v).alias(f"h{c}") for c, v in zip(AXES, high, strict=True)))
+    dots = points.select("*", *(F.col(c).alias(f"l{c}") for c in AXES), *(F.col(c).alias(f"h{c}") for c in AXES))
+    return box_join(dots, boxed, size).where(inside)
+
+
+def shape_cloud(cells: DataFrame, shape: Composition, voxel: float, seed: int = 0) -> DataFrame:
+    """id, point_id and places of random points in each cell's solids: as many in each as its volume has voxels."""
+    out, first = None, 0
+    for k, solid in enumerate(shape.shapes):
+        n = solid.n_points(voxel)
+        rows = cells.select("id", *AXES, F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("point_id")) if n else None
+        first += n
+        if rows is not None:
+            at = solid.point([keyed_uniform(f"{seed}-{k}-{i}", "id", "point_id") for i in range(3)])
+            part = rows.select("id", "point_id", *((F.col(c) + p).alias(c) for c, p in zip(AXES, at, strict=True)))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("the voxels are larger than the solids")
+    return out
+
+
+def shape_to_morphology(pre_cells: DataFrame, post_points: DataFrame, size: float, affinity: float = 1.0, seed: int = 0, shape: Shape | Composition | None = None) -> DataFrame:
+    """Edges from cells with a solid (see points_in_shapes) to the morphology points inside it; each pair of cells keeps max(1, floor(a n))."""
+    hits = points_in_shapes(post_points, pre_cells, size, shape).select(F.col("b.id").alias("pre"), F.col("a.id").alias("post"), F.col("a.branch_id").alias("branch"), F.col("a.point_id").alias("point"))
     w = Window.partitionBy("pre", "post")
     ranked = hits.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(keyed_bits(seed, "pre", "post", "branch", "point"), "branch", "point")))
     kept = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * affinity)))
     return edges_of(kept, F.col("pre"), F.col("post"), None, (F.col("branch"), F.col("point")))
 
 
-def morphology_to_shape(pre_points: DataFrame, post_spheres: DataFrame, size: float, affinity: float = 1.0, seed: int = 0) -> DataFrame:
+def morphology_to_shape(pre_points: DataFrame, post_cells: DataFrame, size: float, affinity: float = 1.0, seed: int = 0, shape: Shape | Composition | None = None) -> DataFrame:
     """The mirror image; the pre side keeps its branch and point."""
-    e = shape_to_morphology(post_spheres, pre_points, size, affinity, seed)
+    e = shape_to_morphology(post_cells, pre_points, size, affinity, seed, shape)
     return e.select(*(F.col(("post" if c.startswith("pre") else "pre") + c[c.index("_"):]).alias(c) for c in e.columns))
 
 
-def shape_to_shape(pre_cloud: DataFrame, post_spheres: DataFrame, size: float, affinity: float = 1.0, pruning: float = 1.0, seed: int = 0) -> DataFrame:
-    """An edge for each cloud point (id, point_id, x, y, z) in another cell's sphere, thinned by affinity and then as a whole."""
-    hits = points_in_spheres(pre_cloud, post_spheres, size).select(F.col("a.id").alias("pre"), F.col("b.id").alias("post"), F.col("a.point_id").alias("point"))
-    kept = keep_affinity(hits, "post", ["pre", "point"], affinity, seed)
-    kept = kept.where(keyed_uniform(f"{seed}-prune", "pre", "post", "point") < pruning)
-    return edges_of(kept, F.col("pre"), F.col("post"))
+def pruned(edges: DataFrame, ratio: float, key: list[str], seed: int = 0) -> DataFrame:
+    """floor(ratio * n) of all n edges: those with the least keyed numbers. Counted in blocks of these, so no task sorts all."""
+    rows = edges.withColumn("_bits", keyed_bits(f"{seed}-prune", *key)).withColumn("_block", F.shiftright("_bits", 40))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.withColumn("_keep", F.floor(F.sum("_n").over(Window.partitionBy()) * ratio)).drop("_n")  # 4096 rows
+    own = F.row_number().over(Window.partitionBy("_block").orderBy("_bits", *key))
+    return rows.withColumn("_own", own).join(F.broadcast(sizes), "_block").where(F.col("_before") + F.col("_own") <= F.col("_keep")).select(edges.columns)
+
+
+def shape_to_shape(pre_cloud: DataFrame, post_cells: DataFrame, size: float, affinity: float = 1.0, pruning: float = 1.0, seed: int = 0, shape: Shape | Composition | None = None) -> DataFrame:
+    """Edges from the cloud points (id, point_id, x, y, z) of cells to other cells whose solid (see points_in_shapes) holds them.
+
+    Of a pair's n points, n * affinity are drawn with replacement, a fraction by chance; all if the affinity is 1. Of all edges
+    pruning then keeps its part, rounded down.
+    """
+    hits = points_in_shapes(pre_cloud, post_cells, size, shape).select(F.col("a.id").alias("pre"), F.col("b.id").alias("post"), F.col("a.point_id").alias("point"))
+    if affinity < 1:
+        pairs = hits.groupBy("pre", "post").agg(F.count(F.lit(1)).alias("n")).withColumn("draws", stochastic_round(F.col("n") * affinity, keyed_uniform(f"{seed}-round", "pre", "post")))
+        draws = pairs.where("draws > 0").select("pre", "post", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("draw"))
+        draws = draws.withColumn("nth", F.pmod(keyed_bits(seed, "pre", "post", "draw"), F.col("n")) + 1)
+        nth = hits.withColumn("nth", F.row_number().over(Window.partitionBy("pre", "post").orderBy("point")).cast("long"))
+        hits = draws.join(nth, ["pre", "post", "nth"]).select("pre", "post", F.col("draw").alias("point"))
+    if pruning < 1:
+        hits = pruned(hits, pruning, ["pre", "post", "point"], seed)
+    return edges_of(hits, F.col("pre"), F.col("post"))
 
 
 def map_back(edges: DataFrame, mapping: DataFrame, side: str) -> DataFrame:

@@ -35,18 +35,24 @@ def arcs(points: DataFrame) -> DataFrame:
 
 
 def morphometry(points: DataFrame) -> DataFrame:
-    """Per branch: n, path_length, euclidean, max_displacement, fractal_dim and the end point.
+    """Per branch: n, path_length, euclidean, max_displacement, fractal_dim, start, end, vector (from start to end) and versor.
 
-    fractal_dim is the slope of log path length over log distance from the start, where both are above 0; 1 if
-    that leaves fewer than two points.
+    max_displacement is the largest distance of a point from the axis between start and end; it and the versor are null where
+    these are one place. fractal_dim is the slope of log path length over log distance from the start, where both
+    are above 0; 1 if that leaves fewer than two points.
     """
-    first = [F.first(c).over(_along()).alias(f"o{c}") for c in AXES]
-    p = arcs(points).select("*", *first).withColumn("away", F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), F.lit(2.0)) for c in AXES), F.lit(0.0))))
+    whole = _along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = [e(c).over(whole).alias(f"{k}{c}") for k, e in (("o", F.first), ("e", F.last)) for c in AXES]
+    p = arcs(points).select("*", *ends).withColumn("away", F.sqrt(sum((F.pow(F.col(c) - F.col(f"o{c}"), F.lit(2.0)) for c in AXES), F.lit(0.0))))
+    v, d = [F.col(f"e{c}") - F.col(f"o{c}") for c in AXES], [F.col(c) - F.col(f"o{c}") for c in AXES]
+    across = [v[1] * d[2] - v[2] * d[1], v[2] * d[0] - v[0] * d[2], v[0] * d[1] - v[1] * d[0]]
+    axis = F.sqrt(sum((c * c for c in v), F.lit(0.0)))
+    p = p.withColumn("beside", F.when(axis > 0, F.sqrt(sum((c * c for c in across), F.lit(0.0))) / axis))
     both = (F.col("away") > 0) & (F.col("path") > 0)
     slope = F.regr_slope(F.when(both, F.log("path")), F.when(both, F.log("away")))
     last = F.max_by(F.struct(*AXES, "away"), "point_id")
-    out = p.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path_length"), F.max("away").alias("max_displacement"), slope.alias("fractal_dim"), F.count(F.when(both, 1)).alias("usable"), last.alias("end"))
-    return out.select(*KEYS, "n", "path_length", F.col("end.away").alias("euclidean"), "max_displacement", F.when(F.col("usable") < 2, 1.0).otherwise(F.col("fractal_dim")).alias("fractal_dim"), *(F.col(f"end.{c}").alias(f"end_{c}") for c in AXES))
+    out = p.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path_length"), F.max("beside").alias("max_displacement"), F.min_by(F.struct(*AXES), "point_id").alias("start"), slope.alias("fractal_dim"), F.count(F.when(both, 1)).alias("usable"), last.alias("end"))
+    return out.select(*KEYS, "n", "path_length", F.col("end.away").alias("euclidean"), "max_displacement", F.when(F.col("usable") < 2, 1.0).otherwise(F.col("fractal_dim")).alias("fractal_dim"), *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("start", "end") for c in AXES)).withColumns({f"v{c}": F.col(f"end_{c}") - F.col(f"start_{c}") for c in AXES}).withColumns({f"u{c}": F.when(F.col("euclidean") > 0, F.col(f"v{c}") / F.col("euclidean")) for c in AXES})
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -82,7 +88,10 @@ def list_labels(points: DataFrame) -> DataFrame:
 
 
 def content_hash(points: DataFrame) -> DataFrame:
-    """A hash of each morphology's points and labels, equal for equal ones whatever their names; folded commutatively."""
+    """A hash of each morphology's points, radii and labels, of all branches, equal for equal ones whatever their names.
+
+    Folded commutatively. Morphologies that differ in radii or inner branches alone count as different here.
+    """
     h = F.xxhash64("branch_id", "point_id", *AXES, "radius", F.array_join("labels", ","))
     return points.groupBy("morph_name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("hash"))
 
@@ -107,17 +116,57 @@ def center(points: DataFrame, branches: DataFrame) -> DataFrame:
     return points.join(at, "morph_name").withColumns({c: F.col(c) - F.col(f"o{c}") for c in AXES}).select(points.columns)
 
 
+def root_points(points: DataFrame, branches: DataFrame) -> DataFrame:
+    """(morph_name, branch_id, root) of every branch: the root branch that it hangs on; a root hangs on itself."""
+    roots = branches.where("parent_branch is null").select("morph_name", "branch_id", F.col("branch_id").alias("root"))
+    above = ancestors(branches).join(roots.select("morph_name", F.col("branch_id").alias("ancestor"), "root"), ["morph_name", "ancestor"])
+    return roots.unionByName(above.select("morph_name", "branch_id", "root"))
+
+
+def collapse(points: DataFrame, branches: DataFrame, on: tuple[float, float, float] | None = None) -> DataFrame:
+    """Each tree moved as a whole, so that its root starts at one point for all: `on`, or else the origin."""
+    starts = points.groupBy(*KEYS).agg(F.min_by(F.struct(*AXES), "point_id").alias("s"))
+    at = root_points(points, branches).join(starts.select("morph_name", F.col("branch_id").alias("root"), "s"), ["morph_name", "root"]).select(*KEYS, "s")
+    if on is None:
+        to = origin(points, branches).select("morph_name", F.struct(*AXES).alias("to"))
+        at = at.join(to, "morph_name")
+    else:
+        at = at.withColumn("to", F.struct(*(F.lit(float(o)).alias(c) for o, c in zip(on, AXES, strict=True))))
+    return points.join(at, KEYS).withColumns({c: F.col(c) + F.col(f"to.{c}") - F.col(f"s.{c}") for c in AXES}).select(points.columns)
+
+
+def root_rotate(points: DataFrame, branches: DataFrame, rx: float, ry: float, rz: float, downstream_of: int = 0) -> DataFrame:
+    """Each tree turned about the start of its root; with downstream_of, about that point of the root, points before it left alone.
+
+    The latter needs a single root a morphology: rows of others raise.
+    """
+    roots = root_points(points, branches)
+    about = points.where(F.col("point_id") == downstream_of).select("morph_name", F.col("branch_id").alias("root"), F.struct(*AXES).alias("about"))
+    alone = branches.where("parent_branch is null").groupBy("morph_name").agg(F.count(F.lit(1)).alias("roots"))
+    p = points.join(roots, KEYS).join(about, ["morph_name", "root"]).join(alone, "morph_name")
+    turned = times(euler_matrix(F.lit(rx), F.lit(ry), F.lit(rz)), [F.col(c) - F.col(f"about.{c}") for c in AXES])
+    stays = (F.col("branch_id") == F.col("root")) & (F.col("point_id") < downstream_of)
+    lost = F.raise_error(F.lit("several roots can't be turned from within a branch")).cast("double")
+    new = {c: F.when(stays, F.col(c)).otherwise(t + F.col(f"about.{c}")) for c, t in zip(AXES, turned, strict=True)}
+    if downstream_of:
+        new = {c: F.when(F.col("roots") > 1, lost).otherwise(v) for c, v in new.items()}
+    return p.withColumns(new).select(points.columns)
+
+
 def ancestors(branches: DataFrame) -> DataFrame:
-    """(morph_name, branch_id, ancestor, distance) for all branches above each, found level by level."""
-    up = branches.where("parent_branch is not null").select("morph_name", "branch_id", F.col("parent_branch").alias("ancestor"))
-    step = up.select("morph_name", F.col("branch_id").alias("ancestor"), F.col("ancestor").alias("next"))
-    out, level, k = up.withColumn("distance", F.lit(1)), up, 1
+    """(morph_name, branch_id, ancestor, distance) for all branches above each.
+
+    Found by doubling: after k rounds, all up to 2**k levels above, so rounds go with the logarithm of the depth.
+    """
+    known = branches.where("parent_branch is not null").select("morph_name", "branch_id", F.col("parent_branch").alias("ancestor"), F.lit(1).alias("distance"))
+    reach, far = 1, known  # far: exactly `reach` levels above
     while True:
-        level = level.join(step, ["morph_name", "ancestor"]).select("morph_name", "branch_id", F.col("next").alias("ancestor")).persist()
-        if level.isEmpty():
-            return out
-        k += 1
-        out = out.unionByName(level.withColumn("distance", F.lit(k)))
+        on = known.select("morph_name", F.col("branch_id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
+        step = far.join(on, ["morph_name", "ancestor"]).select("morph_name", "branch_id", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).cast("int").alias("distance"))
+        if step.isEmpty():
+            return known
+        known, reach = known.unionByName(step), 2 * reach
+        far = known.where(F.col("distance") == reach)
 
 
 def close_gaps(points: DataFrame, branches: DataFrame) -> DataFrame:
@@ -156,7 +205,10 @@ def filtered(points: DataFrame, branches: DataFrame, labels: list[str]) -> tuple
 
 def simplify(points: DataFrame, epsilon: float) -> DataFrame:
     """Points of each branch that Ramer, Douglas and Peucker's rule keeps: both ends, and what lies further than
-    epsilon from the line of its stretch. A branch is one pandas group; branches are small."""
+    epsilon from the line of its stretch. A branch is one pandas group; branches are small. A negative epsilon raises."""
+    if epsilon < 0:
+        raise ValueError("the tolerance must not be negative")
+
     def keep(p: np.ndarray) -> np.ndarray:
         on, stack = np.zeros(len(p), bool), [(0, len(p) - 1)]
         on[[0, -1]] = True
@@ -221,8 +273,12 @@ def parse_swc(rows: DataFrame) -> DataFrame:
     names = {v: [k] for k, v in TAGS.items()}
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.set_index("sample", drop=False).sort_index()
-        kids = g.groupby("parent")["sample"].apply(list).to_dict()
+        g = g.sort_values("sample")
+        kids: dict[int, list[int]] = {}
+        for s, parent in zip(g["sample"].tolist(), g["parent"].tolist(), strict=True):
+            kids.setdefault(parent, []).append(s)
+        rows_of = dict(zip(g["sample"].tolist(), zip(*(g[c].tolist() for c in (*AXES, "radius", "tag")), strict=True), strict=True))
+        name = g["morph_name"].iloc[0]
         out, next_id = [], 0
         todo = [(s, None, None) for s in reversed(kids.get(-1, []))]
         while todo:
@@ -237,8 +293,8 @@ def parse_swc(rows: DataFrame) -> DataFrame:
                     break
                 at = below[0]
             for k, s in enumerate(line):
-                r = g.loc[s]
-                out.append((r.morph_name, branch, k, r.x, r.y, r.z, r.radius, names.get(int(r.tag), [f"tag_{int(r.tag)}"]), above))
+                *at_, radius, tag = rows_of[s]
+                out.append((name, branch, k, *at_, radius, names.get(int(tag), [f"tag_{int(tag)}"]), above))
             todo += [(s, branch, at) for s in reversed(below)]
         frame = pd.DataFrame(out, columns=["morph_name", "branch_id", "point_id", *AXES, "radius", "labels", "parent_branch"])
         frame["parent_branch"] = frame["parent_branch"].astype("Int32")

@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 from lattica.functions.labels import has_any
 
 NONE = -1
+#: The columns of stored connections.
+CONNECTION = ["tag", *(f"{s}_{c}" for s in ("pre", "post") for c in ("type", "chunk", "local", "branch", "point"))]
 
 
-def with_local_ids(cells: DataFrame, order: list[str]) -> DataFrame:
-    """cells with local_id, the rank from 0 in their type's chunk."""
+def with_local_ids(cells: DataFrame, order: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """cells with local_id, the rank from 0 in their type's chunk, after the cells that `stored` statistics count there."""
     w = Window.partitionBy("cell_type", "chunk_id").orderBy(*order)
-    return cells.withColumn("local_id", (F.row_number().over(w) - 1).cast("int"))
+    out = cells.withColumn("local_id", (F.row_number().over(w) - 1).cast("int"))
+    if stored is None:
+        return out
+    before = stored.select("cell_type", "chunk_id", F.col("n").alias("_before"))
+    out = out.join(before, ["cell_type", "chunk_id"], "left")
+    return out.withColumn("local_id", (F.col("local_id") + F.coalesce("_before", F.lit(0))).cast("int")).drop("_before")
 
 
 def chunk_stats(cells: DataFrame) -> DataFrame:
@@ -68,6 +75,54 @@ def global_connections(edges: DataFrame, pre_stats: DataFrame, post_stats: DataF
     return edges
 
 
+def scoped_connections(edges: DataFrame, pre_stats: DataFrame, post_stats: DataFrame, pre_chunks: list[int] | None = None, post_chunks: list[int] | None = None) -> DataFrame:
+    """The edges between the chosen chunks, with pre_id and post_id, ranks over the chosen chunks alone."""
+    for side, chunks in (("pre", pre_chunks), ("post", post_chunks)):
+        if chunks is not None:
+            edges = edges.where(F.col(f"{side}_chunk").isin(chunks))
+    within = lambda stats, chunks: stats if chunks is None else stats.where(F.col("chunk_id").isin(chunks))
+    return global_connections(edges, within(pre_stats, pre_chunks), within(post_stats, post_chunks))
+
+
+def connected(edges: DataFrame, cells: DataFrame, tag: str, pre_type: str, post_type: str) -> DataFrame:
+    """Connections to store of edges whose pre_id and post_id are ranks in the cell types (cell_id of with_global_ids).
+
+    Each rank becomes a chunk and a place in it, by an equi-join a side; a rank that the type doesn't have raises.
+    """
+    out = edges.withColumns({"tag": F.lit(tag), "pre_type": F.lit(pre_type), "post_type": F.lit(post_type)})
+    ranked = with_global_ids(cells.select("cell_type", "chunk_id", "local_id"))
+    for side, kind in (("pre", pre_type), ("post", post_type)):
+        own = ranked.where(F.col("cell_type") == kind).select(F.col("cell_id").alias(f"{side}_id"), F.col("chunk_id").alias(f"{side}_chunk"), F.col("local_id").alias(f"{side}_local"))
+        lost = F.raise_error(F.lit(f"an edge's {side} side is no cell of {kind}")).cast("long")
+        out = out.join(own, f"{side}_id", "left").withColumn(f"{side}_chunk", F.coalesce(f"{side}_chunk", lost))
+    return out.select(*CONNECTION)
+
+
+def chunk_connected(edges: DataFrame, tag: str, pre_type: str, post_type: str, pre_chunk: int, post_chunk: int) -> DataFrame:
+    """Connections to store of edges whose pre_id and post_id are places in one pre and one post chunk."""
+    fixed = {"tag": F.lit(tag), "pre_type": F.lit(pre_type), "post_type": F.lit(post_type), "pre_chunk": F.lit(pre_chunk).cast("long"), "post_chunk": F.lit(post_chunk).cast("long")}
+    return edges.withColumns(fixed | {"pre_local": F.col("pre_id").cast("int"), "post_local": F.col("post_id").cast("int")}).select(*CONNECTION)
+
+
+def directed(edges: DataFrame, direction: str | None = None, local: int | None = None, remote: int | None = None) -> DataFrame:
+    """Edges by direction ('out' with the pre side as local, 'inc' with the post side), local_chunk and global_chunk.
+
+    Given values fix an axis. Sorted by all three, the rows come block by block, as loops over directions, local and
+    global chunks would give them; grouped by them, a block is a group.
+    """
+    if direction not in (None, "inc", "out"):
+        raise ValueError("a direction is 'inc' or 'out'")
+    out = None
+    for name, (own, other) in (("inc", ("post", "pre")), ("out", ("pre", "post"))):
+        if direction in (None, name):
+            part = edges.select(F.lit(name).alias("direction"), F.col(f"{own}_chunk").alias("local_chunk"), F.col(f"{other}_chunk").alias("global_chunk"), "*")
+            out = part if out is None else out.unionByName(part)
+    for column, value in (("local_chunk", local), ("global_chunk", remote)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out
+
+
 def block_stats(edges: DataFrame) -> DataFrame:
     """Edges in each block of a pre and a post chunk."""
     return edges.groupBy("tag", "pre_chunk", "post_chunk").agg(F.count(F.lit(1)).alias("n"))

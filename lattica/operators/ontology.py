@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 
 def subtree(nodes: DataFrame, root: object) -> DataFrame:
-    """id and depth of a structure and all below it, by a recursive query."""
-    spark = nodes.sparkSession
-    nodes.select("id", "parent_id").createOrReplaceTempView("lattica_ontology")
-    return spark.sql(
-        """WITH RECURSIVE below(id, depth) AS (
-             SELECT id, 0 FROM lattica_ontology WHERE id = :root
-             UNION ALL SELECT n.id, b.depth + 1 FROM lattica_ontology n JOIN below b ON n.parent_id = b.id)
-           SELECT id, depth FROM below""", args={"root": root})
+    """id and depth of a structure and all below it. An empty result if there is none; a node that is above itself raises.
+
+    Paths double in length each round: after k rounds a node has its ancestors up to 2**k levels above, so rounds go with
+    the logarithm of the depth, and neither depth nor rows have a limit.
+    """
+    total = nodes.count()
+    start = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")).distinct()
+    up = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("above"), F.lit(1).alias("steps"))
+    below, level = start, up
+    while True:
+        reached = level.join(below.select(F.col("id").alias("above"), "depth"), "above").select("id", (F.col("depth") + F.col("steps")).alias("depth"))
+        below = below.unionByName(reached).distinct()
+        on = level.select(F.col("id").alias("above"), F.col("above").alias("further"), F.col("steps").alias("more"))
+        level = level.join(on, "above").select("id", F.col("further").alias("above"), (F.col("steps") + F.col("more")).alias("steps"))
+        deepest = level.agg(F.max("steps")).first()[0]
+        if deepest is None:
+            return below
+        if deepest > total:
+            raise ValueError("a structure is below itself")
 
 
 def find_structure(nodes: DataFrame, name: str | None = None, acronym: str | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.chunks import chunk_of
-from lattica.functions.keyed import keyed_bits, keyed_uniform, stochastic_round
+from lattica.functions.keyed import cdf_column, inverse_cdf, keyed_bits, keyed_uniform, stochastic_round
 from lattica.functions.rotation import aligning_matrix, matrix_euler
+from lattica.operators.connectivity import ranked
 from lattica.operators.spatial import AXES
 
 
@@ -41,7 +42,8 @@ class Indicator:
         if self.density_key is not None:
             if data is None or voxel_volume is None:
                 raise IndicatorError("a density key needs voxels with data")
-            return F.element_at(data, self.density_key) * voxel_volume
+            none = F.raise_error(F.lit(f"no density {self.density_key} in a voxel's data")).cast("double")
+            return F.when(F.map_contains_key(data, self.density_key), F.element_at(data, self.density_key)).otherwise(none) * voxel_volume
         out = None
         if self.count is not None:
             out = F.lit(float(self.count)) * chunk_volume / total_volume
@@ -86,21 +88,29 @@ def voxel_counts(voxels: DataFrame, indicators: dict[str, Indicator], seed: int
     return out.withColumn("n", stochastic_round(F.col("estimate"), keyed_uniform(seed, "cell_type", "voxel_id")))
 
 
+#: Points of a box that a task makes at once.
+POINTS = 4096
+
+
 def random_points(boxes: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    """`n` points, numbered from 1 as `k`, even over each box (lx, ly, lz, hx, hy, hz); keys name the box."""
-    rows = boxes.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))))
+    """`n` points, numbered from 1 as `k`, even over each box (lx, ly, lz, hx, hy, hz); keys name the box.
+
+    Numbers come in blocks, which are dealt to tasks, so the points of a dense box are no one task's.
+    """
+    n = F.col("n").cast("long")
+    blocks = boxes.where("n > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / POINTS)))).hint("rebalance", *keys, "_b")
+    rows = blocks.withColumn("k", F.explode(F.sequence(F.col("_b") * POINTS + 1, F.least(n, (F.col("_b") + 1) * POINTS))))
     at = [(F.col(f"l{c}") + keyed_uniform(f"{seed}{c}", *keys, "k") * (F.col(f"h{c}") - F.col(f"l{c}"))).alias(c) for c in AXES]
     return rows.select(*keys, "k", *at)
 
 
 def random_points_in_voxels(voxels: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """`count` points over voxels (voxel_id, lx, ..., hz): a voxel by its rank with equal chance, then a point in it."""
-    w = Window.orderBy("voxel_id")
-    ranked = voxels.withColumn("r", F.row_number().over(w) - 1)  # a partition's voxels; cells are made below
+    """`count` points over voxels (voxel_id, lx, ..., hz): a voxel by its rank (see connectivity.ranked) with equal chance, then a point in it."""
+    places = ranked(voxels.select(F.col("voxel_id").alias("id")), seed).select(F.col("id").alias("voxel_id"), F.col("rank").alias("r"))
     n = voxels.count()
     draws = voxels.sparkSession.range(1, count + 1).select(F.col("id").alias("k")).withColumn("r", F.pmod(keyed_bits(f"{seed}v", "k"), F.lit(n)))
     at = [(F.col(f"l{c}") + keyed_uniform(f"{seed}{c}", "k") * (F.col(f"h{c}") - F.col(f"l{c}"))).alias(c) for c in AXES]
-    return draws.join(ranked, "r").select("voxel_id", "k", *at)
+    return draws.join(places, "r").join(voxels, "voxel_id").select("voxel_id", "k", *at)
 
 
 def fixed_points(spark: SparkSession, points: list[tuple[float, float, float]], cell_types: list[str], size: float) -> DataFrame:
@@ -161,6 +171,14 @@ def random_rotations(cells: DataFrame, keys: list[str], seed: int = 0) -> DataFr
     return cells.withColumns({f"r{c}": keyed_uniform(f"{seed}r{c}", *keys) * 360.0 for c in AXES})
 
 
+def distributed_points(boxes: DataFrame, keys: list[str], axis: str, name: str, seed: int = 0, **parameters: float) -> DataFrame:
+    """Like random_points, but along one axis, from a box's low side, as a distribution says, cut off at the box's end."""
+    u = keyed_uniform(f"{seed}d{axis}", *keys, "k")
+    made = random_points(boxes, keys, seed).join(boxes.select(*keys, F.col(f"l{axis}").alias("_low"), (F.col(f"h{axis}") - F.col(f"l{axis}")).alias("_long")), keys)
+    low, span = cdf_column(name, F.lit(0.0), **parameters), cdf_column(name, F.col("_long"), **parameters)
+    return made.withColumn(axis, F.col("_low") + inverse_cdf(name, low + u * (span - low), **parameters)).drop("_low", "_long")
+
+
 def no_rotations(cells: DataFrame) -> DataFrame:
     return cells.withColumns({f"r{c}": F.lit(0.0) for c in AXES})
 

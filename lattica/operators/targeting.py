@@ -58,7 +58,10 @@ def somata(points: DataFrame) -> DataFrame:
     return locations(points, ["soma"])
 
 
-def branch_locations(points: DataFrame, x: float, keys: list[str]) -> DataFrame:
-    """One point of each branch: the last whose arc is at most x, in [0, 1]. points have `arc` (see morphology.arcs)."""
-    w = Window.partitionBy(*keys, "branch_id").orderBy(F.desc("arc"), F.desc("point_id"))
-    return points.where(F.col("arc") <= x).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def branch_locations(points: DataFrame, x: float, keys: list[str], above: bool = False) -> DataFrame:
+    """One point of each branch: the last whose arc is at most x, in [0, 1], or with above=True the first whose arc is at least x.
+
+    points have `arc` (see morphology.arcs).
+    """
+    w = Window.partitionBy(*keys, "branch_id").orderBy(*((F.col("arc"), F.col("point_id")) if above else (F.desc("arc"), F.desc("point_id"))))
+    return points.where(F.col("arc") >= x if above else F.col("arc") <= x).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.chunks import chunk_of
-from lattica.operators.network import redo_closure, with_local_ids
+from lattica.operators.connectivity import output_tags
+from lattica.operators.network import chunk_stats, connected, redo_closure, with_local_ids
 from lattica.plans.configuration import in_order
 from lattica.sources.store import NetworkStore
 
@@ -64,11 +65,35 @@ class Plan:
         if "chunk_id" not in cells.columns:
             cells = cells.withColumn("chunk_id", chunk_of(F.col("x"), F.col("y"), F.col("z"), self.chunk_size))
         if "local_id" not in cells.columns:
-            cells = with_local_ids(cells, ["x", "y", "z"])
+            stored = chunk_stats(self.store.read("cells")) if self.store.holds("cells") else None
+            cells = with_local_ids(cells, ["x", "y", "z"], stored)
         self.store.append("cells", cells)
 
+    def tags(self, strategy: Strategy) -> dict[tuple[str, str], str | None]:
+        """The tag of each pair of cell types that a strategy connects."""
+        return output_tags(strategy.name, [(a, b) for a in strategy.pre for b in strategy.post])
+
     def connect(self, strategy: Strategy) -> None:
-        self.store.append("connections", strategy.make(self))
+        """Stores a strategy's edges: as they are if they have chunks, else from ranks in the cell types, a pair of types at a time.
+
+        With several pairs of types, edges name theirs in pre_type and post_type. A tag whose stored edges have other types raises.
+        """
+        edges = strategy.make(self)
+        if "pre_chunk" in edges.columns:
+            self.store.append("connections", edges)
+            return
+        if not strategy.pre or not strategy.post:
+            raise ValueError(f"{strategy.name} must name the cell types that its edges have ranks in")
+        cells, tags = self.store.read("cells"), self.tags(strategy)
+        for (pre, post), tag in tags.items():
+            if tag is None:
+                continue
+            if self.store.holds("connections"):
+                other = self.store.read("connections").where((F.col("tag") == tag) & ((F.col("pre_type") != pre) | (F.col("post_type") != post))).first()
+                if other is not None:
+                    raise ValueError(f"{tag} connects {other.pre_type} to {other.post_type}, not {pre} to {post}")
+            part = edges if len(tags) == 1 else edges.where((F.col("pre_type") == pre) & (F.col("post_type") == post))
+            self.store.append("connections", connected(part, cells, tag, pre, post))
 
     def compile(self, only: list[str] | None = None, skip: list[str] | None = None, clear: bool = False, append: bool = False, redo: bool = False, skip_placement: bool = False, skip_connectivity: bool = False) -> None:
         """Runs placement, then connectivity, and the hooks after each.
@@ -90,7 +115,8 @@ class Plan:
                 self.store.clear("cells", cell_type=t)
             for s in self.connectivity:
                 if s.name in only:
-                    self.store.clear("connections", tag=s.name)
+                    for tag in {s.name, *self.tags(s).values()} - {None}:
+                        self.store.clear("connections", tag=tag)
         if not skip_placement:
             for s in self._chosen(self.placement, only, skip):
                 self.place(s)

@@ -6,6 +6,8 @@ As morphologies, 60 of its 64 numbers are 4 branches of 5 points.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,9 @@ from lattica.operators import spatial as J
 from lattica.operators import targeting as T
 from lattica.operators import voxels as V
 from lattica.plans import topology as L
+from lattica.plans.network import Plan, Strategy
 from lattica.sources import imports as I
+from lattica.sources.store import NetworkStore
 from lattica.streaming.windows import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,16 +193,30 @@ def _degree_sql(fixed: str, pool: str, k: int, seed: int) -> str:
     return f"SELECT f AS fixed_id, p AS pool_id FROM (SELECT f.id AS f, p.id AS p, row_number() OVER (PARTITION BY f.id ORDER BY {bits_sql(seed, 'f.id', 'p.id')}, p.id) AS r FROM ({fixed}) f, ({pool}) p) WHERE r <= {k}"
 
 
-@query(f"SELECT pool_id AS pre_id, fixed_id AS post_id FROM ({_degree_sql('SELECT n_nationkey AS id FROM nation', 'SELECT s_suppkey AS id FROM supplier', 5, 1)})")
+def _sampled_sql(fixed: str, pool: str, k: int, seed: int) -> str:
+    """SQL of sampled_degree: places in the pool by keyed draws, the first k different ones."""
+    return f"""SELECT o AS fixed_id, id AS pool_id FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY t) AS r FROM (
+      SELECT o, rank, min(t) AS t FROM (SELECT f.id AS o, t, {bits_sql(seed, 'f.id', 't')} % (SELECT count(*) FROM ({pool}) c) AS rank FROM ({fixed}) f, range(1, {2 * k + 33}) tt(t)) GROUP BY o, rank))
+      JOIN (SELECT id, row_number() OVER (ORDER BY {bits_sql(f'{seed}-rank', 'id')}, id) - 1 AS rank FROM ({pool}) c) USING (rank) WHERE r <= {k}"""
+
+
+_CUSTOMERS, _NATIONS = "SELECT c_custkey AS id FROM customer", "SELECT n_nationkey AS id FROM nation"
+
+
+@query(f"SELECT pool_id AS pre_id, fixed_id AS post_id FROM ({_sampled_sql('SELECT id FROM cells', _CUSTOMERS, 5, 1)})")
 def fixed_indegree(spark, d):
-    pre, post = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
-    return C.fixed_indegree(pre, post, 5, 1).select("pre_id", "post_id")
+    return C.fixed_indegree(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), cells(spark, d).select("id"), 5, 1).select("pre_id", "post_id")
 
 
-@query(f"SELECT fixed_id AS pre_id, pool_id AS post_id FROM ({_degree_sql('SELECT n_nationkey AS id FROM nation', 'SELECT s_suppkey AS id FROM supplier', 3, 2)})")
+@query(f"SELECT fixed_id AS pre_id, pool_id AS post_id FROM ({_sampled_sql('SELECT id FROM cells', _CUSTOMERS, 3, 2)})")
 def fixed_outdegree(spark, d):
-    pre, post = table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    return C.fixed_outdegree(pre, post, 3, 2).select("pre_id", "post_id")
+    return C.fixed_outdegree(cells(spark, d).select("id"), table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 3, 2).select("pre_id", "post_id")
+
+
+@query(f"SELECT fixed_id, pool_id FROM ({_degree_sql('SELECT c_custkey AS id FROM customer', _NATIONS, 7, 3)})")
+def ranked_degree(spark, d):
+    """A pool of 25 for a degree of 7: all pairs are ranked."""
+    return C.fixed_degree(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), 7, 3)
 
 
 @query(f"""SELECT o AS fixed_id, id AS pool_id FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY t) AS r FROM (
@@ -243,6 +261,57 @@ def global_connections(spark, d):
     return N.global_connections(block_edges(spark, d), stats, stats).select("pre_type", "pre_id", "post_type", "post_id")
 
 
+def _scratch_store(spark: SparkSession) -> NetworkStore:
+    """A store in the shared folder; in one of the machine only where the session is local and names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
+    return NetworkStore(spark, f"{folder}/network-{uuid.uuid4().hex}")
+
+
+@query("""SELECT a.cell_type AS pre_type, a.id AS pre_cell, b.cell_type AS post_type, b.id AS post_cell FROM cells a JOIN cells b ON a.cell_type = 'type_1' AND b.cell_type = 'type_2' AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 3600""")
+def edge_storage(spark, d):
+    """Two placements of each type, the second appended; edges by rank, stored by chunk and place, and read back as the cells they join."""
+    c, store = cells(spark, d).select("id", "cell_type", "x", "y", "z", "chunk_id"), _scratch_store(spark)
+    parts = [Strategy(f"place_{k}", lambda plan, k=k: c.where(F.col("id") % 2 == k), ["type_1", "type_2"]) for k in (0, 1)]
+
+    def near(plan: Plan) -> DataFrame:
+        own = N.with_global_ids(plan.store.read("cells")).select(F.col("cell_id").alias("id"), "cell_type", "x", "y", "z")
+        return C.within_distance(C.side(own, ["type_1"]), C.side(own, ["type_2"]), 60.0)
+
+    Plan(store, SIZE, placement=parts[:1]).compile()
+    Plan(store, SIZE, placement=parts[1:], connectivity=[Strategy("near", near, ["type_1", "type_2"], pre=["type_1"], post=["type_2"])]).compile(append=True)
+    edges, held = store.read("connections"), store.read("cells").select("cell_type", "chunk_id", "local_id", "id")
+    for s in ("pre", "post"):
+        edges = edges.join(held.select(*(F.col(x).alias(f"{s}_{y}") for x, y in (("cell_type", "type"), ("chunk_id", "chunk"), ("local_id", "local"), ("id", "cell")))), [f"{s}_type", f"{s}_chunk", f"{s}_local"])
+    return edges.select("pre_type", "pre_cell", "post_type", "post_cell")
+
+
+@query("SELECT direction, local_chunk, global_chunk, count(*) AS n FROM (SELECT 'out' AS direction, a.chunk_id AS local_chunk, b.chunk_id AS global_chunk FROM (" + _NEAR + ") e JOIN cells a ON a.id = pre_id JOIN cells b ON b.id = post_id UNION ALL SELECT 'inc', b.chunk_id, a.chunk_id FROM (" + _NEAR + ") e JOIN cells a ON a.id = pre_id JOIN cells b ON b.id = post_id) GROUP BY ALL")
+def directed_blocks(spark, d):
+    return N.directed(block_edges(spark, d)).groupBy("direction", "local_chunk", "global_chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk, a.local_id AS pre_local, b.local_id AS post_local FROM (" + _NEAR + ") e JOIN numbered a ON a.id = pre_id AND a.chunk_id = 0 JOIN numbered b ON b.id = post_id AND b.chunk_id IN (0, 1, 65535)")
+def connection_scan(spark, d):
+    return N.connections(block_edges(spark, d), "near", [0], [0, 1, 65535]).select("pre_chunk", "post_chunk", F.col("pre_local").cast("long").alias("pre_local"), F.col("post_local").cast("long").alias("post_local"))
+
+
+@query("""SELECT a.cell_type AS pre_type, a.local_id AS pre_id, b.cell_type AS post_type, coalesce((SELECT sum(n) FROM stats s WHERE s.cell_type = b.cell_type AND s.chunk_id IN (0, 1) AND s.chunk_id < b.chunk_id), 0)::BIGINT + b.local_id AS post_id
+ FROM (""" + _NEAR + ") e JOIN numbered a ON a.id = pre_id AND a.chunk_id = 0 JOIN numbered b ON b.id = post_id AND b.chunk_id IN (0, 1)")
+def scoped_connections(spark, d):
+    stats = N.chunk_stats(cells(spark, d))
+    return N.scoped_connections(block_edges(spark, d), stats, stats, [0], [0, 1]).select("pre_type", F.col("pre_id").cast("long").alias("pre_id"), "post_type", F.col("post_id").cast("long").alias("post_id"))
+
+
+@query("SELECT a.id AS a, b.id AS b, round(5 + a.id % 3 + 5 + b.id % 3 - sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS overlap FROM cells a JOIN cells b ON a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < (10 + a.id % 3 + b.id % 3) ** 2")
+def colliding(spark, d):
+    c = cells(spark, d).withColumn("radius", 5.0 + F.col("id") % 3)
+    return J.colliding(c, 7.0).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("overlap", 6).alias("overlap"))
+
+
 def world(spark, d):
     return C.world_points(cells(spark, d).withColumn("morph_name", F.col("id").cast("string")), points(spark, d))
 
@@ -261,6 +330,16 @@ def voxel_intersection(spark, d):
     return C.voxel_intersection(w, w, 20.0, contacts=2, seed=5).where("pre_id < post_id")
 
 
+@query(""", tw AS (SELECT c.id, branch_id, point_id, c.x - p.y AS x, c.y + p.x AS y, c.z + p.z AS z FROM cells c JOIN pts p ON p.morph_name = c.id::VARCHAR AND label = 'axon'),
+tv AS (SELECT DISTINCT id, floor(x / 20) AS ix, floor(y / 20) AS iy, floor(z / 20) AS iz FROM tw), wv AS (SELECT DISTINCT id, floor(x / 20) AS ix, floor(y / 20) AS iy, floor(z / 20) AS iz FROM world)
+SELECT DISTINCT a.id AS pre_id, b.id AS post_id FROM tv a JOIN wv b USING (ix, iy, iz)""")
+def voxel_intersection_turned(spark, d):
+    """Cells turned by a quarter about z, of whose morphologies the axons count, against cells that are not."""
+    c = cells(spark, d).withColumn("morph_name", F.col("id").cast("string"))
+    turned = c.withColumns({"rx": F.lit(0.0), "ry": F.lit(0.0), "rz": F.lit(90.0)})
+    return C.voxel_intersection(C.world_points(turned, points(spark, d), ["axon"]), world(spark, d), 20.0).select("pre_id", "post_id")
+
+
 @query("SELECT s.id AS pre_id, -1 AS pre_branch, -1 AS pre_point, w.id AS post_id, branch_id AS post_branch, point_id AS post_point FROM world w JOIN cells s ON s.cell_type = 'type_0' AND (w.x - s.x) ** 2 + (w.y - s.y) ** 2 + (w.z - s.z) ** 2 <= 900")
 def shape_to_morphology(spark, d):
     spheres = cells(spark, d).where("cell_type = 'type_0'").select("id", "x", "y", "z", F.lit(30.0).alias("radius"))
@@ -319,6 +398,54 @@ def shape_containment(spark, d):
     return cells(spark, d).select("id", *(s.inside(p).alias(n) for n, s in named.items()))
 
 
+#: Each solid about a cell's place, and when it holds a point at (x, y, z) from there.
+SOLIDS: dict[str, tuple[S.Shape, str]] = {
+    "sphere": (S.Sphere((5.0, 0.0, 0.0), 30.0), "sqrt((x - 5) ** 2 + y ** 2 + z ** 2) < 30.001"),
+    "ellipsoid": (S.Ellipsoid((0.0, 0.0, 5.0), (40.0, 20.0, 30.0)).rotated(0.0, 0.0, 90.0), "(y / 40) ** 2 + (x / 20) ** 2 + ((z - 5) / 30) ** 2 < 1"),
+    "cylinder": (S.Cylinder((0.0, 0.0, -30.0), 25.0, (0.0, 0.0, 30.0)).rotated(90.0, 0.0, 0.0), "x ** 2 + z ** 2 < 625.001 AND abs(y) < 30.001"),
+    "cone": (S.Cone((0.0, 0.0, 40.0), (0.0, 0.0, -40.0), 40.0).translated((0.0, 0.0, 10.0)), "z <= 50 AND z >= -30 AND x * x + y * y <= ((50 - z) / 2) ** 2"),
+    "cuboid": (S.cuboid((0.0, 0.0, -20.0), (0.0, 0.0, 30.0), 50.0, 40.0), "abs(x) < 25 AND abs(y) < 20 AND z > -20 AND z < 30"),
+    "parallelepiped": (S.Parallelepiped((-20.0, -20.0, -20.0), ((40.0, 0.0, 0.0), (10.0, 40.0, 0.0), (0.0, 0.0, 40.0))), "abs(z) < 20 AND abs(y) < 20 AND (x + 20 - (y + 20) / 4) / 40 > 0 AND (x + 20 - (y + 20) / 4) / 40 < 1"),
+}
+
+
+def _solid_queries(name: str, solid: S.Shape, holds: str) -> None:
+    near = f"(SELECT s.id AS sid, w.id AS wid, branch_id, point_id, w.x - s.x AS x, w.y - s.y AS y, w.z - s.z AS z FROM world w JOIN cells s ON s.cell_type = 'type_3') WHERE {holds}"
+
+    def to_morphology(spark, d):
+        return C.shape_to_morphology(cells(spark, d).where("cell_type = 'type_3'"), world(spark, d), 60.0, shape=solid)
+
+    def to_shape(spark, d):
+        return C.morphology_to_shape(world(spark, d), cells(spark, d).where("cell_type = 'type_3'"), 60.0, shape=solid).select("pre_id", "pre_branch", "pre_point", "post_id")
+
+    to_morphology.__name__, to_shape.__name__ = f"{name}_to_morphology", f"morphology_to_{name}"
+    query(f"SELECT sid AS pre_id, -1 AS pre_branch, -1 AS pre_point, wid AS post_id, branch_id AS post_branch, point_id AS post_point FROM {near}")(to_morphology)
+    query(f"SELECT wid AS pre_id, branch_id AS pre_branch, point_id AS pre_point, sid AS post_id FROM {near}")(to_shape)
+
+
+for _name, (_solid, _holds) in SOLIDS.items():
+    _solid_queries(_name, _solid, _holds)
+
+
+@query(f"""SELECT p.id AS pre_id, s.id AS post_id, count(*) AS n FROM (SELECT id, x + (-25 + 50 * {uniform_sql('6-0-0', 'id', 'k')}) AS x, y + (-20 + 40 * {uniform_sql('6-0-1', 'id', 'k')}) AS y, z + (-20 + 50 * {uniform_sql('6-0-2', 'id', 'k')}) AS z
+  FROM cells, range(12) r(k) WHERE cell_type = 'type_4') p JOIN cells s ON s.cell_type = 'type_5' AND abs(p.x - s.x) < 25 AND abs(p.y - s.y) < 20 AND p.z - s.z > -20 AND p.z - s.z < 30 GROUP BY ALL""")
+def composition_to_shape(spark, d):
+    """Twelve random points in the cuboid of each pre cell, against those of the post cells."""
+    both = S.Composition((SOLIDS["cuboid"][0],), (("soma",),))
+    cloud = C.shape_cloud(cells(spark, d).where("cell_type = 'type_4'"), both, 20.0, 6)
+    return C.shape_to_shape(cloud, cells(spark, d).where("cell_type = 'type_5'"), 60.0, shape=both).groupBy("pre_id", "post_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT least(floor(count(*) * 0.25::DOUBLE), count(*))::BIGINT AS n, 0::BIGINT AS n_others FROM world w JOIN cells s ON s.cell_type = 'type_2' AND (w.x - s.x) ** 2 + (w.y - s.y) ** 2 + (w.z - s.z) ** 2 <= 625""")
+def shape_pruning(spark, d):
+    """Exactly a quarter of all edges stays, rounded down; none is new."""
+    spheres = cells(spark, d).where("cell_type = 'type_2'").select("id", "x", "y", "z", F.lit(25.0).alias("radius"))
+    cloud = world(spark, d).select("id", (F.col("branch_id") * 5 + F.col("point_id")).alias("point_id"), "x", "y", "z")
+    kept, every = C.shape_to_shape(cloud, spheres, 50.0, pruning=0.25, seed=2), C.shape_to_shape(cloud, spheres, 50.0)
+    others = kept.join(every.select("pre_id", "post_id").distinct().withColumn("known", F.lit(1)), ["pre_id", "post_id"], "left")
+    return others.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("n_others"))
+
+
 @query("SELECT id FROM cells WHERE (abs(x) < 90 AND abs(y) < 90 AND abs(z) < 90 AND sqrt(x * x + y * y + z * z) < 90.001) OR (abs(x) < 80 AND abs(y) < 50 AND z > -50 AND z < 60)")
 def shape_composition(spark, d):
     both = S.Composition((SPHERE, CUBOID, CONE), (("a",), ("b", "a"), ("c",))).only(["a"])
@@ -331,15 +458,19 @@ def shape_volumes(spark, d):
     return spark.createDataFrame([(n, round(s.volume(), 2)) for n, s in named.items()], "name string, volume double")
 
 
-@query("SELECT s.id, count(*) AS n, count(*) AS n_inside FROM cells s, range(10) GROUP BY ALL")
+@query(f"""SELECT id, k, round(90 * cbrt(u) * sqrt(1 - (2 * v - 1) ** 2) * cos(2 * pi() * w), 5) + 0.0 AS x, round(90 * cbrt(u) * (2 * v - 1), 5) + 0.0 AS z, true AS inside
+FROM (SELECT id, k, {uniform_sql(0, 'id', 'k')} AS u, {uniform_sql(1, 'id', 'k')} AS v, {uniform_sql(2, 'id', 'k')} AS w FROM cells, (SELECT unnest(range(1, 11)) AS k))""")
 def shape_clouds(spark, d):
-    """Ten points of a sphere at each cell; all are inside it."""
-    rows = cells(spark, d).select("id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"))
+    """Ten points of a sphere at each cell; all are inside it, and so are those of the other solids."""
+    rows = cells(spark, d).select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("k"))
     p = SPHERE.point([keyed_uniform(i, "id", "k") for i in range(3)])
-    q = CONE.point([keyed_uniform(i, "id", "k") for i in range(3)])
-    at = rows.select("id", *(c.alias(f"p{i}") for i, c in enumerate(p)), *(c.alias(f"q{i}") for i, c in enumerate(q)))
-    inside = SPHERE.inside([F.col(f"p{i}") for i in range(3)]) & CONE.inside([F.col(f"q{i}") for i in range(3)])
-    return at.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_inside"))
+    others = {"q": CONE, "e": ELLIPSOID, "c": CYLINDER, "b": CUBOID, "s": SLANTED}
+    made = [c.alias(f"{n}{i}") for n, s in others.items() for i, c in enumerate(s.point([keyed_uniform(i, "id", "k") for i in range(3)]))]
+    at = rows.select("id", "k", *(c.alias(f"p{i}") for i, c in enumerate(p)), *made)
+    inside = SPHERE.inside([F.col(f"p{i}") for i in range(3)])
+    for n, s in others.items():
+        inside = inside & s.inside([F.col(f"{n}{i}") for i in range(3)])
+    return at.select("id", "k", (F.round("p0", 5) + 0.0).alias("x"), (F.round("p2", 5) + 0.0).alias("z"), inside.alias("inside"))
 
 
 # Placement.
@@ -384,19 +515,28 @@ def indicator_counts(spark, d):
     return _indicated(spark).withColumn("estimate", F.round("estimate", 6))
 
 
-@query(_INDICATED + f""", bx AS (SELECT i.*, ((chunk_id & 65535) - CASE WHEN (chunk_id & 65535) >= 32768 THEN 65536 ELSE 0 END) * 100.0::DOUBLE AS lx FROM ind i)
-SELECT cell_type, chunk_id, k, round(lx + {uniform_sql('6x', 'cell_type', 'chunk_id', 'k')} * 100, 6) + 0.0 AS x FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM bx WHERE n > 0)""")
+_PLACED = _INDICATED + f""", bx AS (SELECT i.*, {", ".join(f"(((chunk_id >> {16 * i}) & 65535) - CASE WHEN ((chunk_id >> {16 * i}) & 65535) >= 32768 THEN 65536 ELSE 0 END) * 100.0::DOUBLE AS l{c}" for i, c in enumerate("xyz"))} FROM ind i),
+pn AS (SELECT *, unnest(range(1, n + 1)) AS k FROM bx WHERE n > 0)"""
+
+
+@query(_PLACED + " SELECT cell_type, chunk_id, k, " + ", ".join(f"round(l{c} + {uniform_sql(f'6{c}', 'cell_type', 'chunk_id', 'k')} * 100, 6) + 0.0 AS {c}" for c in "xyz") + " FROM pn")
 def random_placement(spark, d):
     made = P.random_points(V.chunk_corners(_indicated(spark), SIZE), ["cell_type", "chunk_id"], 6)
-    return rounded(made, "x").select("cell_type", "chunk_id", "k", "x")
+    return rounded(made, "x", "y", "z").select("cell_type", "chunk_id", "k", "x", "y", "z")
+
+
+@query(_PLACED + f" SELECT cell_type, chunk_id, k, round(lz - 30 * ln(1 - {uniform_sql('6dz', 'cell_type', 'chunk_id', 'k')} * (1 - exp(-100 / 30.0::DOUBLE))), 6) + 0.0 AS z FROM pn")
+def distributed_placement(spark, d):
+    """Depths from an exponential distribution, cut off at the chunk's end."""
+    made = P.distributed_points(V.chunk_corners(_indicated(spark), SIZE), ["cell_type", "chunk_id"], "z", "expon", 6, scale=30.0)
+    return rounded(made, "z").select("cell_type", "chunk_id", "k", "z")
 
 
-@query(f"SELECT voxel_id, count(*) AS n FROM (SELECT {bits_sql('9v', 'k')} % (SELECT count(*) FROM nation) AS r FROM (SELECT unnest(range(1, 1001)) AS k)) JOIN (SELECT n_nationkey AS voxel_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation) USING (r) GROUP BY ALL")
+@query(f"SELECT voxel_id, k, round(voxel_id * 10 + {uniform_sql('9x', 'k')} * 10, 6) + 0.0 AS x, round(voxel_id * 10 + {uniform_sql('9z', 'k')} * 10, 6) + 0.0 AS z FROM (SELECT k, {bits_sql('9v', 'k')} % (SELECT count(*) FROM part) AS r FROM (SELECT unnest(range(1, 5001)) AS k)) JOIN (SELECT p_partkey AS voxel_id, row_number() OVER (ORDER BY {bits_sql('9-rank', 'p_partkey')}, p_partkey) - 1 AS r FROM part) USING (r)")
 def random_voxel_placement(spark, d):
-    low = F.col("n_nationkey") * 10.0
-    v = table(spark, d, "nation").select(F.col("n_nationkey").alias("voxel_id"), *(low.alias(f"l{c}") for c in "xyz"), *((low + 10).alias(f"h{c}") for c in "xyz"))
-    p = P.random_points_in_voxels(v, 1000, 9)
-    return p.where((F.col("x") >= F.col("voxel_id") * 10) & (F.col("x") < F.col("voxel_id") * 10 + 10)).groupBy("voxel_id").agg(F.count(F.lit(1)).alias("n"))
+    low = F.col("p_partkey") * 10.0
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("voxel_id"), *(low.alias(f"l{c}") for c in "xyz"), *((low + 10).alias(f"h{c}") for c in "xyz"))
+    return rounded(P.random_points_in_voxels(v, 5000, 9), "x", "z").select("voxel_id", "k", "x", "z")
 
 
 @query(f"SELECT * FROM (SELECT 'part' AS cell_type, p_partkey AS voxel_id, p_size * 0.01 * 8 AS estimate, (floor(p_size * 0.01 * 8) + CASE WHEN {uniform_sql(2, chr(39) + 'part' + chr(39), 'p_partkey')} < p_size * 0.01 * 8 - floor(p_size * 0.01 * 8) THEN 1 ELSE 0 END)::BIGINT AS n FROM part)")
@@ -405,15 +545,15 @@ def voxel_density_counts(spark, d):
     return P.voxel_counts(v, {"part": P.Indicator(density_key="inhib", density=3.0)}, 2)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT row) AS n_rows, max(\"column\") AS last FROM (SELECT r AS row, c AS \"column\", 20.0 * c AS x, (r * 50.0 + c * 20.0 * tan(radians(20.0))) AS y0 FROM range(4) a(r), range(10) b(c)) WHERE x <= 195 AND y0 - 200.0 * floor(y0 / 200.0) <= 195")
+@query(f"""SELECT "row", "column", round(20.0 * "column", 6) AS x, round(y0 - 200.0 * floor(y0 / 200.0), 6) AS y, round({uniform_sql('0z', '"row"', '"column"')} * 50, 6) AS z
+FROM (SELECT r AS "row", c AS "column", r * 50.0::DOUBLE + c * 20.0 * tan(radians(20.0)) AS y0 FROM range(4) a(r), range(10) b(c)) WHERE 20.0 * "column" <= 195 AND y0 - 200.0 * floor(y0 / 200.0) <= 195""")
 def lattice_placement(spark, d):
-    p = P.lattice_points(spark, (0.0, 0.0, 0.0), (200.0, 200.0, 50.0), spacing=20.0, angle=20.0, radius=5.0, density=0.001)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("n_rows"), F.max("column").alias("last"))
+    return rounded(P.lattice_points(spark, (0.0, 0.0, 0.0), (200.0, 200.0, 50.0), spacing=20.0, angle=20.0, radius=5.0, density=0.001), "x", "y", "z").select("row", "column", "x", "y", "z")
 
 
-@query("SELECT 3 * 2 AS n, 2 AS n_types, 2 AS n_chunks")
+@query("SELECT cell_type, k::BIGINT AS k, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN x > 100 THEN 1 ELSE 0 END::BIGINT AS chunk_id FROM (VALUES (0, 1, 1), (1, 2, 2), (2, 150, 1)) p(k, x, y), (VALUES ('a'), ('b')) t(cell_type)")
 def fixed_placement(spark, d):
-    return P.fixed_points(spark, [(1, 1, 1), (2, 2, 2), (150, 1, 1)], ["a", "b"], SIZE).agg(F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct("cell_type").cast("int").alias("n_types"), F.count_distinct("chunk_id").cast("int").alias("n_chunks"))
+    return P.fixed_points(spark, [(1, 1, 1), (2, 2, 2), (150, 1, 1)], ["a", "b"], SIZE).select("cell_type", "k", "x", "y", "chunk_id")
 
 
 @query("SELECT range::INTEGER AS local_id, 0::BIGINT AS chunk_id FROM range(25)")
@@ -532,9 +672,10 @@ def voxel_concatenate(spark, d):
     return V.concatenate(v, v.where("voxel_id % 2 = 0").withColumn("extra", F.col("voxel_id"))).agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("n_extra"))
 
 
-@query("SELECT id, floor(x / 25)::BIGINT AS ix, floor(y / 25)::BIGINT AS iy, floor(z / 25)::BIGINT AS iz, count(*) AS n FROM world GROUP BY ALL")
+@query("SELECT id, floor(x / 25)::BIGINT AS ix, floor(y / 25)::BIGINT AS iy, floor(z / 25)::BIGINT AS iz, count(*) AS n, string_agg(branch_id || ':' || point_id, ',' ORDER BY branch_id, point_id) AS at FROM world GROUP BY ALL")
 def voxelize(spark, d):
-    return C.voxelized(world(spark, d), 25.0, ["id"]).drop("at")
+    at = F.array_join(F.transform("at", lambda p: F.concat_ws(":", p["branch_id"].cast("string"), p["point_id"].cast("string"))), ",")
+    return C.voxelized(world(spark, d), 25.0, ["id"]).withColumn("at", at)
 
 
 @query("SELECT ix, 0 AS iy, 0 AS iz, ix % 4 AS a FROM (SELECT DISTINCT o_orderkey AS ix FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 3 <> 0)")
@@ -603,13 +744,34 @@ def morphology_arcs(spark, d):
     return rounded(M.arcs(points(spark, d)), "path", "arc").select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), F.col("point_id").cast("long").alias("point_id"), "path", "arc")
 
 
-@query(""", o AS (SELECT *, first(x) OVER w AS ox, first(y) OVER w AS oy, first(z) OVER w AS oz FROM arcs WINDOW w AS (PARTITION BY morph_name, branch_id ORDER BY point_id)),
-a AS (SELECT *, sqrt((x - ox) ** 2 + (y - oy) ** 2 + (z - oz) ** 2) AS away FROM o)
-SELECT morph_name, branch_id, count(*) AS n, round(max(path), 6) AS path_length, round(arg_max(away, point_id), 6) AS euclidean, round(max(away), 6) AS max_displacement,
- round(regr_slope(ln(path), ln(away)) FILTER (away > 0), 5) AS fractal_dim FROM a GROUP BY ALL""")
+@query(""", o AS (SELECT *, first(x) OVER w AS ox, first(y) OVER w AS oy, first(z) OVER w AS oz, last(x) OVER w AS ex, last(y) OVER w AS ey, last(z) OVER w AS ez
+ FROM arcs WINDOW w AS (PARTITION BY morph_name, branch_id ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+v AS (SELECT *, ex - ox AS vx, ey - oy AS vy, ez - oz AS vz, x - ox AS dx, y - oy AS dy, z - oz AS dz FROM o),
+a AS (SELECT *, sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS away, sqrt((vy * dz - vz * dy) ** 2 + (vz * dx - vx * dz) ** 2 + (vx * dy - vy * dx) ** 2) / sqrt(vx ** 2 + vy ** 2 + vz ** 2) AS beside FROM v)
+SELECT morph_name, branch_id, count(*) AS n, round(max(path), 6) AS path_length, round(arg_max(away, point_id), 6) AS euclidean, round(max(beside), 6) AS max_displacement,
+ round(any_value(vx), 6) + 0.0 AS vx, round(any_value(vz) / arg_max(away, point_id), 6) + 0.0 AS uz, round(regr_slope(ln(path), ln(away)) FILTER (away > 0), 5) AS fractal_dim FROM a GROUP BY ALL""")
 def morphometry(spark, d):
-    m = rounded(M.morphometry(points(spark, d)), "path_length", "euclidean", "max_displacement")
-    return m.select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), "n", "path_length", "euclidean", "max_displacement", F.round("fractal_dim", 5).alias("fractal_dim"))
+    m = rounded(M.morphometry(points(spark, d)), "path_length", "euclidean", "max_displacement", "vx", "uz")
+    return m.select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), "n", "path_length", "euclidean", "max_displacement", "vx", "uz", F.round("fractal_dim", 5).alias("fractal_dim"))
+
+
+@query("SELECT morph_name, branch_id, min(point_id) AS point_id FROM arcs WHERE arc >= 0.5 GROUP BY ALL")
+def target_branch_locations_above(spark, d):
+    return T.branch_locations(M.arcs(points(spark, d)), 0.5, ["morph_name"], above=True).select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), F.col("point_id").cast("long").alias("point_id"))
+
+
+@query("SELECT p.morph_name, p.branch_id, p.point_id, round(p.x - o.x + 1, 6) + 0.0 AS x, round(p.z - o.z + 3, 6) + 0.0 AS z FROM pts p JOIN pts o ON o.morph_name = p.morph_name AND o.branch_id = 0 AND o.point_id = 0")
+def morphology_collapse(spark, d):
+    p = rounded(M.collapse(points(spark, d), branches(spark, d), (1.0, 2.0, 3.0)), "x", "z")
+    return p.select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), F.col("point_id").cast("long").alias("point_id"), "x", "z")
+
+
+@query("""SELECT p.morph_name, p.branch_id, p.point_id, round(CASE WHEN p.branch_id = 0 AND p.point_id < 2 THEN p.x ELSE o.x - (p.y - o.y) END, 6) + 0.0 AS x,
+ round(CASE WHEN p.branch_id = 0 AND p.point_id < 2 THEN p.y ELSE o.y + (p.x - o.x) END, 6) + 0.0 AS y FROM pts p JOIN pts o ON o.morph_name = p.morph_name AND o.branch_id = 0 AND o.point_id = 2""")
+def morphology_root_rotate(spark, d):
+    """A quarter turn about z from the root's third point on."""
+    p = rounded(M.root_rotate(points(spark, d), branches(spark, d), 0.0, 0.0, 90.0, 2), "x", "y")
+    return p.select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), F.col("point_id").cast("long").alias("point_id"), "x", "y")
 
 
 @query("SELECT b.morph_name, b.branch_id, array_to_string(list_sort(list(c.branch_id) FILTER (c.branch_id IS NOT NULL)), ',') AS children FROM brs b LEFT JOIN brs c ON c.morph_name = b.morph_name AND c.parent_branch = b.branch_id GROUP BY ALL")
@@ -734,6 +896,13 @@ def ontology_subtree(spark, d):
     return O.subtree(r.union(n).union(c), "r0")
 
 
+@query("SELECT n_nationkey AS id FROM nation WHERE lower(n_name) = lower((SELECT min(n_name) FROM nation))")
+def structure_by_name(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.upper("n_name").alias("acronym"))
+    wanted = n.agg(F.min("name")).first()[0]
+    return O.find_structure(n, name=wanted.swapcase()).intersect(O.find_structure(n, acronym=wanted)).select("id")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return windowed_counts(table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))

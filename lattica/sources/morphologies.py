@@ -50,6 +50,19 @@ class MorphologyRepository:
             raise FileNotFoundError(name)
         return dict(row["meta"])
 
+    def get_all_meta(self) -> dict[str, dict[str, str]]:
+        return {r.morph_name: dict(r["meta"]) for r in self.store.read("morpho_meta").select("morph_name", "meta").collect()}
+
+    def update_all_meta(self, meta: dict[str, dict[str, str]]) -> None:
+        """Adds to, or replaces in, the metadata of each named morphology; a name that isn't there raises."""
+        lost = set(meta) - set(self.names())
+        if lost:
+            raise FileNotFoundError(f"no morphologies {sorted(lost)}")
+        new = self.store.spark.createDataFrame(list(meta.items()), "morph_name string, more map<string,string>")
+        known = F.map_filter("meta", lambda k, _: ~F.map_contains_key("more", k))
+        rows = self.store.read("morpho_meta").join(F.broadcast(new), "morph_name").withColumn("meta", F.map_concat(known, "more")).drop("more")
+        self.store.replace("morpho_meta", self.store.spark.createDataFrame(rows.collect(), rows.schema))  # a row a name given
+
     def select(self, *selectors: list[str]) -> list[str]:
         """Names that one of the selectors, lists of patterns, picks; a selector that picks nothing raises."""
         table = self.store.read("morpho_meta").select("morph_name")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-PARTITIONS = {"cells": ["cell_type", "chunk_id"], "connections": ["tag", "pre_chunk"], "morpho_points": ["morph_name"], "morpho_branches": ["morph_name"], "files": [], "spikes": [], "signals": []}
+PARTITIONS = {"cells": ["cell_type", "chunk_id"], "connections": ["tag", "pre_chunk"], "morpho_points": ["morph_name"], "morpho_branches": ["morph_name"], "files": ["id"], "spikes": [], "signals": []}
 
 
 class NetworkStore:
@@ -31,12 +31,16 @@ class NetworkStore:
     def exists(self, table: str = "") -> bool:
         return self._fs().exists(self._path(table))
 
+    def holds(self, table: str) -> bool:
+        """Whether a table has any partition or file."""
+        return self.exists(table) and any(not f.getPath().getName().startswith(("_", ".")) for f in self._fs().listStatus(self._path(table)))
+
     def read(self, table: str) -> DataFrame:
         if not self.exists(table):
             raise FileNotFoundError(f"{self.root} has no {table}")
         path = f"{self.root}/{table}"
         found = self.spark.read.parquet(path).schema
-        names = {"cell_type", "tag", "morph_name"}  # these are text, whatever a folder's name looks like
+        names = {"cell_type", "tag", "morph_name", *PARTITIONS.get(table, [])} - {"chunk_id", "pre_chunk"}  # these are text, whatever a folder's name looks like
         kinds = StructType([StructField(f.name, StringType() if f.name in names else f.dataType) for f in found.fields])
         return self.spark.read.schema(kinds).parquet(path)
 
@@ -80,12 +84,36 @@ class NetworkStore:
     # Files: small named contents with metadata.
 
     def put_file(self, name: str, content: bytes, meta: dict[str, str] | None = None, encoding: str | None = None) -> None:
-        """Stores or replaces a file."""
+        """Stores or replaces a file. Each has a folder of its own, so no other is read or written."""
         self._writable()
         row = self.spark.createDataFrame([(name, bytearray(content), meta or {}, time.time(), encoding)], "id string, content binary, meta map<string,string>, mtime double, encoding string")
-        old = [r for r in (self.read("files").where(F.col("id") != name).collect() if self.exists("files") else [])]
-        both = row.unionByName(self.spark.createDataFrame(old, row.schema)) if old else row
-        both.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/files")
+        self.replace("files", row)
+
+    def has_file(self, name: str) -> bool:
+        return self.exists("files") and not self.read("files").where(F.col("id") == name).isEmpty()
+
+    def get_file(self, name: str) -> Row:
+        """A file's id, content, meta, mtime and encoding."""
+        row = self.read("files").where(F.col("id") == name).first() if self.exists("files") else None
+        if row is None:
+            raise FileNotFoundError(name)
+        return row
+
+    def remove_file(self, name: str) -> None:
+        self._writable()
+        if not self.has_file(name):
+            raise FileNotFoundError(name)
+        for path in self.read("files").where(F.col("id") == name).inputFiles():
+            self._fs().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent(), True)
+
+    def clear_type(self, cell_type: str) -> None:
+        """Drops a cell type's cells, and all connections that have it on a side."""
+        self._writable()
+        if self.holds("connections"):
+            has = self.read("connections").where((F.col("pre_type") == cell_type) | (F.col("post_type") == cell_type))
+            for tag in [r.tag for r in has.select("tag").distinct().collect()]:  # a tag has one pair of types
+                self.clear("connections", tag=tag)
+        self.clear("cells", cell_type=cell_type)
 
     def find_files(self, **meta: str) -> DataFrame:
         files = self.read("files")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import keyed, shapes
 from lattica.functions.chunks import chunk_coordinates, chunk_id
-from lattica.operators import connectivity, morphology, network, placement, spatial, voxels
+from lattica.operators import connectivity, morphology, network, ontology, placement, spatial, voxels
 from lattica.plans import configuration, topology
 from lattica.plans.network import Plan, Strategy
 from lattica.sources import imports, nrrd
@@ -280,3 +280,84 @@ def test_make_config(tmp_path):
 
     assert main(["make-config", str(tmp_path / "c.json")]) == 0
     assert configuration.parse((tmp_path / "c.json").read_text()) == configuration.DEFAULT
+
+
+def test_appended_cells_keep_their_own_ids(spark, tmp_path):
+    """Two strategies of one type, and one that is appended, never give a place in a chunk twice."""
+    store = NetworkStore(spark, str(tmp_path / "net"))
+    made = lambda k: lambda plan: spark.range(5).select(F.lit("a").alias("cell_type"), (F.col("id") * 1.0 + k).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z"))
+    plan = Plan(store, placement=[Strategy(f"p{k}", made(k), ["a"]) for k in (0, 10)])
+    plan.compile()
+    Plan(store, placement=[Strategy("p20", made(20), ["a"])]).compile(append=True)
+    cells = store.read("cells")
+    assert cells.count() == 15 and sorted(r.local_id for r in cells.select("local_id").collect()) == list(range(15))
+
+
+def test_edges_are_stored_by_place(spark, tmp_path):
+    store = NetworkStore(spark, str(tmp_path / "net"))
+    cells = lambda plan: spark.range(40).select(F.when(F.col("id") < 10, "a").otherwise("b").alias("cell_type"), (F.col("id") * 30.0).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z"))
+
+    def edges(plan):
+        ids = spark.range(10).select(F.col("id").alias("pre_id"), (F.col("id") + 20).alias("post_id"))
+        return ids.withColumns({c: F.lit(-1) for c in ("pre_branch", "pre_point", "post_branch", "post_point")})
+
+    plan = Plan(store, placement=[Strategy("place", cells, ["a", "b"])], connectivity=[Strategy("join", edges, ["a", "b"], pre=["a"], post=["b"])])
+    plan.compile()
+    assert store.tags() == ["join"] and store.read("connections").count() == 10
+    stats = network.chunk_stats(store.read("cells"))
+    back = network.global_connections(store.read("connections"), stats, stats).select("pre_id", "post_id").collect()
+    assert sorted(map(tuple, back)) == [(i, i + 20) for i in range(10)]
+    plan.compile(redo=True)
+    assert store.read("connections").count() == 10
+    with pytest.raises(ValueError):
+        plan.connect(Strategy("join", edges, ["a", "b"], pre=["b"], post=["a"]))
+    with pytest.raises(Exception, match="no cell of a"):
+        plan.connect(Strategy("lost", edges, ["a"], pre=["a"], post=["a"]))
+    several = Strategy("both", lambda p: edges(p).withColumns({"pre_type": F.lit("a"), "post_type": F.lit("b")}), ["a", "b"], pre=["a", "b"], post=["b"])
+    plan.connectivity.append(several)
+    plan.connect(several)
+    assert "both_a_to_b" in store.tags()
+    plan.compile(redo=True, only=["both"])
+    assert store.read("connections").where("tag = 'both_a_to_b'").count() == 10
+    store.clear_type("a")
+    assert store.read("cells").select("cell_type").distinct().count() == 1 and not store.holds("connections")
+
+
+def test_files_are_kept_apart(spark, tmp_path):
+    store = NetworkStore(spark, str(tmp_path / "net"))
+    for name, content in (("a b/c", b"1"), ("007", b"2"), ("a b/c", b"3")):
+        store.put_file(name, content, {"k": name})
+    assert bytes(store.get_file("a b/c").content) == b"3" and bytes(store.get_file("007").content) == b"2" and store.has_file("007")
+    store.remove_file("007")
+    assert not store.has_file("007") and store.has_file("a b/c")
+    with pytest.raises(FileNotFoundError):
+        store.remove_file("007")
+
+
+def test_refusals(spark):
+    p = spark.createDataFrame([("m", 0, 0, 0.0, 0.0, 0.0)], "morph_name string, branch_id int, point_id int, x double, y double, z double")
+    with pytest.raises(ValueError):
+        morphology.simplify(p, -1.0)
+    voxels = spark.createDataFrame([(1, 8.0, {"a": 1.0})], "voxel_id long, volume double, data map<string,double>")
+    with pytest.raises(Exception, match="no density b"):
+        placement.voxel_counts(voxels, {"t": placement.Indicator(density_key="b")}).collect()
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
+    with pytest.raises(ValueError):
+        ontology.subtree(loop, "a")
+
+
+def test_long_chains(spark):
+    """Deep trees take rounds of doubling, not levels."""
+    n = 300
+    nodes = spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    assert {(r.id, r.depth) for r in ontology.subtree(nodes, 100).collect()} == {(i, i - 100) for i in range(100, n)}
+    chain = spark.createDataFrame([("m", i, i - 1 if i else None) for i in range(40)], "morph_name string, branch_id int, parent_branch int")
+    got = {(r.branch_id, r.ancestor, r.distance) for r in morphology.ancestors(chain).collect()}
+    assert got == {(i, j, i - j) for i in range(40) for j in range(i)}
+
+
+def test_moved_solids():
+    c = shapes.Cylinder((0.0, 0.0, 0.0), 1.0, (0.0, 0.0, 5.0)).translated((1.0, 0.0, 0.0)).rotated(0.0, 90.0, 0.0, (1.0, 0.0, 0.0))
+    assert [round(x, 9) for x in c.top] == [6.0, 0.0, 0.0] and [round(x, 9) for x in c.bottom] == [1.0, 0.0, 0.0]
+    e = shapes.Ellipsoid((0.0, 0.0, 0.0), (3.0, 2.0, 1.0)).rotated(0.0, 0.0, 90.0)
+    assert [round(x, 9) for x in e.box()[1]] == [2.0, 3.0, 1.0] and round(e.volume(), 9) == round(shapes.Ellipsoid((0.0, 0.0, 0.0), (3.0, 2.0, 1.0)).volume(), 9)
