@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_codec import encoded_digests
-from lattica.llm.common import ROW, materialize, scratch, sized, table, with_row
+from lattica.llm.common import ROW, cuts_removed, materialize, scratch, sized, table, with_row
 from lattica.llm.decontaminate import contamination
 from lattica.llm.exact_dedup import drop_duplicates
 from lattica.llm.near_dedup import near_duplicates
@@ -59,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet and read again as the next one's input."""
+    """All stages on documents, each written as Parquet and read again as the next one's input. What a stage wrote on its way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cuts_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import plain
 import pyarrow as pa
 import pytest
 from helpers import DATA, table_of
@@ -130,10 +131,6 @@ def test_chat_format(spark):
     assert got[-1].n_turns == 2 and got[-1].loss_chars == 34
 
 
-def _words(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-
-
 def test_decontaminate(spark):
     random.seed(5)
     vocabulary = [f"w{i}" for i in range(30)] + ["É", "é", "A1"]
@@ -149,9 +146,9 @@ def test_decontaminate(spark):
         docs.append((d, random.choice([" ", ", ", "-"]).join(t)))
     want = []
     for d, t in docs:
-        w, hit, ids = _words(t), set(), set()
+        w, hit, ids = plain.words_of(t), set(), set()
         for i, x in items:
-            y = _words(x)
+            y = plain.words_of(x)
             n = min(13, len(y))
             for j in range(len(w) - n + 1 if n else 0):
                 if any(w[j : j + n] == y[k : k + n] for k in range(len(y) - n + 1)):
@@ -162,23 +159,13 @@ def test_decontaminate(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
-def _bag(text):
-    w = text.split()
-    return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
-
-
-def _similar(a, b):
-    both = sum((a & b).values())
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
-
-
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     base = [f"w{i}" for i in rng.integers(0, 500, 400)]
     texts = [" ".join(base), " ".join(base[:200] * 2 + base[200:]), " ".join(base[:350] + ["q"] * 50), "x y z " * 300, "x y z " * 400]
     slots = signatures(len(texts), *shingles(texts))
     for i, j in itertools.combinations(range(len(texts)), 2):
-        assert abs((slots[i] == slots[j]).mean() - _similar(_bag(texts[i]), _bag(texts[j]))) < 0.12
+        assert abs((slots[i] == slots[j]).mean() - plain.similar(plain.bag(texts[i]), plain.bag(texts[j]))) < 0.12
 
 
 @pytest.mark.parametrize("few, block, same", [(near_dedup.FEW, near_dedup.BLOCK, near_dedup.SAME), (2, 700, 3)])
@@ -194,22 +181,10 @@ def test_near_dedup(spark, docs, monkeypatch, few, block, same):
         for _ in range(random.randrange(8)):
             t[random.randrange(150)] = f"x{k}"
         texts[10_000 + k] = " ".join(t)
-    bags = {d: _bag(t) for d, t in texts.items()}
-    parent = {d: d for d in texts}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(texts), 2):
-        small, large = sorted((sum(bags[a].values()), sum(bags[b].values())))
-        if texts[a] == texts[b] or (10 * small >= 8 * large and _similar(bags[a], bags[b]) >= 0.8):
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
+    want = plain.classes(texts)
     got = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in got} == {d: find(d) for d in texts}
-    assert sum(r.kept for r in got) == len({find(d) for d in texts})
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert sum(r.kept for r in got) == len(set(want.values()))
 
 
 def test_components(spark):

@@ -1,12 +1,9 @@
 """The quality classifier's limits: quantiles of held-out text, and one verdict for each row."""
 
-import collections
-import functools
-import math
 import random
-import zlib
 
 import numpy as np
+import plain
 from pyspark.sql import functions as F
 
 from lattica.llm import quality
@@ -49,44 +46,6 @@ def test_blocks_change_nothing(spark, odd, monkeypatch):
     assert len(whole) == 14 and judged(more.repartition(3), labels) == whole
 
 
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney over bytes, as a recursive function of a gram."""
-    order, grams = quality.ORDER, collections.Counter()
-    for t in texts:
-        s = [quality.START] * (order - 1) + list(t.encode())
-        grams.update(tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s)))
-    counts = {order: grams}
-    for n in range(order - 1, 0, -1):
-        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
-    below = {n: collections.defaultdict(dict) for n in counts}
-    for n, c in counts.items():
-        for g, k in c.items():
-            below[n][g[:-1]][g] = k
-
-    def discount(n):
-        k = collections.Counter(counts[n].values())
-        if not all(k[i] for i in range(1, 5)):
-            return 0.5, 1.0, 1.5
-        y = k[1] / (k[1] + 2 * k[2])
-        return tuple(min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05), i - 0.05) for i in (1, 2, 3))
-
-    d = {n: discount(n) for n in counts}
-
-    @functools.cache
-    def p(g):
-        if not g:
-            return 1 / 256
-        seen = below[len(g)].get(g[:-1], {})
-        if not seen:
-            return p(g[1:])
-        own = d[len(g)]
-        taken = sum(own[min(c, 3) - 1] for c in seen.values())
-        c = seen.get(g, 0)
-        return ((c - own[min(c, 3) - 1] if c else 0) + taken * p(g[1:])) / sum(seen.values())
-
-    return p
-
-
 def test_quality_is_the_plain_version(spark):
     """Perplexities, thresholds and verdicts, in scripts of one to four bytes a character, held against plain Python."""
     rng = random.Random(4)
@@ -94,32 +53,10 @@ def test_quality_is_the_plain_version(spark):
     docs = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))), lang) for i, lang in enumerate(rng.choice(list(words)) for _ in range(500))]
     docs += [(1000 + i, "".join(chr(rng.randrange(33, 1500)) for _ in range(60)), "en") for i in range(8)] + [(2000, "", "en"), (2001, None, "zh"), (2002, "字字字", "xx")]
     good = {d for d, _, _ in docs if d < 500 and d % 3}
-    held = {d for d in good if zlib.crc32(str(d).encode()) % 5 == 0}
-    p = plain_model([t for d, t, _ in docs if d in good - held])
-    nll, size = {}, {}
-    for d, t, _ in docs:
-        s = [quality.START] * (quality.ORDER - 1) + list((t or "").encode())
-        size[d] = len(s) - quality.ORDER + 1
-        nll[d] = -sum(math.log(p(tuple(s[i - quality.ORDER + 1 : i + 1]))) for i in range(quality.ORDER - 1, len(s)))
-    known = [(d, lang) for d, _, lang in docs if d in held and size[d]]
-    mean = lambda rows: sum(nll[d] for d in rows) / sum(size[d] for d in rows)
-    bits = lambda rows, m: sorted((nll[d] + quality.PRIOR * m) / (size[d] + quality.PRIOR) for d in rows)
-    q = lambda xs, part: xs[math.ceil(part * len(xs)) - 1]
-    langs = {x for _, x in known}
-    of = {x: [d for d, y in known if y == x] for x in langs}
-    middle = {x: q(bits(of[x], mean(of[x])), 0.5) for x in langs}
-    apart = q(sorted(b - middle[x] for x in langs for b in bits(of[x], mean(of[x]))), quality.QUANTILE)
-    limits = {x: (mean(of[x]), middle[x] + apart) for x in langs}
-    everyone = mean([d for d, _ in known])
-    limits["xx"] = (everyone, q(bits([d for d, _ in known], everyone), quality.QUANTILE))
-    want = {}
-    for d, _, lang in docs:
-        m, limit = limits[lang]
-        own = (nll[d] + quality.PRIOR * m) / (size[d] + quality.PRIOR)
-        want[d] = (math.exp(own), math.exp(limit), size[d] == 0 or own <= limit)
+    want = plain.quality(docs, good, quality.ORDER, quality.START, quality.PRIOR, quality.QUANTILE, quality.LEAST_HELD_OUT)
     labels = spark.createDataFrame([(d, int(d in good)) for d, _, _ in docs], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), labels).collect()}
-    assert set(got) == set(want) and all(len(of[x]) < quality.LEAST_HELD_OUT for x in langs)
+    assert set(got) == set(want)
     for d, (perplexity, threshold, accepted) in want.items():
         assert np.isclose(got[d].perplexity, perplexity, rtol=1e-6) and np.isclose(got[d].threshold, threshold, rtol=1e-6) and got[d].accepted == accepted
     assert not all(r.accepted for r in got.values())
