@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A worker keeps the codes of so many words at most, and of none that is longer.
+#: A worker keeps the codes of so many words at most, unless told otherwise, and of none that is longer.
 WORDS, LONGEST = 400_000, 64
 #: Punctuation after a letter or digit is a pre-token of its own, so words need not be kept with it.
 STOPS = ".,;:!?"
@@ -66,8 +66,8 @@ class WordCache:
     When the cache is full, the words of the last batch stay: frequent ones are among them.
     """
 
-    def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]], dtype: str):
-        self.encode_texts, self.encode_words, self.dtype = encode_texts, encode_words, np.dtype(dtype)
+    def __init__(self, encode_texts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]], dtype: str, most: int | None = None):
+        self.encode_texts, self.encode_words, self.dtype, self.most = encode_texts, encode_words, np.dtype(dtype), most or WORDS
         self.later: dict[str, bytes] = {}  # of words after a space
         self.tails: dict[str, bytes] = {}  # of punctuation after a word
 
@@ -83,7 +83,7 @@ class WordCache:
         parts = list({*parts, *(c for _, c in cores if c not in known)})
         known.update(zip(parts, self.encode_words(parts), strict=True))
         tails = {w[len(c) :] for w, c in cores}
-        if len(self.tails) > WORDS // 100:
+        if len(self.tails) > self.most // 100:
             self.tails = {}
         new = list(tails.difference(self.tails))
         self.tails.update(zip(new, self.encode_texts(new), strict=True))
@@ -104,8 +104,8 @@ class WordCache:
                     if len(w) > LONGEST:
                         self.later.pop(w, None)
                         self.later.pop(w.rstrip(STOPS), None)
-        if len(self.later) > WORDS:
-            self.later = {w: c for w, c in zip(words, out, strict=True) if len(w) <= LONGEST} if len(words) < WORDS else {}
+        if len(self.later) > self.most:
+            self.later = {w: c for w, c in zip(words, out, strict=True) if len(w) <= LONGEST} if len(words) < self.most else {}
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

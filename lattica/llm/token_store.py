@@ -29,6 +29,8 @@ FOOTER_SIZE = struct.calcsize(FOOTER)
 INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 LEVEL = 3
 
+#: Words whose ids a worker keeps, some 170 MB of them.
+KEPT_WORDS = 800_000
 #: How byte-level vocabularies write a space.
 SPACE = "\u0120"
 
@@ -66,7 +68,7 @@ def tokenizer(path: str, plain: bool = False) -> WordCache:
                 out += [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
             return out
 
-        _tokenizers[path, plain] = WordCache(encode_texts, encode_words, dtype)
+        _tokenizers[path, plain] = WordCache(encode_texts, encode_words, dtype, KEPT_WORDS)
     return _tokenizers[path, plain]
 
 
