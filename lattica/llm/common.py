@@ -95,15 +95,15 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
-def sized(df: DataFrame, bound: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is.
+def sized(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows are at most BROADCAST_ROWS, else as it is.
 
     df should be cheap to count: a written table, or a few columns of one. Where rows hold arrays, size says how many
     values a row has, and their sum is held against the bound.
     """
     if size is None:
-        return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= bound else df
+        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_ROWS else df
 
 
 #: The unique key of a row, where operators carry one.

@@ -1,6 +1,5 @@
 """Operators that SQL can't express against plain versions, exact round trips and held-out rows."""
 
-import collections
 import hashlib
 import itertools
 import random

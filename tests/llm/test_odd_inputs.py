@@ -123,6 +123,20 @@ def test_line_dedup_beyond_the_broadcast_bound(spark, monkeypatch):
     assert plain() == want and len(want) == 400
 
 
+def test_joins_beyond_the_broadcast_bound(spark, odd, monkeypatch):
+    """What operators give doesn't depend on whether a side is broadcast."""
+    items = spark.createDataFrame([(1, "b c d"), (2, "x"), (3, "word " * 20)], "item_id long, text string")
+    near = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20 + k, " ".join(f"w{i}" for i in range(80)) + f" end{k // 2}") for k in range(6)], "doc_id long, text string"))
+
+    def every():
+        frames = decontaminate.contamination(odd, items), near_dedup.near_duplicates(near), quality.quality(odd, labels(spark)), toxicity.toxicity(odd, labels(spark))
+        return [sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in f.collect()) for f in frames]
+
+    want = every()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert every() == want
+
+
 def test_sharding_moves_little_and_weighs(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     key = F.col("doc_id").cast("string")
