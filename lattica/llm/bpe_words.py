@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A worker keeps the codes of so many words at most, unless told otherwise, and of none that is longer.
-WORDS, LONGEST = 400_000, 64
+WORDS, LONGEST = 200_000, 64
 #: Punctuation after a letter or digit is a pre-token of its own, so words need not be kept with it.
 STOPS = ".,;:!?"
 #: Bytes of text that are encoded at once.
