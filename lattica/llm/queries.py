@@ -6,6 +6,7 @@ from lattica.llm.bpe_codec import op9_bpe_codec
 from lattica.llm.chat_format import op3_chat_format
 from lattica.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lattica.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lattica.llm.fill_middle import OP11_SQL, op11_fill_in_middle
 from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
 from lattica.llm.near_dedup import op8_near_dedup
 from lattica.llm.quality import op10_quality
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL, "op11_fill_in_middle": OP11_SQL}
