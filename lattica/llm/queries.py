@@ -11,6 +11,7 @@ from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
 from lattica.llm.near_dedup import op8_near_dedup
 from lattica.llm.quality import op10_quality
 from lattica.llm.sharding import op5_sharding, op5_sql
+from lattica.llm.spelling import OP13_SQL, op13_spelling
 from lattica.llm.token_store import op1_token_store
 from lattica.llm.toxicity import op7_toxicity
 
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_spelling": op13_spelling,
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling": OP13_SQL}
