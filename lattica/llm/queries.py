@@ -7,6 +7,7 @@ from lattica.llm.chat_format import op3_chat_format
 from lattica.llm.decontaminate import OP6_SQL, op6_decontaminate
 from lattica.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lattica.llm.fill_middle import OP11_SQL, op11_fill_in_middle
+from lattica.llm.forest import op12_nearest
 from lattica.llm.line_dedup import OP4_SQL, op4_line_dedup
 from lattica.llm.near_dedup import op8_near_dedup
 from lattica.llm.quality import op10_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_nearest": op12_nearest,
     "op13_spelling": op13_spelling,
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_sharding": op5_sql(), "op6_decontaminate": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling": OP13_SQL}
