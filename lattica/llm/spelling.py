@@ -1,9 +1,10 @@
 """Spelling variants: each word with the words at edit distance one, and the frequent one among them as its form.
 
-Words in code-point order are packed into compact tries, shards of bounded bytes. Every word's automaton for distance
-one walks every shard depth-first; what it accepts is only counted, and the best kept, so a row a word and shard leaves a task
-and words with very many neighbours make no pairs. Shards are broadcast in turn, LOAD of them at once: what a worker
-holds has a bound, and the number of rounds grows with the vocabulary, each run on all machines over all words.
+Words of one length, in code-point order, are packed into compact tries, shards of bounded bytes. Every word's automaton for distance
+one walks every shard depth-first; shards of lengths that are further off than one it leaves at once. What it accepts is only counted,
+and the best kept, so a row a word leaves a task, and words with very many neighbours make no pairs. Shards are broadcast in turn,
+LOAD bytes of them at once: what a worker holds has a bound, and the number of rounds grows with the vocabulary, each run on all
+machines over all words of the lengths that it has.
 
 Why each neighbour is found once: two words at distance one part at one place, after their common beginning. Up to
 there the walk follows the word; only where a branch of the trie leaves it is an edit made, and the rest must match.
@@ -12,18 +13,22 @@ there the walk follows the word; only where a branch of the trie leaves it is an
 from __future__ import annotations
 
 import pickle
+from array import array
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import in_arrow, materialize, sized, table
 
 #: A shard has words of so many bytes at most, but for a single word that is longer.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 21
 #: Bytes of serialized shards that are broadcast at once, but for a single shard that is larger.
-LOAD = 1 << 23
+LOAD = 1 << 24
 #: Words that a task walks through the shards, on average: the walk is work, whatever the words' bytes.
 TASK_WORDS = 10_000
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -32,110 +37,118 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR = 7, 2, 10
 
 
 class Trie:
-    """A compact trie of sorted (word, n) in four lists by node, the children of a node standing side by side.
+    """A compact trie of sorted (word, n): the words one after another in `text`, and arrays by node, the children of a node side by side.
 
-    A node's label is what is read on the way to it: its first letter in `first`, the rest in `tails`. `n` is 0 where no word ends.
-    Node 0 is the root, its label empty.
+    The first letter on the way to a node stands in `first`, the other `size` ones in the text, at the node's first word behind
+    the `depth` letters before; its children are kid[node] to kid[node + 1] - 1. `n` is 0 where no word ends. Node 0 is the root, of no letters.
     """
 
-    def __init__(self, words: list[str], counts: list[int]):
-        first, tails, n, below, begins = ["\0"], [""], [0], [(0, 0)], [0]
-        spans = [(0, len(words), 0)]  # the words of a node, and the letters read before them
-        for node in range(1 << 62):
-            if node == len(spans):
-                break
-            lo, hi, depth = spans[node]
+    def __init__(self, parts: tuple[str, str, bytes, bytes, bytes, bytes, bytes]):
+        self.first, self.text = parts[:2]
+        self.at, self.depth, self.size, self.kid, self.n = (memoryview(x).cast(k) for x, k in zip(parts[2:], "IIIIQ", strict=True))
+
+    @staticmethod
+    def parts(words: list[str], counts: list[int]) -> tuple[str, str, bytes, bytes, bytes, bytes, bytes]:
+        starts = list(accumulate(map(len, words), initial=0))
+        first, at, depths, sizes, kid, n = ["\0"], array("I", [0]), array("I", [0]), array("I", [0]), array("I"), array("Q", [0])
+        spans = deque([(0, len(words), 0)])  # the words of a node, and the letters read up to it
+        while spans:
+            lo, hi, depth = spans.popleft()
+            node = len(kid)
+            kid.append(len(first))
             if lo < hi and len(words[lo]) == depth:
                 n[node], lo = counts[lo], lo + 1
-            kids = len(spans)
             while lo < hi:
                 letter, end = words[lo][depth], lo + 1
-                if hi - lo > 1 and words[hi - 1][depth] == letter:
-                    end = hi
-                else:
-                    while end < hi and words[end][depth] == letter:
-                        end += 1
-                a, b, to = words[lo], words[end - 1], depth + 1  # sorted, so what these share all share
-                if end - lo == 1:
-                    to = len(a)
-                else:
-                    most = min(len(a), len(b))
-                    while to < most and a[to] == b[to]:
-                        to += 1
+                while end < hi and words[end][depth] == letter:
+                    end += 1
+                a, b, to = words[lo], words[end - 1], depth + 1  # sorted, so what these two share all share
+                most = min(len(a), len(b))
+                while to < most and a[to] == b[to]:
+                    to += 1
                 first.append(letter)
-                tails.append(a[depth + 1 : to])
-                begins.append(lo)
+                at.append(starts[lo])
+                depths.append(depth)
+                sizes.append((to if end - lo > 1 else len(a)) - depth - 1)
                 n.append(0)
-                below.append((0, 0))
-                spans.append((lo, end, to))
+                spans.append((lo, end, depth + 1 + sizes[-1]))
                 lo = end
-            below[node] = (kids, len(spans))
-        self.first, self.tails, self.n, self.below, self.begins = "".join(first), tails, n, below, begins
+        kid.append(len(first))
+        return "".join(first), "".join(words), at.tobytes(), depths.tobytes(), sizes.tobytes(), kid.tobytes(), n.tobytes()
 
-    def dumps(self, words: list[str]) -> bytes:
-        return pickle.dumps((self.first, self.tails, self.n, self.below, self.begins, words), protocol=5)
+    def word(self, node: int) -> str:
+        return self.text[self.at[node] : self.at[node] + self.depth[node] + 1 + self.size[node]]
 
-    @staticmethod
-    def loads(data: bytes) -> tuple[Trie, list[str]]:
-        trie = Trie([], [])
-        trie.first, trie.tails, trie.n, trie.below, trie.begins, words = pickle.loads(data)
-        return trie, words
+    def _tail(self, node: int) -> str:
+        a = self.at[node] + self.depth[node] + 1
+        return self.text[a : a + self.size[node]]
 
     def _rest(self, node: int, word: str, i: int) -> int:
-        """The node where word[i:] ends, read from the end of node's label; -1 if there is none."""
-        first, tails, below = self.first, self.tails, self.below
-        while i < len(word):
-            lo, hi = below[node]
-            node = first.find(word[i], lo, hi)
-            if node < 0 or not word.startswith(tails[node], i + 1):
+        """The node where word[i:] ends, read from the end of node's letters; -1 if there is none."""
+        find, kid, size, most = self.first.find, self.kid, self.size, len(word)
+        while i < most:
+            node = find(word[i], kid[node], kid[node + 1])
+            if node < 0:
                 return -1
-            i += 1 + len(tails[node])
-        return node if i == len(word) and self.n[node] else -1
+            i += 1
+            if size[node]:
+                if not word.startswith(self._tail(node), i):
+                    return -1
+                i += size[node]
+        return node if i == most and self.n[node] else -1
 
     def _within(self, node: int, tail: str, word: str, i: int) -> int:
-        """The same from within a label of which `tail` is yet to be read."""
+        """The same from within a node's letters, of which `tail` is yet to be read."""
         return self._rest(node, word, i + len(tail)) if word.startswith(tail, i) else -1
 
-    def near(self, word: str) -> list[int]:
-        """The nodes of the words at distance one, each once."""
-        first, tails, below, n, out, size = self.first, self.tails, self.below, self.n, [], len(word)
-        node, i = 0, 0  # the automaton without an edit: word[:i] is read, and ends with node's label
+    def near(self, word: str, longer: int) -> list[int]:
+        """The nodes of the words at distance one that are longer than word by 1, 0 or -1, each once; all of the trie must be so."""
+        find, kid, size, n, out, most = self.first.find, self.kid, self.size, self.n, [], len(word)
+        node, i = 0, 0  # the automaton before any edit: word[:i] is read, and ends with node's letters
         while True:
-            lo, hi = below[node]
-            if n[node] and i == size - 1:  # the last letter is left out
-                out.append(node)
-            here = word[i] if i < size else ""
-            follow = -1
-            for kid in range(lo, hi):
-                letter = first[kid]
-                if letter == here:
-                    follow = kid
-                    continue
-                tail = tails[kid]
-                found = [self._within(kid, tail, word, i)]  # the letter is put in
-                if i < size:
-                    found.append(self._within(kid, tail, word, i + 1))  # the letter stands for another
-                    if i + 1 < size and word[i + 1] == letter:
-                        found.append(self._within(kid, tail, word, i + 2))  # the word's letter is left out
-                out += [x for x in found if x >= 0]
+            lo, hi = kid[node], kid[node + 1]
+            here = word[i : i + 1]
+            follow = find(here, lo, hi) if here else -1
+            j = i + 1 - longer  # where word goes on behind the edit: a letter put in, one for another, or one left out
+            if longer >= 0:
+                want = word[j : j + 1]
+                for k in range(lo, hi) if here or longer else ():
+                    if k == follow:
+                        continue
+                    if size[k]:
+                        x = self._within(k, self._tail(k), word, j)
+                    elif want:
+                        x = self._rest(k, word, j) if find(want, kid[k], kid[k + 1]) >= 0 else -1
+                    else:
+                        x = k if n[k] else -1
+                    if x >= 0:
+                        out.append(x)
+            elif i == most - 1:
+                if n[node]:
+                    out.append(node)
+            elif here:
+                k = find(word[i + 1], lo, hi)
+                if k >= 0 and k != follow and (x := self._within(k, self._tail(k), word, j)) >= 0:
+                    out.append(x)
             if follow < 0:
                 return out
-            tail = tails[follow]
-            if not word.startswith(tail, i + 1):  # the label leaves the word: at the first place where they differ
-                a, b = 0, min(len(tail), size - i - 1)
+            i += 1
+            if size[follow] and not word.startswith(self._tail(follow), i):  # at the first letter where they differ
+                tail = self._tail(follow)
+                a, b = 0, min(len(tail), most - i)
                 while a < b:  # the longest common beginning
                     mid = (a + b + 1) // 2
-                    if word.startswith(tail[:mid], i + 1):
+                    if word.startswith(tail[:mid], i):
                         a = mid
                     else:
                         b = mid - 1
-                at, rest, more = i + 1 + a, tail[a + 1 :], size - i - 1 - a
-                found = [self._within(follow, rest, word, at)]
-                if more:
-                    found.append(self._within(follow, rest, word, at + 1))
-                    found.append(self._within(follow, tail[a:], word, at + 1))
-                return out + [x for x in found if x >= 0]
-            node, i = follow, i + 1 + len(tail)
+                at = i + a
+                if longer < 0:
+                    x = self._within(follow, tail[a:], word, at + 1)
+                else:
+                    x = self._within(follow, tail[a + 1 :], word, at + 1 - longer) if at < most or longer else -1
+                return [*out, x] if x >= 0 else out
+            node, i = follow, i + size[follow]
 
 
 def runs(text: Column, letters: str = LETTERS, least: int = LEAST_LENGTH) -> Column:
@@ -151,56 +164,60 @@ def deleted(word: Column, key: Column, one_in: int) -> Column:
 
 
 def tries(words: DataFrame, shard_bytes: int) -> DataFrame:
-    """Shards of words (word, n): rows of a serialized trie and its bytes, no word in two."""
+    """Shards of words (word, n): rows of a serialized trie, its bytes, and the length of its words; no word is in two."""
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> pa.RecordBatch:
-            data = Trie(held, counts).dumps(held)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())], names=["trie", "bytes"])
+            data = pickle.dumps(Trie.parts(held, counts), protocol=5)
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([len(held[0])], pa.int32())], names=["trie", "bytes", "length"])
 
         held, counts, size = [], [], 0
         for batch in rows:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and size + len(word.encode()) > shard_bytes:
+                if held and (len(word) != len(held[0]) or size + len(word) > shard_bytes):
                     yield made()
                     held, counts, size = [], [], 0
                 held.append(word)
                 counts.append(n)
-                size += len(word.encode())
+                size += len(word)
         if held:
             yield made()
 
     # Strings of bytes in UTF-8 sort by code points.
-    return in_arrow(words.select("word", "n").repartitionByRange("word").sortWithinPartitions("word"), build, "trie binary, bytes long")
+    ordered = words.select("word", "n").repartitionByRange(F.char_length("word"), "word").sortWithinPartitions(F.char_length("word"), "word")
+    return in_arrow(ordered, build, "trie binary, bytes long, length int")
 
 
-def _loads(sizes: list[tuple[int, int]], load: int) -> Iterator[list[int]]:
-    """The numbers of shards that are broadcast together."""
+def _loads(sizes: list[Row], load: int) -> Iterator[list[Row]]:
+    """The shards that are broadcast together."""
     held, total = [], 0
-    for number, size in sizes:
-        if held and total + size > load:
+    for shard in sizes:
+        if held and total + shard.bytes > load:
             yield held
             held, total = [], 0
-        held.append(number)
-        total += size
+        held.append(shard)
+        total += shard.bytes
     if held:
         yield held
 
 
-def _walk(shards: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each word, the accepted neighbours in the broadcast shards: how many, and the most frequent."""
+def _walk(shards: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each word, the accepted neighbours in the broadcast shards (length, trie): how many, and the most frequent."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = [Trie.loads(data) for data in shards.value]
+        loaded: dict[int, list[Trie]] = {}
+        for length, parts in shards.value:
+            loaded.setdefault(length, []).append(Trie(parts))
         for batch in rows:
             out = []
             for word in batch.column(0).to_pylist():
                 total, best = 0, None
-                for trie, words in loaded:
-                    for node in trie.near(word):
-                        total += 1
-                        found = (-trie.n[node], words[trie.begins[node]])
-                        best = found if best is None or found < best else best
+                for longer in (-1, 0, 1):  # a shard of other lengths accepts nothing
+                    for trie in loaded.get(len(word) + longer, ()):
+                        for node in trie.near(word, longer):
+                            total += 1
+                            found = (-trie.n[node], trie.word(node))
+                            best = found if best is None or found < best else best
                 if best:
                     out.append((word, total, -best[0], best[1]))
             if out:
@@ -216,12 +233,15 @@ def neighbours(words: DataFrame, shard_bytes: int = SHARD_BYTES, load: int = LOA
     words (word, n) must have each word once. The shards go through the driver one broadcast at a time, never all at once.
     """
     spark = words.sparkSession
-    shards = materialize(tries(words, shard_bytes).select(F.monotonically_increasing_id().alias("number"), "trie", "bytes"), "tries")
-    sizes = [(r.number, r.bytes) for r in shards.select("number", "bytes").orderBy("number").collect()]  # two numbers a shard
-    hits, parts = None, words.count() // TASK_WORDS + 1
-    for numbers in _loads(sizes, load):
-        held = spark.sparkContext.broadcast([bytes(r.trie) for r in shards.where(F.col("number").isin(numbers)).select("trie").collect()])
-        found = materialize(in_arrow(words.select("word").repartition(parts, "word"), _walk(held), "word string, n_near long, best_n long, best string"), "near-words")
+    shards = materialize(tries(words, shard_bytes).select(F.monotonically_increasing_id().alias("number"), "*"), "tries")
+    sizes = shards.select("number", "bytes", "length").orderBy("length", "number").collect()  # three numbers a shard
+    hits, length = None, F.char_length("word")
+    for some in _loads(sizes, load):
+        held = [(r.length, pickle.loads(r.trie)) for r in shards.where(F.col("number").isin([r.number for r in some])).select("length", "trie").collect()]
+        held = spark.sparkContext.broadcast(held)
+        asked = words.select("word").where(length.between(some[0].length - 1, some[-1].length + 1))
+        asked = asked.repartition(asked.count() // TASK_WORDS + 1, "word")
+        found = materialize(in_arrow(asked, _walk(held), "word string, n_near long, best_n long, best string"), "near-words")
         held.destroy()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
