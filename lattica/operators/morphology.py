@@ -12,6 +12,7 @@ from lattica.functions.keyed import keyed_bits
 from lattica.functions.labels import has_any
 from lattica.functions.rotation import euler_matrix, times
 from lattica.operators.spatial import AXES
+from lattica.operators.trees import along, tour
 
 KEYS = ["morph_name", "branch_id"]
 
@@ -118,9 +119,8 @@ def center(points: DataFrame, branches: DataFrame) -> DataFrame:
 
 def root_points(points: DataFrame, branches: DataFrame) -> DataFrame:
     """(morph_name, branch_id, root) of every branch: the root branch that it hangs on; a root hangs on itself."""
-    roots = branches.where("parent_branch is null").select("morph_name", "branch_id", F.col("branch_id").alias("root"))
-    above = ancestors(branches).join(roots.select("morph_name", F.col("branch_id").alias("ancestor"), "root"), ["morph_name", "ancestor"])
-    return roots.unionByName(above.select("morph_name", "branch_id", "root"))
+    own = branches.select(*KEYS, F.col("parent_branch").alias("up"), F.when(F.col("parent_branch").isNull(), F.col("branch_id")).alias("root"))
+    return along(own, KEYS, "up", nearest=["root"]).drop("up")
 
 
 def collapse(points: DataFrame, branches: DataFrame, on: tuple[float, float, float] | None = None) -> DataFrame:
@@ -154,30 +154,22 @@ def root_rotate(points: DataFrame, branches: DataFrame, rx: float, ry: float, rz
 
 
 def ancestors(branches: DataFrame) -> DataFrame:
-    """(morph_name, branch_id, ancestor, distance) for all branches above each.
+    """(morph_name, branch_id, ancestor, distance) for all branches above each: as many rows as there are such pairs.
 
-    Found by doubling: after k rounds, all up to 2**k levels above, so rounds go with the logarithm of the depth.
+    Where the order of branches or the ones below some are enough, trees.tour and trees.below give them without pairs.
     """
-    known = branches.where("parent_branch is not null").select("morph_name", "branch_id", F.col("parent_branch").alias("ancestor"), F.lit(1).alias("distance"))
-    reach, far = 1, known  # far: exactly `reach` levels above
-    while True:
-        on = known.select("morph_name", F.col("branch_id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
-        step = far.join(on, ["morph_name", "ancestor"]).select("morph_name", "branch_id", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).cast("int").alias("distance"))
-        if step.isEmpty():
-            return known
-        known, reach = known.unionByName(step), 2 * reach
-        far = known.where(F.col("distance") == reach)
+    up = branches.select(*KEYS, F.col("parent_branch").alias("up"), F.array_compact(F.array("parent_branch")).alias("path"))
+    paths = along(up, KEYS, "up", lists=["path"])
+    return paths.select(*KEYS, F.posexplode("path").alias("place", "ancestor")).select(*KEYS, "ancestor", (F.col("place") + 1).alias("distance"))
 
 
 def close_gaps(points: DataFrame, branches: DataFrame) -> DataFrame:
     """Branches moved, with all below them, so that each starts where its parent ends; roots stay."""
     ends = points.groupBy(*KEYS).agg(F.min_by(F.struct(*AXES), "point_id").alias("start"), F.max_by(F.struct(*AXES), "point_id").alias("end"))
-    kids = branches.where("parent_branch is not null").join(ends, KEYS).select("morph_name", "branch_id", F.col("parent_branch").alias("p"), "start")
-    above = ends.select("morph_name", F.col("branch_id").alias("p"), "end")
-    gap = kids.join(above, ["morph_name", "p"]).select(*KEYS, *((F.col(f"end.{c}") - F.col(f"start.{c}")).alias(f"g{c}") for c in AXES))
-    own = gap.select("morph_name", F.col("branch_id").alias("of"), "branch_id", "gx", "gy", "gz")
-    inherited = ancestors(branches).select("morph_name", F.col("branch_id").alias("of"), F.col("ancestor").alias("branch_id")).join(gap, KEYS)
-    total = own.unionByName(inherited).groupBy("morph_name", F.col("of").alias("branch_id")).agg(*(F.sum(f"g{c}").alias(f"g{c}") for c in AXES))
+    above = ends.select("morph_name", F.col("branch_id").alias("parent_branch"), "end")
+    gap = branches.select(*KEYS, "parent_branch").join(ends.select(*KEYS, "start"), KEYS, "left").join(above, ["morph_name", "parent_branch"], "left")
+    own = gap.select(*KEYS, F.col("parent_branch").alias("up"), *(F.coalesce(F.col(f"end.{c}") - F.col(f"start.{c}"), F.lit(0.0)).alias(f"g{c}") for c in AXES))
+    total = along(own, KEYS, "up", sums=[f"g{c}" for c in AXES]).drop("up")
     return points.join(total, KEYS, "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"g{c}"), F.lit(0.0)) for c in AXES}).select(points.columns)
 
 
@@ -193,8 +185,9 @@ def filtered(points: DataFrame, branches: DataFrame, labels: list[str]) -> tuple
     order = Window.partitionBy("morph_name").orderBy("branch_id", "run")
     table = runs.select(*KEYS, "run").distinct().withColumn("id", (F.row_number().over(order) - 1).cast("int"))
     last = table.groupBy(*KEYS).agg(F.max("id").alias("last"))
-    up = ancestors(branches).join(last.withColumnRenamed("branch_id", "ancestor"), ["morph_name", "ancestor"])
-    parent = up.groupBy(*KEYS).agg(F.min_by("last", "distance").alias("above"))
+    up = branches.select(*KEYS, F.col("parent_branch").alias("up")).join(last, KEYS, "left")
+    held = along(up, KEYS, "up", nearest=["last"]).select("morph_name", F.col("branch_id").alias("parent_branch"), F.col("last").alias("above"))
+    parent = branches.select(*KEYS, "parent_branch").join(held, ["morph_name", "parent_branch"]).select(*KEYS, "above")
     before = table.select(*KEYS, (F.col("run") + 1).alias("run"), F.col("id").alias("before"))
     tree = table.join(before, [*KEYS, "run"], "left").join(parent, KEYS, "left")
     tree = tree.select("morph_name", F.col("id").alias("branch_id"), F.when(F.col("run") == 1, F.col("above")).otherwise(F.col("before")).alias("parent_branch"))
@@ -263,41 +256,39 @@ def to_swc(points: DataFrame, branches: DataFrame) -> DataFrame:
     return p.select("morph_name", "sample", tag.alias("tag"), *AXES, "radius", F.coalesce("before", "above", F.lit(-1)).alias("parent"))
 
 
-def parse_swc(rows: DataFrame) -> DataFrame:
+def parse_swc(rows: DataFrame, skip_boundary_labels: list[str] | None = None, tags: dict[int, list[str]] | None = None, labels_of_next: bool = False) -> DataFrame:
     """points of SWC rows (morph_name, sample, tag, x, y, z, radius, parent), with parent_branch on each.
 
-    A branch ends where a sample has other than one child or its child another branch; children of a branch point start
-    with a copy of it. A file is one pandas group.
-    """
-    schema = "morph_name string, branch_id int, point_id int, x double, y double, z double, radius double, labels array<string>, parent_branch int"
-    names = {v: [k] for k, v in TAGS.items()}
+    A branch ends where a sample has other than one child; its children start with a copy of it, with its own labels or,
+    with labels_of_next, those of the point after it. `tags` adds or replaces labels of type numbers; others are called tag_<number>. Samples all of whose labels are in
+    skip_boundary_labels are a boundary: a child of another type starts a branch there, and no child gets the copy.
+    Branches are numbered depth first, children in the order of samples. A parent that is no sample raises.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("sample")
-        kids: dict[int, list[int]] = {}
-        for s, parent in zip(g["sample"].tolist(), g["parent"].tolist(), strict=True):
-            kids.setdefault(parent, []).append(s)
-        rows_of = dict(zip(g["sample"].tolist(), zip(*(g[c].tolist() for c in (*AXES, "radius", "tag")), strict=True), strict=True))
-        name = g["morph_name"].iloc[0]
-        out, next_id = [], 0
-        todo = [(s, None, None) for s in reversed(kids.get(-1, []))]
-        while todo:
-            at, above, copy = todo.pop()
-            branch, k = next_id, 0
-            next_id += 1
-            line = [] if copy is None else [copy]
-            while True:
-                line.append(at)
-                below = kids.get(at, [])
-                if len(below) != 1:
-                    break
-                at = below[0]
-            for k, s in enumerate(line):
-                *at_, radius, tag = rows_of[s]
-                out.append((name, branch, k, *at_, radius, names.get(int(tag), [f"tag_{int(tag)}"]), above))
-            todo += [(s, branch, at) for s in reversed(below)]
-        frame = pd.DataFrame(out, columns=["morph_name", "branch_id", "point_id", *AXES, "radius", "labels", "parent_branch"])
-        frame["parent_branch"] = frame["parent_branch"].astype("Int32")
-        return frame
-
-    return rows.groupBy("morph_name").applyInPandas(run, schema)
+    Samples that follow each other without a branch are drawn together by pointer jumping, all files at once.
+    """
+    names = {number: [label] for label, number in TAGS.items()} | (tags or {})
+    edge = [number for number, labels in names.items() if set(labels) <= set(skip_boundary_labels or [])]
+    labels = F.array(F.concat(F.lit("tag_"), F.col("tag").cast("string")))
+    for number, own in names.items():
+        labels = F.when(F.col("tag") == number, F.array(*(F.lit(x) for x in own))).otherwise(labels)
+    s = rows.select("morph_name", F.col("sample").cast("int").alias("sample"), F.col("tag").cast("int").alias("tag"), *AXES, "radius", F.col("parent").cast("int").alias("parent"))
+    s = s.withColumn("labels", labels)
+    kids = s.groupBy("morph_name", "parent").agg(F.count(F.lit(1)).alias("kids"))
+    above = s.select("morph_name", F.col("sample").alias("parent"), F.struct("tag", "labels", *AXES, "radius").alias("above"))
+    s = s.join(kids, ["morph_name", "parent"]).join(above, ["morph_name", "parent"], "left")
+    lost = F.raise_error(F.concat(F.lit("no sample "), F.col("parent").cast("string"))).cast("boolean")
+    root, is_edge, above_edge = F.col("parent") == -1, F.col("tag").isin(edge), F.col("above.tag").isin(edge)
+    head = F.when(root, True).when(F.col("above").isNull(), lost).otherwise((F.col("kids") != 1) | (above_edge & ~is_edge))
+    s = s.withColumn("is_head", head).withColumn("copies", (F.col("is_head") & ~root & ~above_edge).cast("int"))
+    way = s.select("*", F.when(~F.col("is_head"), F.col("parent")).alias("up"), F.when(F.col("is_head"), F.struct("sample", "copies")).alias("head"), (~F.col("is_head")).cast("int").alias("steps"))
+    s = along(way, ["morph_name", "sample"], "up", sums=["steps"], nearest=["head"])
+    of = s.select("morph_name", F.col("sample").alias("parent"), F.col("head.sample").alias("on"))
+    heads = s.where("is_head").select("morph_name", "sample", "parent").join(of, ["morph_name", "parent"], "left")
+    toured = tour(heads, node="sample", parent="on").select("morph_name", F.col("sample").alias("head_sample"), "on", F.col("preorder").cast("int").alias("branch_id"))
+    parents = toured.select("morph_name", F.col("head_sample").alias("on"), F.col("branch_id").alias("parent_branch"))
+    numbered = toured.join(parents, ["morph_name", "on"], "left").select("morph_name", "head_sample", "branch_id", "parent_branch")
+    s = s.withColumn("head_sample", F.col("head.sample")).join(numbered, ["morph_name", "head_sample"])
+    out = ["morph_name", "branch_id", "point_id", *AXES, "radius", "labels", "parent_branch"]
+    own = s.withColumn("point_id", (F.col("steps") + F.col("head.copies")).cast("int")).select(out)
+    copied = s.where("copies = 1").select("morph_name", "branch_id", F.lit(0).alias("point_id"), *(F.col(f"above.{c}").alias(c) for c in (*AXES, "radius")), F.col("labels" if labels_of_next else "above.labels").alias("labels"), "parent_branch")
+    return own.unionByName(copied)

@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.trees import along
+
 
 def subtree(nodes: DataFrame, root: object) -> DataFrame:
     """id and depth of a structure and all below it. An empty result if there is none; a node that is above itself raises.
 
-    Paths double in length each round: after k rounds a node has its ancestors up to 2**k levels above, so rounds go with
-    the logarithm of the depth, and neither depth nor rows have a limit.
+    A structure has one parent, and the root asked for ends all ways that reach it (see trees.along).
     """
-    total = nodes.count()
-    start = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth")).distinct()
-    up = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("above"), F.lit(1).alias("steps"))
-    below, level = start, up
-    while True:
-        reached = level.join(below.select(F.col("id").alias("above"), "depth"), "above").select("id", (F.col("depth") + F.col("steps")).alias("depth"))
-        below = below.unionByName(reached).distinct()
-        on = level.select(F.col("id").alias("above"), F.col("above").alias("further"), F.col("steps").alias("more"))
-        level = level.join(on, "above").select("id", F.col("further").alias("above"), (F.col("steps") + F.col("more")).alias("steps"))
-        deepest = level.agg(F.max("steps")).first()[0]
-        if deepest is None:
-            return below
-        if deepest > total:
-            raise ValueError("a structure is below itself")
+    known = nodes.select("id", F.col("parent_id").alias("above")).distinct()
+    is_root = F.col("id") == root
+    ways = known.select("id", F.when(~is_root, F.col("above")).alias("up"), F.when(~is_root, 1).otherwise(0).alias("depth"), F.when(is_root, True).alias("hit"))
+    found = along(ways, ["id"], "up", sums=["depth"], nearest=["hit"]).where("hit").select("id", "depth").distinct()
+    if not known.where(is_root).select(F.col("above").alias("id")).join(found, "id", "left_semi").isEmpty():
+        raise ValueError("a node is above itself")
+    return found
 
 
 def find_structure(nodes: DataFrame, name: str | None = None, acronym: str | None = None) -> DataFrame:

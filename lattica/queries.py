@@ -10,12 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import shapes as S
 from lattica.functions.chunks import chunk_box, chunk_coordinates, chunk_of
-from lattica.functions.keyed import bits_sql, inverse_cdf, keyed_uniform, uniform_sql
+from lattica.functions.keyed import bits_sql, inverse_cdf, keyed_bits, keyed_uniform, uniform_sql
 from lattica.functions.labels import has_all, has_any, name_matches, with_labels
 from lattica.functions.rotation import aligning_matrix, euler_matrix, matrix_euler, product, times
 from lattica.operators import connectivity as C
@@ -26,6 +26,7 @@ from lattica.operators import placement as P
 from lattica.operators import spatial as J
 from lattica.operators import targeting as T
 from lattica.operators import voxels as V
+from lattica.operators.trees import below, tour
 from lattica.plans import topology as L
 from lattica.plans.network import Plan, Strategy
 from lattica.sources import imports as I
@@ -41,7 +42,7 @@ def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = "WITH " + _COMMON + sql.strip()
+            ORACLE_SQL[f.__name__] = "WITH RECURSIVE " + _COMMON + sql.strip()
         return f
 
     return add
@@ -852,6 +853,55 @@ def swc_round_trip(spark, d):
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("back").isNull()).cast("int").alias("moved"))
 
 
+_SWC = """, s0 AS (SELECT morph_name, branch_id AS b, point_id AS k, x, z, label, CASE branch_id WHEN 3 THEN 1 ELSE branch_id END AS br,
+  CASE branch_id WHEN 0 THEN point_id WHEN 3 THEN 6 + point_id ELSE 1 + point_id END AS pt FROM pts),
+w AS (SELECT morph_name, br, pt, x, z, label FROM s0 UNION ALL SELECT e.morph_name, n.br, 0, e.x, e.z, n.label FROM s0 e JOIN s0 n ON n.morph_name = e.morph_name AND n.b IN (1, 2) AND n.k = 0 WHERE e.b = 0 AND e.k = 4)
+"""
+
+
+@query(_SWC + "SELECT morph_name, br AS branch_id, pt AS point_id, x, z, label, CASE WHEN br > 0 THEN 0 END AS parent_branch FROM w")
+def swc_tree(spark, d):
+    """SWC rows parsed again: branches that follow each other without another are one, and children start with a copy of the branch point."""
+    p = M.parse_swc(M.to_swc(points(spark, d), branches(spark, d)), labels_of_next=True)
+    return p.select("morph_name", "branch_id", "point_id", "x", "z", F.col("labels")[0].alias("label"), "parent_branch")
+
+
+@query(_SWC + """SELECT morph_name, CASE WHEN br = 0 THEN CASE WHEN pt < 2 THEN 0 ELSE 1 END ELSE br + 1 END AS branch_id, CASE WHEN br = 0 AND pt >= 2 THEN pt - 2 ELSE pt END AS point_id,
+  x, z, label, CASE WHEN br > 0 THEN 1 WHEN pt >= 2 THEN 0 END AS parent_branch FROM w""")
+def swc_boundaries(spark, d):
+    """The same with a gap where the soma ends: the branch after it starts without a copy."""
+    p = M.parse_swc(M.to_swc(points(spark, d), branches(spark, d)), ["soma"], labels_of_next=True)
+    return p.select("morph_name", "branch_id", "point_id", "x", "z", F.col("labels")[0].alias("label"), "parent_branch")
+
+
+def order_trees(spark: SparkSession, d: str) -> DataFrame:
+    """A tree a customer: each order hangs on one of the customer's earlier ones, or is a root."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("morph_name"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("branch_id"))
+    pick = F.pmod(keyed_bits(11, "morph_name", "branch_id"), F.col("branch_id") + 1).cast("int")
+    return o.withColumn("parent_branch", F.when(pick < F.col("branch_id"), pick))
+
+
+_TREES = f""", ot AS (SELECT o_custkey::VARCHAR AS morph_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS branch_id FROM orders),
+op AS (SELECT *, {bits_sql(11, 'morph_name', 'branch_id')} % (branch_id + 1) AS pick FROM ot),
+tr AS (SELECT morph_name, branch_id, CASE WHEN pick < branch_id THEN pick END AS parent_branch FROM op),
+up AS (SELECT morph_name, branch_id, [branch_id] AS path, parent_branch AS above FROM tr UNION ALL SELECT u.morph_name, u.branch_id, list_prepend(t.branch_id, path), t.parent_branch FROM up u JOIN tr t ON t.morph_name = u.morph_name AND t.branch_id = u.above),
+pa AS (SELECT morph_name, branch_id, path FROM up WHERE above IS NULL)
+"""
+
+
+@query(_TREES + """SELECT p.morph_name, p.branch_id, row_number() OVER (PARTITION BY p.morph_name ORDER BY p.path) - 1 AS preorder, len(p.path) - 1 AS depth, q.n AS size
+ FROM pa p JOIN (SELECT a.morph_name, a.branch_id, count(*) AS n FROM pa a JOIN pa b ON b.morph_name = a.morph_name AND b.path[1:len(a.path)] = a.path GROUP BY ALL) q USING (morph_name, branch_id)""")
+def tree_preorder(spark, d):
+    return tour(order_trees(spark, d)).select("morph_name", F.col("branch_id").cast("long").alias("branch_id"), "preorder", "depth", "size")
+
+
+@query(_TREES + "SELECT DISTINCT b.morph_name, b.branch_id FROM pa a JOIN pa b ON b.morph_name = a.morph_name AND b.path[1:len(a.path)] = a.path WHERE (a.branch_id % 5) = 3")
+def tree_subtrees(spark, d):
+    """Every fourth of five branches, with all below it, each once."""
+    t = order_trees(spark, d)
+    return below(tour(t), t.where("branch_id % 5 = 3")).select("morph_name", F.col("branch_id").cast("long").alias("branch_id"))
+
+
 @query("SELECT morph_name, branch_id, 5 AS n FROM brs")
 def morphology_simplify_all(spark, d):
     """With a tolerance of nothing every point of these jagged branches stays."""

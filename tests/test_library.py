@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import keyed, shapes
 from lattica.functions.chunks import chunk_coordinates, chunk_id
-from lattica.operators import connectivity, morphology, network, ontology, placement, spatial, voxels
+from lattica.operators import connectivity, morphology, network, ontology, placement, spatial, trees, voxels
 from lattica.plans import configuration, topology
 from lattica.plans.network import Plan, Strategy
 from lattica.sources import imports, nrrd
@@ -361,3 +361,53 @@ def test_moved_solids():
     assert [round(x, 9) for x in c.top] == [6.0, 0.0, 0.0] and [round(x, 9) for x in c.bottom] == [1.0, 0.0, 0.0]
     e = shapes.Ellipsoid((0.0, 0.0, 0.0), (3.0, 2.0, 1.0)).rotated(0.0, 0.0, 90.0)
     assert [round(x, 9) for x in e.box()[1]] == [2.0, 3.0, 1.0] and round(e.volume(), 9) == round(shapes.Ellipsoid((0.0, 0.0, 0.0), (3.0, 2.0, 1.0)).volume(), 9)
+
+
+def test_tours_of_random_forests(spark):
+    """Preorder, size and depth of forests of many shapes, and the nodes below chosen ones, against a plain walk."""
+    rng, rows, expected = np.random.default_rng(3), [], {}
+    for t, n in enumerate((1, 2, 5, 30, 200)):
+        above = [None if i == 0 or rng.random() < 0.1 else int(rng.integers(i)) for i in range(n)]
+        pre, size, depth = {}, dict.fromkeys(range(n), 1), {}
+        stack = [(i, 0) for i in reversed(range(n)) if above[i] is None]
+        while stack:
+            v, d = stack.pop()
+            pre[v], depth[v] = len(pre), d
+            stack += [(c, d + 1) for c in reversed(range(n)) if above[c] == v]
+        for v in sorted(range(n), key=lambda v: -depth[v]):
+            if above[v] is not None:
+                size[above[v]] += size[v]
+        rows += [(f"t{t}", i, above[i]) for i in range(n)]
+        expected |= {(f"t{t}", i): (pre[i], size[i], depth[i]) for i in range(n)}
+    forest = spark.createDataFrame(rows, "morph_name string, branch_id int, parent_branch int")
+    toured = trees.tour(forest)
+    assert {(r.morph_name, r.branch_id): (r.preorder, r.size, r.depth) for r in toured.collect()} == expected
+    above = {(t, i): None if p is None else (t, p) for t, i, p in rows}
+    chosen = {("t3", 3), ("t4", 7), ("t4", 50), ("t2", 1)}
+
+    def hit(v):
+        return v in chosen or above[v] is not None and hit(above[v])
+
+    got = trees.below(toured, spark.createDataFrame(sorted(chosen), "morph_name string, branch_id int"))
+    assert sorted((r.morph_name, r.branch_id) for r in got.collect()) == sorted(v for v in above if hit(v))
+
+
+def test_a_chain_of_a_thousand(spark):
+    chain = spark.createDataFrame([("c", i, i - 1 if i else None) for i in range(1000)], "morph_name string, branch_id int, parent_branch int")
+    r = trees.tour(chain).agg(F.max("depth").alias("d"), F.sum("size").alias("s")).first()
+    assert (r.d, r.s) == (999, 500_500)
+    with pytest.raises(ValueError):
+        trees.along(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, up string"), ["id"], "up")
+
+
+def test_swc_boundaries_and_tags(spark):
+    """A soma of one sample with two branches; the branches start without a copy of it, and own tags have own labels."""
+    rows = [("m", 10, 1, 0.0, 0.0, 0.0, 5.0, -1), ("m", 11, 7, 1.0, 0.0, 0.0, 1.0, 10), ("m", 12, 7, 2.0, 0.0, 0.0, 1.0, 11), ("m", 20, 2, 0.0, 1.0, 0.0, 1.0, 10)]
+    swc = spark.createDataFrame(rows, "morph_name string, sample int, tag int, x double, y double, z double, radius double, parent int")
+    got = [(r.branch_id, r.point_id, r.x, r.y, r.labels, r.parent_branch) for r in morphology.parse_swc(swc, ["soma"], {7: ["basal", "dendrites"]}).orderBy("branch_id", "point_id").collect()]
+    b = ["basal", "dendrites"]
+    assert got == [(0, 0, 0.0, 0.0, ["soma"], None), (1, 0, 1.0, 0.0, b, 0), (1, 1, 2.0, 0.0, b, 0), (2, 0, 0.0, 1.0, ["axon"], 0)]
+    copied = morphology.parse_swc(swc, labels_of_next=True).where("branch_id = 2").orderBy("point_id").collect()
+    assert [(r.y, r.radius, r.labels) for r in copied] == [(0.0, 5.0, ["axon"]), (1.0, 1.0, ["axon"])]
+    with pytest.raises(Exception, match="no sample 9"):
+        morphology.parse_swc(swc.withColumn("parent", F.when(F.col("sample") == 20, 9).otherwise(F.col("parent")))).collect()
