@@ -38,3 +38,14 @@ def chunk_box(cid: Column, size: float) -> tuple[list[Column], list[Column]]:
     """The low and the high corner."""
     at = chunk_coordinates(cid)
     return [c * F.lit(float(size)) for c in at], [(c + 1) * F.lit(float(size)) for c in at]
+
+
+def curve(*chunks: Column) -> Column:
+    """The place of one or two chunks together on a Z-order curve, as text that sorts along it: a letter a bit of all coordinates.
+
+    What is near on the curve is mostly near in every coordinate, so a file that holds a stretch of it has narrow
+    bounds on each, whichever of the chunks is asked for.
+    """
+    at = [c + (1 << (BITS - 1)) for chunk in chunks for c in chunk_coordinates(chunk)]
+    digit = lambda bit: sum((F.shiftleft(F.shiftright(c, bit).bitwiseAND(1), i) for i, c in enumerate(at)), F.lit(48))
+    return F.concat(*(F.char(digit(bit).cast("long")) for bit in reversed(range(BITS))))

@@ -14,7 +14,7 @@ from lattica.functions.labels import has_any
 from lattica.functions.rotation import euler_matrix, times
 from lattica.functions.shapes import Composition, Shape
 from lattica.operators.network import NONE
-from lattica.operators.spatial import AXES, box_join, distance_join
+from lattica.operators.spatial import AXES, any_box_join, box_join, distance_join
 
 
 def edges_of(pairs: DataFrame, pre: Column, post: Column, pre_at: tuple[Column, Column] | None = None, post_at: tuple[Column, Column] | None = None) -> DataFrame:
@@ -148,9 +148,27 @@ def voxel_intersection(pre: DataFrame, post: DataFrame, size: float, contacts: i
     if affinity < 1:
         pairs = keep_affinity(shared.select("pre_id", "post_id").distinct(), "pre_id", ["post_id"], affinity, seed)
         shared = shared.join(pairs, ["pre_id", "post_id"], "left_semi")
+    return _contacts(shared, ["ix", "iy", "iz"], contacts, seed)
+
+
+def voxel_box_intersection(pre: DataFrame, post: DataFrame, base: float, contacts: int = 1, seed: int = 0, affinity: float = 1.0) -> DataFrame:
+    """The same for voxels of any sizes, each side's its own: rows of voxels.voxel_boxes or numbered_voxels with an id.
+
+    Voxels that touch count as overlapping. base is about the size of the least of them.
+    """
+    places = [f"{side}_{v}" for side in ("pre", "post") for v in ("ix", "iy", "iz")]
+    shared = any_box_join(pre, post, base).select(F.col("a.id").alias("pre_id"), F.col("b.id").alias("post_id"), F.col("a.at").alias("pre_at"), F.col("b.at").alias("post_at"), *(F.col(f"{s}.{v}").alias(f"{side}_{v}") for s, side in (("a", "pre"), ("b", "post")) for v in ("ix", "iy", "iz")))
+    if affinity < 1:
+        pairs = keep_affinity(shared.select("pre_id", "post_id").distinct(), "pre_id", ["post_id"], affinity, seed)
+        shared = shared.join(pairs, ["pre_id", "post_id"], "left_semi")
+    return _contacts(shared, places, contacts, seed)
+
+
+def _contacts(shared: DataFrame, places: list[str], contacts: int, seed: int) -> DataFrame:
+    """Draws for each pair of cells from its shared voxels (pre_at, post_at), in the order of places."""
     w = Window.partitionBy("pre_id", "post_id")
     shared = shared.withColumn("weight", (F.size("pre_at") * F.size("post_at")).cast("long"))
-    shared = shared.withColumn("upto", F.sum("weight").over(w.orderBy("ix", "iy", "iz").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(w))
+    shared = shared.withColumn("upto", F.sum("weight").over(w.orderBy(*places).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(w))
     draws = shared.withColumn("contact", F.explode(F.sequence(F.lit(1), F.lit(max(1, contacts))))).where(F.lit(contacts) >= F.col("contact"))
     pick = F.pmod(keyed_bits(seed, "pre_id", "post_id", "contact"), F.col("total"))
     drawn = draws.withColumn("pick", pick).where((F.col("pick") < F.col("upto")) & (F.col("pick") >= F.col("upto") - F.col("weight")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.chunks import chunk_coordinates, chunk_of
@@ -131,3 +131,46 @@ def equal_sides(sides: tuple[float, float, float], n: int) -> tuple[int, int, in
         return (1, 1, 1)
     edge = (n / reduce(lambda a, b: a * b, full)) ** (1 / len(full))
     return tuple(max(1, round(s * edge)) if s > 0 else 1 for s in sides)
+
+
+def divisions(sides: list[Column], n: int) -> list[Column]:
+    """Into how many parts each side of a box is cut, so that about n parts arise that are about cubes; sides of no length into one.
+
+    The least side is cut first, rounded down; what then remains is shared by the others in the same way, and the last is rounded to the nearest.
+    """
+    full = F.array_sort(F.filter(F.array(*(F.struct(s.alias("side"), F.lit(i).alias("axis")) for i, s in enumerate(sides))), lambda x: x["side"] > 1e-8))
+    k = F.size(full)
+    side = lambda i: F.get(full, k - 3 + i)["side"]  # the sides from the least; fewer than three begin later
+    least, middle, most = side(0), side(1), side(2)
+    total = F.lit(float(n))
+    a = F.when(k == 3, F.greatest(F.lit(1.0), F.floor(least / most * F.pow(total / (least / most * (middle / most)), F.lit(1 / 3))))).otherwise(1.0)
+    b = F.when(k >= 2, F.greatest(F.lit(1.0), F.floor(middle / most * F.sqrt(total / a / (middle / most))))).otherwise(1.0)
+    c = F.when(k >= 2, F.rint(total / a / b)).otherwise(total)
+    place = lambda i: F.array_position(F.transform(full, lambda x: x["axis"]), i) - 1 + 3 - k
+    thin = lambda i: F.coalesce(F.array_position(F.transform(full, lambda x: x["axis"]), i), F.lit(0)) == 0
+    return [F.when(thin(i), 1.0).when(place(i) == 0, a).when(place(i) == 1, b).otherwise(c) for i in range(3)]
+
+
+def numbered_voxels(points: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """About n voxels for each keys' points (branch_id, point_id, x, y, z), those that hold any: keys, ix, iy, iz, their box, and the points in them.
+
+    The box around the points is cut by `divisions`; voxels lie on the grid of multiples of their size, so those at the
+    ends may reach out of it. Along an axis of no length they are as thin as the points.
+    """
+    box = points.groupBy(*keys).agg(*(F.min(c).alias(f"_l{c}") for c in AXES), *(F.max(c).alias(f"_h{c}") for c in AXES))
+    sides = [F.col(f"_h{c}") - F.col(f"_l{c}") for c in AXES]
+    box = box.select(*keys, *(F.when(s > 1e-8, s / d).alias(f"s{c}") for c, s, d in zip(AXES, sides, divisions(sides, n), strict=True)))
+    return voxel_boxes(points.join(box, keys), keys)
+
+
+def voxel_boxes(points: DataFrame, keys: list[str], size: float | None = None) -> DataFrame:
+    """Voxels of a size, or of the points' own sx, sy, sz, as in numbered_voxels."""
+    if size is not None:
+        points = points.withColumns({f"s{c}": F.lit(float(size)) for c in AXES})
+    at = points.select(*keys, *(F.coalesce(F.floor(F.col(c) / F.col(f"s{c}")), F.lit(0)).cast("long").alias(f"i{c}") for c in AXES), *AXES, *(f"s{c}" for c in AXES), F.struct("branch_id", "point_id").alias("at"))
+    edges = {}
+    for c in AXES:
+        thin = F.col(f"s{c}").isNull()
+        edges[f"l{c}"], edges[f"h{c}"] = F.when(thin, F.col(c)).otherwise(F.col(f"i{c}") * F.col(f"s{c}")), F.when(thin, F.col(c)).otherwise((F.col(f"i{c}") + 1) * F.col(f"s{c}"))
+    held = at.withColumns(edges).groupBy(*keys, *(f"i{c}" for c in AXES))
+    return held.agg(*(F.min(f"l{c}").alias(f"l{c}") for c in AXES), *(F.max(f"h{c}").alias(f"h{c}") for c in AXES), F.array_sort(F.collect_list("at")).alias("at"))

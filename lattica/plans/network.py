@@ -89,7 +89,7 @@ class Plan:
             if tag is None:
                 continue
             if self.store.holds("connections"):
-                other = self.store.read("connections").where((F.col("tag") == tag) & ((F.col("pre_type") != pre) | (F.col("post_type") != post))).first()
+                other = self.store.read("connections", tag=tag).where((F.col("pre_type") != pre) | (F.col("post_type") != post)).first()
                 if other is not None:
                     raise ValueError(f"{tag} connects {other.pre_type} to {other.post_type}, not {pre} to {post}")
             part = edges if len(tags) == 1 else edges.where((F.col("pre_type") == pre) & (F.col("post_type") == post))
@@ -99,24 +99,27 @@ class Plan:
         """Runs placement, then connectivity, and the hooks after each.
 
         A store that has cells needs one of: clear (start anew), append, or redo (run `only` again, with all that
-        shares its cell types; their cells go first).
+        shares its cell types; their cells go first). All of it becomes one version of the store at the end: if a strategy or
+        a hook fails, the store is as it was.
         """
         if sum((clear, append, redo)) > 1:
             raise ValueError("clear, append and redo exclude each other")
         if self.store.exists("cells") and not (clear or append or redo):
             raise FileExistsError("the store has cells: clear, append or redo")
+        with self.store.transaction():
+            self._run(only, skip, clear, redo, skip_placement, skip_connectivity)
+
+    def _run(self, only: list[str] | None, skip: list[str] | None, clear: bool, redo: bool, skip_placement: bool, skip_connectivity: bool) -> None:
         if clear:
             for t in ("cells", "connections"):
                 self.store.clear(t)
         if redo:
             uses = [(s.name, t) for s in (*self.placement, *self.connectivity) for t in s.cell_types]
             only = sorted(redo_closure(uses, set(only or [n for n, _ in uses])))
-            for t in {t for n, t in uses if n in only}:
-                self.store.clear("cells", cell_type=t)
-            for s in self.connectivity:
-                if s.name in only:
-                    for tag in {s.name, *self.tags(s).values()} - {None}:
-                        self.store.clear("connections", tag=tag)
+            self.store.clear("cells", cell_type=sorted({t for n, t in uses if n in only}))
+            tags = {tag for s in self.connectivity if s.name in only for tag in {s.name, *self.tags(s).values()} - {None}}
+            if tags:
+                self.store.clear("connections", tag=sorted(tags))
         if not skip_placement:
             for s in self._chosen(self.placement, only, skip):
                 self.place(s)

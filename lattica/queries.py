@@ -6,8 +6,6 @@ As morphologies, 60 of its 64 numbers are 4 branches of 5 points.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +17,8 @@ from lattica.functions.keyed import bits_sql, inverse_cdf, keyed_bits, keyed_uni
 from lattica.functions.labels import has_all, has_any, name_matches, with_labels
 from lattica.functions.rotation import aligning_matrix, euler_matrix, matrix_euler, product, times
 from lattica.operators import connectivity as C
+from lattica.operators import extents as X
+from lattica.operators import generation as G
 from lattica.operators import morphology as M
 from lattica.operators import network as N
 from lattica.operators import ontology as O
@@ -26,10 +26,12 @@ from lattica.operators import placement as P
 from lattica.operators import spatial as J
 from lattica.operators import targeting as T
 from lattica.operators import voxels as V
+from lattica.operators.derived import derived
 from lattica.operators.trees import below, tour
 from lattica.plans import topology as L
 from lattica.plans.network import Plan, Strategy
 from lattica.sources import imports as I
+from lattica.sources.cuts import cut, new_path
 from lattica.sources.store import NetworkStore
 from lattica.streaming.windows import windowed_counts
 
@@ -262,14 +264,8 @@ def global_connections(spark, d):
     return N.global_connections(block_edges(spark, d), stats, stats).select("pre_type", "pre_id", "post_type", "post_id")
 
 
-def _scratch_store(spark: SparkSession) -> NetworkStore:
-    """A store in the shared folder; in one of the machine only where the session is local and names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
-    return NetworkStore(spark, f"{folder}/network-{uuid.uuid4().hex}")
+def _scratch_store(spark: SparkSession, file_rows: int = 1_000_000) -> NetworkStore:
+    return NetworkStore(spark, new_path(spark, "network"), file_rows=file_rows)
 
 
 @query("""SELECT a.cell_type AS pre_type, a.id AS pre_cell, b.cell_type AS post_type, b.id AS post_cell FROM cells a JOIN cells b ON a.cell_type = 'type_1' AND b.cell_type = 'type_2' AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 3600""")
@@ -295,6 +291,27 @@ def directed_blocks(spark, d):
     return N.directed(block_edges(spark, d)).groupBy("direction", "local_chunk", "global_chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk, a.local_id AS pre_local, b.local_id AS post_local FROM (" + _NEAR + ") e JOIN numbered a ON a.id = pre_id JOIN numbered b ON b.id = post_id WHERE b.chunk_id IN (0, 65536, 4295032831) OR a.chunk_id = 65535")
+def incoming_scan(spark, d):
+    """Edges that are stored, then read by their post chunks; and those of one pre chunk, without any twice."""
+    store = _scratch_store(spark, 20)
+    store.append("connections", block_edges(spark, d))
+    into, out = store.connections("near", [0, 65536, 4295032831], incoming=True), store.connections("near", [65535])
+    both = into.unionByName(out.where(~F.col("post_chunk").isin(0, 65536, 4295032831)))
+    return both.select("pre_chunk", "post_chunk", F.col("pre_local").cast("long").alias("pre_local"), F.col("post_local").cast("long").alias("post_local"))
+
+
+@query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk, count(*) AS n FROM (" + _NEAR + ") e JOIN numbered a ON a.id = pre_id JOIN numbered b ON b.id = post_id WHERE b.cx <> 0 GROUP BY ALL")
+def cleared_edges(spark, d):
+    """What is left when the connections into all chunks of one slab are cleared."""
+    store = _scratch_store(spark, 50)
+    edges = block_edges(spark, d)
+    store.append("connections", edges)
+    slab = edges.select("post_chunk").distinct().where(chunk_coordinates(F.col("post_chunk"))[0] == 0)
+    store.clear("connections", tag="near", post_chunk=[r[0] for r in slab.collect()])
+    return store.read("connections").groupBy("pre_chunk", "post_chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk, a.local_id AS pre_local, b.local_id AS post_local FROM (" + _NEAR + ") e JOIN numbered a ON a.id = pre_id AND a.chunk_id = 0 JOIN numbered b ON b.id = post_id AND b.chunk_id IN (0, 1, 65535)")
 def connection_scan(spark, d):
     return N.connections(block_edges(spark, d), "near", [0], [0, 1, 65535]).select("pre_chunk", "post_chunk", F.col("pre_local").cast("long").alias("pre_local"), F.col("post_local").cast("long").alias("post_local"))
@@ -341,6 +358,107 @@ def voxel_intersection_turned(spark, d):
     return C.voxel_intersection(C.world_points(turned, points(spark, d), ["axon"]), world(spark, d), 20.0).select("pre_id", "post_id")
 
 
+_EXTENTS = """, mb AS (SELECT morph_name, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz FROM pts GROUP BY ALL),
+xa AS (SELECT c.id, chunk_id, c.x + lx AS lx, c.y + ly AS ly, c.z + lz AS lz, c.x + hx AS hx, c.y + hy AS hy, c.z + hz AS hz FROM cells c JOIN mb ON morph_name = c.id::VARCHAR WHERE cell_type = 'type_1'),
+xb AS (SELECT id, chunk_id, x + 5 - 30 AS lx, y - 30 AS ly, z - 30 AS lz, x + 5 + 30 AS hx, y + 30 AS hy, z + 30 AS hz FROM cells WHERE cell_type = 'type_2'),
+ka AS (SELECT chunk_id, min(lx) AS lx, min(ly) AS ly, min(lz) AS lz, max(hx) AS hx, max(hy) AS hy, max(hz) AS hz FROM xa GROUP BY ALL),
+kb AS (SELECT chunk_id, min(lx) AS lx, min(ly) AS ly, min(lz) AS lz, max(hx) AS hx, max(hy) AS hy, max(hz) AS hz FROM xb GROUP BY ALL)
+"""
+_MEET = "a.lx <= b.hx AND b.lx <= a.hx AND a.ly <= b.hy AND b.ly <= a.hy AND a.lz <= b.hz AND b.lz <= a.hz"
+
+
+def _sides(spark: SparkSession, d: str, c: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes of the morphologies of type 1, and of spheres about cells of type 2."""
+    named = c.withColumn("morph_name", F.col("id").cast("string"))
+    return X.morphology_extents(named.where("cell_type = 'type_1'"), points(spark, d)), X.solid_extents(c.where("cell_type = 'type_2'"), SOLIDS["sphere"][0])
+
+
+@query(_EXTENTS + f"SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk FROM ka a JOIN kb b ON {_MEET}")
+def extent_region(spark, d):
+    pre, post = _sides(spark, d, cells(spark, d))
+    return X.region_of_extents(X.chunk_extents(pre), X.chunk_extents(post), SIZE)
+
+
+@query(_EXTENTS + f"SELECT a.id AS pre_id, b.id AS post_id FROM xa a JOIN xb b ON {_MEET}")
+def extent_edges(spark, d):
+    """Cells are stored, the region of interest says which chunks of either side to read again, and only files that hold these are opened."""
+    store = _scratch_store(spark, 50)
+    store.append("cells", numbered(spark, d).drop("labels"))
+    pre, post = _sides(spark, d, store.read("cells"))
+    region = cut(X.region_of_extents(X.chunk_extents(pre), X.chunk_extents(post), SIZE), "region")
+    a = store.read("cells", cell_type="type_1", chunk_id=region.select("pre_chunk"))
+    b = store.read("cells", cell_type="type_2", chunk_id=region.select("post_chunk"))
+    return X.meeting_cells(_sides(spark, d, a)[0], _sides(spark, d, b)[1], None, 60.0)
+
+
+_SIZED = f""", va AS (SELECT id, floor(x / 20)::BIGINT AS ix, floor(y / 20)::BIGINT AS iy, floor(z / 20)::BIGINT AS iz, list(struct_pack(b := branch_id, p := point_id) ORDER BY branch_id, point_id) AS pa FROM world GROUP BY ALL),
+vb AS (SELECT id, floor(x / 45)::BIGINT AS jx, floor(y / 45)::BIGINT AS jy, floor(z / 45)::BIGINT AS jz, list(struct_pack(b := branch_id, p := point_id) ORDER BY branch_id, point_id) AS pb FROM world GROUP BY ALL),
+sh AS (SELECT a.id AS pre_id, b.id AS post_id, pa, pb, ix, iy, iz, jx, jy, jz, len(pa) * len(pb) AS weight FROM va a JOIN vb b ON ix * 20 <= jx * 45 + 45 AND jx * 45 <= ix * 20 + 20 AND iy * 20 <= jy * 45 + 45 AND jy * 45 <= iy * 20 + 20 AND iz * 20 <= jz * 45 + 45 AND jz * 45 <= iz * 20 + 20),
+cu AS (SELECT *, sum(weight) OVER (PARTITION BY pre_id, post_id ORDER BY ix, iy, iz, jx, jy, jz)::BIGINT AS upto, sum(weight) OVER (PARTITION BY pre_id, post_id)::BIGINT AS total FROM sh),
+dr AS (SELECT *, {bits_sql(9, 'pre_id', 'post_id', '1')} % total AS pick FROM cu),
+ok AS (SELECT *, pick - (upto - weight) AS i FROM dr WHERE pick < upto AND pick >= upto - weight)
+SELECT pre_id, pa[(i // len(pb)) + 1].b AS pre_branch, pa[(i // len(pb)) + 1].p AS pre_point, post_id, pb[(i % len(pb)) + 1].b AS post_branch, pb[(i % len(pb)) + 1].p AS post_point FROM ok"""
+
+
+@query(_SIZED)
+def voxel_intersection_sizes(spark, d):
+    """Voxels of 20 on one side and of 45 on the other."""
+    w = world(spark, d)
+    return C.voxel_box_intersection(V.voxel_boxes(w, ["id"], 20.0), V.voxel_boxes(w, ["id"], 45.0), 20.0, seed=9)
+
+
+_SIDES_SQL = """, wb AS (SELECT id, max(x) - min(x) AS x, max(y) - min(y) AS y, max(z) - min(z) AS z FROM world GROUP BY ALL),
+so AS (SELECT id, x, y, z, least(x, y, z) AS a, greatest(x, y, z) AS c, x + y + z - least(x, y, z) - greatest(x, y, z) AS m0 FROM wb),
+md AS (SELECT *, list_sort([x, y, z])[2] AS m FROM so),
+pa AS (SELECT *, greatest(1, floor(a / c * (50 / (a / c * (m / c))) ** (1 / 3.0::DOUBLE))) AS na FROM md), pb AS (SELECT *, greatest(1, floor(m / c * sqrt(50 / na / (m / c)))) AS nb FROM pa),
+pc AS (SELECT *, round_even(50 / na / nb, 0) AS nc FROM pb),
+di AS (SELECT id, x / CASE x WHEN a THEN na WHEN m THEN nb ELSE nc END AS sx, y / CASE y WHEN a THEN na WHEN m THEN nb ELSE nc END AS sy, z / CASE z WHEN a THEN na WHEN m THEN nb ELSE nc END AS sz FROM pc)
+"""
+
+
+@query(_SIDES_SQL + "SELECT w.id, count(*) AS n_points, count(DISTINCT (floor(x / sx), floor(y / sy), floor(z / sz))) AS n_voxels, round(any_value(sx), 6) AS sx, round(any_value(sz), 6) AS sz FROM world w JOIN di USING (id) GROUP BY ALL")
+def voxels_by_number(spark, d):
+    """Fifty voxels, or about so many, for the box of each cell; those that hold points."""
+    v = V.numbered_voxels(world(spark, d), 50, ["id"])
+    return v.groupBy("id").agg(F.sum(F.size("at")).alias("n_points"), F.count(F.lit(1)).alias("n_voxels"), F.round(F.min(F.col("hx") - F.col("lx")), 6).alias("sx"), F.round(F.min(F.col("hz") - F.col("lz")), 6).alias("sz"))
+
+
+_LABELLED = _VOX.replace("vox AS", "vp AS").replace("FROM world", "FROM (SELECT w.* FROM world w JOIN pts p ON p.morph_name = w.id::VARCHAR AND p.branch_id = w.branch_id AND p.point_id = w.point_id WHERE label = 'axon')") + ", " + _VOX.replace("vox AS", "vq AS").replace("FROM world", "FROM (SELECT w.* FROM world w JOIN pts p ON p.morph_name = w.id::VARCHAR AND p.branch_id = w.branch_id AND p.point_id = w.point_id WHERE label IN ('dendrites', 'soma'))")
+
+
+@query(f""", {_LABELLED},
+sh AS (SELECT a.id AS pre_id, b.id AS post_id, a.pa AS pa, b.pa AS pb, ix, iy, iz, len(a.pa) * len(b.pa) AS weight FROM vp a JOIN vq b USING (ix, iy, iz)),
+cu AS (SELECT *, sum(weight) OVER (PARTITION BY pre_id, post_id ORDER BY ix, iy, iz)::BIGINT AS upto, sum(weight) OVER (PARTITION BY pre_id, post_id)::BIGINT AS total FROM sh),
+dr AS (SELECT *, {bits_sql(5, 'pre_id', 'post_id', '1')} % total AS pick FROM cu),
+ok AS (SELECT *, pick - (upto - weight) AS i FROM dr WHERE pick < upto AND pick >= upto - weight)
+SELECT pre_id, pa[(i // len(pb)) + 1].b AS pre_branch, pa[(i // len(pb)) + 1].p AS pre_point, post_id, pb[(i % len(pb)) + 1].b AS post_branch, pb[(i % len(pb)) + 1].p AS post_point FROM ok""")
+def labelled_sides(spark, d):
+    """Axons of one side against dendrites and somata of the other: edges are found on morphologies cut down to these, and come back on the original points."""
+    c = cells(spark, d).withColumn("morph_name", F.col("id").cast("string"))
+    p, b = points(spark, d), branches(spark, d)
+    pre, post = derived(p, b, ["axon"]), derived(p, b, ["dendrites", "soma"])
+    a, z = pre.of(c), post.of(c)
+    edges = cut(C.voxel_intersection(C.world_points(a, pre.points), C.world_points(z, post.points), 20.0, seed=5), "edges")
+    return post.back(pre.back(edges, a, "pre"), z, "post")
+
+
+_GROW = f""", ke AS (SELECT DISTINCT p_size::VARCHAR AS k FROM part),
+gr AS (SELECT k, 0 AS b, NULL::INTEGER AS up, 0.0::DOUBLE AS x, 0.0::DOUBLE AS z, 1.0::DOUBLE AS r, 1 AS g FROM ke UNION ALL
+  SELECT k, 2 * b + c, b, x + 3 * (2 * {uniform_sql('4-x', 'k', 'b')} - 1) * 10, z + 3 * (2 * {uniform_sql('4-z', 'k', 'b')} - 1) * 10, r * 0.8::DOUBLE, g + 1 FROM gr, (VALUES (1), (2)) v(c) WHERE g < 4 AND {uniform_sql('4-split', 'k', 'b')} < 0.7),
+nm AS (SELECT k, 'grown-' || (row_number() OVER (ORDER BY k) - 1) AS name FROM ke)
+"""
+
+
+@query(_GROW + f"""SELECT name AS morph_name, b AS branch_id, up AS parent_branch, i AS point_id, round(x + i * (2 * {uniform_sql('4-x', 'k', 'b')} - 1) * 10, 6) + 0.0 AS x, round(z + i * (2 * {uniform_sql('4-z', 'k', 'b')} - 1) * 10, 6) + 0.0 AS z, round(r, 6) AS radius,
+  (SELECT count(*) FROM part WHERE p_size::VARCHAR = k) AS cells FROM gr JOIN nm USING (k), range(4) ii(i)""")
+def grown_morphologies(spark, d):
+    """A tree for each size of parts, of up to four generations; parts of one size share theirs."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+    c, p, b = G.generated(parts, "p_size", "grown", generations=4, seed=4)
+    p = p.join(b, ["morph_name", "branch_id"]).join(c.groupBy("morph_name").agg(F.count(F.lit(1)).alias("cells")), "morph_name")
+    return rounded(p, "x", "z").select("morph_name", "branch_id", "parent_branch", F.col("point_id").cast("long").alias("point_id"), "x", "z", F.round("radius", 6).alias("radius"), "cells")
+
+
 @query("SELECT s.id AS pre_id, -1 AS pre_branch, -1 AS pre_point, w.id AS post_id, branch_id AS post_branch, point_id AS post_point FROM world w JOIN cells s ON s.cell_type = 'type_0' AND (w.x - s.x) ** 2 + (w.y - s.y) ** 2 + (w.z - s.z) ** 2 <= 900")
 def shape_to_morphology(spark, d):
     spheres = cells(spark, d).where("cell_type = 'type_0'").select("id", "x", "y", "z", F.lit(30.0).alias("radius"))

@@ -411,3 +411,130 @@ def test_swc_boundaries_and_tags(spark):
     assert [(r.y, r.radius, r.labels) for r in copied] == [(0.0, 5.0, ["axon"]), (1.0, 1.0, ["axon"])]
     with pytest.raises(Exception, match="no sample 9"):
         morphology.parse_swc(swc.withColumn("parent", F.when(F.col("sample") == 20, 9).otherwise(F.col("parent")))).collect()
+
+
+def test_any_box_join_takes_boxes_of_any_size(spark):
+    """Against all pairs, for sizes over ten doublings; one huge box lies in eight cells at most."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(120):
+        low, side = rng.uniform(-300, 300, 3), 2.0 ** rng.uniform(-2, 8, 3)
+        rows.append((i, *map(float, low), *map(float, low + side)))
+    rows += [(200, -1e6, -1e6, -1e6, 1e6, 1e6, 1e6), (201, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0), (202, 4.0, 4.0, 4.0, 5.0, 6.0, 6.0)]
+    boxes = spark.createDataFrame(rows, "id int, lx double, ly double, lz double, hx double, hy double, hz double")
+    got = sorted((r.a.id, r.b.id) for r in spatial.any_box_join(boxes, boxes, 1.0).collect())
+    meet = lambda p, q: all(p[1 + i] <= q[4 + i] and q[1 + i] <= p[4 + i] for i in range(3))
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if meet(p, q))
+    assert spatial._levelled(boxes.where("id = 200"), "a", 1.0, [1], [], 1).count() <= 8
+
+
+def _edges(spark, n=400):
+    from lattica.functions.chunks import chunk_of
+
+    at = lambda s, shift: chunk_of(*(F.pmod(F.floor(F.col("id") * p / 7) + shift, F.lit(9)).cast("double") for p in (1, 3, 5)), 1.0).alias(f"{s}_chunk")
+    rows = spark.range(n).select(F.when(F.col("id") % 4 == 0, "t").otherwise("u").alias("tag"), F.lit("a").alias("pre_type"), F.lit("b").alias("post_type"), at("pre", 0), at("post", 1), F.col("id").cast("int").alias("pre_local"), F.col("id").cast("int").alias("post_local"))
+    return rows.withColumns({c: F.lit(-1) for c in ("pre_branch", "pre_point", "post_branch", "post_point")})
+
+
+def test_scans_from_either_side_open_few_files(spark, tmp_path):
+    store = NetworkStore(spark, str(tmp_path / "net"), file_rows=20)
+    edges = _edges(spark)
+    store.append("connections", edges)
+    every = len(store.read("connections").inputFiles())
+    for side, incoming in (("pre", False), ("post", True)):
+        chunk = edges.where("tag = 'u'").groupBy(f"{side}_chunk").count().orderBy(F.desc("count")).first()[0]
+        got = store.connections("u", [chunk], incoming=incoming)
+        want = edges.where((F.col("tag") == "u") & (F.col(f"{side}_chunk") == chunk))
+        assert sorted(r.pre_local for r in got.collect()) == sorted(r.pre_local for r in want.collect())
+        assert len(got.inputFiles()) <= every // 3
+    before = {r.pre_local for r in edges.collect()}
+    some = [r[0] for r in edges.select("post_chunk").distinct().orderBy("post_chunk").limit(5).collect()]
+    store.clear("connections", post_chunk=some)
+    assert {r.pre_local for r in store.read("connections").collect()} == before - {r.pre_local for r in edges.where(F.col("post_chunk").isin(some)).collect()}
+    store.versions.vacuum()
+    assert store.read("connections").count() == len(store.read("connections").collect())
+    assert store.connections_between("a", "b") if store.tags() == ["t"] else True
+    with pytest.raises(LookupError):
+        store.connections_between("b", "a")
+    store.clear("connections")
+    assert store.tags() == [] and not store.exists("connections")
+
+
+def test_a_failed_job_leaves_the_old_network(spark, tmp_path):
+    store = NetworkStore(spark, str(tmp_path / "net"))
+    cells = lambda plan: spark.range(40).select(F.lit("a").alias("cell_type"), (F.col("id") * 30.0).alias("x"), F.lit(1.0).alias("y"), F.lit(1.0).alias("z"))
+    fails = []
+
+    def connect(plan):
+        if fails:
+            raise RuntimeError("half way")
+        return _edges(spark, 10).withColumn("tag", F.lit("join"))
+
+    plan = Plan(store, placement=[Strategy("place", cells, ["a"])], connectivity=[Strategy("join", connect, ["a"], pre=["a"], post=["a"])])
+    plan.compile()
+    fails.append(1)
+    for options in ({"redo": True}, {"clear": True}, {"append": True}):
+        with pytest.raises(RuntimeError, match="half way"):
+            plan.compile(**options)
+        again = open_store(spark, store.root)
+        assert again.read("cells").count() == 40 and again.read("connections").count() == 10
+    fails.clear()
+    plan.compile(redo=True)
+    assert store.read("cells").count() == 40 and store.read("connections").count() == 10
+
+
+def test_additional_columns(spark, tmp_path):
+    store = NetworkStore(spark, str(tmp_path / "net"))
+    rows = spark.range(6).select(F.when(F.col("id") < 4, "a").otherwise("b").alias("cell_type"), F.lit(0).cast("long").alias("chunk_id"), F.col("id").cast("int").alias("local_id"))
+    store.append("cells", rows)
+    values = spark.range(4).select(F.lit(0).cast("long").alias("chunk_id"), F.col("id").cast("int").alias("local_id"), (F.col("id") * 2).alias("value"))
+    store.append_additional("a", "twice", values)
+    assert sorted((r.cell_type, r.local_id, r.twice) for r in store.read("cells").collect()) == [("a", i, 2 * i) for i in range(4)] + [("b", 4, None), ("b", 5, None)]
+    with pytest.raises(ValueError):
+        store.append_additional("a", "less", values.where("local_id > 0"))
+    assert "less" not in store.read("cells").columns
+
+
+def test_regions_prune_and_change_nothing(spark, tmp_path):
+    """The pairs are the same with and without a region, and a scan by region opens fewer files."""
+    from lattica.functions.chunks import chunk_of
+    from lattica.operators import extents
+
+    at = {c: F.pmod(F.col("id") * p, F.lit(97)) * 10.0 for c, p in (("x", 13), ("y", 29), ("z", 41))}
+    cells = spark.range(300).withColumns(at).withColumn("chunk_id", chunk_of(F.col("x"), F.col("y"), F.col("z"), 100.0)).withColumn("cell_type", F.when(F.col("id") < 12, "a").otherwise("b"))
+    store = NetworkStore(spark, str(tmp_path / "net"), file_rows=10)
+    store.append("cells", cells.withColumn("local_id", F.col("id").cast("int")))
+    ball = shapes.Sphere((0.0, 0.0, 0.0), 40.0)
+    pre, post = (extents.solid_extents(cells.where(F.col("cell_type") == t), ball) for t in "ab")
+    region = extents.region_of_extents(extents.chunk_extents(pre), extents.chunk_extents(post), 100.0)
+    with_it, without = ({(r.pre_id, r.post_id) for r in extents.meeting_cells(pre, post, g, 40.0).collect()} for g in (region, None))
+    assert with_it == without and with_it
+    pruned = store.read("cells", cell_type="b", chunk_id=region.select("post_chunk"))
+    assert len(pruned.inputFiles()) < len(store.read("cells", cell_type="b").inputFiles())
+
+
+def test_derived_morphologies_are_shared(spark):
+    """Two names of one content have one derived morphology; one without labelled points has none; locations come back."""
+    from lattica.operators.derived import derived
+
+    rows = [(m, 0, i, float(i), 0.0, 0.0, 1.0, ["axon"] if i in (1, 2, 4) and m != "n" else ["soma"]) for m in ("a", "b", "n") for i in range(5)]
+    p = spark.createDataFrame(rows, "morph_name string, branch_id int, point_id int, x double, y double, z double, radius double, labels array<string>")
+    b = spark.createDataFrame([(m, 0, None) for m in ("a", "b", "n")], "morph_name string, branch_id int, parent_branch int")
+    d = derived(p, b, ["axon"])
+    assert {r.morph_name: r.derived for r in d.names.collect()} == {"a": "axon@a", "b": "axon@a"} and d.points.count() == 3
+    cells = d.of(spark.createDataFrame([(1, "a"), (2, "b"), (3, "n")], "id long, morph_name string"))
+    assert {r.id: r.morph_name for r in cells.collect()} == {1: "axon@a", 2: "axon@a", 3: None}
+    edges = spark.createDataFrame([(2, 1, 0, 9), (1, 0, 1, 9), (3, -1, -1, 9)], "pre_id long, pre_branch int, pre_point int, post_id long")
+    assert {(r.pre_id, r.pre_branch, r.pre_point) for r in d.back(edges, cells, "pre").collect()} == {(2, 0, 4), (1, 0, 2), (3, -1, -1)}
+    with pytest.raises(Exception, match="not on the filtered"):
+        d.back(edges.withColumn("pre_branch", F.lit(7)), cells, "pre").collect()
+
+
+def test_grown_trees_are_deduplicated(spark):
+    """Without splits all trees of a seed differ by key alone; cells of one key share one."""
+    from lattica.operators.generation import generated
+
+    cells = spark.range(30).withColumn("kind", F.col("id") % 3)
+    named, points, branches = generated(cells, "kind", "g", generations=3, points=3, split=0.0, seed=1)
+    assert named.count() == 30 and {r.morph_name for r in named.select("morph_name").distinct().collect()} == {"g-0", "g-1", "g-2"}
+    assert points.count() == 9 and branches.count() == 3
+    assert generated(cells, "kind", "g", generations=3, points=3, split=1.0)[2].count() == 3 * 7
