@@ -112,24 +112,38 @@ ROW = "row_key"
 _PLACE_BITS = 36
 
 
-def with_row(docs: DataFrame, *columns: Column | str) -> DataFrame:
-    """The columns of docs (all by default) and ROW, a long that is unique and the same whenever the result is read.
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or it with underscores behind it: none of the taken names, in whatever case."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def with_row(docs: DataFrame, *columns: Column | str, name: str = ROW) -> DataFrame:
+    """The columns of docs (all by default) and `name`, a long that is unique and the same whenever the result is read.
 
     Rows of Parquet files are named by file and place, which no later read changes. What isn't just such files, such as a
-    table in memory or the result of a query, is written to the shared folder with its keys.
+    table in memory or the result of a query, is written to the shared folder with its keys. Columns of any names are kept;
+    only `name` itself must be free (see free_name).
     """
     columns = columns or ("*",)
+    taken = [*docs.select(*columns).columns, name]
+    if free_name(name, taken[:-1]) != name:
+        raise ValueError(f"there is a column {name}")
     if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        path, place, file, number = (free_name(x, taken) for x in ("row_file", "row_place", "file", "number"))
         try:
-            placed = docs.select(*columns, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_place"))
-            files = docs.select(F.col("_metadata.file_path").alias("file")).distinct()
+            meta = docs.metadataColumn("_metadata")
+            placed = docs.select(*columns, meta["file_path"].alias(path), meta["row_index"].alias(place))
+            files = docs.select(meta["file_path"].alias(file)).distinct()
         except AnalysisException:  # not Parquet
             pass
         else:
-            numbered = materialize(files.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")), "files")  # a row a file
-            rows = placed.join(sized(numbered), F.col("row_file") == F.col("file"))
-            return rows.withColumn(ROW, F.shiftleft("number", _PLACE_BITS) + F.col("row_place")).drop("row_file", "row_place", "file", "number")
-    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias(ROW)), "rows")
+            numbered = materialize(files.select(file, (F.row_number().over(Window.orderBy(file)) - 1).cast("long").alias(number)), "files")  # a row a file
+            rows = placed.join(sized(numbered), F.col(path) == F.col(file))
+            return rows.withColumn(name, F.shiftleft(number, _PLACE_BITS) + F.col(place)).drop(path, place, file, number)
+    return materialize(docs.select(*columns, F.monotonically_increasing_id().alias(name)), "rows")
 
 
 def text_or_empty(column: str):

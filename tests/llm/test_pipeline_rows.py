@@ -32,3 +32,28 @@ def test_stages_decide_by_row(spark, tmp_path):
     junk = "qzxj " * 400
     got = through(corpus_pipeline.keep_quality, [*map(tuple, docs.collect()), (None, junk, "en"), (None, good, "en"), (900_001, junk, "en"), (900_001, good, "en")])
     assert junk not in {text for _, text in got} and [d for d, text in got if text == good and d in ("None", "900001")] == ["900001", "None"]
+
+
+def test_columns_of_any_names_pass(spark, tmp_path):
+    """Columns that are called as those that stages use inside come through with their values."""
+    rows = spark.createDataFrame([(1, "one text " * 20, "en"), (2, "other words " * 20, "en")], "doc_id long, text string, lang string")
+    clashing = ["file", "number", "row_place", "row_file", "row_key", "Row_Key_", "gone_row", "_metadata", "row", "id"]
+    from pyspark.sql import functions as F
+
+    rows.withColumns({c: F.lit(c) for c in clashing}).write.parquet(str(tmp_path / "docs"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns
+        assert all(r[c] == c for r in got.collect() for c in clashing) and got.count() == 2
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    names = ("documents", "labels", "benchmark")
+    for empty in (*((n,) for n in names), names):
+        folder = tmp_path / "-".join(empty)
+        for name in names:
+            t = spark.read.parquet(f"{DATA}/{name}.parquet")
+            (t.limit(0) if name in empty else t).write.parquet(f"{folder}/{name}.parquet")
+        n = corpus_pipeline.run(spark, str(folder)).count()
+        assert n == 0 if "documents" in empty else n > 0
