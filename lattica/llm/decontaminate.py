@@ -2,9 +2,10 @@
 
 A fingerprint is the least hash of K consecutive words in a window of W such hashes. Whatever span of W + K - 1 = 13
 words two texts share, its window has the same least hash in both, so both have that fingerprint there: no shared
-span can be missed. Documents' fingerprints are joined with those of the items; each hit fixes how the two texts
-are aligned, and along each alignment the words themselves are compared, so no hash decides. Hits stay rows, of a document
-and an item: a document's own row only gathers the windows in it and the numbers of its items.
+span can be missed. Documents' fingerprints are joined with those of the items; each hit is extended to the spans of 13 words
+around it, and these are held against the items' spans word by word, so no hash decides. Equal spans are one, however often a text
+repeats them: the work goes with the words of a text, not with the ways in which two texts can be aligned. Hits stay rows, of a
+document and a span or an item: a document's own row only gathers the windows in it and the numbers of its items.
 
 An item of fewer than 13 words is one window of its own length L, and its fingerprint the hash of these L words;
 documents give their L-word hashes for the lengths that occur among the items, at most 12.
@@ -72,24 +73,33 @@ def fingerprints(df: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
 
 
 def places(span: int, wanted: Column) -> Column:
-    """(l, h, pos) wherever the hash of a fingerprint of that span is among the wanted ones; pos from 1."""
-    every = F.transform(f"g{K if span == SPAN else span}", lambda h, i: F.struct(F.lit(span).alias("l"), h.alias("h"), (i + 1).alias("pos")))
-    return F.filter(every, lambda p: F.coalesce(F.array_contains(wanted, p["h"]), F.lit(False)))
+    """The positions, from 1, of the hashes of that span's fingerprints that are among the wanted ones."""
+    found = F.transform(f"g{K if span == SPAN else span}", lambda h, i: F.when(F.array_contains(wanted, h), i + 1))
+    return F.array_compact(found)
+
+
+def spans(found: Column, span: int) -> Column:
+    """(start, span, window) of the spans around fingerprints at such places; the window is its words, parted by spaces."""
+    last = F.size("words") - span + 1
+
+    def around(at: Column) -> Column:
+        low, high = (F.greatest(F.lit(1), at - (W - 1)), F.least(at, last)) if span == SPAN else (at, at)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(found, around)))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(span).alias("span"), F.array_join(F.slice("words", i, span), " ").alias("window")))
 
 
 def prepared(items: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Items (key, item_id, item, span, marks: where its fingerprints are), their fingerprints (l, h, key), short lengths."""
+    """The distinct windows of items (window, item_id), their fingerprints (l, h), short lengths."""
     items = items.select(F.col(item_col).cast("string").alias("item_id"), words_of(text_or_empty(item_text_col)).alias("words")).distinct()
-    items = items.where(F.size("words") > 0).select(F.monotonically_increasing_id().alias("key"), "item_id", "words", F.least(F.size("words"), F.lit(SPAN)).alias("span"))
-    items = materialize(items, "items")  # the keys are fixed here
+    items = items.where(F.size("words") > 0).withColumn("span", F.least(F.size("words"), F.lit(SPAN)))
+    items = materialize(items, "items")
     short = sorted(r.span for r in items.where(F.col("span") < SPAN).select("span").distinct().collect())  # 12 at most
-    marks = materialize(fingerprints(items, ["key", "span"], short).where("l = span").select("l", "h", "key"), "item-marks")
-    of_item = marks.groupBy("key").agg(F.collect_set("h").alias("hs"))
-    spots = F.lit(None)
-    for n in (*short, SPAN):
-        spots = F.when(F.col("span") == n, places(n, F.col("hs"))).otherwise(spots)
-    items = with_grams(items.join(of_item, "key"), [K, *short]).select("key", "item_id", F.col("words").alias("item"), "span", "hs", spots.alias("marks"))
-    return materialize(items, "item-places"), marks, short
+    marks = materialize(fingerprints(items, ["span"], short).where("l = span").select("l", "h").distinct(), "item-marks")
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("span") + 1)
+    windows = items.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("span")), " "))).alias("window"))
+    return materialize(windows.distinct(), "item-windows"), marks, short
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part: float = 20.0, row_col: str | None = None) -> DataFrame:
@@ -103,30 +113,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     columns = F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")
     texts = docs.select(F.col(row_col).alias(ROW), *columns) if row_col else with_row(docs, *columns)
-    items, marks, short = prepared(items, item_col, item_text_col)
+    windows, marks, short = prepared(items, item_col, item_text_col)
     # Documents that have an item's fingerprint, with these: no more than a document has.
     found = fingerprints(texts.select(ROW, words_of(F.col("text")).alias("words")), [ROW], short)
-    hits = materialize(found.join(sized(marks.select("l", "h").distinct()), ["l", "h"]).groupBy(ROW).agg(F.collect_set("h").alias("hs")), "hit-fingerprints")
+    hits = materialize(found.join(sized(marks), ["l", "h"]).groupBy(ROW).agg(F.collect_set("h").alias("hs")), "hit-fingerprints")
     near = texts.join(sized(hits, size=F.size("hs")), ROW).select(ROW, "hs", words_of(F.col("text")).alias("words"))
-    near = with_grams(near, [K, *short]).select(ROW, "words", F.concat(*(places(n, F.col("hs")) for n in (*short, SPAN))).alias("places"))
-    near = materialize(near, "hit-documents")
-    # How a document and an item can be aligned: no more ways than both have words.
-    at = near.select(ROW, F.explode("places").alias("p")).select(ROW, "p.l", "p.h", F.col("p.pos").alias("doc_pos"))
-    item_at = items.select("key", F.explode("marks").alias("p")).select("key", "p.l", "p.h", F.col("p.pos").alias("item_pos"))
-    aligned = at.join(sized(item_at), ["l", "h"]).select(ROW, "key", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
-    aligned = aligned.groupBy(ROW, "key").agg(F.collect_set("shift").alias("shifts"))
-
-    def starts(shift: Column) -> Column:
-        """The document words, from 1, at which a window of the item, so aligned, starts."""
-        low = F.greatest(F.lit(1), 1 - shift)
-        n = F.least(F.size("item"), F.size("words") - shift) - low + 1
-        same = F.zip_with(F.slice("item", low, F.greatest(n, F.lit(0))), F.slice("words", low + shift, F.greatest(n, F.lit(0))), lambda a, b: a == b)
-        whole = F.transform(F.array(same), lambda eq: F.filter(F.sequence(F.lit(1), n - F.col("span") + 1), lambda i: ~F.array_contains(F.slice(eq, i, F.col("span")), False)))
-        return F.when(n >= F.col("span"), F.transform(whole[0], lambda i: i + (low + shift - 1))).otherwise(F.array().cast("array<int>"))
-
-    verified = aligned.join(near.select(ROW, "words"), ROW).join(sized(items.select("key", "item_id", "item", "span"), size=F.size("item")), "key")
-    verified = verified.select(ROW, "item_id", "span", F.explode(F.array_distinct(F.flatten(F.transform("shifts", starts)))).alias("start"))
-    hit = verified.groupBy(ROW).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.array_sort(F.collect_set(F.struct("start", "span"))).alias("windows"))
+    near = with_grams(near, [K, *short]).select(ROW, "words", *(places(n, F.col("hs")).alias(f"at{n}") for n in (*short, SPAN)))
+    near = near.select(ROW, F.explode(F.concat(*(spans(F.col(f"at{n}"), n) for n in (*short, SPAN)))).alias("s")).select(ROW, "s.*")
+    # A row for each place of a window that an item has, then for each item that has one.
+    known = windows.select("window").distinct()
+    verified = materialize(near.join(sized(known), "window", "left_semi"), "hit-windows")
+    named = verified.select(ROW, "window").distinct().join(sized(windows), "window").select(ROW, "item_id").distinct()
+    named = named.groupBy(ROW).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    covered = verified.groupBy(ROW).agg(F.array_sort(F.collect_set(F.struct("start", "span"))).alias("windows"))
+    hit = named.join(covered, ROW)
 
     def further(state: Column, window: Column) -> Column:
         """Words in windows so far, and the word after them, with the next window in order of starts."""
