@@ -7,7 +7,12 @@ text would learn to tell training texts by their mere number. No term is left ou
 
 Over all labelled training rows Spark counts the documents of each class by term; terms whose class rates differ
 clearly start from these counts, all others at 0. The machine is trained on the driver, on at most SAMPLE_ROWS labelled
-rows, by updates of the terms that a batch has, and scores every document where it is: its size is fixed by BUCKETS and FACTORS.
+rows, by updates of the terms that a batch has, until the loss on a tenth of these rows, kept back, no longer falls. It
+scores every document where it is: its size is fixed by BUCKETS and FACTORS.
+
+Factors move by the plain gradient, not by one that is evened out from term to term: what a pair teaches adds up over
+all texts that have it, and so outgrows what hundreds of other terms of a text teach by chance. In these steps a pair counts
+as much in a long text as in a short one.
 """
 
 from __future__ import annotations
@@ -28,9 +33,11 @@ PREFIXES = (4, 5)
 FACTORS = 8
 #: Labelled rows that the machine is fitted on, those with the smallest hashes of their ids; counts cover all.
 SAMPLE_ROWS = 20_000
-BATCH, STEPS, EPOCHS = 128, 100, 5
-#: Rates of the weights and of the factors; squared gradients that both count as seen before, so that rare terms move little.
-RATE, FACTOR_RATE, SEEN, FACTOR_SEEN, DECAY, SPREAD = 0.1, 0.3, 30.0, 1.0, 1e-5, 0.05
+BATCH, STEPS, EPOCHS = 128, 100, 40
+#: The part of the rows that is kept back, as a divisor; epochs that may pass without a loss on it that is lower by GAIN.
+KEPT_BACK, PATIENCE, GAIN = 10, 3, 5e-4
+#: Steps of weights and factors, their decay, and the factors' spread at first; a step of all factors is no longer than LONGEST.
+RATE, FACTOR_RATE, DECAY, SPREAD, LONGEST = 0.2, 1.0, 1e-3, 0.02, 1.0
 #: Standard errors between the class rates of a term that starts from its counts; documents at which such a weight is halved.
 CLEAR, SHRINK = 3.0, 20
 
@@ -114,30 +121,47 @@ class Machine:
     def raw(self, sizes: np.ndarray, terms: np.ndarray) -> np.ndarray:
         return self.sums(sizes, terms)[0]
 
+    def loss(self, rows: list[np.ndarray], y: np.ndarray) -> float:
+        z = np.clip(self.raw(np.array([len(r) for r in rows]), np.concatenate(rows)), -30, 30)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> None:
-        """AdaGrad on the logistic loss; only the terms of a batch are touched."""
+        """Gradient steps on the logistic loss, of the terms of a batch alone; the machine of the best epoch stays.
+
+        Rows too few to keep any back are learnt for STEPS steps.
+        """
         rng = np.random.default_rng(seed)
         rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         self.b = float(np.log(rate / (1 - rate)))
-        gb, gw, gv = 1.0, np.full(self.w.shape, SEEN, np.float32), np.full(self.v.shape, FACTOR_SEEN, np.float32)
-        for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(rows)))):
-            order = rng.permutation(len(rows))
-            for i in range(0, len(order), BATCH):
-                part = order[i : i + BATCH]
-                sizes, terms = np.array([len(rows[k]) for k in part]), np.concatenate([rows[k] for k in part])
-                z, whole = self.sums(sizes, terms)
-                e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]).astype(np.float32)
-                by = np.argsort(terms, kind="stable")
-                first = np.flatnonzero(np.diff(terms[by], prepend=-1))
-                text, u, n = np.repeat(np.arange(len(part)), sizes)[by], terms[by][first], np.diff(first, append=len(by))
-                share = (e / np.maximum(sizes, 1)).astype(np.float32)
-                dw = summed(e[text], n) + DECAY * self.w[u]
-                dv = summed((whole * share[:, None])[text], n) - (summed(share[text], n)[:, None] - DECAY) * self.v[u]
-                db = float(e.sum())
-                gb, gw[u], gv[u] = gb + db**2, gw[u] + dw**2, gv[u] + dv**2
-                self.b -= RATE * db / gb**0.5
-                self.w[u] -= RATE * dw / np.sqrt(gw[u])
-                self.v[u] -= FACTOR_RATE * dv / np.sqrt(gv[u])
+        order = rng.permutation(len(rows))
+        back, use = np.split(order, [len(rows) // KEPT_BACK])
+        best, since = (np.inf, None), 0
+        for epoch in range(EPOCHS if len(back) else STEPS * BATCH // max(1, len(rows)) if len(rows) else 0):
+            use = rng.permutation(use)
+            for i in range(0, len(use), BATCH):
+                self._step([rows[k] for k in use[i : i + BATCH]], y[use[i : i + BATCH]])
+            if len(back):
+                now = self.loss([rows[k] for k in back], y[back])
+                since = 0 if now < best[0] - GAIN else since + 1
+                if now < best[0]:
+                    best = now, (self.b, self.w.copy(), self.v.copy())
+                if since >= PATIENCE and (epoch + 1) * len(use) >= STEPS * BATCH:
+                    break
+        if best[1]:
+            self.b, self.w, self.v = best[1]
+
+    def _step(self, rows: list[np.ndarray], y: np.ndarray) -> None:
+        sizes, terms = np.array([len(r) for r in rows]), np.concatenate(rows)
+        z, whole = self.sums(sizes, terms)
+        e = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)).astype(np.float32)
+        by = np.argsort(terms, kind="stable")
+        first = np.flatnonzero(np.diff(terms[by], prepend=-1))
+        text, u, n = np.repeat(np.arange(len(rows)), sizes)[by], terms[by][first], np.diff(first, append=len(by))
+        dw = summed(e[text], n) + DECAY * self.w[u]
+        dv = summed((whole * e[:, None])[text], n) - (summed(e[text], n)[:, None] - DECAY) * self.v[u]
+        self.b -= RATE * float(e.sum())
+        self.w[u] -= RATE * dw
+        self.v[u] -= dv * np.float32(min(FACTOR_RATE, LONGEST / max(1e-12, float(np.sqrt((dv**2).sum())))))
 
 
 def train(labelled: DataFrame) -> Machine:

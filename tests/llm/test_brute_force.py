@@ -225,8 +225,52 @@ def test_machine_learns_pairs_among_many_terms():
     assert ((raw > 0) == (y[7000:] > 0)).mean() > 0.9
 
 
+def test_toxicity_learns_pairs_in_long_texts(spark):
+    """Through toxicity(), at the query's settings: the label is an exclusive-or of two words, among 200 others a text."""
+    rng = np.random.default_rng(2)
+    a, b = rng.random((2, 20_000)) < 0.5
+    words = np.array([f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(10_000)])
+    texts = [" ".join(["insult"] * int(x) + ["group"] * int(z) + rng.choice(words, 200).tolist()) for x, z in zip(a, b, strict=True)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(a != b)], "doc_id long, toxic int")
+    held = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert len(held) > 3000 and (held.predicted == held.toxic).mean() > 0.9
+
+
+def test_terms_and_counts_are_the_plain_ones(spark):
+    """Counts of documents a class by bucket, and the weights that terms start from, against plain Python."""
+    rng = random.Random(6)
+    vocabulary = ["one", "Two", "threes", "élan", "ab", "sevens7", "漢字", "abcd", "abcde"]
+    rows = [(" ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))), int(rng.random() < 0.4)) for _ in range(300)]
+    of, bucket_of = {}, {}
+    for w in vocabulary:
+        _, (bucket_of[w], *_) = toxicity.document_terms([w]) if len(toxicity.document_terms([w])[1]) == 1 else (None, (None,))
+    for text, toxic in rows:
+        for bucket in set(toxicity.document_terms([text])[1].tolist()):
+            of.setdefault(bucket, [0, 0])[toxic] += 1
+    got = {r.bucket: [r.clean, r.toxic] for r in toxicity.term_counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert got == of
+    for w in ("ab", "one"):  # a short word is one term, and occurs as a word alone
+        n = [sum(w in t.lower().split() for t, k in rows if k == toxic) for toxic in (0, 1)]
+        assert got[bucket_of[w]] == n
+
+
 def test_toxicity_on_held_out_rows(spark):
     data = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     held = [(labels[r.doc_id], r.predicted) for r in op7_toxicity(spark, data).where("held_out").collect() if r.doc_id in labels]
     assert np.mean([p for t, p in held if t == 1]) > 0.85 and np.mean([p for t, p in held if t == 0]) < 0.01
+
+
+def test_decontamination_goes_with_the_words(spark):
+    """Twenty thousand times one word, in a document and in an item, and passages within such runs, as the plain windows have them."""
+    import time
+
+    long = "spam " * 20_000
+    items = [(1, long), (2, "spam " * 14 + "egg " + "spam " * 14), (3, "egg " * 12)]
+    docs = [(10, long), (11, "x " * 50 + "spam " * 20 + "y"), (12, "spam " * 12), (13, "a " * 300 + "spam " * 30 + "egg " + "spam " * 30), (14, "b " + "egg " * 12)]
+    started = time.time()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - started < 90
+    assert got[10] == (20_000, 20_000, ["1", "2"], True) and got[11] == (71, 20, ["1", "2"], True) and got[12] == (12, 0, [], False)
+    assert got[13] == (361, 61, ["1", "2"], True) and got[14] == (13, 12, ["3"], True)
