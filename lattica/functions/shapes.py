@@ -212,7 +212,8 @@ class Parallelepiped(Shape):
 
     def volume(self):
         a, b, c = self.sides
-        return abs(_dot(a, (b[1] * c[2] - b[2] * c[1], b[2] * c[0] - b[0] * c[2], b[0] * c[1] - b[1] * c[0])))
+        v = _dot(a, (b[1] * c[2] - b[2] * c[1], b[2] * c[0] - b[0] * c[2], b[0] * c[1] - b[1] * c[0]))
+        return F.abs(v) if isinstance(v, Column) else abs(v)
 
     def box(self):
         low = tuple(self.corner[i] + sum(min(0.0, s[i]) for s in self.sides) for i in range(3))

@@ -3,8 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,7 +200,7 @@ def filtered(points: DataFrame, branches: DataFrame, labels: list[str]) -> tuple
 
 def simplify(points: DataFrame, epsilon: float) -> DataFrame:
     """Points of each branch that Ramer, Douglas and Peucker's rule keeps: both ends, and what lies further than
-    epsilon from the line of its stretch. A branch is one pandas group; branches are small. A negative epsilon raises."""
+    epsilon from the line of its stretch. A batch takes many branches, one after another. A negative epsilon raises."""
     if epsilon < 0:
         raise ValueError("the tolerance must not be negative")
 
@@ -219,11 +221,27 @@ def simplify(points: DataFrame, epsilon: float) -> DataFrame:
                 stack += [(a, a + 1 + k), (a + 1 + k, b)]
         return on
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("point_id")
-        return g[keep(g[list(AXES)].to_numpy())]
-
-    return points.groupBy(*KEYS).applyInPandas(run, points.schema)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in rows:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            names, ids = table.column("morph_name").to_pylist(), table.column("branch_id").to_pylist()
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1] or ids[i] != ids[i - 1]]
+            if not starts:
+                continue
+            held = table.slice(starts[-1])  # its branch may go on in the next batch
+            yield from kept(table, starts)
+        if held is not None:
+            yield from kept(held, [0, held.num_rows])
+
+    def kept(table: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+        at = np.stack([table.column(c).to_numpy() for c in AXES], 1)
+        masks = [keep(at[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        if masks:
+            yield from table.slice(0, starts[-1]).filter(pa.array(np.concatenate(masks))).to_batches()
+
+    ordered = points.repartition(*KEYS).sortWithinPartitions(*KEYS, "point_id")
+    return ordered.mapInArrow(run, points.schema)
 
 
 def closest_point(points: DataFrame, to: tuple[float, float, float]) -> DataFrame:

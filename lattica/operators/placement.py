@@ -113,9 +113,9 @@ def random_points_in_voxels(voxels: DataFrame, count: int, seed: int = 0) -> Dat
     return draws.join(places, "r").join(voxels, "voxel_id").select("voxel_id", "k", *at)
 
 
-def fixed_points(spark: SparkSession, points: list[tuple[float, float, float]], cell_types: list[str], size: float) -> DataFrame:
-    """Given points, all of them for each cell type."""
-    at = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k long, x double, y double, z double")
+def fixed_points(spark: SparkSession, points: list[tuple[float, float, float]] | DataFrame, cell_types: list[str], size: float) -> DataFrame:
+    """Given points, a list or rows (k, x, y, z), all of them for each cell type."""
+    at = points if isinstance(points, DataFrame) else spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "k long, x double, y double, z double")
     types = spark.createDataFrame([(t,) for t in cell_types], "cell_type string")
     return at.crossJoin(types).withColumn("chunk_id", chunk_of(F.col("x"), F.col("y"), F.col("z"), size))
 
@@ -126,6 +126,37 @@ def entities(spark: SparkSession, cell_type: str, count: int) -> DataFrame:
     return spark.range(count).select(F.lit(cell_type).alias("cell_type"), F.lit(0).cast("long").alias("chunk_id"), F.col("id").cast("int").alias("local_id"), *(none.alias(c) for c in AXES))
 
 
+def entities_of(counts: DataFrame) -> DataFrame:
+    """The same for rows (cell_type, n): so many cells of each type, numbered in blocks that are dealt to tasks."""
+    n = F.col("n").cast("long")
+    blocks = counts.where("n > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / POINTS)))).hint("rebalance", "cell_type", "_b")
+    rows = blocks.withColumn("local_id", F.explode(F.sequence(F.col("_b") * POINTS, F.least(n, (F.col("_b") + 1) * POINTS) - 1)))
+    none = F.lit(None).cast("double")
+    return rows.select("cell_type", F.lit(0).cast("long").alias("chunk_id"), F.col("local_id").cast("int").alias("local_id"), *(none.alias(c) for c in AXES))
+
+
+def lattice_in_boxes(boxes: DataFrame, keys: list[str], spacing: float, angle: float, radius: float, density: float, jitter: float = 0.0, seed: int = 0, chunk: float = 100.0) -> DataFrame:
+    """lattice_points in many boxes (keys, lx, ly, lz, hx, hy, hz) at once: keys, row, column, x, y, z and the chunk of each point.
+
+    A row of points is a row of the table before its points are, so a large box is many tasks'.
+    """
+    if abs(math.cos(math.radians(angle))) < 1e-9:
+        raise ValueError("rows at a right angle never cross the layer")
+    apart, tan = 1.0 / (density * spacing), math.tan(math.radians(angle))
+    if apart < 2 * radius:
+        raise ValueError("rows are closer than the cells are wide")
+    dy = F.col("hy") - F.col("ly")
+    many = lambda side, step: F.greatest(F.lit(1), F.floor((F.col(f"h{side}") - F.col(f"l{side}")) / step)).cast("long")
+    rows = boxes.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), many("y", apart) - 1))).hint("rebalance", *keys, "row")
+    grid = rows.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), many("x", spacing) - 1)))
+    u = lambda c: keyed_uniform(f"{seed}{c}", *keys, "row", "column")
+    x = F.col("lx") + F.col("column") * spacing + (u("x") - 0.5) * jitter
+    y = F.col("ly") + F.pmod(F.col("row") * apart + F.col("column") * (spacing * tan), dy) + (u("y") - 0.5) * jitter
+    z = F.col("lz") + u("z") * (F.col("hz") - F.col("lz"))
+    out = grid.withColumns({"x": x, "y": y, "z": z}).where((F.col("x") <= F.col("hx") - radius) & (F.col("y") <= F.col("hy") - radius))
+    return out.select(*keys, "row", "column", *AXES, chunk_of(F.col("x"), F.col("y"), F.col("z"), chunk).alias("chunk_id"))
+
+
 def lattice_points(spark: SparkSession, low: tuple[float, float, float], high: tuple[float, float, float], spacing: float, angle: float, radius: float, density: float, jitter: float = 0.0, seed: int = 0) -> DataFrame:
     """Rows of points in xy, tilted by `angle` degrees, `spacing` apart along x; z is anywhere; points near the far side go.
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lattica.operators.voxels import box_chunks
 
@@ -100,3 +101,18 @@ def boxes_frame(spark: SparkSession, boxes: list[Box]) -> DataFrame:
 def chunks_of(spark: SparkSession, boxes: list[Box], size: float) -> DataFrame:
     """The chunks of all boxes, with the part of each box in them."""
     return box_chunks(boxes_frame(spark, boxes), size)
+
+
+def stacked(boxes: DataFrame, keys: list[str], order: list[str], axis: str = "z", anchor: Column | None = None) -> DataFrame:
+    """Boxes (lx, ly, lz, hx, hy, hz) of many stacks at once, each moved along the axis onto the one before it.
+
+    keys name the stack. Its first box stays where it is; with `anchor`, the box for which that holds starts there instead, and those before
+    it lie below. Like Stack, for stacks that are rows of a table.
+    """
+    along = Window.partitionBy(*keys).orderBy(*order)
+    thick = F.col(f"h{axis}") - F.col(f"l{axis}")
+    out = boxes.withColumns({"_base": F.first(f"l{axis}").over(along), "_start": F.coalesce(F.sum(thick).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_thick": thick})
+    if anchor is not None:
+        shift = F.coalesce(F.max(F.when(anchor, F.col("_start"))).over(Window.partitionBy(*keys)), F.lit(0.0))
+        out = out.withColumn("_start", F.col("_start") - shift)
+    return out.withColumn(f"l{axis}", F.col("_base") + F.col("_start")).withColumn(f"h{axis}", F.col(f"l{axis}") + F.col("_thick")).select(boxes.columns)

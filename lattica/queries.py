@@ -1,12 +1,13 @@
 """Queries over the test tables, one or more for each operator, with the SQL that says the same.
 
 `embeddings` serves as cells: the first three numbers of a vector, times 500, are a place and its label a cell type.
-As morphologies, 60 of its 64 numbers are 4 branches of 5 points.
+As morphologies, its 64 numbers are 4 branches, three of 5 points and the last of 6, and a radius.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from lattica.functions import shapes as S
 from lattica.functions.chunks import chunk_box, chunk_coordinates, chunk_of
 from lattica.functions.keyed import bits_sql, inverse_cdf, keyed_bits, keyed_uniform, uniform_sql
+from lattica.functions.distributions import KNOTS, Tabulated
 from lattica.functions.labels import has_all, has_any, name_matches, with_labels
 from lattica.functions.rotation import aligning_matrix, euler_matrix, matrix_euler, product, times
+from lattica.functions.surfaces import BANDS, surface_point
 from lattica.operators import connectivity as C
 from lattica.operators import extents as X
 from lattica.operators import generation as G
@@ -27,6 +30,7 @@ from lattica.operators import spatial as J
 from lattica.operators import targeting as T
 from lattica.operators import voxels as V
 from lattica.operators.derived import derived
+from lattica.operators.edits import edited
 from lattica.operators.trees import below, tour
 from lattica.plans import topology as L
 from lattica.plans.network import Plan, Strategy
@@ -67,10 +71,10 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("morph_name"), "embedding")
-    rows = e.withColumn("branch_id", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = e.withColumn("branch_id", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("point_id", F.explode(F.sequence(F.lit(0), F.when(F.col("branch_id") == 3, 5).otherwise(4))))
     at = [(F.element_at("embedding", (3 * (5 * F.col("branch_id") + F.col("point_id")) + i + 1).cast("int")).cast("double") * 100).alias(c) for i, c in enumerate("xyz")]
     label = F.when((F.col("branch_id") == 0) & (F.col("point_id") < 2), "soma").when(F.col("branch_id") % 2 == 1, "axon").otherwise("dendrites")
-    return rows.select("morph_name", "branch_id", "point_id", *at, F.lit(1.0).alias("radius"), F.array(label).alias("labels"))
+    return rows.select("morph_name", "branch_id", "point_id", *at, (F.abs(F.col("embedding")[63].cast("double")) + 0.5).alias("radius"), F.array(label).alias("labels"))
 
 
 def branches(spark: SparkSession, d: str) -> DataFrame:
@@ -93,8 +97,8 @@ stats AS (SELECT cell_type, chunk_id, count(*) AS n FROM cells GROUP BY ALL),
 offs AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY cell_type ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM stats),
 pts AS (SELECT vec_id::VARCHAR AS morph_name, b AS branch_id, k AS point_id, embedding[3 * (5 * b + k) + 1]::DOUBLE * 100 AS x,
   embedding[3 * (5 * b + k) + 2]::DOUBLE * 100 AS y, embedding[3 * (5 * b + k) + 3]::DOUBLE * 100 AS z,
-  CASE WHEN b = 0 AND k < 2 THEN 'soma' WHEN b % 2 = 1 THEN 'axon' ELSE 'dendrites' END AS label
-  FROM embeddings, range(4) bb(b), range(5) kk(k)),
+  CASE WHEN b = 0 AND k < 2 THEN 'soma' WHEN b % 2 = 1 THEN 'axon' ELSE 'dendrites' END AS label, abs(embedding[64]::DOUBLE) + 0.5 AS radius
+  FROM embeddings, range(4) bb(b), range(6) kk(k) WHERE k < 5 OR b = 3),
 brs AS (SELECT vec_id::VARCHAR AS morph_name, b AS branch_id, CASE WHEN b IN (1, 2) THEN 0 WHEN b = 3 THEN 1 END AS parent_branch FROM embeddings, range(4) bb(b)),
 seg AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2) AS length FROM pts WINDOW w AS (PARTITION BY morph_name, branch_id ORDER BY point_id)),
 arc0 AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY morph_name, branch_id ORDER BY point_id), 0) AS path FROM seg),
@@ -571,10 +575,16 @@ def shape_composition(spark, d):
     return cells(spark, d).where(both.inside([F.col(c) for c in "xyz"])).select("id")
 
 
-@query("SELECT * FROM (VALUES ('sphere', 3053628.06), ('ellipsoid', 2035752.04), ('cylinder', 2616946.68), ('cone', 2094395.10), ('cuboid', 1760000.0), ('slanted', 1584000.0)) t(name, volume)")
+@query("""SELECT p_partkey, round(4.0 / 3 * pi() * p_size ** 3, 4) AS sphere, round(pi() * p_size * 20 * (p_size + 1), 4) AS ellipsoid, round(pi() * p_size ** 2 * 50, 4) AS cylinder,
+  round(pi() * p_size ** 2 * 50 / 3, 4) AS cone, round(abs(p_size * 30.0 * 7), 4) AS slanted FROM part""")
 def shape_volumes(spark, d):
-    named = {"sphere": SPHERE, "ellipsoid": ELLIPSOID, "cylinder": CYLINDER, "cone": CONE, "cuboid": CUBOID, "slanted": SLANTED}
-    return spark.createDataFrame([(n, round(s.volume(), 2)) for n, s in named.items()], "name string, volume double")
+    """Solids whose sides are columns: one of each for every part."""
+    r = F.col("p_size").cast("double")
+    solids = {
+        "sphere": S.Sphere((0.0, 0.0, 0.0), r), "ellipsoid": S.Ellipsoid((0.0, 0.0, 0.0), (r, 20.0, r + 1)), "cylinder": S.Cylinder((0.0, 0.0, 0.0), r, (0.0, 30.0, 40.0)),
+        "cone": S.Cone((0.0, 0.0, 0.0), (30.0, 0.0, 40.0), r), "slanted": S.Parallelepiped((0.0, 0.0, 0.0), ((r, 0.0, 0.0), (5.0, 30.0, 0.0), (1.0, 2.0, -7.0))),
+    }
+    return table(spark, d, "part").select("p_partkey", *(F.round(s.volume(), 4).alias(n) for n, s in solids.items()))
 
 
 @query(f"""SELECT id, k, round(90 * cbrt(u) * sqrt(1 - (2 * v - 1) ** 2) * cos(2 * pi() * w), 5) + 0.0 AS x, round(90 * cbrt(u) * (2 * v - 1), 5) + 0.0 AS z, true AS inside
@@ -592,31 +602,81 @@ def shape_clouds(spark, d):
     return at.select("id", "k", (F.round("p0", 5) + 0.0).alias("x"), (F.round("p2", 5) + 0.0).alias("z"), inside.alias("inside"))
 
 
+_OVAL = S.Ellipsoid((0.0, 0.0, 0.0), (40.0, 20.0, 30.0))
+
+
+@query(f""", ar AS (SELECT i, j, sqrt((600 * sin(f) ** 2 * cos(t)) ** 2 + (1200 * sin(f) ** 2 * sin(t)) ** 2 + (800 * sin(f) * cos(f)) ** 2) AS a
+  FROM (SELECT i, j, pi() * (i + 0.5) / {BANDS} AS f, 2 * pi() * (j + 0.5) / {BANDS} AS t FROM range({BANDS}) ii(i), range({BANDS}) jj(j))),
+ba AS (SELECT i, sum(a) AS a FROM ar GROUP BY i), bc AS (SELECT i, a, sum(a) OVER (ORDER BY i) - a AS low, sum(a) OVER () AS total FROM ba),
+dr AS (SELECT id, k, {uniform_sql('12-0', 'id', 'k')} AS u FROM cells, range(8) kk(k)),
+on_e AS (SELECT id, k, i, cos(i * pi() / {BANDS}) + (cos((i + 1) * pi() / {BANDS}) - cos(i * pi() / {BANDS})) * (u * total - low) / a AS c FROM dr JOIN bc ON u * total >= low AND u * total < low + a)
+SELECT id, k, round(30 * c, 5) + 0.0 AS z, true AS on_oval, true AS on_drum, true AS on_cone, true AS on_block FROM on_e""")
+def surface_points(spark, d):
+    """Eight points on the surface of solids at each cell: their heights on an ellipsoid, and whether each is where it should be."""
+    rows = cells(spark, d).select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    u = [keyed_uniform(f"12-{i}", "id", "k") for i in range(3)]
+    solids = {"e": _OVAL, "c": S.Cylinder((0.0, 0.0, -30.0), 25.0, (0.0, 0.0, 30.0)), "q": S.Cone((0.0, 0.0, 40.0), (0.0, 0.0, -40.0), 20.0), "b": S.Parallelepiped((0.0, 0.0, 0.0), ((40.0, 0.0, 0.0), (0.0, 30.0, 0.0), (0.0, 0.0, 20.0)))}
+    at = rows.select("id", "k", *(c.alias(f"{n}{v}") for n, s in solids.items() for c, v in zip(surface_point(s, u), "xyz", strict=True)))
+    flat = lambda n: F.sqrt(F.col(f"{n}x") * F.col(f"{n}x") + F.col(f"{n}y") * F.col(f"{n}y"))
+    near = lambda a, b: F.abs(a - b) < 1e-6
+    oval = near(F.pow(F.col("ex") / 40, F.lit(2.0)) + F.pow(F.col("ey") / 20, F.lit(2.0)) + F.pow(F.col("ez") / 30, F.lit(2.0)), 1.0)
+    drum = (near(flat("c"), 25.0) & (F.abs("cz") <= 30)) | (near(F.abs("cz"), 30.0) & (flat("c") <= 25))
+    cone = (near(flat("q"), (40 - F.col("qz")) / 4) & (F.abs("qz") <= 40 + 1e-6)) | (near(F.col("qz"), -40.0) & (flat("q") <= 20))
+    block = reduce(lambda a, b: a | b, [near(F.col(f"b{v}"), x) for v, m in (("x", 40.0), ("y", 30.0), ("z", 20.0)) for x in (0.0, m)])
+    return at.select("id", "k", (F.round("ez", 5) + 0.0).alias("z"), oval.alias("on_oval"), drum.alias("on_drum"), cone.alias("on_cone"), block.alias("on_block"))
+
+
+_GAMMA, _BETA = Tabulated.of("gamma", a=2.5, scale=2.0), Tabulated.of("beta", a=0.5, b=1.5, loc=1.0)
+
+
+def _table_sql(t: Tabulated, u: str) -> str:
+    """The place in a table at the quantile u."""
+    at = f"least({KNOTS}, greatest(0, (ln({u}) - ln(1 - {u}) - {t.first!r}::DOUBLE) * {KNOTS / (t.last - t.first)!r}::DOUBLE))"
+    i = f"least({KNOTS - 1}, floor({at}))::INTEGER"
+    return f"(tab[{i} + 1] + ({at} - {i}) * (tab[{i} + 2] - tab[{i} + 1]))"
+
+
+@query(f""", g AS (SELECT id, {uniform_sql('g', 'id')} AS u, {list(_GAMMA.places)!r}::DOUBLE[] AS tab FROM cells), b AS (SELECT id, {uniform_sql('b', 'id')} AS u, {list(_BETA.places)!r}::DOUBLE[] AS tab FROM cells)
+SELECT g.id, round(2 * exp({_table_sql(_GAMMA, 'g.u').replace('tab', 'g.tab')}), 6) AS gamma, round(1 + 1 / (1 + exp(-{_table_sql(_BETA, 'b.u').replace('tab', 'b.tab')})), 6) AS beta FROM g JOIN b USING (id)""")
+def tabulated_draws(spark, d):
+    """Draws from distributions whose quantile functions have no closed form."""
+    return cells(spark, d).select("id", F.round(_GAMMA.draw("g", "id"), 6).alias("gamma"), F.round(_BETA.draw("b", "id"), 6).alias("beta"))
+
+
 # Placement.
 
-STACK = L.Stack("stack", (L.Layer("low", 150.0), L.Group("mid", (L.Rhomboid("box", (80.0, 120.0, 60.0)), L.Layer("layer", 90.0)))))
-REGION = L.Box("region", (-100.0, -100.0, -100.0), (150.0, 100.0, 100.0))
 
 
-@query("SELECT * FROM (VALUES ('low', -100.0, 50.0), ('box', 50.0, 110.0), ('layer', 50.0, 140.0)) t(partition, lz, hz)")
+def partitions(spark: SparkSession, d: str) -> DataFrame:
+    """A stack of layers for each region, a layer a nation; the nation with a 3 as its last digit starts at the region's floor."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("stack"), F.col("n_nationkey").alias("place"), F.concat(F.lit("n"), "n_nationkey").alias("partition"), (-100.0 - 10 * F.col("n_regionkey")).alias("lx"), F.lit(-100.0).alias("ly"), (50.0 * F.col("n_regionkey") - 100).alias("lz"), F.lit(150.0).alias("hx"), F.lit(100.0).alias("hy"))
+    return L.stacked(n.withColumn("hz", F.col("lz") + 10.0 + 3 * F.col("place")), ["stack"], ["place"], anchor=F.col("place") % 10 == 3)
+
+
+_STACKED = """pt0 AS (SELECT n_regionkey AS stack, n_nationkey AS place, 'n' || n_nationkey AS partition, (-100 - 10 * n_regionkey)::DOUBLE AS lx, -100.0::DOUBLE AS ly, (50 * n_regionkey - 100)::DOUBLE AS base, 150.0::DOUBLE AS hx, 100.0::DOUBLE AS hy, (10 + 3 * n_nationkey)::DOUBLE AS thick FROM nation),
+pt1 AS (SELECT *, coalesce(sum(thick) OVER (PARTITION BY stack ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM pt0),
+pt2 AS (SELECT *, base + start - coalesce(max(CASE WHEN place % 10 = 3 THEN start END) OVER (PARTITION BY stack), 0) AS lz FROM pt1),
+pt AS (SELECT *, lz + thick AS hz FROM pt2)"""
+
+
+@query(f", {_STACKED} SELECT stack, partition, lz, hz FROM pt")
 def stack_layout(spark, d):
-    return L.boxes_frame(spark, STACK.layout(REGION)).select("partition", "lz", "hz")
+    return partitions(spark, d).select("stack", "partition", "lz", "hz")
 
 
-_CHUNKED = """ch AS (SELECT p.partition, cx, cy, cz, greatest(lx, cx * 100) AS lx, greatest(ly, cy * 100) AS ly, greatest(lz, cz * 100) AS lz,
+_CHUNKED = _STACKED + """, ch AS (SELECT p.partition, cx, cy, cz, greatest(lx, cx * 100) AS lx, greatest(ly, cy * 100) AS ly, greatest(lz, cz * 100) AS lz,
   least(hx, cx * 100 + 100) AS hx, least(hy, cy * 100 + 100) AS hy, least(hz, cz * 100 + 100) AS hz
-  FROM (VALUES ('low', -100.0, -100.0, -100.0, 150.0, 100.0, 50.0), ('box', -100.0, -100.0, 50.0, -20.0, 20.0, 110.0), ('layer', -100.0, -100.0, 50.0, 150.0, 100.0, 140.0)) p(partition, lx, ly, lz, hx, hy, hz),
-  range(-1, 2) a(cx), range(-1, 2) b(cy), range(-1, 2) c(cz) WHERE cx * 100 < hx AND cx * 100 + 100 > lx AND cy * 100 < hy AND cy * 100 + 100 > ly AND cz * 100 < hz AND cz * 100 + 100 > lz),
+  FROM pt p, range(-2, 2) a(cx), range(-1, 1) b(cy), range(-8, 9) c(cz) WHERE cx * 100 < hx AND cx * 100 + 100 > lx AND cy * 100 < hy AND cy * 100 + 100 > ly AND cz * 100 < hz AND cz * 100 + 100 > lz),
 chv AS (SELECT partition, ((cx & 65535) + ((cy & 65535) << 16) + ((cz & 65535) << 32))::BIGINT AS chunk_id, ((hx - lx) * (hy - ly) * (hz - lz))::DOUBLE AS volume, ((hx - lx) * (hy - ly))::DOUBLE AS area FROM ch)"""
 
 
 @query(f", {_CHUNKED} SELECT * FROM chv")
 def partition_chunks(spark, d):
-    return L.chunks_of(spark, STACK.layout(REGION), SIZE).select("partition", "chunk_id", "volume", "area")
+    return V.box_chunks(partitions(spark, d), SIZE).select("partition", "chunk_id", "volume", "area")
 
 
-def _indicated(spark):
-    per_chunk = L.chunks_of(spark, STACK.layout(REGION), SIZE).groupBy("chunk_id").agg(F.sum("volume").alias("volume"), F.sum("area").alias("area"))
+def _indicated(spark, d):
+    per_chunk = V.box_chunks(partitions(spark, d), SIZE).groupBy("chunk_id").agg(F.sum("volume").alias("volume"), F.sum("area").alias("area"))
     dense = P.Indicator(density=1e-5)
     kinds = {"counted": P.Indicator(count=500), "dense": dense, "planar": P.Indicator(planar_density=1e-3, count=7), "related": P.Indicator(relative_to=dense, density_ratio=0.3), "ratio": P.Indicator(relative_to=P.Indicator(count=500), count_ratio=0.5)}
     return P.chunk_counts(per_chunk, kinds, 4)
@@ -631,7 +691,7 @@ ind AS (SELECT *, (floor(estimate) + CASE WHEN {uniform_sql(4, 'cell_type', 'chu
 
 @query(_INDICATED + " SELECT cell_type, chunk_id, round(estimate, 6) AS estimate, n FROM ind")
 def indicator_counts(spark, d):
-    return _indicated(spark).withColumn("estimate", F.round("estimate", 6))
+    return _indicated(spark, d).withColumn("estimate", F.round("estimate", 6))
 
 
 _PLACED = _INDICATED + f""", bx AS (SELECT i.*, {", ".join(f"(((chunk_id >> {16 * i}) & 65535) - CASE WHEN ((chunk_id >> {16 * i}) & 65535) >= 32768 THEN 65536 ELSE 0 END) * 100.0::DOUBLE AS l{c}" for i, c in enumerate("xyz"))} FROM ind i),
@@ -640,14 +700,14 @@ pn AS (SELECT *, unnest(range(1, n + 1)) AS k FROM bx WHERE n > 0)"""
 
 @query(_PLACED + " SELECT cell_type, chunk_id, k, " + ", ".join(f"round(l{c} + {uniform_sql(f'6{c}', 'cell_type', 'chunk_id', 'k')} * 100, 6) + 0.0 AS {c}" for c in "xyz") + " FROM pn")
 def random_placement(spark, d):
-    made = P.random_points(V.chunk_corners(_indicated(spark), SIZE), ["cell_type", "chunk_id"], 6)
+    made = P.random_points(V.chunk_corners(_indicated(spark, d), SIZE), ["cell_type", "chunk_id"], 6)
     return rounded(made, "x", "y", "z").select("cell_type", "chunk_id", "k", "x", "y", "z")
 
 
 @query(_PLACED + f" SELECT cell_type, chunk_id, k, round(lz - 30 * ln(1 - {uniform_sql('6dz', 'cell_type', 'chunk_id', 'k')} * (1 - exp(-100 / 30.0::DOUBLE))), 6) + 0.0 AS z FROM pn")
 def distributed_placement(spark, d):
     """Depths from an exponential distribution, cut off at the chunk's end."""
-    made = P.distributed_points(V.chunk_corners(_indicated(spark), SIZE), ["cell_type", "chunk_id"], "z", "expon", 6, scale=30.0)
+    made = P.distributed_points(V.chunk_corners(_indicated(spark, d), SIZE), ["cell_type", "chunk_id"], "z", "expon", 6, scale=30.0)
     return rounded(made, "z").select("cell_type", "chunk_id", "k", "z")
 
 
@@ -664,20 +724,26 @@ def voxel_density_counts(spark, d):
     return P.voxel_counts(v, {"part": P.Indicator(density_key="inhib", density=3.0)}, 2)
 
 
-@query(f"""SELECT "row", "column", round(20.0 * "column", 6) AS x, round(y0 - 200.0 * floor(y0 / 200.0), 6) AS y, round({uniform_sql('0z', '"row"', '"column"')} * 50, 6) AS z
-FROM (SELECT r AS "row", c AS "column", r * 50.0::DOUBLE + c * 20.0 * tan(radians(20.0)) AS y0 FROM range(4) a(r), range(10) b(c)) WHERE 20.0 * "column" <= 195 AND y0 - 200.0 * floor(y0 / 200.0) <= 195""")
+@query(f""", {_STACKED},
+lt AS (SELECT p.*, r AS "row", c AS "column", (r * 50.0::DOUBLE + c * (20.0 * tan(radians(20.0)))) AS y0 FROM pt p, range(4) a(r), range(20) b(c) WHERE c < floor((hx - lx) / 20))
+SELECT partition, "row", "column", round(lx + 20.0 * "column", 6) AS x, round(ly + y0 - 200.0 * floor(y0 / 200.0), 6) AS y, round(lz + {uniform_sql('0z', 'partition', '"row"', '"column"')} * (hz - lz), 6) AS z
+FROM lt WHERE lx + 20.0 * "column" <= hx - 5 AND ly + y0 - 200.0 * floor(y0 / 200.0) <= 95""")
 def lattice_placement(spark, d):
-    return rounded(P.lattice_points(spark, (0.0, 0.0, 0.0), (200.0, 200.0, 50.0), spacing=20.0, angle=20.0, radius=5.0, density=0.001), "x", "y", "z").select("row", "column", "x", "y", "z")
+    made = P.lattice_in_boxes(partitions(spark, d), ["partition"], spacing=20.0, angle=20.0, radius=5.0, density=0.001)
+    return rounded(made, "x", "y", "z").select("partition", "row", "column", "x", "y", "z")
 
 
-@query("SELECT cell_type, k::BIGINT AS k, x::DOUBLE AS x, y::DOUBLE AS y, CASE WHEN x > 100 THEN 1 ELSE 0 END::BIGINT AS chunk_id FROM (VALUES (0, 1, 1), (1, 2, 2), (2, 150, 1)) p(k, x, y), (VALUES ('a'), ('b')) t(cell_type)")
+@query("SELECT cell_type, s_suppkey::BIGINT AS k, s_acctbal / 10 AS x, s_nationkey * 7.0::DOUBLE AS y, (floor(s_acctbal / 1000)::BIGINT & 65535) + ((floor(s_nationkey * 7 / 100.0)::BIGINT & 65535) << 16) AS chunk_id FROM supplier, (VALUES ('a'), ('b')) t(cell_type)")
 def fixed_placement(spark, d):
-    return P.fixed_points(spark, [(1, 1, 1), (2, 2, 2), (150, 1, 1)], ["a", "b"], SIZE).select("cell_type", "k", "x", "y", "chunk_id")
+    at = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), (F.col("s_acctbal") / 10).alias("x"), (F.col("s_nationkey") * 7.0).alias("y"), F.lit(1.0).alias("z"))
+    return P.fixed_points(spark, at, ["a", "b"], SIZE).select("cell_type", "k", "x", "y", "chunk_id")
 
 
-@query("SELECT range::INTEGER AS local_id, 0::BIGINT AS chunk_id FROM range(25)")
+@query("SELECT c_mktsegment AS cell_type, unnest(range(n))::INTEGER AS local_id, 0::BIGINT AS chunk_id FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)")
 def entity_placement(spark, d):
-    return P.entities(spark, "mossy", 25).select("local_id", "chunk_id")
+    """As many entities of each type as a market segment has customers."""
+    n = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("cell_type")).agg(F.count(F.lit(1)).alias("n"))
+    return P.entities_of(n).select("cell_type", "local_id", "chunk_id")
 
 
 @query("SELECT round(sum(4.0 / 3 * pi() * (p_size / 10.0) ** 3) / 1e6, 9) AS factor FROM part")
@@ -724,10 +790,15 @@ def euler_round_trip(spark, d):
     return c.agg((F.round(F.max(off), 6) + 0.0).alias("error"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT -90.0 AS rx, 0.0 AS ry, 0.0 AS rz")
+@query("SELECT id, round(x / n, 6) + 0.0 AS x, round(y / n, 6) + 0.0 AS y, round(z / n, 6) + 0.0 AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM cells)")
 def aligning_rotation(spark, d):
-    to = aligning_matrix([F.lit(0.0), F.lit(0.0), F.lit(1.0)], [F.lit(0.0), F.lit(1.0), F.lit(0.0)])
-    return spark.range(1).select(*((F.round(a, 6) + 0.0).alias(n) for a, n in zip(matrix_euler(to), ("rx", "ry", "rz"), strict=True)))
+    """The upward direction, turned by the angles that take it to a cell's, points there."""
+    c = cells(spark, d).select("id", "x", "y", "z")
+    up = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    angles = matrix_euler(aligning_matrix(up, [F.col(v) for v in "xyz"]))
+    c = c.select("id", *(a.alias(n) for a, n in zip(angles, ("rx", "ry", "rz"), strict=True)))
+    turned = times(euler_matrix(F.col("rx"), F.col("ry"), F.col("rz")), up)
+    return rounded(c.select("id", *(t.alias(v) for t, v in zip(turned, "xyz", strict=True))), "x", "y", "z")
 
 
 @query(f"SELECT p_partkey, round(5 - 2 * ln(1 - {uniform_sql(0, 'p_partkey')}), 6) AS e, round(1 + 3 * {uniform_sql(1, 'p_partkey')}, 6) AS u FROM part")
@@ -1020,19 +1091,28 @@ def tree_subtrees(spark, d):
     return below(tour(t), t.where("branch_id % 5 = 3")).select("morph_name", F.col("branch_id").cast("long").alias("branch_id"))
 
 
-@query("SELECT morph_name, branch_id, 5 AS n FROM brs")
+@query("SELECT morph_name, branch_id, CASE branch_id WHEN 3 THEN 6 ELSE 5 END AS n FROM brs")
 def morphology_simplify_all(spark, d):
     """With a tolerance of nothing every point of these jagged branches stays."""
     s = M.simplify(points(spark, d), 0.0).groupBy("morph_name", "branch_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return s.withColumn("branch_id", F.col("branch_id").cast("long"))
 
 
-@query()
+@query(""", sg AS (SELECT morph_name AS m, branch_id AS br, 0 AS a, max(point_id)::INTEGER AS b FROM pts GROUP BY ALL
+  UNION ALL SELECT m, br, CASE half WHEN 0 THEN a ELSE k END, CASE half WHEN 0 THEN k ELSE b END FROM (
+    SELECT g.m, g.br, g.a, g.b, arg_max(p.point_id, sqrt(((p.y - u.y) * (v.z - u.z) - (p.z - u.z) * (v.y - u.y)) ** 2 + ((p.z - u.z) * (v.x - u.x) - (p.x - u.x) * (v.z - u.z)) ** 2 + ((p.x - u.x) * (v.y - u.y) - (p.y - u.y) * (v.x - u.x)) ** 2)
+      / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2 + (v.z - u.z) ** 2))::INTEGER AS k,
+    max(sqrt(((p.y - u.y) * (v.z - u.z) - (p.z - u.z) * (v.y - u.y)) ** 2 + ((p.z - u.z) * (v.x - u.x) - (p.x - u.x) * (v.z - u.z)) ** 2 + ((p.x - u.x) * (v.y - u.y) - (p.y - u.y) * (v.x - u.x)) ** 2)
+      / sqrt((v.x - u.x) ** 2 + (v.y - u.y) ** 2 + (v.z - u.z) ** 2)) AS far
+    FROM sg g JOIN pts u ON u.morph_name = m AND u.branch_id = br AND u.point_id = a JOIN pts v ON v.morph_name = m AND v.branch_id = br AND v.point_id = b
+    JOIN pts p ON p.morph_name = m AND p.branch_id = br AND p.point_id > a AND p.point_id < b GROUP BY ALL), (VALUES (0), (1)) h(half) WHERE far > 10)
+SELECT morph_name, branch_id, count(*) AS n, sum(point_id)::BIGINT AS places FROM (SELECT m AS morph_name, br AS branch_id, a AS point_id FROM sg UNION SELECT m, br, b FROM sg) GROUP BY ALL""")
 def morphology_simplify(spark, d):
-    return M.simplify(points(spark, d), 5.0).groupBy("morph_name").agg(F.count(F.lit(1)).alias("n"))
+    s = M.simplify(points(spark, d), 10.0)
+    return s.groupBy("morph_name", F.col("branch_id").cast("long").alias("branch_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").cast("long").alias("places"))
 
 
-@query("SELECT count(DISTINCT embedding[1:60]) AS n FROM embeddings")
+@query("SELECT count(DISTINCT embedding) AS n FROM embeddings")
 def unique_morphologies(spark, d):
     return M.content_hash(points(spark, d)).agg(F.count_distinct("hash", "n").alias("n"))
 
@@ -1052,6 +1132,20 @@ def mapped_back(spark, d):
     return C.map_back(e, m, "pre").select("pre_id", "pre_branch", "pre_point")
 
 
+@query(""", nx AS (SELECT *, branch_id AS b, point_id AS k, lead(x) OVER (PARTITION BY morph_name, branch_id ORDER BY point_id) AS x1 FROM pts),
+ins AS (SELECT morph_name, b, k, 0.0 AS part, x FROM nx UNION ALL SELECT morph_name, b, k, 0.25, x + 0.25::DOUBLE * (x1 - x) FROM nx WHERE b = 0 AND k = 1),
+sec AS (SELECT morph_name, b, k, part, x, CASE WHEN b = 1 AND k > 2 THEN 1 ELSE 0 END AS s, 1 AS c FROM ins UNION ALL SELECT morph_name, b, k, part, x, 1, 0 FROM ins WHERE b = 1 AND k = 2)
+SELECT morph_name, CASE b WHEN 0 THEN 0 WHEN 1 THEN 1 + s ELSE b + 1 END AS branch_id, row_number() OVER (PARTITION BY morph_name, b, s ORDER BY c, k, part) - 1 AS point_id, round(x, 6) + 0.0 AS x,
+  CASE WHEN b = 0 THEN NULL WHEN b = 1 AND s = 0 THEN NULL WHEN b = 1 THEN 1 WHEN b = 2 THEN 2 ELSE 2 END AS parent_branch FROM sec""")
+def branch_edits(spark, d):
+    """On every tree: a point put into the root, the first child detached and split, the second child hung on that; a split at an end does nothing."""
+    names = points(spark, d).select("morph_name").distinct()
+    log = [("insert", 0, 1, None, 0.25), ("insert", 0, 4, None, 0.5), ("detach", 1, None, None, None), ("split", 1, 2, None, None), ("split", 2, 0, None, None), ("attach", 2, None, 1, None)]
+    edits = names.withColumn("e", F.explode(F.array(*(F.struct(F.lit(o).alias("op"), F.lit(b).alias("branch_id"), F.lit(k).cast("int").alias("point_id"), F.lit(t).cast("int").alias("other"), F.lit(f).cast("double").alias("part")) for o, b, k, t, f in log)))).select("morph_name", "e.*")
+    p, b = edited(points(spark, d), branches(spark, d), edits)
+    return rounded(p.join(b, ["morph_name", "branch_id"]), "x").select("morph_name", "branch_id", F.col("point_id").cast("long").alias("point_id"), "x", "parent_branch")
+
+
 # Trees of structures, and time.
 
 

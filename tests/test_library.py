@@ -246,7 +246,7 @@ def test_morphology_repository(spark, tmp_path):
     p, b = (f(spark, DATA).where("morph_name in ('1', '11', '2')") for f in (points, branches))
     repo.save(p, b, {"species": "none"})
     assert repo.names() == ["1", "11", "2"] and repo.select(["1*"]) == ["1", "11"] and repo.select([]) == []
-    assert repo.get_meta("2") == {"species": "none"} and repo.load("1")[0].count() == 20
+    assert repo.get_meta("2") == {"species": "none"} and repo.load("1")[0].count() == 21
     with pytest.raises(FileExistsError):
         repo.save(p, b)
     with pytest.raises(LookupError):
@@ -538,3 +538,86 @@ def test_grown_trees_are_deduplicated(spark):
     assert named.count() == 30 and {r.morph_name for r in named.select("morph_name").distinct().collect()} == {"g-0", "g-1", "g-2"}
     assert points.count() == 9 and branches.count() == 3
     assert generated(cells, "kind", "g", generations=3, points=3, split=1.0)[2].count() == 3 * 7
+
+
+def test_split_nrrd(spark, tmp_path):
+    """Attached and detached raw data, read in many ranges, are the array; others and short files are refused."""
+    data = np.arange(2 * 7 * 5 * 3, dtype="<i2").reshape(2, 7, 5, 3)
+    head = "NRRD0004\ntype: short\ndimension: 4\nsizes: 2 7 5 3\nendian: little\nencoding: raw\n"
+    folder = tmp_path / "volumes"
+    folder.mkdir()
+    (folder / "a.nrrd").write_bytes(head.encode() + b"\n" + data.tobytes(order="F"))
+    (folder / "b.raw").write_bytes(b"skip" + data[0].tobytes(order="F"))
+    (folder / "b.nhdr").write_text(head.replace("dimension: 4", "dimension: 3").replace("2 7 5 3", "7 5 3") + "byte skip: 4\ndata file: b.raw\n\n")
+    got = nrrd.read_nrrd_split(spark, str(folder), 26)
+    assert got.rdd.getNumPartitions() == -(-420 // 26) + -(-210 // 26)
+    rows = {(r.path[-6:-5] if r.path.endswith("nrrd") else r.path[-6:-5], r.component, r.ix, r.iy, r.iz): r.value for r in got.collect()}
+    assert rows == {("a", *i): float(v) for i, v in np.ndenumerate(data)} | {("b", 0, *i): float(v) for i, v in np.ndenumerate(data[0])}
+    (folder / "b.raw").write_bytes(b"skip")
+    with pytest.raises(Exception, match="shorter"):
+        nrrd.read_nrrd_split(spark, str(folder / "b.nhdr")).count()
+    (folder / "c.nrrd").write_text(head.replace("raw", "gzip") + "\n")
+    with pytest.raises(Exception, match="not raw"):
+        nrrd.read_nrrd_split(spark, str(folder / "c.nrrd")).count()
+
+
+def test_tabulated_distributions(spark):
+    """Against closed forms and known values; the stated error holds; draws follow the distribution."""
+    from lattica.functions.distributions import Tabulated
+
+    expon = Tabulated.of("gamma", a=1.0, scale=3.0)
+    assert all(abs(expon.cdf(x) - (1 - math.exp(-x / 3))) < 1.1 * expon.error for x in (0.01, 0.5, 3.0, 20.0)) and expon.error < 5e-5
+    assert abs(Tabulated.of("beta", a=2.0, b=1.0).cdf(0.3) - 0.09) < 5e-5 and abs(Tabulated.of("chi2", df=2).sf(4.0) - math.exp(-2)) < 5e-5
+    assert abs(Tabulated.of("t", df=1).cdf(1.0) - 0.75) < 5e-5 and abs(Tabulated.of("lognorm", s=0.5).cdf(1.0) - 0.5) < 5e-5
+    arcsine = Tabulated.of("beta", a=0.5, b=0.5, loc=1.0, scale=2.0)
+    assert arcsine.definition_interval() == (1.0, 3.0) and all(abs(v - w) < 1e-3 for v, w in zip(arcsine.definition_interval(0.25), (1.2929, 2.7071), strict=True))
+    gamma = Tabulated.of("gamma", a=0.3)
+    drawn = np.sort(spark.range(4000).select(gamma.draw(1, "id").alias("x")).toPandas().x.to_numpy())
+    assert np.abs(np.array([gamma.cdf(x) for x in drawn]) - np.arange(4000) / 4000).max() < 0.03
+    for bad in (lambda: Tabulated.of("nothing"), lambda: Tabulated.of("gamma"), lambda: Tabulated.of("gamma", a=1.0, scale=0.0), lambda: expon.definition_interval(2.0)):
+        with pytest.raises(ValueError):
+            bad()
+    assert all(math.isfinite(v) for v in spark.range(1).select(gamma.quantile(F.lit(0.0)).alias("a"), gamma.quantile(F.lit(1.0)).alias("b")).first())
+
+
+def test_surfaces_are_even(spark):
+    """Areas of parts of each surface, by counts of many points."""
+    from lattica.functions.surfaces import surface_point
+
+    u = [keyed.keyed_uniform(i, "id") for i in range(3)]
+    p = lambda s: np.array(spark.range(20_000).select(*(c.alias(n) for c, n in zip(surface_point(s, u), "xyz", strict=True))).toPandas())
+    ball = p(shapes.Sphere((1.0, 0.0, 0.0), 2.0))
+    assert np.allclose(np.linalg.norm(ball - [1, 0, 0], axis=1), 2) and all(abs((ball[:, 2] < z).mean() - (z + 2) / 4) < 0.015 for z in (-1.5, 0.0, 1.0))
+    drum = p(shapes.Cylinder((0.0, 0.0, 0.0), 1.0, (0.0, 0.0, 3.0)))
+    assert abs(((drum[:, 2] > 1e-9) & (drum[:, 2] < 3 - 1e-9)).mean() - 6 / 8) < 0.015 and abs((drum[:, 2] < 1e-9).mean() - 1 / 8) < 0.01
+    cone = p(shapes.Cone((0.0, 0.0, 4.0), (0.0, 0.0, 0.0), 3.0))
+    side = cone[cone[:, 2] > 1e-9]
+    assert abs(len(side) / 20_000 - 5 / 8) < 0.015 and abs((side[:, 2] > 2).mean() - 0.25) < 0.015
+    block = p(shapes.Parallelepiped((0.0, 0.0, 0.0), ((1.0, 0.0, 0.0), (0.0, 2.0, 0.0), (0.0, 0.0, 4.0))))
+    assert abs((block[:, 0] < 1e-9).mean() - 8 / 28) < 0.015 and abs((block[:, 2] > 4 - 1e-9).mean() - 2 / 28) < 0.01
+    oval = p(shapes.Ellipsoid((0.0, 0.0, 0.0), (1.0, 1.0, 5.0)))
+    z, step = np.linspace(-5, 5, 20_001), 10 / 20_000
+    area = 2 * np.pi * np.sqrt(1 - z**2 / 25 + (z / 25) ** 2) * step
+    assert all(abs((oval[:, 2] < c).mean() - area[z < c].sum() / area.sum()) < 0.02 for c in (-4.5, -3.0, 0.0, 4.0))
+
+
+def test_stacks_of_a_table_are_stacks(spark):
+    boxes = [("a", 1, 10.0), ("b", 2, 30.0), ("c", 3, 5.0)]
+    plain = topology.Stack("s", tuple(topology.Layer(n, t) for n, _, t in boxes), anchor="b").layout(topology.Box("r", (0.0, 0.0, -7.0), (9.0, 9.0, 9.0)))
+    rows = spark.createDataFrame([("s", n, k, 0.0, 0.0, -7.0, 9.0, 9.0, -7.0 + t) for n, k, t in boxes], "stack string, name string, k int, lx double, ly double, lz double, hx double, hy double, hz double")
+    got = {r.name: (r.lz, r.hz) for r in topology.stacked(rows, ["stack"], ["k"], anchor=F.col("name") == "b").collect()}
+    assert got == {b.name: (b.low[2], b.high[2]) for b in plain}
+
+
+def test_edits_of_branches(spark):
+    from lattica.operators.edits import LOG, edited
+
+    p = spark.createDataFrame([("m", b, k, float(10 * b + k), 0.0, 0.0, 1.0 + k, ["soma"]) for b in range(2) for k in range(4)] + [("n", 0, 0, 0.0, 0.0, 0.0, 1.0, ["soma"])], "morph_name string, branch_id int, point_id int, x double, y double, z double, radius double, labels array<string>")
+    b = spark.createDataFrame([("m", 0, None), ("m", 1, 0), ("n", 0, None)], "morph_name string, branch_id int, parent_branch int")
+    log = spark.createDataFrame([("m", "split", 0, 1, None, None), ("m", "split", 0, 2, None, None), ("m", "split", 0, 2, None, None), ("m", "insert", 0, 1, None, 0.5), ("n", "split", 0, 0, None, None)], LOG)
+    q, t = edited(p, b, log)
+    by = {}
+    for r in q.orderBy("morph_name", "branch_id", "point_id").collect():
+        by.setdefault((r.morph_name, r.branch_id), []).append((r.x, r.radius))
+    assert by == {("m", 0): [(0.0, 1.0), (1.0, 2.0)], ("m", 1): [(1.0, 2.0), (1.5, 2.5), (2.0, 3.0)], ("m", 2): [(2.0, 3.0), (3.0, 4.0)], ("m", 3): [(10.0, 1.0), (11.0, 2.0), (12.0, 3.0), (13.0, 4.0)], ("n", 0): [(0.0, 1.0)]}
+    assert {(r.morph_name, r.branch_id): r.parent_branch for r in t.collect()} == {("m", 0): None, ("m", 1): 0, ("m", 2): 1, ("m", 3): 2, ("n", 0): None}
