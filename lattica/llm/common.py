@@ -74,6 +74,14 @@ def cuts_removed(spark: SparkSession):
         remove(spark, held)
 
 
+def released() -> None:
+    """Gives memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
     """df.mapInArrow(f, schema) in batches of at most BATCH_BYTES, unless the session has a bound of its own.
 
@@ -84,10 +92,7 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         try:
             yield from f(rows)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            released()
 
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:

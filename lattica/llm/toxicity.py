@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import in_arrow, materialize, sized, text_or_empty
+from lattica.llm.common import in_arrow, materialize, released, sized, text_or_empty
 from lattica.llm.word_hash import joined, mix, range_hashes, ranges
 
 BUCKETS = 1 << 20
@@ -122,8 +122,12 @@ class Machine:
         return self.sums(sizes, terms)[0]
 
     def loss(self, rows: list[np.ndarray], y: np.ndarray) -> float:
-        z = np.clip(self.raw(np.array([len(r) for r in rows]), np.concatenate(rows)), -30, 30)
-        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+        total = 0.0
+        for i in range(0, len(rows), BATCH):
+            part = rows[i : i + BATCH]
+            z = np.clip(self.raw(np.array([len(r) for r in part]), np.concatenate(part)), -30, 30)
+            total += float(np.sum(np.log1p(np.exp(z)) - y[i : i + BATCH] * z))
+        return total / len(rows)
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> None:
         """Gradient steps on the logistic loss, of the terms of a batch alone; the machine of the best epoch stays.
@@ -135,20 +139,24 @@ class Machine:
         self.b = float(np.log(rate / (1 - rate)))
         order = rng.permutation(len(rows))
         back, use = np.split(order, [len(rows) // KEPT_BACK])
-        best, since = (np.inf, None), 0
+        best, since, kept = np.inf, 0, None
         for epoch in range(EPOCHS if len(back) else STEPS * BATCH // max(1, len(rows)) if len(rows) else 0):
             use = rng.permutation(use)
             for i in range(0, len(use), BATCH):
                 self._step([rows[k] for k in use[i : i + BATCH]], y[use[i : i + BATCH]])
             if len(back):
                 now = self.loss([rows[k] for k in back], y[back])
-                since = 0 if now < best[0] - GAIN else since + 1
-                if now < best[0]:
-                    best = now, (self.b, self.w.copy(), self.v.copy())
+                since = 0 if now < best - GAIN else since + 1
+                if now < best and kept is None:
+                    best, kept = now, (self.b, self.w.copy(), self.v.copy())
+                elif now < best:  # into the arrays that are there
+                    np.copyto(kept[1], self.w)
+                    np.copyto(kept[2], self.v)
+                    best, kept = now, (self.b, *kept[1:])
                 if since >= PATIENCE and (epoch + 1) * len(use) >= STEPS * BATCH:
                     break
-        if best[1]:
-            self.b, self.w, self.v = best[1]
+        if kept:
+            self.b, self.w, self.v = kept
 
     def _step(self, rows: list[np.ndarray], y: np.ndarray) -> None:
         sizes, terms = np.array([len(r) for r in rows]), np.concatenate(rows)
@@ -181,8 +189,10 @@ def train(labelled: DataFrame) -> Machine:
 
     near = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < bound).select("doc_id", "text", "toxic")
     sample = in_arrow(near, features, "doc_id long, x binary, toxic int").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), "doc_id", "toxic", "x").limit(SAMPLE_ROWS).toArrow()
-    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in sample.column("x").to_pylist()]
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in sample.column("x")]  # as they lie in Arrow
     machine.fit(rows, sample.column("toxic").to_numpy().astype(np.float32))
+    del rows, sample
+    released()
     return machine
 
 
