@@ -12,6 +12,7 @@ from lattica.functions.chunks import chunk_of
 from lattica.operators.connectivity import output_tags
 from lattica.operators.network import chunk_stats, connected, redo_closure, with_local_ids
 from lattica.plans.configuration import in_order
+from lattica.plans.topology import Box, chunks_of, topology_of
 from lattica.sources.store import NetworkStore
 
 
@@ -53,6 +54,21 @@ class Plan:
     connectivity: list[Strategy] = field(default_factory=list)
     after_placement: list[Callable[[Plan], None]] = field(default_factory=list)
     after_connectivity: list[Callable[[Plan], None]] = field(default_factory=list)
+    regions: list = field(default_factory=list)
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    size: tuple[float, float, float] = (200.0, 200.0, 200.0)
+
+    def layout(self) -> list[Box]:
+        """The boxes of all partitions of the regions, in a space of the plan's size at its origin."""
+        return topology_of(self.regions).layout(Box("network", self.origin, tuple(o + s for o, s in zip(self.origin, self.size, strict=True))))
+
+    def chunks(self) -> DataFrame:
+        """The chunks of all partitions (see topology.chunks_of)."""
+        return chunks_of(self.store.spark, self.layout(), self.chunk_size)
+
+    def resize(self, x: float | None = None, y: float | None = None, z: float | None = None) -> None:
+        """Another size for what is laid out from now on; what is stored stays as it is."""
+        self.size = tuple(old if new is None else float(new) for old, new in zip(self.size, (x, y, z), strict=True))
 
     def _chosen(self, strategies: list[Strategy], only: list[str] | None, skip: list[str] | None) -> list[Strategy]:
         by_name = {s.name: s for s in strategies}

@@ -94,6 +94,43 @@ class Stack:
         return max(b.high[AXIS[self.axis]] for b in boxes) - min(b.low[AXIS[self.axis]] for b in boxes)
 
 
+def is_region(part: object) -> bool:
+    """Regions have children; everything else that has a layout is a partition."""
+    return hasattr(part, "children")
+
+
+def below(part: object) -> list:
+    """All that hangs below a region, each once, parents before children."""
+    out, todo = [], list(getattr(part, "children", ()))
+    while todo:
+        one = todo.pop(0)
+        if all(one is not x for x in out):
+            out.append(one)
+            todo += getattr(one, "children", ())
+    return out
+
+
+def root_regions(regions: list) -> list:
+    """The regions that hang below none of the others, in their order."""
+    managed = [x for r in regions for x in below(r)]
+    return [r for r in regions if all(r is not x for x in managed)]
+
+
+def partitions_of(regions: list) -> list:
+    """The partitions at and below the regions, each once."""
+    out = []
+    for part in [x for r in regions for x in (r, *below(r))]:
+        if not is_region(part) and all(part is not x for x in out):
+            out.append(part)
+    return out
+
+
+def topology_of(regions: list) -> object:
+    """The one root region, or a group of all roots if there are several or none."""
+    roots = root_regions(list(regions))
+    return roots[0] if len(roots) == 1 else Group("topology", tuple(roots))
+
+
 def boxes_frame(spark: SparkSession, boxes: list[Box]) -> DataFrame:
     return spark.createDataFrame([(b.name, *map(float, b.low), *map(float, b.high)) for b in boxes], "partition string, lx double, ly double, lz double, hx double, hy double, hz double")
 

@@ -29,7 +29,7 @@ from lattica.operators import placement as P
 from lattica.operators import spatial as J
 from lattica.operators import targeting as T
 from lattica.operators import voxels as V
-from lattica.operators.derived import derived
+from lattica.operators.derived import derived, load_morphologies
 from lattica.operators.edits import edited
 from lattica.operators.trees import below, tour
 from lattica.plans import topology as L
@@ -446,6 +446,15 @@ def labelled_sides(spark, d):
     return post.back(pre.back(edges, a, "pre"), z, "post")
 
 
+@query("""SELECT c.id, CASE branch_id WHEN 0 THEN 0 WHEN 2 THEN 1 END AS branch_id, CASE WHEN branch_id = 0 THEN point_id - 2 ELSE point_id END AS point_id, p.x, round(radius, 6) AS radius
+  FROM cells c JOIN pts p ON p.morph_name = (c.id - c.id % 3)::VARCHAR WHERE label = 'dendrites'""")
+def cell_morphologies(spark, d):
+    """Three cells share a morphology; of each, the dendrites."""
+    c = cells(spark, d).select("id", (F.col("id") - F.col("id") % 3).cast("string").alias("morph_name"))
+    p = load_morphologies(c, points(spark, d), branches(spark, d), ["dendrites"])
+    return p.select("id", "branch_id", F.col("point_id").cast("int").alias("point_id"), "x", F.round("radius", 6).alias("radius"))
+
+
 _GROW = f""", ke AS (SELECT DISTINCT p_size::VARCHAR AS k FROM part),
 gr AS (SELECT k, 0 AS b, NULL::INTEGER AS up, 0.0::DOUBLE AS x, 0.0::DOUBLE AS z, 1.0::DOUBLE AS r, 1 AS g FROM ke UNION ALL
   SELECT k, 2 * b + c, b, x + 3 * (2 * {uniform_sql('4-x', 'k', 'b')} - 1) * 10, z + 3 * (2 * {uniform_sql('4-z', 'k', 'b')} - 1) * 10, r * 0.8::DOUBLE, g + 1 FROM gr, (VALUES (1), (2)) v(c) WHERE g < 4 AND {uniform_sql('4-split', 'k', 'b')} < 0.7),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.labels import name_matches
 from lattica.operators.spatial import AXES
+from lattica.sources.cuts import cut, dropped
 from lattica.sources.store import PARTITIONS, NetworkStore
 
 PARTITIONS.setdefault("morpho_meta", ["morph_name"])
@@ -24,14 +25,22 @@ class MorphologyRepository:
         return sorted(r.morph_name for r in self.store.read("morpho_meta").select("morph_name").distinct().collect())
 
     def has(self, name: str) -> bool:
-        return name in self.names()
+        return not self._missing([name])
+
+    def _missing(self, names: list[str]) -> list[str]:
+        """Which of a few names aren't there; only these are looked up."""
+        if not self.store.exists("morpho_meta"):
+            return sorted(set(names))
+        there = self.store.read("morpho_meta").where(F.col("morph_name").isin(*names)).select("morph_name").distinct().collect()
+        return sorted(set(names) - {r.morph_name for r in there})
 
     def save(self, points: DataFrame, branches: DataFrame, meta: dict[str, str] | None = None, overwrite: bool = False) -> None:
         """All morphologies of points and branches, by their morph_name. Names that are there raise unless overwritten."""
-        new = {r.morph_name for r in points.select("morph_name").distinct().collect()}
-        known = new & set(self.names())
-        if known and not overwrite:
-            raise FileExistsError(f"morphologies {sorted(known)} are there")
+        if not overwrite and self.store.exists("morpho_meta"):
+            known = points.select("morph_name").distinct().join(self.store.read("morpho_meta").select("morph_name"), "morph_name", "left_semi")
+            some = sorted(r.morph_name for r in known.limit(5).collect())
+            if some:
+                raise FileExistsError(f"morphologies {some} are there")
         low, high = F.array(*(F.min(c) for c in AXES)), F.array(*(F.max(c) for c in AXES))
         pairs = [x for k, v in (meta or {}).items() for x in (F.lit(k), F.lit(v))]
         about = points.groupBy("morph_name").agg(low.alias("ldc"), high.alias("mdc")).withColumn("meta", F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
@@ -39,9 +48,9 @@ class MorphologyRepository:
             self.store.replace(table, rows)
 
     def load(self, *names: str) -> tuple[DataFrame, DataFrame]:
-        missing = set(names) - set(self.names())
+        missing = self._missing(list(names))
         if missing:
-            raise FileNotFoundError(f"no morphologies {sorted(missing)}")
+            raise FileNotFoundError(f"no morphologies {missing}")
         return tuple(self.store.read(t).where(F.col("morph_name").isin(*names)) for t in ("morpho_points", "morpho_branches"))
 
     def get_meta(self, name: str) -> dict[str, str]:
@@ -55,13 +64,21 @@ class MorphologyRepository:
 
     def update_all_meta(self, meta: dict[str, dict[str, str]]) -> None:
         """Adds to, or replaces in, the metadata of each named morphology; a name that isn't there raises."""
-        lost = set(meta) - set(self.names())
+        self._put_meta(meta, F.map_concat(F.map_filter("meta", lambda k, _: ~F.map_contains_key("more", k)), "more"))
+
+    def set_all_meta(self, meta: dict[str, dict[str, str]]) -> None:
+        """The metadata of each named morphology, in place of what it had."""
+        self._put_meta(meta, F.col("more"))
+
+    def _put_meta(self, meta: dict[str, dict[str, str]], value: Column) -> None:
+        lost = self._missing(list(meta))
         if lost:
-            raise FileNotFoundError(f"no morphologies {sorted(lost)}")
+            raise FileNotFoundError(f"no morphologies {lost}")
         new = self.store.spark.createDataFrame(list(meta.items()), "morph_name string, more map<string,string>")
-        known = F.map_filter("meta", lambda k, _: ~F.map_contains_key("more", k))
-        rows = self.store.read("morpho_meta").join(F.broadcast(new), "morph_name").withColumn("meta", F.map_concat(known, "more")).drop("more")
-        self.store.replace("morpho_meta", self.store.spark.createDataFrame(rows.collect(), rows.schema))  # a row a name given
+        rows = self.store.read("morpho_meta").join(F.broadcast(new), "morph_name").withColumn("meta", value).drop("more")  # a row a name given
+        rows = cut(rows, "morpho-meta")  # read before what it comes from is replaced
+        self.store.replace("morpho_meta", rows)
+        dropped(rows)
 
     def select(self, *selectors: list[str]) -> list[str]:
         """Names that one of the selectors, lists of patterns, picks; a selector that picks nothing raises."""

@@ -621,3 +621,46 @@ def test_edits_of_branches(spark):
         by.setdefault((r.morph_name, r.branch_id), []).append((r.x, r.radius))
     assert by == {("m", 0): [(0.0, 1.0), (1.0, 2.0)], ("m", 1): [(1.0, 2.0), (1.5, 2.5), (2.0, 3.0)], ("m", 2): [(2.0, 3.0), (3.0, 4.0)], ("m", 3): [(10.0, 1.0), (11.0, 2.0), (12.0, 3.0), (13.0, 4.0)], ("n", 0): [(0.0, 1.0)]}
     assert {(r.morph_name, r.branch_id): r.parent_branch for r in t.collect()} == {("m", 0): None, ("m", 1): 0, ("m", 2): 1, ("m", 3): 2, ("n", 0): None}
+
+
+def test_topologies(spark, tmp_path):
+    """Roots, partitions and the group that stands for several roots; another size moves what fills its region."""
+    a, b, c = topology.Layer("a", 20.0), topology.Rhomboid("b", (5.0, 5.0, 5.0)), topology.Layer("c", 30.0)
+    inner = topology.Group("inner", (b,))
+    outer = topology.Stack("outer", (a, inner))
+    other = topology.Group("other", (c, b))
+    assert topology.root_regions([inner, outer]) == [outer] and topology.topology_of([inner, outer]) is outer
+    assert topology.partitions_of([outer, other]) == [a, b, c] and topology.topology_of([]).layout(topology.Box("r", (0.0,) * 3, (1.0,) * 3)) == []
+    plan = Plan(NetworkStore(spark, str(tmp_path / "net")), regions=[outer, inner, other])
+    assert [x.name for x in plan.layout()] == ["a", "b", "c", "b"] and plan.layout()[0].high == (200.0, 200.0, 20.0)
+    before = plan.chunks().where("partition = 'a'").count()
+    plan.resize(x=400.0, z=50.0)
+    assert plan.layout()[0].high == (400.0, 200.0, 20.0) and plan.size == (400.0, 200.0, 50.0) and plan.chunks().where("partition = 'a'").count() == 2 * before
+
+
+def test_metadata_of_many_morphologies(spark, tmp_path):
+    from lattica.queries import branches, points
+    from lattica.sources.morphologies import MorphologyRepository
+
+    repo = MorphologyRepository(NetworkStore(spark, str(tmp_path / "net")))
+    assert not repo.has("1")
+    p, b = (f(spark, DATA).where("morph_name in ('1', '2')") for f in (points, branches))
+    repo.save(p, b, {"a": "0"})
+    repo.update_all_meta({"1": {"b": "1"}, "2": {"a": "2"}})
+    assert repo.get_all_meta() == {"1": {"a": "0", "b": "1"}, "2": {"a": "2"}}
+    repo.set_all_meta({"1": {"c": "3"}})
+    assert repo.get_all_meta() == {"1": {"c": "3"}, "2": {"a": "2"}} and repo.has("2") and not repo.has("3")
+    with pytest.raises(FileNotFoundError):
+        repo.update_all_meta({"3": {}})
+
+
+def test_cells_without_a_morphology(spark):
+    from lattica.operators.derived import load_morphologies
+
+    p = spark.createDataFrame([("m", 0, i, float(i), 0.0, 0.0, 1.0, ["axon"] if i else ["soma"]) for i in range(3)], "morph_name string, branch_id int, point_id int, x double, y double, z double, radius double, labels array<string>")
+    b = spark.createDataFrame([("m", 0, None)], "morph_name string, branch_id int, parent_branch int")
+    cells = spark.createDataFrame([(1, "m"), (2, "gone"), (3, None)], "id long, morph_name string")
+    assert sorted((r.id, r.x) for r in load_morphologies(cells, p, b, ["axon"], allow_empty=True).collect()) == [(1, 1.0), (1, 2.0)]
+    assert load_morphologies(cells.where("id = 1"), p, b).count() == 3
+    with pytest.raises(Exception, match="no morphology of cell"):
+        load_morphologies(cells, p, b).collect()
