@@ -61,22 +61,33 @@ def ranked(pool: DataFrame, seed: int = 0) -> DataFrame:
     return rows.withColumn("own", own).join(F.broadcast(sizes), "block").select("id", (F.col("before") + F.col("own")).alias("rank"))  # 256 rows
 
 
+#: Draws that a row makes beyond twice its degree.
+SPARE = 32
+
+
 def sampled_degree(fixed: DataFrame, pool: DataFrame, degree: int, seed: int = 0) -> DataFrame:
     """(fixed_id, pool_id) by drawing places in the pool: its cost is that of its result.
 
-    Each fixed row makes 2 * degree + 32 draws with replacement and keeps the first `degree` different ones. Needs a pool
-    of 4 * degree rows or more, where so many draws are always enough for practical purposes; too few raise.
+    Each fixed row makes 2 * degree + SPARE draws with replacement and keeps the first `degree` different ones; one that happens to have fewer
+    goes on with the places that follow a place drawn for it. Needs a pool of 4 * degree rows or more.
     """
     places = ranked(pool, seed)
     n = pool.count()
     if n < 4 * degree:
         raise ValueError("the pool is too small to draw from; rank it with ranked_degree")
-    draws = fixed.select(F.col("id").alias("fixed_id"), F.explode(F.sequence(F.lit(1), F.lit(2 * degree + 32))).alias("draw"))
+    most = 2 * degree + SPARE
+    draws = fixed.select(F.col("id").alias("fixed_id"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("draw"))
     draws = draws.withColumn("rank", F.pmod(keyed_bits(seed, "fixed_id", "draw"), F.lit(n))).groupBy("fixed_id", "rank").agg(F.min("draw").alias("draw"))
     w = Window.partitionBy("fixed_id")
-    kept = draws.withColumn("r", F.row_number().over(w.orderBy("draw"))).withColumn("of", F.count(F.lit(1)).over(w)).where(F.col("r") <= degree)
-    enough = F.when(F.col("of") >= degree, F.col("rank")).otherwise(F.raise_error(F.lit("too few different draws")).cast("long"))
-    return kept.withColumn("rank", enough).join(places, "rank").select("fixed_id", F.col("id").alias("pool_id"))
+    first = lambda rows: rows.withColumn("r", F.row_number().over(w.orderBy("draw"))).where(F.col("r") <= degree)
+    counted = draws.withColumn("of", F.count(F.lit(1)).over(w))
+    few = counted.where(F.col("of") < degree)
+    # Of 2 * degree places in a row, no more than those drawn are taken already.
+    more = few.select("fixed_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(2 * degree))))
+    more = more.select("fixed_id", F.pmod(keyed_bits(f"{seed}-more", "fixed_id") + F.col("step"), F.lit(n)).alias("rank"), (F.col("step") + most).alias("draw"))
+    completed = few.drop("of").unionByName(more).groupBy("fixed_id", "rank").agg(F.min("draw").alias("draw"))
+    kept = first(counted.where(F.col("of") >= degree).drop("of")).unionByName(first(completed))
+    return kept.join(places, "rank").select("fixed_id", F.col("id").alias("pool_id"))
 
 
 def fixed_indegree(pre: DataFrame, post: DataFrame, degree: int, seed: int = 0) -> DataFrame:

@@ -664,3 +664,10 @@ def test_cells_without_a_morphology(spark):
     assert load_morphologies(cells.where("id = 1"), p, b).count() == 3
     with pytest.raises(Exception, match="no morphology of cell"):
         load_morphologies(cells, p, b).collect()
+
+
+def test_degrees_are_completed(spark, monkeypatch):
+    """With hardly more draws than edges, many rows draw a place twice; each still has its degree, of different places."""
+    monkeypatch.setattr(connectivity, "SPARE", -5)
+    got = connectivity.sampled_degree(spark.range(300), spark.range(24), 6, 1)
+    assert all((r.n, r.d) == (6, 6) for r in got.groupBy("fixed_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pool_id").alias("d")).collect()) and got.count() == 1800
