@@ -298,7 +298,7 @@ def directed_blocks(spark, d):
 @query("SELECT a.chunk_id AS pre_chunk, b.chunk_id AS post_chunk, a.local_id AS pre_local, b.local_id AS post_local FROM (" + _NEAR + ") e JOIN numbered a ON a.id = pre_id JOIN numbered b ON b.id = post_id WHERE b.chunk_id IN (0, 65536, 4295032831) OR a.chunk_id = 65535")
 def incoming_scan(spark, d):
     """Edges that are stored, then read by their post chunks; and those of one pre chunk, without any twice."""
-    store = _scratch_store(spark, 20)
+    store = _scratch_store(spark, 200)
     store.append("connections", block_edges(spark, d))
     into, out = store.connections("near", [0, 65536, 4295032831], incoming=True), store.connections("near", [65535])
     both = into.unionByName(out.where(~F.col("post_chunk").isin(0, 65536, 4295032831)))
