@@ -5,10 +5,11 @@ trusted documents; everything else is aggregation and joins of counts, sharded b
 many grams is this one the end), discounts from counts of counts, what a context leaves to lower orders, and the
 interpolated probability.
 
-Documents are scored by joins too. Neighbouring rows are a block, and tasks give the distinct grams of each. The corpus's
+Documents are scored by joins too. A task cuts the texts it reads into blocks by running bytes, a longer text into pieces
+that are blocks of their own, and writes the compressed texts and the distinct grams of each block. The corpus's
 distinct grams are looked up in the model, order by order, by joins sharded by gram; the values go back to the blocks
-that have the gram, where they meet the compressed texts, and each row's are summed. So what is shuffled is the grams of blocks
-and each text once, and no part of the model goes to the driver.
+that have the gram, where they meet the texts, and each row's are summed. So what is shuffled is the grams of blocks
+and each text once, no block is larger than its bound whatever the lengths of texts, and no part of the model goes to the driver.
 
 Thresholds are per language, the QUANTILE of trusted documents that the model was not trained on, a fifth of them by
 the CRC-32 of their ids: a model knows its own text too well for a measure of other text. Short documents say
@@ -17,15 +18,16 @@ little, so a perplexity counts PRIOR bytes of the language's mean besides the do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, in_arrow, materialize, sized, text_or_empty, with_row
+from lattica.llm.common import ROW, cuts_removed, in_arrow, materialize, scratch, sized, text_or_empty, with_row
 
 ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
@@ -34,12 +36,17 @@ START = 0xFF
 PRIOR = 60.0
 #: Rejected is what lies above this quantile of the language's held-out log perplexities.
 QUANTILE = 0.99
-#: So many held-out documents have such a quantile of their own; with fewer, a language's median is moved by the quantile of all languages' distances from their medians.
-LEAST_HELD_OUT = 100
+#: A limit is the mean of two: the language's own quantile, weighing as much as it has held-out documents, and its median moved by the
+#: quantile of all languages' distances from their medians, weighing as much as so many.
+HELD_OUT_PRIOR = 100
+#: What lies so little above a limit lies at it: sums are rounded.
+ROUNDING = 1e-9
 #: Bytes that are made into grams at once; distinct grams that a task holds.
 PIECE, HELD = 1 << 19, 1 << 19
-#: Blocks that a corpus has at least, and the bounds of a block's bytes of text, on average.
-BLOCKS, BLOCK_BYTES = 32, (1 << 22, 1 << 25)
+#: Bytes of text after which a block ends, and of the texts that are compressed together.
+BLOCK_BYTES, PACK = 1 << 24, 1 << 20
+#: Grams that are a row of a block's.
+ROW_GRAMS = 1 << 16
 
 
 def byte_grams(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -182,96 +189,95 @@ def looked_up(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
     return out.unionByName(left.select("key", (F.col("so_far") - float(np.log(SYMBOLS))).alias("p")))
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """docs (ROW, doc_id, lang, text) with `block`, the same for neighbouring rows, whatever task reads them."""
-    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    size = size or 0
-    wanted = min(max(size // BLOCKS, BLOCK_BYTES[0]), BLOCK_BYTES[1])
-    return docs.withColumn("block", F.shiftright(ROW, max(0, (rows * wanted // max(1, size)).bit_length() - 1)))
+def pieces(lengths: Iterable[int], longest: int, size: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Packs of (text, from, to): whole texts, or pieces of the longest length, of about so many bytes together, one at least."""
+    pack, held = [], 0
+    for i, n in enumerate(lengths):
+        for a in range(0, n or 1, longest):
+            b = min(n, a + longest)
+            if pack and held + b - a > size:
+                yield pack
+                pack, held = [], 0
+            pack.append((i, a, b))
+            held += b - a
+    if pack:
+        yield pack
+
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of the texts of docs (ROW, doc_id, lang, text), written: each some rows of grams (block, keys) and of texts.
 
-def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of equal neighbours."""
-    edges = np.flatnonzero(np.diff(values)) + 1
-    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(values)], strict=True)
+    A row of texts has rows, ids, langs, lengths in bytes, skips and the texts, compressed together. A later piece of a text starts
+    with the bytes that its first grams need of the one before, `skips` of them. Block numbers are a task's, so they hold as written.
+    """
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        packer = zstandard.ZstdCompressor(level=3)
+        block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
-def block_grams(blocked: DataFrame) -> DataFrame:
-    """block and key: the distinct grams of each block. A block that several tasks read, or one of many grams, repeats some."""
-    def grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            keys = distinct(np.concatenate(held))
-            for i in range(0, len(keys), 65_536):
-                part = keys[i : i + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part)], names=["block", "key"])
+            keys = distinct(np.concatenate(held)) if held else ()
+            for i in range(0, len(keys), ROW_GRAMS):
+                yield pa.RecordBatch.from_pylist([{"block": block, "keys": keys[i : i + ROW_GRAMS]}], schema)
 
-        held, block = [], None
         for batch in rows:
-            of, texts = batch.column("block").to_numpy(), batch.column("text")
-            for low, high in runs(of) if len(of) else ():
-                if block != of[low]:
-                    if held:
-                        yield from out()
-                    held, block = [], int(of[low])
-                for a, b in batches(texts[low:high], PIECE):
-                    for more in byte_grams(texts[low + a : low + b]):
-                        held.append(distinct(more))
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            of = [batch.column(c).to_pylist() for c in (ROW, "doc_id", "lang")]
+            for pack in pieces(map(len, texts), BLOCK_BYTES, PACK):
+                skips = [min(a, ORDER - 1) for _, a, _ in pack]
+                raw = [texts[i][a - skip : b] for (i, a, b), skip in zip(pack, skips, strict=True)]
+                row = {"block": block, "lengths": list(map(len, raw)), "skips": skips, "texts": packer.compress(b"".join(raw))}
+                yield pa.RecordBatch.from_pylist([row | {name: [values[i] for i, _, _ in pack] for name, values in zip(("rows", "ids", "langs"), of, strict=True)}], schema)
+                for more in byte_grams(pa.array(raw, pa.large_binary())):
+                    held.append(distinct(more))
                     if sum(map(len, held)) > 2 * HELD:
                         held = [distinct(np.concatenate(held))]
                         if len(held[0]) > HELD:
                             yield from out()
                             held = []
-        if held:
-            yield from out()
-
-    return in_arrow(blocked.select("block", "text"), grams, "block long, key long")
+                size += sum(row["lengths"])
+                if size >= BLOCK_BYTES:
+                    yield from out()
+                    block, size, held = block + 1, 0, []
+        yield from out()
 
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("keys", longs), ("rows", longs), ("ids", longs), ("langs", pa.list_(pa.string())), ("lengths", longs), ("skips", longs), ("texts", pa.binary())])
+    return materialize(in_arrow(docs.select(ROW, "doc_id", "lang", "text"), cut, "block long, keys array<long>, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, skips array<long>, texts binary"), "blocks")
 
-def packed(blocked: DataFrame) -> DataFrame:
-    """block, rows, ids, langs, lengths in bytes and texts (compressed together), some rows of a block in each."""
-    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in rows:
-            of = batch.column("block").to_numpy()
-            for low, high in runs(of) if len(of) else ():
-                for a, b in batches(batch.column("text")[low:high], 2 * PIECE):
-                    part = batch.slice(low + a, b - a)
-                    raw = part.column("text").cast(pa.binary()).to_pylist()
-                    ids = [part.column(c).to_pylist() for c in (ROW, "doc_id", "lang")]
-                    yield pa.RecordBatch.from_pylist([{"block": int(of[low]), "rows": ids[0], "ids": ids[1], "langs": ids[2], "lengths": list(map(len, raw)), "texts": packer.compress(b"".join(raw))}], schema)
-
-    schema = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int64())), ("texts", pa.binary())])
-    return in_arrow(blocked.select("block", ROW, "doc_id", "lang", "text"), pack, "block long, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, texts binary")
 
+def block_grams(blocks: DataFrame) -> DataFrame:
+    """block and key: the distinct grams of each block; a block of very many repeats some."""
+    return blocks.where("keys is not null").select("block", F.explode("keys").alias("key"))
 
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """ROW, doc_id, lang, nll and n: the negated log probability and the bytes of `text`, a row for each ROW."""
-    blocked = in_blocks(docs)
-    pairs = materialize(block_grams(blocked), "block-grams")
-    values = materialize(looked_up(pairs.select("key").distinct(), model), "values")
 
+def score(blocks: DataFrame, values: DataFrame) -> DataFrame:
+    """ROW, doc_id, lang, nll and n: the negated log probability and the bytes of the text, a row for each ROW, from the values (key, p) of all grams."""
     def sums(texts: pa.Table, values: pa.Table) -> pa.Table:
         import zstandard
 
         known = Values(values.column("key").to_numpy(), values.column("p").to_numpy())
         del values
         out = [schema.empty_table()]
-        for rows, ids, langs, lengths, raw in zip(*(texts.column(c) for c in ("rows", "ids", "langs", "lengths", "texts")), strict=True):
-            lengths = lengths.values
-            nll, text, at = np.zeros(len(rows)), np.repeat(np.arange(len(rows)), lengths.to_numpy()), 0
-            ends = np.concatenate([[0], np.cumsum(lengths.to_numpy())]).astype(np.int64)
-            part = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.decompress(raw.as_buffer()))])
+        for rows, ids, langs, lengths, skips, raw in zip(*(texts.column(c) for c in ("rows", "ids", "langs", "lengths", "skips", "texts")), strict=True):
+            lengths, skips = lengths.values.to_numpy(), skips.values.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+            text, at, nll = np.repeat(np.arange(len(lengths)), lengths), 0, np.zeros(len(lengths) + 1)
+            for i in np.flatnonzero(skips):
+                text[ends[i] : ends[i] + skips[i]] = len(lengths)  # not this piece's own
+            part = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.decompress(raw.as_buffer()))])
             for keys in byte_grams(part):
-                nll -= np.bincount(text[at : at + len(keys)], known.get(keys), len(rows))
+                nll -= np.bincount(text[at : at + len(keys)], known.get(keys), len(nll))
                 at += len(keys)
-            out.append(pa.table([rows.values, ids.values, langs.values, pa.array(nll), lengths], schema=schema))
+            out.append(pa.table([rows.values, ids.values, langs.values, pa.array(nll[:-1]), pa.array(lengths - skips)], schema=schema))
         return pa.concat_tables(out)
 
     schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("nll", pa.float64()), ("n", pa.int64())])
-    valued = pairs.join(values, "key").select("block", "key", "p")
-    return packed(blocked).groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(sums, f"{ROW} long, doc_id long, lang string, nll double, n long")
+    valued = block_grams(blocks).join(values, "key").select("block", "key", "p")
+    texts = blocks.where("texts is not null").select(F.col("block").alias("of"), "rows", "ids", "langs", "lengths", "skips", "texts")
+    parts = texts.groupBy("of").cogroup(valued.groupBy("block")).applyInArrow(sums, f"{ROW} long, doc_id long, lang string, nll double, n long")
+    return parts.groupBy(ROW, "doc_id", "lang").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n"))
 
 
 def trusted_rows(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -291,7 +297,8 @@ def thresholds(scored: DataFrame) -> DataFrame:
     own = materialize(own, "quality-quantiles")
     medians = own.where("lang is not null").select("lang", F.col("q")[0].alias("median"))
     apart = measured.join(sized(medians), "lang").agg(F.percentile_approx(F.col("bits") - F.col("median"), QUANTILE).alias("apart"))
-    limit = F.when(F.col("lang").isNull() | (F.col("held") >= LEAST_HELD_OUT), F.col("q")[1]).otherwise(F.col("q")[0] + F.col("apart"))
+    blend = (F.col("held") * F.col("q")[1] + HELD_OUT_PRIOR * (F.col("q")[0] + F.col("apart"))) / (F.col("held") + HELD_OUT_PRIOR)
+    limit = F.when(F.col("lang").isNull(), F.col("q")[1]).otherwise(blend)
     return materialize(own.join(F.broadcast(apart), how="cross").select("lang", "mean", limit.alias("limit")), "quality-limits")
 
 
@@ -304,17 +311,24 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     each read gives again, row_col names it, and it is the column ROW of the result. Other columns are not read.
     """
     columns = F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_or_empty(text_col).alias("text")
-    rows = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else with_row(docs, *columns)
-    trusted = materialize(trusted_rows(labels, id_col, label_col), "trusted")
-    model = model_tables(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
-    scored = score(rows, model).join(sized(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
-    scored = materialize(scored.select(ROW, "doc_id", "lang", "nll", "n", F.coalesce("held_out", F.lit(False)).alias("held_out")), "quality-scores")
+    spark = docs.sparkSession
+    scores, held = scratch(spark, "quality-scores"), F.coalesce("held_out", F.lit(False)).alias("held_out")
+    with cuts_removed(spark):  # texts, grams and model take much room and are not read again
+        rows = docs.select(*columns, F.col(row_col).alias(ROW)) if row_col else with_row(docs, *columns)
+        trusted = materialize(trusted_rows(labels, id_col, label_col), "trusted")
+        blocks, values = in_blocks(rows), scratch(spark, "values")
+        with cuts_removed(spark):
+            model = model_tables(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
+            looked_up(block_grams(blocks).select("key").distinct(), model).write.parquet(values)
+        scored = score(blocks, spark.read.schema("key long, p double").parquet(values)).join(sized(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
+        scored.select(ROW, "doc_id", "lang", "nll", "n", held).write.parquet(scores)
+    scored = spark.read.schema(f"{ROW} long, doc_id long, lang string, nll double, n long, held_out boolean").parquet(scores)
     limits = thresholds(scored)
     every = F.broadcast(limits.where("lang is null").select(F.col("mean").alias("all_mean"), F.col("limit").alias("all_limit")))  # one row
     out = scored.join(sized(limits.where("lang is not null")), "lang", "left").join(every, how="left")
     mean, limit = F.coalesce("mean", "all_mean", F.lit(0.0)), F.coalesce("limit", "all_limit", F.lit(float("inf")))
     out = out.withColumn("m", F.when(F.col("n") > 0, (F.col("nll") + PRIOR * mean) / (F.col("n") + PRIOR)).otherwise(mean)).withColumn("limit", limit)
-    return out.select(*([ROW] if row_col else []), "doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit"))).alias("accepted"))
+    return out.select(*([ROW] if row_col else []), "doc_id", "lang", F.col("n").alias("n_bytes"), F.exp("m").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("m") <= F.col("limit") + ROUNDING)).alias("accepted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def kneser_ney(texts, order, start):
     return p
 
 
-def quality(docs, good, order, start, prior, part, least):
+def quality(docs, good, order, start, prior, part, held_prior):
     """(perplexity, threshold, accepted) by id, of (id, text, lang); good are the trusted ids."""
     held = {d for d in good if zlib.crc32(str(d).encode()) % 5 == 0}
     p = kneser_ney([t or "" for d, t, _ in docs if d in good - held], order, start)
@@ -120,12 +120,12 @@ def quality(docs, good, order, start, prior, part, least):
     q = lambda xs, at: xs[math.ceil(at * len(xs)) - 1]
     own = {x: bits(rows, mean(rows)) for x, rows in of.items()}
     apart = q(sorted(b - q(xs, 0.5) for xs in own.values() for b in xs), part)
-    limits = {x: (mean(of[x]), q(xs, part) if len(xs) >= least else q(xs, 0.5) + apart) for x, xs in own.items()}
+    limits = {x: (mean(of[x]), (len(xs) * q(xs, part) + held_prior * (q(xs, 0.5) + apart)) / (len(xs) + held_prior)) for x, xs in own.items()}
     everyone = [d for rows in of.values() for d in rows]
     every = mean(everyone), q(bits(everyone, mean(everyone)), part)
     out = {}
     for d, _, lang in docs:
         m, limit = limits.get(lang or "", every)
         value = (nll[d] + prior * m) / (size[d] + prior)
-        out[d] = math.exp(value), math.exp(limit), size[d] == 0 or value <= limit
+        out[d] = math.exp(value), math.exp(limit), size[d] == 0 or value <= limit + 1e-9
     return out

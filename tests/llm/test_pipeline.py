@@ -17,7 +17,7 @@ def test_pipeline(spark):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r.quality == 1}
-    judged = plain.quality(rows, good, quality.ORDER, quality.START, quality.PRIOR, quality.QUANTILE, quality.LEAST_HELD_OUT)
+    judged = plain.quality(rows, good, quality.ORDER, quality.START, quality.PRIOR, quality.QUANTILE, quality.HELD_OUT_PRIOR)
     texts = {d: t or "" for d, t, _ in rows if judged[d][2]}
     last = {t: max(d for d, u in texts.items() if u == t) for t in texts.values()}
     texts = {d: t for d, t in texts.items() if last[t] == d}
