@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -64,7 +65,10 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 @contextmanager
 def cuts_removed(spark: SparkSession):
-    """Deletes, at the end, what operators wrote to the shared folder within: for callers that have written the results."""
+    """Deletes, at the end, what operators wrote to the shared folder within: for callers that have written the results.
+
+    The driver also collects its garbage, as it does now and then by itself: Spark deletes the shuffle files of plans that are gone.
+    """
     held: list[str] = []
     _cuts.append(held)
     try:
@@ -72,6 +76,8 @@ def cuts_removed(spark: SparkSession):
     finally:
         _cuts[:] = [x for x in _cuts if x is not held]
         remove(spark, held)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def released() -> None:

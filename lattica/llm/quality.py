@@ -44,7 +44,7 @@ ROUNDING = 1e-9
 #: Bytes that are made into grams at once; distinct grams that a task holds.
 PIECE, HELD = 1 << 19, 1 << 19
 #: Bytes of text after which a block ends, and of the texts that are compressed together.
-BLOCK_BYTES, PACK = 1 << 24, 1 << 20
+BLOCK_BYTES, PACK = 1 << 24, 1 << 22
 #: Grams that are a row of a block's.
 ROW_GRAMS = 1 << 16
 
@@ -213,7 +213,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=12)  # they are written and shuffled
         block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
         def out():
@@ -320,6 +320,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         with cuts_removed(spark):
             model = model_tables(rows.join(sized(trusted.where("not held_out")), F.col("doc_id") == F.col("trusted_id")).select("text"))
             looked_up(block_grams(blocks).select("key").distinct(), model).write.parquet(values)
+            del model
         scored = score(blocks, spark.read.schema("key long, p double").parquet(values)).join(sized(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
         scored.select(ROW, "doc_id", "lang", "nll", "n", held).write.parquet(scores)
     scored = spark.read.schema(f"{ROW} long, doc_id long, lang string, nll double, n long, held_out boolean").parquet(scores)
