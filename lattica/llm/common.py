@@ -56,6 +56,19 @@ def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize, in as many buckets by key as there are shuffle partitions: what meets other rows by key is not shuffled again.
+
+    Only tables of the catalog have buckets. The entry goes as soon as the table is resolved; its files are a cut as others are.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    entry = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders, wherever Spark can reach them."""
     for path in paths:
@@ -88,6 +101,13 @@ def released() -> None:
         trim(0)
 
 
+def releasing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows; after the work on each, what it freed goes back to the machine."""
+    for batch in rows:
+        yield batch
+        released()
+
+
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
     """df.mapInArrow(f, schema) in batches of at most BATCH_BYTES, unless the session has a bound of its own.
 

@@ -8,8 +8,8 @@ interpolated probability.
 Documents are scored by joins too. A task cuts the texts it reads into blocks by running bytes, a longer text into pieces
 that are blocks of their own, and writes the compressed texts and the distinct grams of each block. The corpus's
 distinct grams are looked up in the model, order by order, by joins sharded by gram; the values go back to the blocks
-that have the gram, where they meet the texts, and each row's are summed. So what is shuffled is the grams of blocks
-and each text once, no block is larger than its bound whatever the lengths of texts, and no part of the model goes to the driver.
+that have the gram, where they meet the texts, and each row's are summed. The texts are written in buckets by block and
+stay where they lie. So what is shuffled is the grams of blocks, no block is larger than its bound whatever the lengths of texts, and no part of the model goes to the driver.
 
 Thresholds are per language, the QUANTILE of trusted documents that the model was not trained on, a fifth of them by
 the CRC-32 of their ids: a model knows its own text too well for a measure of other text. Short documents say
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, cuts_removed, in_arrow, materialize, scratch, sized, text_or_empty, with_row
+from lattica.llm.common import ROW, cuts_removed, in_arrow, materialize, materialize_in_buckets, released, releasing, scratch, sized, text_or_empty, with_row
 
 ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
@@ -116,7 +116,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 65_536]), pa.array(c[i : i + 65_536])], names=["key", "c"])
 
         held, n = [], []
-        for batch in rows:
+        for batch in releasing(rows):
             texts = batch.column(0)
             for a, b in batches(texts, PIECE):
                 for more in byte_grams(texts[a:b]):
@@ -205,7 +205,7 @@ def pieces(lengths: Iterable[int], longest: int, size: int) -> Iterator[list[tup
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of the texts of docs (ROW, doc_id, lang, text), written: each some rows of grams (block, keys) and of texts.
+    """Blocks of the texts of docs (ROW, doc_id, lang, text), written in buckets by block: each some rows of grams (block, keys) and of texts.
 
     A row of texts has rows, ids, langs, lengths in bytes, skips and the texts, compressed together. A later piece of a text starts
     with the bytes that its first grams need of the one before, `skips` of them. Block numbers are a task's, so they hold as written.
@@ -213,7 +213,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=12)  # they are written and shuffled
+        packer = zstandard.ZstdCompressor(level=12)  # they lie on disk until all is scored
         block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
         def out():
@@ -221,7 +221,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             for i in range(0, len(keys), ROW_GRAMS):
                 yield pa.RecordBatch.from_pylist([{"block": block, "keys": keys[i : i + ROW_GRAMS]}], schema)
 
-        for batch in rows:
+        for batch in releasing(rows):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             of = [batch.column(c).to_pylist() for c in (ROW, "doc_id", "lang")]
             for pack in pieces(map(len, texts), BLOCK_BYTES, PACK):
@@ -244,7 +244,8 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
     longs = pa.list_(pa.int64())
     schema = pa.schema([("block", pa.int64()), ("keys", longs), ("rows", longs), ("ids", longs), ("langs", pa.list_(pa.string())), ("lengths", longs), ("skips", longs), ("texts", pa.binary())])
-    return materialize(in_arrow(docs.select(ROW, "doc_id", "lang", "text"), cut, "block long, keys array<long>, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, skips array<long>, texts binary"), "blocks")
+    cuts = in_arrow(docs.select(ROW, "doc_id", "lang", "text"), cut, "block long, keys array<long>, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, skips array<long>, texts binary")
+    return materialize_in_buckets(cuts, "blocks", "block")
 
 
 def block_grams(blocks: DataFrame) -> DataFrame:
@@ -263,14 +264,17 @@ def score(blocks: DataFrame, values: DataFrame) -> DataFrame:
         for rows, ids, langs, lengths, skips, raw in zip(*(texts.column(c) for c in ("rows", "ids", "langs", "lengths", "skips", "texts")), strict=True):
             lengths, skips = lengths.values.to_numpy(), skips.values.to_numpy()
             ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-            text, at, nll = np.repeat(np.arange(len(lengths)), lengths), 0, np.zeros(len(lengths) + 1)
+            text, at, nll = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), 0, np.zeros(len(lengths) + 1)
             for i in np.flatnonzero(skips):
                 text[ends[i] : ends[i] + skips[i]] = len(lengths)  # not this piece's own
             part = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(zstandard.decompress(raw.as_buffer()))])
             for keys in byte_grams(part):
                 nll -= np.bincount(text[at : at + len(keys)], known.get(keys), len(nll))
                 at += len(keys)
+            del text, part
             out.append(pa.table([rows.values, ids.values, langs.values, pa.array(nll[:-1]), pa.array(lengths - skips)], schema=schema))
+        del known
+        released()
         return pa.concat_tables(out)
 
     schema = pa.schema([(ROW, pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("nll", pa.float64()), ("n", pa.int64())])
