@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.bpe_words import BATCH, WordCache, batches
+from lattica.llm.bpe_words import WordCache, batches
 from lattica.llm.chat_format import byte_chars
-from lattica.llm.common import in_arrow, text_or_empty
+from lattica.llm.common import in_arrow, releasing, text_or_empty
 
 #: Field numbers and values of the public sentencepiece model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -30,6 +30,9 @@ MODEL_TYPE, VOCAB_SIZE, UNK_ID, BOS_ID, EOS_ID, PAD_ID = 3, 4, 40, 41, 42, 43
 BPE = 2
 NAME, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 1, 3, 4, 5
 
+#: Bytes of text that are encoded at once, whose pre-tokens are lists meanwhile, and words that a worker keeps the codes of.
+BATCH, KEPT_WORDS = 1 << 19, 100_000
+
 
 def _varint(n: int) -> bytes:
     n &= (1 << 64) - 1
@@ -84,7 +87,7 @@ class Codec:
         self.chars = {i: c for i, c in byte_chars().items()}
         self.table = np.array([*self.tokens], object)
         self.dtype = "<u2" if len(self.tokens) <= 1 << 16 else "<u4"
-        self.words = WordCache(self._encode, lambda words: self._encode([" " + w for w in words]), self.dtype)
+        self.words = WordCache(self._encode, lambda words: self._encode([" " + w for w in words]), self.dtype, KEPT_WORDS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [[p.encode() for p in self.split(t)] for t in texts]
@@ -121,7 +124,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in rows:
+        for batch in releasing(rows):
             texts = batch.column(1)
             for a, b in batches(texts, BATCH):
                 ids, bounds = c.encode(texts[a:b])
@@ -150,7 +153,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         decimals = np.array([str(i).encode() for i in range(len(c.tokens))], object)
-        for batch in rows:
+        for batch in releasing(rows):
             texts = batch.column(1)
             for a, b in batches(texts, BATCH):
                 out = []
