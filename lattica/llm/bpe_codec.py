@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import WordCache, batches
 from lattica.llm.chat_format import byte_chars
-from lattica.llm.common import in_arrow, releasing, text_or_empty
+from lattica.llm.common import SMALL_BATCH_BYTES, in_arrow, releasing, text_or_empty
 
 #: Field numbers and values of the public sentencepiece model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -131,7 +131,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 out = [ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), encode, "doc_id long, ids binary")
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), encode, "doc_id long, ids binary", SMALL_BATCH_BYTES)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -142,7 +142,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [c.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return in_arrow(encoded.select("doc_id", "ids"), decode, "doc_id long, ids binary, decoded binary")
+    return in_arrow(encoded.select("doc_id", "ids"), decode, "doc_id long, ids binary, decoded binary", SMALL_BATCH_BYTES)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", SMALL_BATCH_BYTES)
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: The part of all rows, as a divisor, from which on a key is hot.
 HOT = 1000
-#: Rows go to Python workers in batches of so many bytes: texts are long.
-BATCH_BYTES = 1 << 22
+#: Rows go to Python workers in batches of so many bytes: texts are long. Small ones are for the pipeline's stages, which share the
+#: executors' memory: both sides hold a batch and its copies, and the JVM keeps the room of the largest it has had.
+BATCH_BYTES, SMALL_BATCH_BYTES = 1 << 22, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +109,8 @@ def releasing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
 
 
-def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """df.mapInArrow(f, schema) in batches of at most BATCH_BYTES, unless the session has a bound of its own.
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, most: int = BATCH_BYTES) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches of at most so many bytes, unless the session's own bound is less. What follows in the session keeps that.
 
     At the end of a task, what it freed goes back to the machine: Python workers outlive their tasks.
     """
@@ -121,8 +122,8 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             released()
 
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name))) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
+    if int(re.sub(r"\D", "", conf.get(name))) > most:
+        conf.set(name, str(most))
     return df.mapInArrow(run, schema)
 
 

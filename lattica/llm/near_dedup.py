@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, in_arrow, join_hot, materialize, sized, text_or_empty, with_row
+from lattica.llm.common import ROW, SMALL_BATCH_BYTES, in_arrow, join_hot, materialize, sized, text_or_empty, with_row
 from lattica.llm.components import connected_components
 from lattica.llm.word_hash import joined, mix, range_hashes, ranges
 
@@ -139,7 +139,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([hashlib.md5(t.encode()).digest() for t in part], pa.binary()), pa.array(n),
                     pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel())), pa.ListArray.from_arrays(pa.array(ends * 16), pa.array(f.ravel()))], names=["id", "doc_id", "h", "n", "bands", "f"])
 
-    return in_arrow(docs, run, "id long, doc_id long, h binary, n int, bands array<long>, f array<long>")
+    return in_arrow(docs, run, "id long, doc_id long, h binary, n int, bands array<long>, f array<long>", SMALL_BATCH_BYTES)
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def bags(docs: DataFrame) -> DataFrame:
                 values = mix(h[of] + nth.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["id", "bag"])
 
-    return in_arrow(docs, run, "id long, bag array<long>")
+    return in_arrow(docs, run, "id long, bag array<long>", SMALL_BATCH_BYTES)
 
 
 def differing(f: Column, g: Column) -> Column:

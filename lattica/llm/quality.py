@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe_words import batches
-from lattica.llm.common import ROW, cuts_removed, in_arrow, materialize, materialize_in_buckets, released, releasing, scratch, sized, text_or_empty, with_row
+from lattica.llm.common import ROW, SMALL_BATCH_BYTES, cuts_removed, in_arrow, materialize, materialize_in_buckets, released, releasing, scratch, sized, text_or_empty, with_row
 
 ORDER, BITS = 5, 8
 SYMBOLS = 1 << BITS
@@ -43,8 +43,8 @@ HELD_OUT_PRIOR = 100
 ROUNDING = 1e-9
 #: Bytes that are made into grams at once; distinct grams that a task holds.
 PIECE, HELD = 1 << 19, 1 << 19
-#: Bytes of text after which a block ends, and of the texts that are compressed together.
-BLOCK_BYTES, PACK = 1 << 24, 1 << 22
+#: Bytes of text after which a block ends, and of the texts that are compressed together: those of a batch.
+BLOCK_BYTES, PACK = 1 << 24, 2 * SMALL_BATCH_BYTES
 #: Grams that are a row of a block's.
 ROW_GRAMS = 1 << 16
 
@@ -132,7 +132,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return in_arrow(trusted.select("text"), count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return in_arrow(trusted.select("text"), count, "key long, c long", SMALL_BATCH_BYTES).groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -244,7 +244,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
     longs = pa.list_(pa.int64())
     schema = pa.schema([("block", pa.int64()), ("keys", longs), ("rows", longs), ("ids", longs), ("langs", pa.list_(pa.string())), ("lengths", longs), ("skips", longs), ("texts", pa.binary())])
-    cuts = in_arrow(docs.select(ROW, "doc_id", "lang", "text"), cut, "block long, keys array<long>, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, skips array<long>, texts binary")
+    cuts = in_arrow(docs.select(ROW, "doc_id", "lang", "text"), cut, "block long, keys array<long>, rows array<long>, ids array<long>, langs array<string>, lengths array<long>, skips array<long>, texts binary", SMALL_BATCH_BYTES)
     return materialize_in_buckets(cuts, "blocks", "block")
 
 
