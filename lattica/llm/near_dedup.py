@@ -275,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cross = small.where("comp != main").alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & apart & may_link("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     more = verified(cross.distinct(), bag_of).unionByName(links_by_block(placed.where(F.col("size") > FEW), marks, bag_of))
     more = materialize(more.distinct(), "edges")
-    comps = connected_components(edges.unionByName(more))
+    held = comps.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))  # a link a node says what all edges say
+    comps = connected_components(held.unionByName(more))
     # Classes of nodes, then of their copies, by the least key; then each class's row of the least id.
     class_of_copies = copies.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
     class_of_nodes = comps.join(copies.select("id"), "id", "left_anti").select("id", "comp")
