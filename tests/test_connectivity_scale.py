@@ -18,3 +18,12 @@ def test_points_in_the_margin_of_solids_are_found(spark):
         points = spark.createDataFrame(rows, "id long, branch_id int, point_id int, x double, y double, z double")
         got = C.shape_to_morphology(cells, points, 60.0, shape=solid)
         assert sorted(r.post_id for r in got.collect()) == list(range(len(inside)))
+
+
+def test_margin_on_the_post_side(spark):
+    """The mirror image: the pre side keeps branch and point."""
+    cells = spark.createDataFrame([(1, 100.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    drum = S.Cylinder((0.0, 0.0, -30.0), 25.0, (0.0, 0.0, 30.0)).rotated(90.0, 0.0, 0.0)
+    points = spark.createDataFrame([(7, 2, 4, 100.0, 30.0005, 0.0), (8, 2, 4, 100.0, 30.0015, 0.0)], "id long, branch_id int, point_id int, x double, y double, z double")
+    got = C.morphology_to_shape(points, cells, 60.0, shape=drum).collect()
+    assert [(r.pre_id, r.pre_branch, r.pre_point, r.post_id) for r in got] == [(7, 2, 4, 1)]
