@@ -1,7 +1,14 @@
 """Connectivity operators: what is at the edge of solids, and that what is moved between machines goes with the input, not with the edges."""
 
+import math
+import random
+
+import pytest
+from helpers import DATA
+
 from lattica.functions import shapes as S
 from lattica.operators import connectivity as C
+from lattica.queries import QUERIES
 
 
 def test_points_in_the_margin_of_solids_are_found(spark):
@@ -27,3 +34,62 @@ def test_margin_on_the_post_side(spark):
     points = spark.createDataFrame([(7, 2, 4, 100.0, 30.0005, 0.0), (8, 2, 4, 100.0, 30.0015, 0.0)], "id long, branch_id int, point_id int, x double, y double, z double")
     got = C.morphology_to_shape(points, cells, 60.0, shape=drum).collect()
     assert [(r.pre_id, r.pre_branch, r.pre_point, r.post_id) for r in got] == [(7, 2, 4, 1)]
+
+
+def _plain_contacts(pre, post, boxes_of, meet, contacts, seed):
+    """Draws of voxel_intersection one by one: {(pre, post): [(branch, point, branch, point), ...]} of two lists of points."""
+    import hashlib
+
+    def voxels(rows, side):
+        out = {}
+        for i, b, p, *at in rows:
+            out.setdefault(i, {}).setdefault(boxes_of(at, side), []).append((b, p))
+        return out
+
+    found, a, b = [], voxels(pre, 0), voxels(post, 1)
+    for i in a:
+        for j in b:
+            shared = [(sorted(a[i][v]), sorted(b[j][w])) for v in sorted(a[i]) for w in sorted(b[j]) if meet(v, w)]
+            pairs = [(*p, *q) for ps, qs in shared for p in ps for q in qs]
+            for k in range(1, contacts + 1) if pairs else ():
+                pick = int(hashlib.md5(f"{seed}|{i}|{j}|{k}".encode()).hexdigest()[:13], 16) % len(pairs)
+                found.append((i, pairs[pick][:2], j, pairs[pick][2:]))
+    return sorted(found)
+
+
+def _clouds(seed, n, far=()):
+    rng = random.Random(seed)
+    return [(i, b, p, *(rng.gauss(0, 30) + (far[i] if i < len(far) else 0.0) for _ in range(3))) for i in range(n) for b in range(2) for p in range(6)]
+
+
+_POINTS = "id long, branch_id int, point_id int, x double, y double, z double"
+
+
+def _found(edges):
+    return sorted((r.pre_id, (r.pre_branch, r.pre_point), r.post_id, (r.post_branch, r.post_point)) for r in edges.collect())
+
+
+@pytest.mark.parametrize("far", [(), (1e16, 1e16, -1e16)])
+def test_voxel_intersection_draws(spark, far):
+    """Against draws one by one, also where voxels have no number of 63 bits."""
+    pre, post = _clouds(1, 12, far), _clouds(2, 9, far)
+    grid = lambda at, _: tuple(math.floor(v / 25.0) for v in at)
+    a, b = (spark.createDataFrame(x, _POINTS) for x in (pre, post))
+    want = _plain_contacts(pre, post, grid, lambda v, w: v == w, 3, 4)
+    assert want and _found(C.voxel_intersection(a, b, 25.0, contacts=3, seed=4)) == want
+    assert C.voxel_intersection(a, b, 25.0, contacts=0).count() == 0
+
+
+def test_part_of_the_post_cells(spark):
+    a = spark.createDataFrame(_clouds(5, 20), _POINTS)
+    every = C.voxel_intersection(a, a, 25.0, contacts=2, seed=1)
+    kept = C.voxel_intersection(a, a, 25.0, contacts=2, seed=1, affinity=0.5)
+    want = {(r.pre_id, r.post_id) for r in C.keep_affinity(every.select("pre_id", "post_id").distinct(), "pre_id", ["post_id"], 0.5, 1).collect()}
+    assert want and _found(kept) == [e for e in _found(every) if (e[0], e[2]) in want]
+
+
+@pytest.mark.parametrize("name", ["voxel_intersection"])
+def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
+    """The topmost join makes the pairs: all exchanges of the plan are below it."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join ") < plan.index("Exchange ")
