@@ -88,7 +88,7 @@ def test_part_of_the_post_cells(spark):
     assert want and _found(kept) == [e for e in _found(every) if (e[0], e[2]) in want]
 
 
-@pytest.mark.parametrize("name", ["voxel_intersection"])
+@pytest.mark.parametrize("name", ["voxel_intersection", "voxel_intersection_turned"])
 def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
     """The topmost join makes the pairs: all exchanges of the plan are below it."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
