@@ -8,6 +8,7 @@ from helpers import DATA
 
 from lattica.functions import shapes as S
 from lattica.operators import connectivity as C
+from lattica.operators import voxels as V
 from lattica.queries import QUERIES
 
 
@@ -80,6 +81,15 @@ def test_voxel_intersection_draws(spark, far):
     assert C.voxel_intersection(a, b, 25.0, contacts=0).count() == 0
 
 
+def test_voxel_box_intersection_draws(spark):
+    pre, post = _clouds(3, 9), _clouds(4, 7)
+    grid = lambda at, side: tuple(math.floor(v / (20.0, 45.0)[side]) for v in at)
+    meet = lambda v, w: all(i * 20 <= j * 45 + 45 and j * 45 <= i * 20 + 20 for i, j in zip(v, w, strict=True))
+    a, b = (V.voxel_boxes(spark.createDataFrame(x, _POINTS), ["id"], s) for x, s in ((pre, 20.0), (post, 45.0)))
+    want = _plain_contacts(pre, post, grid, meet, 2, 9)
+    assert want and _found(C.voxel_box_intersection(a, b, 20.0, contacts=2, seed=9)) == want
+
+
 def test_part_of_the_post_cells(spark):
     a = spark.createDataFrame(_clouds(5, 20), _POINTS)
     every = C.voxel_intersection(a, a, 25.0, contacts=2, seed=1)
@@ -88,7 +98,7 @@ def test_part_of_the_post_cells(spark):
     assert want and _found(kept) == [e for e in _found(every) if (e[0], e[2]) in want]
 
 
-@pytest.mark.parametrize("name", ["voxel_intersection", "voxel_intersection_turned"])
+@pytest.mark.parametrize("name", ["voxel_intersection", "voxel_intersection_turned", "voxel_intersection_sizes"])
 def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
     """The topmost join makes the pairs: all exchanges of the plan are below it."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
