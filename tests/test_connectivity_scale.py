@@ -98,8 +98,8 @@ def test_part_of_the_post_cells(spark):
     assert want and _found(kept) == [e for e in _found(every) if (e[0], e[2]) in want]
 
 
-@pytest.mark.parametrize("name", ["voxel_intersection", "voxel_intersection_turned", "voxel_intersection_sizes"])
+@pytest.mark.parametrize("name", ["voxel_intersection", "voxel_intersection_turned", "voxel_intersection_sizes", "labelled_sides"])
 def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
-    """The topmost join makes the pairs: all exchanges of the plan are below it."""
+    """The topmost join makes the pairs: all exchanges of the plan are below it, and it reads no written edges."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Join ") < plan.index("Exchange ")
+    assert plan.index("Join ") < plan.index("Exchange ") and "/edges-" not in plan
