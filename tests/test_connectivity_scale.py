@@ -103,3 +103,12 @@ def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
     """The topmost join makes the pairs: all exchanges of the plan are below it, and it reads no written edges."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join ") < plan.index("Exchange ") and "/edges-" not in plan
+
+
+@pytest.mark.parametrize("name", [
+    "cone_to_morphology",
+])
+def test_points_in_solids_are_not_shuffled(spark, name):
+    """All hits are kept, so no exchange stands above the join that makes them."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join ") < plan.index("Exchange ")
