@@ -113,6 +113,7 @@ def test_pairs_of_cells_are_neither_shuffled_nor_written(spark, name):
     "cuboid_to_morphology",
     "sphere_to_morphology",
     "morphology_to_parallelepiped",
+    "parallelepiped_to_morphology",
 ])
 def test_points_in_solids_are_not_shuffled(spark, name):
     """All hits are kept, so no exchange stands above the join that makes them."""
