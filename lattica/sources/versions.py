@@ -25,8 +25,12 @@ TABLES = {"cells": ("cell_type", ["chunk_id"]), "connections": ("tag", ["pre_chu
 _FILES = "table string, path string, rows long, first string, last string, low array<int>, high array<int>, columns string"
 
 
+#: Files that one write makes at most.
+MOST_FILES = 1000
+
+
 class Versions:
-    """The live files under a root. file_rows is about how many rows a file gets."""
+    """The live files under a root. file_rows is about how many rows a file gets; more, where that would make over MOST_FILES files of a write."""
 
     def __init__(self, spark: SparkSession, root: str, file_rows: int = 1_000_000):
         self.spark, self.root, self.file_rows = spark, root, file_rows
@@ -93,7 +97,7 @@ class Versions:
         if not n:
             return self.spark.createDataFrame([], _FILES)
         order = [F.col(group), curve(*(F.col(c) for c in chunks))]
-        raw.repartitionByRange(n // self.file_rows + 1, *order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{folder}")
+        raw.repartitionByRange(min(n // self.file_rows + 1, MOST_FILES), *order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{folder}")
         at = [v for c in chunks for v in chunk_coordinates(F.col(c))]
         stored = self.spark.read.schema(raw.schema).parquet(f"{self.root}/{folder}").select("*", F.col("_metadata.file_name").alias("_file"))
         stats = stored.groupBy("_file").agg(F.count(F.lit(1)).alias("rows"), F.min(group).alias("first"), F.max(group).alias("last"), F.array(*map(F.min, at)).alias("low"), F.array(*map(F.max, at)).alias("high"))

@@ -9,7 +9,7 @@ from helpers import DATA
 from lattica.functions import shapes as S
 from lattica.operators import connectivity as C
 from lattica.operators import voxels as V
-from lattica.queries import QUERIES
+from lattica.queries import QUERIES, block_edges
 
 
 def test_points_in_the_margin_of_solids_are_found(spark):
@@ -119,3 +119,22 @@ def test_points_in_solids_are_not_shuffled(spark, name):
     """All hits are kept, so no exchange stands above the join that makes them."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join ") < plan.index("Exchange ")
+
+
+def test_a_write_makes_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    """However few rows a file should get; all rows are there, and scans still open only some files."""
+    from lattica.sources import versions
+    from lattica.sources.store import NetworkStore
+
+    monkeypatch.setattr(versions, "MOST_FILES", 8)
+    store = NetworkStore(spark, str(tmp_path / "net"), file_rows=5)
+    store.append("connections", block_edges(spark, DATA))
+    files = store.versions.files("connections")
+    assert 4 <= files.count() <= 8 and files.agg({"rows": "sum"}).first()[0] == store.read("connections").count() == block_edges(spark, DATA).count()
+    assert len(store.read("connections", post_chunk=[0]).inputFiles()) < files.count()
+
+
+def test_block_edges_come_from_one_join(spark):
+    """Cells bring their type, chunk and place into the join; no edge looks them up."""
+    plan = block_edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1
