@@ -310,9 +310,8 @@ def incoming_scan(spark, d):
 def cleared_edges(spark, d):
     """What is left when the connections into all chunks of one slab are cleared."""
     store = _scratch_store(spark, 50)
-    edges = block_edges(spark, d)
-    store.append("connections", edges)
-    slab = edges.select("post_chunk").distinct().where(chunk_coordinates(F.col("post_chunk"))[0] == 0)
+    store.append("connections", block_edges(spark, d))
+    slab = store.read("connections").select("post_chunk").distinct().where(chunk_coordinates(F.col("post_chunk"))[0] == 0)
     store.clear("connections", tag="near", post_chunk=[r[0] for r in slab.collect()])
     return store.read("connections").groupBy("pre_chunk", "post_chunk").agg(F.count(F.lit(1)).alias("n"))
 
