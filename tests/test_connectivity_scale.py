@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import DATA
+from pyspark.sql import functions as F
 
 from lattica.functions import shapes as S
 from lattica.operators import connectivity as C
@@ -138,3 +139,17 @@ def test_block_edges_come_from_one_join(spark):
     """Cells bring their type, chunk and place into the join; no edge looks them up."""
     plan = block_edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.25, 0.3333, 0.9999])
+def test_pruning_ranks_one_block(spark, ratio):
+    """Exactly the part asked for, the same however rows lie; whole blocks are no part of the window."""
+    edges = spark.range(20_000).select((F.col("id") % 77).alias("pre"), F.col("id").alias("post"))
+    kept = C.pruned(edges, ratio, ["pre", "post"], 2)
+    rows = {r.post for r in kept.collect()}
+    assert len(rows) == kept.count() == math.floor(20_000 * ratio)
+    assert rows == {r.post for r in C.pruned(edges.repartition(7, "pre"), ratio, ["pre", "post"], 2).collect()}
+    if ratio == 0.25:
+        assert rows != {r.post for r in C.pruned(edges, ratio, ["pre", "post"], 3).collect()}
+        assert 0.2 < sum(p < 10_000 for p in rows) / 10_000 < 0.3
+        assert kept._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
